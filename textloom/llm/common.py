@@ -45,3 +45,11 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"),
     )
+
+
+def by_id(base: DataFrame) -> DataFrame:
+    """base dealt by `kid`, the doc_id that is never null (null: the smallest long).
+
+    Joins on kid need no null filter, so every join of a plan reuses the one shuffle of the texts.
+    """
+    return base.withColumn("kid", F.coalesce("doc_id", F.lit(-(2**63)))).repartition(tasks(base.sparkSession), "kid")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import id_text, materialise, tasks
+from .common import by_id, id_text, materialise, tasks
 from .substring_dedup import whole_groups
 
 EDITS, MIN_CHARS = 1, 30
@@ -253,7 +253,7 @@ def _removed(base: DataFrame, texts: DataFrame, edits: int, min_chars: int) -> D
     shared = keys.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("key")
     of_line = keys.join(shared, "key").groupBy("digest").agg(F.collect_set("key").alias("keys"))
     told = of_line.join(first, "digest").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest", "keys")).alias("told"))
-    rows = texts.join(told, "doc_id").select("doc_id", "text", "told").mapInArrow(_candidates(edits), "key long, digest long, doc_id long, line int, indexed boolean, text string")
+    rows = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").select("doc_id", "text", "told").mapInArrow(_candidates(edits), "key long, digest long, doc_id long, line int, indexed boolean, text string")
     near = rows.repartition(tasks(spark), "key").sortWithinPartitions("key").mapInArrow(_verified(edits), "digest long").distinct()
     decided = first.join(near.withColumn("near", F.lit(True)), "digest", "left").filter("n > 1 or near").select("digest", F.when(F.col("near").isNull(), F.col("first")).alias("spared"))
     gone = places.join(decided, "digest").filter("spared is null or spared.doc_id <> doc_id or spared.line <> line")
@@ -267,15 +267,15 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     a doc_id count as one document: its first occurrence of a line is spared in each.  Extra columns are ignored.
     """
     base = id_text(docs)
-    texts = base.repartition(tasks(docs.sparkSession), "doc_id")
-    both = texts.join(_removed(base, texts, edits, min_chars), F.col("doc_id") == F.col("gone_id"), "left")
+    texts = by_id(base)
+    both = texts.join(_removed(base, texts, edits, min_chars), F.col("kid") == F.col("gone_id"), "left")
     return both.select("doc_id", "text", "gone").mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept string, removed array<int>")
 
 
 def replace_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with `text` (and n_chars, where there is one) without near-duplicate lines; all rows and columns stay."""
     base = id_text(docs)
-    gone = _removed(base, base.repartition(tasks(docs.sparkSession), "doc_id"), edits, min_chars)
+    gone = _removed(base, by_id(base), edits, min_chars)
     lines = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     out = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
