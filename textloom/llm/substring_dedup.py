@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import id_text, tasks
+from .common import by_id, id_text, tasks
 from .shared import anchors, union
 
-WIDTH, K = 13, 5
+WIDTH, K = 13, 4
 #: Documents up to which the suffixes of one gram are a single group.
 GROUP = 20_000
 #: Bytes of contexts that a subtree pass takes at a time (whole groups).
@@ -199,16 +199,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, group: int =
     """
     spark = docs.sparkSession
     base = id_text(docs)
-    texts = base.repartition(tasks(spark), "doc_id")
+    texts = by_id(base)
     named = base.filter("doc_id is not null")
     own = named.mapInArrow(_grams(width, k), "gram long, doc_id long")
-    shared = own.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("gram", "n")
+    shared = own.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")  # a gram has one row per document
     per_doc = own.join(shared, "gram").groupBy("doc_id").agg(F.collect_list(F.when(F.col("n") <= group, F.col("gram"))).alias("usual"), F.collect_list(F.when(F.col("n") > group, F.col("gram"))).alias("hot"))
     digest = named.select("doc_id", F.md5("text").alias("digest"))
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").select("digest", "rep")
     copies = digest.join(first, "digest").filter("doc_id > rep").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
     told = per_doc.join(copies, "doc_id", "full")
-    both = texts.join(told, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("th"), "usual", "hot", "digests")
+    both = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").select("doc_id", "text", F.xxhash64("text").alias("th"), "usual", "hot", "digests")
     both = both.filter("digests is null or not array_contains(digests, md5(text))")
     usual = both.filter("size(usual) > 0").select("doc_id", "text", "th", "usual").mapInArrow(_contexts(width, k, False), CONTEXT)
     spans = usual.repartition(tasks(spark), "gram").sortWithinPartitions("gram").mapInArrow(_subtrees(width), SPAN)
@@ -216,6 +216,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, group: int =
     lows = hot.groupBy("node").agg(F.min("doc_id").alias("lo"))
     deep = hot.join(lows, "node").filter("lo < doc_id").select("doc_id", "th", "start", (F.col("start") + width).alias("end"))
     found = spans.unionByName(deep).groupBy("doc_id").agg(F.collect_list(F.struct("th", "start", "end")).alias("found"))
-    last = texts.join(found.join(copies, "doc_id", "full"), "doc_id", "left")
+    last = texts.join(found.join(copies, "doc_id", "full").withColumnRenamed("doc_id", "kid"), "kid", "left")
     is_copy = F.coalesce(F.array_contains("digests", F.md5("text")), F.lit(False))
     return last.select("doc_id", "text", F.xxhash64("text").alias("th"), is_copy.alias("copy"), "found").mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: int, end: int>>")
