@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import search_queries, text_queries
+
+QUERIES: dict = {**text_queries.QUERIES, **search_queries.QUERIES}
+ORACLES: dict[str, str] = {**text_queries.ORACLES, **search_queries.ORACLES}
