@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import id_text, tasks
+from .common import by_id, id_text, tasks
 from .shared import anchors, byte_grams, union
 from .substring_dedup import whole_groups
 
@@ -219,7 +219,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, group: int =
     """
     spark = docs.sparkSession
     base = id_text(docs)
-    texts = base.repartition(tasks(spark), "doc_id")
+    texts = by_id(base)
     named = base.filter("doc_id is not null")
     own = named.mapInArrow(_grams(width, k), "gram long, doc_id long, n long")
     shared = own.groupBy("gram").agg(F.sum("n").alias("m")).filter("m > 1")
@@ -229,13 +229,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, group: int =
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1").select("digest", "rep")
     copies = digest.join(first, "digest").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"), F.collect_set(F.when(F.col("doc_id") > F.col("rep"), F.col("digest"))).alias("later"))
     told = per_doc.join(copies, "doc_id", "full")
-    both = texts.join(told, "doc_id").filter("later is null or not array_contains(later, md5(text))")
+    both = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").filter("later is null or not array_contains(later, md5(text))")
     rows = lambda c: both.filter(f"size({c}) > 0").select("doc_id", "text", F.xxhash64("text").alias("th"), c).mapInArrow(_contexts(width, k), CONTEXT)
     spans = rows("usual").repartition(tasks(spark), "gram").sortWithinPartitions("gram").mapInArrow(_scan(width), SPAN)
     hot = rows("hot").mapInArrow(_windows(width), "doc_id long, th long, start int, node binary")
     often = hot.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
     deep = hot.join(often, "node").select("doc_id", "th", "start", (F.col("start") + width).alias("end"))
     found = spans.unionByName(deep).groupBy("doc_id").agg(F.collect_list(F.struct("th", "start", "end")).alias("found"))
-    last = texts.join(found.join(copies, "doc_id", "full"), "doc_id", "left")
+    last = texts.join(found.join(copies, "doc_id", "full").withColumnRenamed("doc_id", "kid"), "kid", "left")
     is_copy = F.coalesce(F.array_contains("digests", F.md5("text")), F.lit(False))
     return last.select("doc_id", "text", F.xxhash64("text").alias("th"), is_copy.alias("copy"), "found").mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start: int, end: int>>")
