@@ -44,22 +44,22 @@ def statistics(docs: DataFrame) -> DataFrame:
     base = id_text(docs)
     words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
     x = base.select("doc_id", "text", F.transform(words, lambda w: F.xxhash64(w)).alias("h1"), F.filter(F.split("text", "\n"), lambda t: t.rlike("[^ \\t\\n\\x0B\\f\\r]")).alias("lines"))
-    x = x.select("*", _next(_next(_next(F.col("h1"), 1), 2), 4).alias("h8"))
-    chars = F.length(F.translate("text", " \t\n\x0b\x0c\r", ""))
-    count = lambda cls: F.length("text") - F.length(F.regexp_replace("text", cls, ""))
+    for size in (1, 2, 4):  # one projection each: an expression that is named twice is computed once
+        x = x.withColumn(f"h{2 * size}", _next(F.col(f"h{size}"), size))
+    count = lambda cls: F.regexp_count("text", F.lit(cls)).cast("long")
     x = x.select(
         "doc_id",
         F.size("h1").cast("long").alias("n_words"),
-        chars.cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("text") - count("[ \\t\\n\\x0B\\f\\r]")).cast("long").alias("word_chars"),
+        count("[" + SYMBOLS + "]").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("h8")) < F.size("h8"), repeat_words(F.col("h8"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("h1")).cast("long").alias("n_distinct"),
         F.size(F.filter("lines", lambda t: F.length(t) < 30)).cast("long").alias("n_short_lines"),
-        (F.length("text") - F.length(F.translate("text", ".,;:!?", ""))).cast("long").alias("n_punct"),
-        (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
-        (F.length("text") - F.length(F.translate("text", "0123456789", ""))).cast("long").alias("n_digits"),
+        count("[.,;:!?]").alias("n_punct"),
+        count("[A-Z]").alias("n_upper"),
+        count("[0-9]").alias("n_digits"),
     )
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return x.select(
