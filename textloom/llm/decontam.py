@@ -205,5 +205,5 @@ def _joined(base: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without contaminated documents; columns unchanged.  Documents with a null doc_id stay."""
-    bad = overlaps(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    bad = overlaps(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")

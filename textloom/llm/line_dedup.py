@@ -276,9 +276,13 @@ def replace_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     """docs with `text` (and n_chars, where there is one) without near-duplicate lines; all rows and columns stay."""
     base = id_text(docs)
     gone = _removed(base, by_id(base), edits, min_chars)
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    out = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left").withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+    # The whole row travels as one struct: no column of docs can clash with a working name.
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    both = rows.join(gone, rows["row"]["doc_id"].cast("long") == gone["gone_id"], "left")
+    lines = F.split(F.col("row.text"), "\n", -1)
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left)
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length(text))
+    return both.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))

@@ -63,5 +63,36 @@ def op10_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_token_pack, op3_minhash, op4_decontaminate, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_suffix_dedup, op9_quality_rules, op10_bestfit)}
 
-#: DuckDB SQL for whole results, where SQL can express them.
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: DuckDB SQL for whole results, where SQL can express them: a trained model, a tokenizer, edit distances over code
+#: points and look-behind expressions are beyond it; those queries are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op3_minhash": f"""WITH RECURSIVE d AS (SELECT doc_id, {_SPACED.format(_LOWER.format("text"))} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS x FROM d),
+u AS (SELECT doc_id, unnest(x) AS h FROM s), n AS (SELECT doc_id, len(x)::BIGINT AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS held FROM u a JOIN u b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * held >= 80 * (x.n + y.n - held)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT doc_id AS node, doc_id AS reach FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN (SELECT node, min(reach) AS c FROM r GROUP BY node) ON node = doc_id""",
+    "op4_decontaminate": f"""WITH d AS (SELECT doc_id, {_ALNUM.format(_LOWER.format("text"))} AS w FROM documents), b AS (SELECT item_id::VARCHAR AS item, {_ALNUM.format(_LOWER.format("text"))} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 13) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 13) + 2), lambda i: array_to_string(w[i:i + least(len(w), 13) - 1], ' '))) AS x FROM b WHERE len(w) > 0),
+z AS (SELECT DISTINCT n FROM bw), dw AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: {{'i': i, 'x': array_to_string(w[i:i + n - 1], ' ')}})) AS y FROM d, z WHERE len(w) >= n),
+h AS (SELECT doc_id, item, dw.n, y.i AS i FROM dw JOIN bw ON dw.n = bw.n AND y.x = bw.x), c AS (SELECT doc_id, count(DISTINCT i + k) AS hit FROM (SELECT doc_id, i, unnest(range(0, n)) AS k FROM h) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit, 0)::BIGINT AS n_hit, coalesce(items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit, 0) > 0 AND 20 * coalesce(hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op7_substring_dedup": f"""WITH d AS (SELECT doc_id, {_SPACED.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, unnest(h) AS h, generate_subscripts(h, 1) AS i FROM (SELECT doc_id, list_transform(range(1, len(w) - 11), lambda i: md5(array_to_string(w[i:i + 12], ' '))) AS h FROM d WHERE len(w) >= 13)),
+m AS (SELECT h, min(doc_id) AS lo FROM g GROUP BY h), f AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT doc_id, i, unnest(range(0, 13)) AS k FROM g JOIN m USING (h) WHERE lo < doc_id)),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d), k AS (SELECT doc_id, count(f.p) AS gone, string_agg(word, ' ' ORDER BY x.p) FILTER (f.p IS NULL) AS kept FROM x LEFT JOIN f USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op8_suffix_dedup": """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT doc_id, unnest(h) AS h, generate_subscripts(h, 1) - 1 AS i FROM (SELECT doc_id, list_transform(range(0, length(x) // 2 - 399), lambda i: md5(substr(x, 2 * i + 1, 800))) AS h FROM b WHERE length(x) >= 800)),
+o AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1), f AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS j FROM g WHERE h IN (SELECT h FROM o)),
+r AS (SELECT doc_id, i, sum(CASE WHEN j IS NULL OR i > j + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f), s AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM r GROUP BY doc_id, run),
+t AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT doc_id, count(*) AS n, sum(z - a) AS gone, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(z) AS tail FROM t JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN n IS NULL THEN x ELSE concat(kept, substr(x, 2 * tail + 1)) END)) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)""",
+}
