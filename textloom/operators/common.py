@@ -14,6 +14,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hint_if_small(df: DataFrame, rows: int = BROADCAST_ROWS):
+    """The same decision as a function, for sides that can't have more rows than df."""
+    return F.broadcast if df.limit(rows + 1).count() <= rows else lambda x: x
+
+
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group with their rank; the group limit is applied before the shuffle, too."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).filter(F.col(name) <= k)

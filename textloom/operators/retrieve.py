@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import broadcast_if_small, top
+from .common import hint_if_small, top
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -14,11 +14,13 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(T.tokens(T.sanitise_query(F.col(text_col))))).alias("term"))
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
-    """id, field, term, tf, len: the index of some text columns."""
+def postings(docs: DataFrame, id_col: str, fields: dict[str, str], wanted: DataFrame | None = None) -> DataFrame:
+    """id, field, term, tf, len: the index of some text columns; of wanted terms alone if given, before any shuffle."""
     parts = F.array(*(F.struct(F.lit(name).alias("field"), T.tokens(F.coalesce(F.col(c), F.lit(""))).alias("t")) for name, c in fields.items()))
     rows = docs.select(F.col(id_col).alias("id"), F.explode(parts).alias("p")).select("id", "p.field", "p.t", F.size("p.t").cast("long").alias("len"))
-    return rows.select("id", "field", "len", F.explode("t").alias("term")).groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    words = rows.select("id", "field", "len", F.explode("t").alias("term"))
+    words = words if wanted is None else words.join(wanted, "term", "left_semi")
+    return words.groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
 def field_stats(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -26,25 +28,21 @@ def field_stats(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
     return docs.select(F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.size(T.tokens(F.coalesce(F.col(c), F.lit("")))).alias("len")) for name, c in fields.items()))).alias("p")).groupBy("p.field").agg(F.count("*").alias("n"), F.avg("p.len").alias("avg_len"))
 
 
-def _matches(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of queried terms alone: only they are shuffled."""
-    return index.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi")
-
-
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score, rank: the best k documents for each query; ties by id."""
     terms = query_terms(queries, query_id, query_text)
-    wanted = broadcast_if_small(terms.select("term").distinct())
+    small = hint_if_small(terms)  # distinct terms and their df are bounded by the queries' terms
+    wanted = small(terms.select("term").distinct())
     # Terms are matched before tf is counted, so the aggregation sees queried terms alone.
     words = docs.select(F.col(id_col).alias("id"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     hits = words.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
     held = hits.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     totals = F.broadcast(words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len")))
-    df = broadcast_if_small(held.groupBy("term").agg(F.count("*").alias("df")))
+    df = small(held.groupBy("term").agg(F.count("*").alias("df")))
     scored = held.join(df, "term").crossJoin(totals)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    parts = scored.select("term", "id", weight.alias("w")).join(broadcast_if_small(terms), "term")
+    parts = scored.select("term", "id", weight.alias("w")).join(small(terms), "term")
     scores = parts.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top(scores, ["query_id"], [F.desc("score"), F.col("id")], k)
 
@@ -53,15 +51,16 @@ def bm25f(docs: DataFrame, queries: DataFrame, fields: dict[str, str], weights:
     """Term-centric: per term the best weighted field, summed over terms; df is the largest over fields."""
     terms = query_terms(queries, query_id, query_text)
     used = {f: c for f, c in fields.items() if weights.get(f, 0) > 0}
-    held = _matches(postings(docs, id_col, used), terms)
+    small = hint_if_small(terms)
+    held = postings(docs, id_col, used, small(terms.select("term").distinct()))
     stats = F.broadcast(field_stats(docs, used))
-    df = broadcast_if_small(held.groupBy("term", "field").agg(F.count("*").alias("d")).groupBy("term").agg(F.max("d").alias("df")))
+    df = small(held.groupBy("term", "field").agg(F.count("*").alias("d")).groupBy("term").agg(F.max("d").alias("df")))
     boost = F.create_map(*(x for f in used for x in (F.lit(f), F.lit(float(weights[f])))))
     scored = held.join(stats, "field").join(df, "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = boost[F.col("field")] * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     best = scored.withColumn("w", weight).groupBy("term", "id").agg(F.max("w").alias("w"))
-    scores = best.join(broadcast_if_small(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    scores = best.join(small(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top(scores, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
