@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +25,7 @@ from .common import id_text
 
 N_MIN, N_MAX = 3, 6
 #: Labelled documents that are fitted at most, and characters of them that the driver takes at most.
-MAX_ROWS, MAX_CHARS = 8_000, 30_000_000
+MAX_ROWS, MAX_CHARS = 6_000, 20_000_000
 FEATURES = 20_000
 
 
@@ -67,65 +66,56 @@ class Model:
 
 def fit(rows: Iterable[tuple[str, int]], alpha: float = 1.0, least: int = 3, z_least: float = 3.5, penalty: float = 0.02, rounds: int = 300) -> Model:
     """Train on (text, label) rows; without both labels the score is the share of label 1 (0 without rows)."""
-    count = (Counter(), Counter())
-    docs: list[tuple[set[str], int]] = []
-    word_docs = (Counter(), Counter())
+    vocabulary: dict[str, int] = {}
+    held: list[np.ndarray] = []
+    labels: list[int] = []
     for text, y in rows:
-        w = words_of(text)
-        docs.append((w, y))
-        word_docs[y].update(w)
-    n1 = sum(y for _, y in docs)
-    n0 = len(docs) - n1
-    if not n1 or not n0:
-        share = min(max(n1 / len(docs) if docs else 0.0, 1e-4), 1 - 1e-4)
+        held.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)), np.int32))
+        labels.append(y)
+    n, n1 = len(labels), sum(labels)
+    if not n1 or n1 == n:
+        share = min(max(n1 / n if n else 0.0, 1e-4), 1 - 1e-4)
         return Model(math.log(share / (1 - share)), {})
+    of = [np.bincount(np.concatenate([h for h, y in zip(held, labels, strict=True) if y == k]), minlength=len(vocabulary)) for k in (0, 1)]
     # n-grams that may stand out: those of words that several documents of label 1, or many at all, hold
-    often = max(20, len(docs) // 500)
-    vocabulary = sorted(set(word_docs[0]) | set(word_docs[1]))
-    candidates = {g for w in vocabulary if word_docs[1][w] >= 2 or word_docs[0][w] >= often for g in grams_of(w)}
-    for w in vocabulary:
-        zero, one = word_docs[0][w], word_docs[1][w]
-        for g in grams_of(w):
-            if g in candidates:
-                count[0][g] += zero
-                count[1][g] += one
-    p, q = sum(count[1].values()) + alpha * len(candidates), sum(count[0].values()) + alpha * len(candidates)
-    ratio: dict[str, float] = {}
-    strength: dict[str, float] = {}
-    for g in candidates:
-        a, b = count[1][g], count[0][g]
-        if a + b < least:
-            continue
-        r = math.log((a + alpha) / p) - math.log((b + alpha) / q)
-        z = r / math.sqrt(1 / (a + alpha) + 1 / (b + alpha))
-        if abs(z) >= z_least:
-            ratio[g], strength[g] = r, abs(z)
-    chosen = sorted(ratio, key=lambda g: (-strength[g], g))[:FEATURES]
+    often = max(20, n // 500)
+    near = (of[1] >= 2) | (of[0] >= often)
+    index: dict[str, int] = {}
+    for w, i in vocabulary.items():
+        if near[i]:
+            for g in grams_of(w):
+                index.setdefault(g, len(index))
+    count = np.zeros((2, len(index)))
+    for w, i in vocabulary.items():
+        at = [index[g] for g in grams_of(w) if g in index]
+        count[0, at] += of[0][i]
+        count[1, at] += of[1][i]
+    q, p = count.sum(axis=1) + alpha * len(index)
+    ratio = np.log((count[1] + alpha) / p) - np.log((count[0] + alpha) / q)
+    z = np.abs(ratio) / np.sqrt(1 / (count[1] + alpha) + 1 / (count[0] + alpha))
+    grams = list(index)
+    good = [i for i in range(len(grams)) if count[0, i] + count[1, i] >= least and z[i] >= z_least]
+    good = sorted(good, key=lambda i: (-round(z[i], 9), grams[i]))[:FEATURES]
+    chosen, scale = [grams[i] for i in good], ratio[good]
     index = {g: i for i, g in enumerate(chosen)}
-    by_word: dict[str, list[int]] = {}
-    for w in vocabulary:
-        held = [index[g] for g in grams_of(w) if g in index]
-        if held:
-            by_word[w] = held
-    scale = np.array([ratio[g] for g in chosen])
+    by_word = {i: f for w, i in vocabulary.items() if (f := [index[g] for g in grams_of(w) if g in index])}
     cols, bounds = [], [0]
-    for w, _ in docs:
-        held = sorted({i for x in w for i in by_word.get(x, ())})
-        cols += held
+    for h in held:
+        cols += sorted({f for w in h.tolist() for f in by_word.get(w, ())})
         bounds.append(len(cols))
-    col, row = np.array(cols, np.int64), np.repeat(np.arange(len(docs)), np.diff(bounds))
-    y = np.array([y for _, y in docs], float)
-    value = scale[col] / max(1.0, math.sqrt(len(cols) / len(docs)))
-    w, b, g2, gb2 = np.zeros(len(chosen)), math.log(n1 / n0), np.zeros(len(chosen)), 0.0
+    col, row = np.array(cols, np.int64), np.repeat(np.arange(n), np.diff(bounds))
+    y = np.array(labels, float)
+    value = scale[col] / max(1.0, math.sqrt(len(cols) / n))
+    w, b, g2, gb2 = np.zeros(len(chosen)), math.log(n1 / (n - n1)), np.zeros(len(chosen)), 0.0
     for _ in range(rounds):  # adaptive gradient descent on the regularised mean loss
-        z = b + np.bincount(row, weights=value * w[col], minlength=len(docs))
+        z = b + np.bincount(row, weights=value * w[col], minlength=n)
         err = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
-        grad = np.bincount(col, weights=value * err[row], minlength=len(chosen)) / len(docs) + penalty / len(docs) * w
+        grad = np.bincount(col, weights=value * err[row], minlength=len(chosen)) / n + penalty / n * w
         g2 += grad**2
         gb2 += err.mean() ** 2
         w -= 0.5 * grad / np.sqrt(g2 + 1e-12)
         b -= 0.5 * err.mean() / math.sqrt(gb2 + 1e-12)
-    per = scale / max(1.0, math.sqrt(len(cols) / len(docs)))
+    per = scale / max(1.0, math.sqrt(len(cols) / n))
     return Model(float(b), {g: float(per[i] * w[i]) for g, i in index.items() if abs(per[i] * w[i]) > 1e-6})
 
 
@@ -138,11 +128,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     marked = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     base = id_text(docs)
     base = base.filter(~held_out(F.col("doc_id")) & (F.length("text") <= max_chars // 100))
-    rows = base.join(marked, "doc_id")
-    n, chars = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
+    # Lengths alone are joined to find the share; then only the sample's texts move.
+    n, chars = base.select("doc_id", F.length("text").alias("len")).join(marked, "doc_id").agg(F.count("*"), F.sum("len")).first()
     parts = 1_000_000
     share = min(1.0, max_rows / max(n, 1), max_chars / max(chars or 0, 1))
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(share * parts)).select("text", "y") if share < 1 else rows.select("text", "y")
+    if share < 1:
+        base = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(share * parts))
+    rows = base.join(marked, "doc_id").select("text", "y")
     return fit(sorted((text, int(y)) for text, y in rows.collect()))
 
 
@@ -169,5 +161,5 @@ def scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs without rows that score at least the threshold; columns unchanged.  Rows with a null doc_id stay."""
-    bad = scores(docs, model, threshold).filter("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    bad = scores(docs, model, threshold).filter("predicted = 1").select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
