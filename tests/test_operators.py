@@ -228,3 +228,25 @@ def test_terms_modes(spark):
 def test_gate(spark):
     df = spark.createDataFrame([(2.0,), (0.1,)], "idf double")
     assert [r[0] for r in df.select(stats.gate_tokens(F.col("idf"), 0.5, 2.0, 0.5)).collect()] == [4.0, None]
+
+
+def test_terms(spark):
+    from textloom.operators import terms
+
+    spans = spark.createDataFrame([("Fire door",), ("wide fire doors",), ("ab",), ("wall",)], "span string")
+    known = spark.createDataFrame([("fire door",), ("b",), ("",)], "term string")
+    assert rows(terms.defined_term_check(spans, known), "span") == [("Fire door", "exact"), ("ab", "part"), ("wall", "none"), ("wide fire doors", "part")]
+    seen = spark.createDataFrame([("fire door",), ("fire door",)], "term string")
+    assert rows(terms.definition_counts(seen, known), "term") == [("", 0), ("b", 0), ("fire door", 2)]
+    assert rows(terms.outstanding(known, seen), "term") == [("",), ("b",)]
+    lists = spark.createDataFrame([(1, ["b", "a", "", "b"]), (2, [])], "k int, l array<string>")
+    out = terms.scatter(lists, "k", "l", lambda d: d.withColumn("value", F.upper("label")), "u")
+    assert rows(out.select("k", "u"), "k") == [(1, ["B", "A", "B"]), (2, [])]
+    p = spark.createDataFrame([("d1", ["a", "b", "c", "e"], ["PD-pad", "BH-obj", "IH-obj", "PD-pad"]), ("n1", ["a"], ["PD-pad"])], "doc_id string, words array<string>, tags array<string>")
+    got = {r.origin: (r.n_sentences, r.n_tokens, r.BH, r.IH, r.PD) for r in terms.prediction_profile(p).collect()}
+    assert got == {"domestic": (1, 2, 1, 1, 0), "non-domestic": (1, 0, 0, 0, 0)}
+    s = spark.createDataFrame([(1, "x", 0, 1), (1, "C-x", 2, 3), (1, "C-x", 7, 8)], "k int, type string, start int, end int")
+    assert rows(terms.merge_continued(s, "k").select("start", "end"), "start") == [(0, 3), (7, 8)]
+    assert rows(terms.skip_sentences(p, "doc_id", "n").select("doc_id"), "doc_id") == [("d1",)]
+    c = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "z", 1)], "g string, label string, n long")
+    assert rows(terms.top_labels(c, ["g"], 2).select("label"), "rank") == [("y",), ("x",)]

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, expand, stats, tagging
+from ..operators import evaluate, expand, stats, tagging, terms
 from ..sources import readers, sinks
 from . import sql as S
 from .search_queries import FEATURES, IDF
@@ -184,3 +184,29 @@ def stored_round_trip(spark, sf_dir):
     s = sinks.stored(p)
     json = s.select(F.to_json(F.struct("content", "content_type", "id", "meta")).alias("j")).select(F.from_json("j", readers.PASSAGE).alias("x")).select("x.*")
     return json.select("id", T.id_part(F.col("id"), 1).alias("doc"), T.id_part(F.col("id"), 2).cast("int").alias("page_nr"), F.md5("content").alias("digest"))
+
+
+_DEFINED = f"SELECT DISTINCT lower(p) AS term FROM (SELECT unnest({S.phrases('text')}) AS p FROM benchmark)"
+
+
+@query(f"""WITH t AS ({_DEFINED}), s AS (SELECT DISTINCT phrase AS span FROM ({PHRASES}))
+SELECT span, CASE WHEN bool_or(lower(span) = term) THEN 'exact' WHEN count(term) > 0 THEN 'part' ELSE 'none' END AS how FROM s LEFT JOIN t ON contains(lower(span), term) GROUP BY span""")
+def defined_term_check(spark, sf_dir):
+    spans = table(spark, sf_dir, "documents").select(F.explode(T.phrases(F.col("text"))).alias("span"))
+    known = table(spark, sf_dir, "benchmark").select(F.explode(T.phrases(F.col("text"))).alias("term"))
+    return terms.defined_term_check(spans, known)
+
+
+@query(f"WITH t AS ({_DEFINED}), o AS (SELECT lower(phrase) AS term, count(*) AS n FROM ({PHRASES}) GROUP BY 1) SELECT term, coalesce(n, 0)::BIGINT AS n FROM t LEFT JOIN o USING (term)")
+def definition_counts(spark, sf_dir):
+    seen = table(spark, sf_dir, "documents").select(F.explode(T.phrases(F.col("text"))).alias("p")).select(F.lower("p").alias("term"))
+    known = table(spark, sf_dir, "benchmark").select(F.explode(T.phrases(F.col("text"))).alias("p")).select(F.lower("p").alias("term"))
+    return terms.definition_counts(seen, known)
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_transform({S.phrases('text')}, lambda p: md5(p)), '|') AS labels FROM conversations")
+def scatter_labels(spark, sf_dir):
+    """Each distinct label is computed once and put back where it came from."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws("#", "conv_id", "turn").alias("k"), T.phrases(F.col("text")).alias("l"))
+    out = terms.scatter(c, "k", "l", lambda d: d.withColumn("value", F.md5("label")), "u")
+    return out.select("conv_id", "turn", F.array_join("u", "|").alias("labels"))
