@@ -37,11 +37,11 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q_TERMS = f"q AS (SELECT item_id AS query_id, unnest(list_distinct({S.tokens(S.strip('translate(text, ' + S.lit(T.QUERY_DELETED) + ', ' + S.lit('') + ')'))})) AS term FROM benchmark)"
 
 
-def bm25_sql(k: int = 10, name: str = "ranked", col: str = "text") -> str:
+def bm25_sql(k: int = 10, name: str = "ranked", col: str = "text", q: str = "q") -> str:
     return f"""{Q_TERMS if name == "ranked" else ""}{"," if name == "ranked" else ""} {name}_d AS (SELECT doc_id AS id, {S.tokens(col)} AS t FROM (SELECT doc_id, text, string_split(text, chr(10))[1] AS title FROM documents)),
 {name}_n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM {name}_d), {name}_w AS (SELECT id, len(t) AS len, unnest(t) AS term FROM {name}_d),
-{name}_h AS (SELECT id, term, count(*) AS tf, any_value(len) AS len FROM {name}_w WHERE term IN (SELECT term FROM q) GROUP BY id, term), {name}_f AS (SELECT term, count(*) AS df FROM {name}_h GROUP BY term),
-{name}_s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / a))), 6) AS score FROM {name}_h JOIN {name}_f USING (term) JOIN q USING (term), {name}_n GROUP BY query_id, id),
+{name}_h AS (SELECT id, term, count(*) AS tf, any_value(len) AS len FROM {name}_w WHERE term IN (SELECT term FROM {q}) GROUP BY id, term), {name}_f AS (SELECT term, count(*) AS df FROM {name}_h GROUP BY term),
+{name}_s AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / a))), 6) AS score FROM {name}_h JOIN {name}_f USING (term) JOIN {q} USING (term), {name}_n GROUP BY query_id, id),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}_s) WHERE rank <= {k})"""
 
 
@@ -270,23 +270,41 @@ def query_spans(spark, sf_dir):
     return expand.query_spans(_items(spark, sf_dir), "item_id", "text").withColumn("ord", F.col("ord").cast("long"))
 
 
-@query()
+#: DuckDB's edit distance counts bytes: the letters of the tables' languages become single bytes first.
+_LETTERS = "äöüßñóíéèêçàáúâîôûëïœæ"
+_BARE = "lower(regexp_replace({}, '^(?:the|a|The|A) ', ''))"
+_BYTES = "translate({}, " + S.lit(_LETTERS) + ", concat(" + ", ".join(f"chr({i + 1 if i < 8 else i + 6})" for i in range(len(_LETTERS))) + "))"
+_A, _B = _BARE.format("label"), _BARE.format("span")
+ALIKE = f"coalesce(100 - levenshtein({_BYTES.format(_A)}, {_BYTES.format(_B)}) / nullif(greatest(length({_A}), length({_B})), 0) * 100 > 70, true)"
+PRF_TOP = f"prf AS (SELECT * FROM (SELECT query_id, label AS candidate, n, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, label) AS rank FROM tot WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.query_id = tot.query_id AND (span = label OR {ALIKE}))))"
+
+
+def _selected(most: int) -> str:
+    """CTEs that score the first `most` feedback terms and choose five."""
+    return f"""{IDF}, ct AS (SELECT query_id, candidate, rank AS ord, unnest(CASE WHEN len({S.tokens('candidate')}) = 0 THEN [NULL] ELSE {S.tokens('candidate')} END) AS token FROM prf WHERE rank <= {most}),
+cs AS (SELECT query_id, candidate, ord, round(avg(coalesce(idf, 0.5)), 6) AS score FROM ct LEFT JOIN idf USING (token) GROUP BY ALL),
+chosen AS (SELECT * FROM (SELECT query_id, candidate, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, candidate) AS rank FROM cs) WHERE rank <= 5)"""
+
+
+@query(f"WITH {PRF}, {PRF_TOP} SELECT query_id, candidate, n, rank FROM prf WHERE rank <= 2")
 def prf_terms(spark, sf_dir):
-    """No SQL: the similarity counts characters, DuckDB's counts bytes."""
     labels, spans = _feedback(spark, sf_dir)
     return expand.feedback_candidates(labels, spans)
 
 
-@query()
+@query(f"WITH {PRF}, {PRF_TOP}, {_selected(10)} SELECT query_id, candidate, score, rank FROM chosen")
 def qe_select(spark, sf_dir):
-    """No SQL: it stands on prf_terms."""
     labels, spans = _feedback(spark, sf_dir)
     prf = expand.feedback_candidates(labels, spans, k=10)
     idf = stats.smoothed_idf(table(spark, sf_dir, "documents").select(F.explode(T.sentences(F.col("text"))).alias("text")))
     return expand.select_terms(prf.select("query_id", F.lit("prf").alias("source"), "candidate", F.col("rank").alias("ord")), spans, idf, {"prf": 1.0})
 
 
-@query()
+@query(f"""WITH {PRF}, {PRF_TOP}, {_selected(2)}, sa AS (SELECT query_id, list(span ORDER BY ord, span) AS s FROM (SELECT DISTINCT * FROM sp) GROUP BY query_id),
+ca AS (SELECT query_id, list(translate(candidate, {S.lit(T.CANDIDATE_DELETED)}, '') ORDER BY rank) AS t FROM chosen GROUP BY query_id),
+x AS (SELECT item_id AS query_id, text, list_concat(coalesce(s, []), coalesce(t, [])) AS more FROM benchmark LEFT JOIN sa ON sa.query_id = item_id LEFT JOIN ca ON ca.query_id = item_id),
+q2 AS (SELECT query_id, unnest(list_distinct({S.tokens(S.strip('translate(y, ' + S.lit(T.QUERY_DELETED) + ', ' + S.lit('') + ')'))})) AS term FROM (SELECT query_id, CASE WHEN len(more) > 0 THEN concat(text, ', ', array_to_string(more, ', ')) ELSE text END AS y FROM x)),
+{bm25_sql(15, "again", q="q2")} SELECT query_id, id, score, rank FROM again""")
 def search_expanded(spark, sf_dir):
     """Expand, then retrieve again: the whole pipeline."""
     from . import pipelines
