@@ -167,7 +167,12 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
         assert bestfit.pack(docs, path).count() == n
         assert (token_pack.sequences(docs, path).count() > 0) == (n > 0)
         assert toxicity.train(docs, labels.limit(0)).weights == {}
-        assert line_dedup.replace_lines(docs).columns == docs.columns and minhash.drop_near_duplicates(docs).columns == docs.columns
+        assert line_dedup.replace_lines(docs).columns == docs.columns
+        assert toxicity.drop_toxic(docs, model).columns == docs.columns and minhash.drop_near_duplicates(docs).columns == docs.columns
+        for most in (decontam.MAX_WORDS, 0):
+            assert decontam.decontaminate(docs, items, most).columns == docs.columns
+    left = [decontam.decontaminate(t, items, most).count() for most in (decontam.MAX_WORDS, 0)]
+    assert left == [5, 3]  # the text of "c d" alone holds a benchmark window; the join judges by doc_id
     kept = {(r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(t).collect()}
     assert kept == {(None, 0), (5, 300), (5, 0), (2, 0)}
 
@@ -270,3 +275,16 @@ def test_pipeline(spark, sf_dir):
             assert set(after) == {d for d, w in brute.contamination(list(before.items()), items).items() if not w[4]}
         docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in after.items()], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() <= len(before)
+
+
+def test_stages_take_odd_documents(spark, sf_dir):
+    import corpus_pipeline
+
+    odd = table(spark, [*DOCS, (None, "text of no document"), (None, None), (3, "one"), (3, "two")])
+    for docs in (odd, odd.limit(0)):
+        n = docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns and out.count() <= n
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
