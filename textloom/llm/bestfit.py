@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise
+from .common import id_text, lean, materialise
 from .tokens import END, encoder
 
 CAPACITY = 4096
@@ -86,7 +86,7 @@ def _pieces(path: str, capacity: int):
         code = encoder(path)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
-            for doc, raw in zip(ids, code.ids(batch.column(1).to_pylist()), strict=True):
+            for doc, raw in zip(ids, code.ids(batch.column(1)), strict=True):
                 raw += END
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
@@ -94,8 +94,9 @@ def _pieces(path: str, capacity: int):
                     serial += 1
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(cols)], ["doc_id", "piece", "start", "length", "ids_crc32", "shard"])
+        code.forget()
 
-    return run
+    return lean(run)
 
 
 def _packed(capacity: int):

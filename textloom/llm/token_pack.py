@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, lean
 from .tokens import END, encoder
 
 CAPACITY = 4096
@@ -101,8 +101,8 @@ def _sequences(path: str, capacity: int, pool_tokens: int, pad: int):
         size = 0
         for batch in batches:
             texts = batch.column(1)
-            for at in range(0, batch.num_rows, 64):
-                for doc, raw in zip(batch.column(0).slice(at, 64).to_pylist(), code.ids(texts.slice(at, 64).to_pylist()), strict=True):
+            for at in range(0, batch.num_rows, 1024):
+                for doc, raw in zip(batch.column(0).slice(at, 1024).to_pylist(), code.ids(texts.slice(at, 1024)), strict=True):
                     raw += END
                     pool += [(doc, i // 4, raw[i : i + 4 * capacity]) for i in range(0, len(raw), 4 * capacity)]
                     size += len(raw) // 4
@@ -112,8 +112,9 @@ def _sequences(path: str, capacity: int, pool_tokens: int, pad: int):
                     pool, size = [], 0
         if pool:
             yield from _rows(pool, capacity, first, pad)
+        code.forget()
 
-    return run
+    return lean(run)
 
 
 def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, pool_tokens: int = POOL, pad: int = 0) -> DataFrame:
