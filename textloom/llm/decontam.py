@@ -16,12 +16,13 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import id_text, materialise
+from .common import id_text, lean, materialise
 
 WINDOW, K = 13, 5
 #: Words of the benchmark up to which its windows travel with the function (about 100 bytes a word).
@@ -153,11 +154,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS)
     are ignored.  spans are word positions.
     """
     base, items = id_text(docs), _items(benchmark)
+    found = _windows(items, max_words)
+    return base.mapInArrow(lean(_scan(found)), OUT) if found is not None else _joined(base, items)
+
+
+def _windows(items: DataFrame, max_words: int) -> Windows | None:
+    """The items' windows if they can't have more than max_words words, or none."""
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size <= 2 * max_words:  # at least one separator for each word: characters bound words
-        found = Windows((i, _words_of(t)) for i, t in items.select("item", "text").toLocalIterator())
-        return base.mapInArrow(_scan(found), OUT)
-    return _joined(base, items)
+    if size > 2 * max_words:  # a word takes two characters with what separates it
+        return None
+    return Windows((i, _words_of(t)) for i, t in items.select("item", "text").toLocalIterator())
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -181,7 +187,7 @@ def _print_rows(of_items: bool, sizes: list[int]):
                         pair = np.unique(np.stack([first + row[at], prints.view(np.int64)], axis=1), axis=0)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[:, 0])), tn.long(tn.mix(pair[:, 1].view(np.uint64) + np.uint64(n)))], ["id", "print"])
 
-    return run
+    return lean(run)
 
 
 def _joined(base: DataFrame, items: DataFrame) -> DataFrame:
@@ -200,10 +206,26 @@ def _joined(base: DataFrame, items: DataFrame) -> DataFrame:
                 found = Windows((x["item"], _words_of(x["text"])) for x in one.column(2)[0].as_py() or [])
                 yield from _scan(found)(iter([one.select([0, 1])]))
 
-    return both.select("doc_id", "text", "held").mapInArrow(run, OUT)
+    return both.select("doc_id", "text", "held").mapInArrow(lean(run), OUT)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated documents; columns unchanged.  Documents with a null doc_id stay."""
-    bad = overlaps(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+    """docs without contaminated rows; columns unchanged.
+
+    While the benchmark is small each row is judged by its own text and nothing is shuffled; beyond that, by doc_id:
+    rows that share one go together, rows with a null doc_id stay.
+    """
+    items = _items(benchmark)
+    found = _windows(items, max_words)
+    if found is not None:
+        scan = _scan(found)
+
+        @F.pandas_udf("boolean")
+        def contaminated(texts: pd.Series) -> pd.Series:
+            text = pa.array(texts, pa.string())
+            batch = pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), text], ["doc_id", "text"])
+            return next(scan(iter([batch]))).column("contaminated").to_pandas()
+
+        return docs.filter(~contaminated(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    bad = _joined(id_text(docs), items).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
     return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")

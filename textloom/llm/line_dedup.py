@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import by_id, id_text, materialise, tasks
+from .common import by_id, id_text, lean, materialise, tasks
 from .substring_dedup import whole_groups
 
 EDITS, MIN_CHARS = 1, 30
@@ -86,7 +86,7 @@ def _occurrences(min_chars: int):
                 long = stop - start >= min_chars
                 yield pa.RecordBatch.from_arrays([tn.long(digest[long]), batch.column(0).take(pa.array(first + row[long])), pa.array(number[long].astype(np.int32))], ["digest", "doc_id", "line"])
 
-    return run
+    return lean(run)
 
 
 def _keys(edits: int, min_chars: int):
@@ -102,7 +102,7 @@ def _keys(edits: int, min_chars: int):
                     for j, key, _ in keys_of(cp, start, stop, edits):
                         yield pa.RecordBatch.from_arrays([tn.long(key), tn.long(digest[j])], ["key", "digest"])
 
-    return run
+    return lean(run)
 
 
 def _candidates(edits: int):
@@ -133,7 +133,7 @@ def _candidates(edits: int):
                         ["key", "digest", "doc_id", "line", "indexed", "text"],
                     )
 
-    return run
+    return lean(run)
 
 
 def within(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
@@ -225,7 +225,7 @@ def _verified(edits: int):
             found = later_of_pairs(t.column("key").to_numpy(), place, t.column("indexed").to_numpy(), t.column("text").to_pylist(), edits)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(digest[sorted(found)]) if found else [], pa.int64())], ["digest"])
 
-    return run
+    return lean(run)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

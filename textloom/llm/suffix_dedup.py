@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import by_id, id_text, tasks
+from .common import by_id, id_text, lean, tasks
 from .shared import anchors, byte_grams, union
 from .substring_dedup import whole_groups
 
@@ -50,7 +50,7 @@ def _grams(width: int, k: int):
                     pair, n = np.unique(pair, axis=0, return_counts=True)
                     yield pa.RecordBatch.from_arrays([tn.long(pair[:, 1]), batch.column(0).take(pa.array(first + pair[:, 0])), tn.long(n)], ["gram", "doc_id", "n"])
 
-    return run
+    return lean(run)
 
 
 def _contexts(width: int, k: int):
@@ -75,7 +75,7 @@ def _contexts(width: int, k: int):
                     text = pa.array([raw[a : b + width] for a, b in zip(lo[x].tolist(), hi[x].tolist(), strict=True)], pa.binary())
                     yield pa.RecordBatch.from_arrays([tn.long(g[at[x]]), batch.column(0).take(rows), batch.column(2).take(rows), pa.array((lo[x] - offs[row[at[x]]]).astype(np.int32)), pa.array((at[x] - lo[x]).astype(np.int32)), text], ["gram", "doc_id", "th", "start", "off", "context"])
 
-    return run
+    return lean(run)
 
 
 def _windows(width: int):
@@ -89,7 +89,7 @@ def _windows(width: int):
                 node = [hashlib.md5(text[i : i + width]).digest() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(range(start, start + n), pa.int32()), pa.array(node, pa.binary())], ["doc_id", "th", "start", "node"])
 
-    return run
+    return lean(run)
 
 
 def common_lengths(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -180,7 +180,7 @@ def _scan(width: int):
             shift = start[m].astype(np.int64)
             yield pa.RecordBatch.from_arrays([tn.long(doc[m]), tn.long(th[m]), pa.array((shift + found[:, 1]).astype(np.int32)), pa.array((shift + found[:, 2]).astype(np.int32))], ["doc_id", "th", "start", "end"])
 
-    return run
+    return lean(run)
 
 
 def _cut(width: int):
@@ -207,7 +207,7 @@ def _cut(width: int):
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "n_bytes", "n_removed", "kept", "spans"])
 
-    return run
+    return lean(run)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, group: int = GROUP) -> DataFrame:

@@ -12,8 +12,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 21
-TILE = 1 << 22
+SLICE = 1 << 20
+TILE = 1 << 20
 U = np.uint64
 _R = 0x9E3779B97F4A7C15
 _C1, _C2, _C3 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)
@@ -30,7 +30,7 @@ def seeds(n: int, start: int = 1) -> np.ndarray:
     return mix((np.arange(start, start + n, dtype=U) * U(_R)) ^ _C3)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_R, -1, 1 << 64)
     one = np.ones(1, dtype=U)
@@ -90,7 +90,7 @@ def words(buf: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
 
 def _span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lo, hi = int(starts[0]), int(ends.max())
-    size = 1 << max(21, (hi - lo).bit_length())
+    size = 1 << max(21, (hi - lo - 1).bit_length())
     up, down = _powers(size)
     c = np.zeros(hi - lo + 1, dtype=U)
     np.cumsum((buf[lo:hi].astype(U) + U(1)) * up[: hi - lo], out=c[1:])
