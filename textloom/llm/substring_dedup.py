@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import by_id, id_text, tasks
+from .common import by_id, id_text, lean, tasks
 from .shared import anchors, union
 
-WIDTH, K = 13, 4
+WIDTH, K = 13, 5
 #: Documents up to which the suffixes of one gram are a single group.
 GROUP = 20_000
 #: Bytes of contexts that a subtree pass takes at a time (whole groups).
@@ -38,7 +38,8 @@ SPAN = "doc_id long, th long, start int, end int"
 def _batch_words(buf: np.ndarray, offs: np.ndarray, width: int, k: int):
     s, e, row = tn.words(buf, offs, tn.SPACE_WORD)
     g = tn.ngrams(tn.span_hashes(buf, s, e), k)
-    return s, e, row, g, anchors(g, row, k, width)
+    # 48 bits name a gram: they only sort and group suffixes, whose words are compared.
+    return s, e, row, g >> np.uint64(16), anchors(g, row, k, width)
 
 
 def _grams(width: int, k: int):
@@ -52,7 +53,7 @@ def _grams(width: int, k: int):
                     pair = pair[o][np.concatenate([[True], (np.diff(pair[o], axis=0) != 0).any(axis=1)])]
                     yield pa.RecordBatch.from_arrays([tn.long(pair[:, 1]), batch.column(0).take(pa.array(first + pair[:, 0]))], ["gram", "doc_id"])
 
-    return run
+    return lean(run)
 
 
 def _contexts(width: int, k: int, hot: bool):
@@ -89,7 +90,7 @@ def _contexts(width: int, k: int, hot: bool):
                     ["gram", "doc_id", "th", "start", "context"],
                 )
 
-    return run
+    return lean(run)
 
 
 def deep_nodes(ids: np.ndarray, width: int) -> np.ndarray:
@@ -153,7 +154,7 @@ def _subtrees(width: int):
             num = lambda c: x.column(c).to_numpy()  # noqa: E731, B023
             yield subtree(x.column("context").combine_chunks() if isinstance(x.column("context"), pa.ChunkedArray) else x.column("context"), num("doc_id"), num("start").astype(np.int64), num("th"), width)
 
-    return run
+    return lean(run)
 
 
 def _cut(width: int):
@@ -186,7 +187,7 @@ def _cut(width: int):
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, kind)], ["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    return run
+    return lean(run)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, group: int = GROUP) -> DataFrame:
