@@ -10,6 +10,7 @@ unsigned 32-bit bytes.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +25,9 @@ REMEMBERED = 400_000
 #: ASCII marks that no rule joins to a letter or digit before them (the apostrophe is one that does).
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 BETWEEN = "\x01"
+#: How byte-level vocabularies show bytes: printable Latin-1 as itself, the rest from 256 on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 END = (1).to_bytes(4, "little")
 _SPACED = np.arange(256, dtype=np.uint8)
 _SPACED[10] = 32
@@ -37,6 +41,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.direct = all(self._plain(t) == whole(t) for t in ("a", "thanedble", "größe", "réeuxment", "ñaçãoœ"))
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -44,9 +51,21 @@ class Encoder:
         """Empties the cache: at the end of a task, so idle workers hold little."""
         self.known, self.before = {}, {}
 
+    def _plain(self, piece: str) -> bytes:
+        """Ids of a piece of small Latin letters: one word to the tokenizer, so its model alone is asked."""
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _encode(self, pieces: list[str]) -> None:
-        """Many pieces in one call, told apart by a control character that is a token of its own."""
-        apart = [p for p in pieces if BETWEEN not in p]
+        """Letters by the model; the rest many in a call, told apart by a control character that is a token of its own."""
+        apart, known = [], self.known
+        for p in pieces:
+            if self.direct and p.isalpha() and max(p) < "\u0180" and p.islower():
+                known[p] = self._plain(p)
+            elif BETWEEN in p:
+                known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                apart.append(p)
         for j in range(0, len(apart), 2_000):
             part = apart[j : j + 2_000]
             text = f" {BETWEEN} ".join(part) + f" {BETWEEN}"
@@ -55,11 +74,8 @@ class Encoder:
             assert len(ends) == len(part)
             raw, at = ids.tobytes(), 0
             for p, end in zip(part, ends.tolist(), strict=True):
-                self.known[p] = raw[4 * at : 4 * end]
+                known[p] = raw[4 * at : 4 * end]
                 at = end + 1
-        if len(apart) < len(pieces):
-            for p in (p for p in pieces if BETWEEN in p):
-                self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
         known, before = self.known, self.before
@@ -84,7 +100,7 @@ class Encoder:
 
         A slice of texts is split and its distinct pieces are found by Arrow; Python sees each distinct piece once.
         """
-        for _, offs, buf in slices(texts, 1 << 22):
+        for _, offs, buf in slices(texts, 1 << 23):
             raw, low = _SPACED[buf], _LOWERED[buf]
             whole = raw.tobytes()
             if b"\xcc" in whole or b"\xcd" in whole or b"<|" in whole:
@@ -98,10 +114,13 @@ class Encoder:
             names = pieces.dictionary.to_pylist()
             if len(self.known) > REMEMBERED:
                 self.before, self.known = self.known, {}
-            new = [p for p in names if p not in self.known]
+            found = list(map(self.known.get, names))
+            new = [i for i, x in enumerate(found) if x is None]
             if new:
-                self._learn(new)
-            values = pa.array(list(map(self.known.__getitem__, names)), pa.large_binary()).take(pieces.indices)
+                self._learn([names[i] for i in new])
+                for i in new:
+                    found[i] = self.known[names[i]]
+            values = pa.array(found, pa.large_binary()).take(pieces.indices)
             ends = np.frombuffer(values.buffers()[1], dtype=np.int64)[np.asarray(parts.offsets)].tolist()
             data = values.buffers()[2].to_pybytes() if values.buffers()[2] is not None else b""
             for a, b in zip(ends[:-1], ends[1:], strict=True):
