@@ -17,15 +17,16 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import id_text, lean
 
 N_MIN, N_MAX = 3, 6
 #: Labelled documents that are fitted at most, and characters of them that the driver takes at most.
-MAX_ROWS, MAX_CHARS = 6_000, 20_000_000
+MAX_ROWS, MAX_CHARS = 8_000, 30_000_000
 FEATURES = 20_000
 
 
@@ -55,7 +56,7 @@ class Model:
         for w in words_of(text):
             g = seen.get(w)
             if g is None:
-                if len(seen) > 300_000:
+                if len(seen) > 150_000:
                     seen.clear()
                 g = seen[w] = frozenset(x for x in grams_of(w) if x in weights)
             if g:
@@ -135,7 +136,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     if share < 1:
         base = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(share * parts))
     rows = base.join(marked, "doc_id").select("text", "y")
-    return fit(sorted((text, int(y)) for text, y in rows.collect()))
+    taken = sorted((text, int(y)) for text, y in rows.toLocalIterator())
+
+    def drained() -> Iterator[tuple[str, int]]:  # texts go as soon as their words are taken
+        while taken:
+            yield taken.pop()
+
+    return fit(drained())
 
 
 def _scored(model: Model):
@@ -146,7 +153,7 @@ def _scored(model: Model):
             out = [d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for d in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.bool_()), pa.array(score, pa.float64())], ["doc_id", "held_out", "score"])
 
-    return run
+    return lean(run)
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -160,6 +167,14 @@ def scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """docs without rows that score at least the threshold; columns unchanged.  Rows with a null doc_id stay."""
-    bad = scores(docs, model, threshold).filter("predicted = 1").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+    """docs without rows that score at least the threshold; columns unchanged, nothing is shuffled.
+
+    Each row is judged by its own text: repeated rows and null doc_ids alike.
+    """
+    plain = Model(model.bias, model.weights)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([plain.score(t) for t in texts])
+
+    return docs.filter(score(F.coalesce(docs["text"].cast("string"), F.lit(""))) < threshold)
