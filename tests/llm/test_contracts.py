@@ -3,6 +3,7 @@
 import random
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -107,6 +108,52 @@ def test_line_edits(spark, edits):
     compare(out.withColumn("gone", F.array_join("removed", ",")), {k: (v[3],) for k, v in brute.lines(docs, edits, 6).items()}, ["gone"])
 
 
+def test_growing_edits_and_short_repeats(spark, sf_dir, real):
+    first = {}
+    for d, t in sorted(real):
+        for i, x in enumerate((t or "").split("\n")):
+            first.setdefault(x, (d, i))
+    longs = [x for x in first if len(x) >= 30]
+    points = {x: np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in longs}
+    near = set()
+    for n, x in enumerate(longs):
+        for y in longs[:n]:
+            most = min(5, min(len(x), len(y)) // 30)
+            # Alike lines have nearly the same letters; the plain distance decides the rest.
+            if abs(len(x) - len(y)) <= most and sum((Counter(x) - Counter(y)).values()) <= most and brute.edits(x, y) <= most:
+                near.add(max(x, y, key=first.get))
+    want = {}
+    for d, t in real:
+        lines = (t or "").split("\n")
+        gone = [i for i, x in enumerate(lines) if x in near or first[x] != (d, i) and x.strip()]
+        want[d] = (len(lines), len(gone), brute.sha("\n".join(x for i, x in enumerate(lines) if i not in gone)), ",".join(map(str, gone)))
+    old = brute.lines(real)
+    assert sum(w[1] for w in want.values()) > sum(w[1] for w in old.values())
+    compare(queries.op5_line_dedup(spark, sf_dir), want, ["n_lines", "n_removed", "kept_sha256", "removed"])
+
+
+def test_edits_grow_with_length(spark):
+    rng = random.Random(7)
+    line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    lines = []
+    for n in (30, 58, 59, 60, 61, 88, 89, 90, 91, 92, 93, 119, 120, 121, 148, 149, 150, 151, 153, 155, 180):
+        x = line(n)
+        lines.append(x)
+        for k in range(1, 7):
+            y = list(x)
+            for at in sorted(rng.sample(range(n), k), reverse=True):
+                y[at : at + rng.choice([0, 1])] = rng.choice(["", "X"])
+            lines.append("".join(y))
+    lines += ["short", "short", "  ", "  ", "", ""]
+    rng.shuffle(lines)
+    out = line_dedup.dedup_lines(table(spark, [(1, "\n".join(lines))]), edits=5, per=30, every=True).first().removed
+    first = {}
+    for i, x in enumerate(lines):
+        first.setdefault(x, i)
+    near = {x for x in first for y in first if len(x) >= 30 <= len(y) and first[y] < first[x] and brute.edits(x, y) <= min(5, min(len(x), len(y)) // 30)}
+    assert out == [i for i, x in enumerate(lines) if x in near or first[x] != i and x.strip()]
+
+
 def test_banded_distance():
     rng = random.Random(4)
     pairs = []

@@ -1,14 +1,16 @@
 """Near-duplicate lines by a segment-partition edit join.
 
 A line is a text between line feeds.  Lines within `edits` edits (code points) of an earlier line are removed, exact
-repeats included; lines under `min_chars` characters are left alone.  "Earlier" is by (doc_id, line number) of a line's
-first occurrence, and links count directly, without chains.
-
-Distinct lines are split into edits + 1 segments, so any two within `edits` edits share a segment at nearly the same
-place: a line indexes its segments and probes, for each length not above its own, only the substrings that a
-left-to-right and right-to-left alignment allow.  Keys (hashes of length, segment and substring) held by one line
-alone go first, by partial aggregation; only lines with a shared key ship their text, once per key, and are verified
-by banded bit-parallel edit distance, many pairs at a time.  Pairs never leave a task.
+repeats included; lines under `min_chars` characters are left alone, or with `every` lose exact repeats where they are
+not blank.  With `per` the threshold grows: one edit for each `per` characters of the shorter line, at most `edits`.
+"Earlier" is by (doc_id, line number) of a line's first occurrence, and links count directly, without chains.
+
+Lines of a class of lengths have edits + 1 segments at the same places, the first half counted from the start and the
+others from the end.  Of two lines within `edits` edits, some segment i of the shorter one is intact in the other, with
+at most i edits before and edits - i behind it; so a line indexes its segments and probes, in its own class and those
+of lines shorter by up to `edits`, the substrings that this allows.  Keys (hashes of class, segment and substring) held
+by one line alone go first, in one shuffle of the keys; only lines with a shared key ship their text, once per key, and
+are verified by banded bit-parallel edit distance, many pairs at a time.  Pairs never leave a task.
 """
 
 from __future__ import annotations
@@ -27,7 +29,23 @@ from .substring_dedup import whole_groups
 EDITS, MIN_CHARS = 1, 30
 #: Pairs that are verified at a time.
 PAIRS = 20_000
+#: Lengths in a class.
+WIDTH = 30
 U = np.uint64
+TOLD = U(7)
+#: By code point, the last for all above: whether it is white space.
+BLANK = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+def allowed(length: np.ndarray, edits: int, per: int) -> np.ndarray:
+    """The edits that lines of these lengths may be away from longer ones."""
+    return np.minimum(edits, length // per) if per else np.full_like(length, edits)
+
+
+def filled(cp: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether each line holds more than white space."""
+    n = np.concatenate([[0], np.cumsum(~BLANK[np.minimum(cp, len(BLANK) - 1)])])
+    return n[stop] > n[start]
 
 
 def lines_of(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -46,50 +64,61 @@ def lines_of(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         at = end
 
 
-def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(offset, size) of each of the segments of lines of these lengths: even, the last ones longer by one."""
-    size, more = length // parts, length % parts
-    out, at = [], np.zeros_like(length)
-    for i in range(parts):
-        own = size + (i >= parts - more)
-        out.append((at, own))
-        at = at + own
-    return out
+def lowest(length: np.ndarray, per: int) -> np.ndarray:
+    """The least length of the class of lines of each length; a class is WIDTH lengths, and has one threshold."""
+    block = length // per * per if per else np.zeros_like(length)
+    return block + (length - block) // WIDTH * WIDTH
 
 
-def keys_of(cp: np.ndarray, start: np.ndarray, stop: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(line, key, indexed) triples: the segments that each line indexes and the substrings that it probes."""
-    own = stop - start
-    line = np.arange(len(start))
-    for less in range(edits + 1):
-        length = own - less
-        for i, (at, size) in enumerate(segments(length, edits + 1)):
-            low = max(-i, less - (edits - i))
-            high = min(i, less + (edits - i))
-            for shift in range(low, high + 1):
-                begin = start + at + shift
-                ok = (at + shift >= 0) & (at + shift + size <= own) & (size > 0)
-                j = line[ok]
-                if not len(j):
-                    continue
-                b, e = begin[ok], begin[ok] + size[ok]
-                key = tn.mix(tn.span_hashes(cp, b, e) + tn.mix(length[ok].astype(U) * U(64) + U(i)))
-                yield j, key, np.full(len(j), less == 0 and shift == 0)
+def keys_of(cp: np.ndarray, start: np.ndarray, stop: np.ndarray, edits: int, per: int, min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(line, key, told) triples: the segments that each line indexes and the substrings that it probes.
 
-
-def _occurrences(min_chars: int):
+    The low TOLD bits of keys are 0; told has the line's length over that of its class there, then whether it indexes.
+    """
+    own = stop - start
+    hashes = tn.hasher(cp)
+    lines, lows, indexed = [np.arange(len(own))], [lowest(own, per)], [np.ones(len(own), bool)]
+    for less in range(1, edits + 1):
+        low = lowest(own - less, per)
+        j = np.flatnonzero((own - less >= min_chars) & (low != lowest(own - less + 1, per)) & (allowed(own - less, edits, per) >= less))
+        lines.append(j)
+        lows.append(low[j])
+        indexed.append(np.zeros(len(j), bool))
+    line, low, index = np.concatenate(lines), np.concatenate(lows), np.concatenate(indexed)
+    order = np.argsort(line, kind="stable")
+    line, index = line[order], index[order]
+    low = np.maximum(low[order], min_chars)
+    most = allowed(low, edits, per)
+    for k in np.unique(most).tolist():
+        at = np.flatnonzero(most == k)
+        j, size = line[at], low[at] // (k + 1)
+        for i in range(k + 1):
+            place = i * size if i <= k - i else own[j] - (k + 1 - i) * size
+            reach = min(i, k - i)
+            for shift in range(-reach, reach + 1):
+                begin = place + shift
+                ok = (begin >= 0) & (begin + size <= own[j])
+                b = start[j[ok]] + begin[ok]
+                key = tn.mix(hashes(b, b + size[ok]) + tn.mix(low[at[ok]].astype(U) * U(64) + U(i)))
+                told = (own[j[ok]] - low[at[ok]]) * 2 + (index[at[ok]] & (shift == 0))
+                yield j[ok], key >> TOLD << TOLD, told.astype(U)
+
+
+def _occurrences(min_chars: int, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, cp, start, stop, row in lines_of(batch.column(1).to_pylist()):
                 digest = tn.span_hashes(cp, start, stop)
                 number = np.arange(len(row)) - np.searchsorted(row, row)
                 long = stop - start >= min_chars
+                if every:
+                    long |= filled(cp, start, stop)
                 yield pa.RecordBatch.from_arrays([tn.long(digest[long]), batch.column(0).take(pa.array(first + row[long])), pa.array(number[long].astype(np.int32))], ["digest", "doc_id", "line"])
 
     return lean(run)
 
 
-def _keys(edits: int, min_chars: int):
+def _keys(edits: int, min_chars: int, per: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, cp, start, stop, _ in lines_of(batch.column(1).to_pylist()):
@@ -99,13 +128,32 @@ def _keys(edits: int, min_chars: int):
                     digest = tn.span_hashes(cp, start, stop)
                     once = np.sort(np.unique(digest, return_index=True)[1])
                     start, stop, digest = start[once], stop[once], digest[once]
-                    for j, key, _ in keys_of(cp, start, stop, edits):
-                        yield pa.RecordBatch.from_arrays([tn.long(key), tn.long(digest[j])], ["key", "digest"])
+                    for j, key, told in keys_of(cp, start, stop, edits, per, min_chars):
+                        yield pa.RecordBatch.from_arrays([tn.long(key | told), tn.long(digest[j])], ["key", "digest"])
+
+    return lean(run)
+
+
+def _shared(edits: int):
+    """The rows (sorted by key) whose key another line holds, of a length within the edits; one of them must index it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            key, told, digest = (t.column(c).to_numpy() for c in ("key", "told", "digest"))
+            order = np.lexsort((told & 1, digest, told >> 1, key))
+            key, told, digest = key[order], told[order], digest[order]
+            last = np.append((key[1:] != key[:-1]) | (told[1:] >> 1 != told[:-1] >> 1) | (digest[1:] != digest[:-1]), True)
+            key, off, digest, own = key[last], told[last] >> 1, digest[last], (told[last] & 1).astype(np.int64)
+            place = np.cumsum(np.append(False, key[1:] != key[:-1])) * 256 + off + 64
+            low, high = np.searchsorted(place, place - edits), np.searchsorted(place, place + edits, side="right")
+            indexed = np.append(0, np.cumsum(own))
+            held = np.where(own > 0, high - low > 1, indexed[high] > indexed[low])
+            yield pa.RecordBatch.from_arrays([pa.array(key[held]), pa.array(digest[held])], ["key", "digest"])
 
     return lean(run)
 
 
-def _candidates(edits: int):
+def _candidates(edits: int, per: int, min_chars: int):
     """Lines that first occur in the document and have shared keys: a row per shared key, with text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +170,10 @@ def _candidates(edits: int):
                 good = tn.span_hashes(cp, start, start + size).view(np.int64) == np.array([d for _, d, _ in wanted])
                 shared = [set(k) for _, _, k in wanted]
                 rows: dict[tuple[int, int], bool] = {}
-                for j, key, indexed in keys_of(cp, start, start + size, edits):
+                told_keys = np.array([k for _, _, x in wanted for k in x], np.int64)
+                for j, key, told in keys_of(cp, start, start + size, edits, per, min_chars):
+                    hit = np.isin(key.view(np.int64), told_keys)
+                    j, key, indexed = j[hit], key[hit], (told[hit] & U(1)).astype(bool)
                     for n, k, own in zip(j.tolist(), key.view(np.int64).tolist(), indexed.tolist(), strict=True):
                         if good[n] and k in shared[n]:
                             rows[(n, k)] = own or rows.get((n, k), False)
@@ -181,7 +232,7 @@ def within(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
     return out
 
 
-def later_of_pairs(key: np.ndarray, place: list[tuple[int, int]], indexed: np.ndarray, text: list[str], edits: int) -> set[int]:
+def later_of_pairs(key: np.ndarray, place: list[tuple[int, int]], indexed: np.ndarray, text: list[str], edits: int, per: int = 0) -> set[int]:
     """Rows (sorted by key) that have an earlier row of their key within `edits` edits; one of a pair must be indexed."""
     marked: set[int] = set()
     order = sorted(range(len(key)), key=lambda i: (key[i], place[i]))
@@ -192,14 +243,16 @@ def later_of_pairs(key: np.ndarray, place: list[tuple[int, int]], indexed: np.nd
         else:
             groups.append([i])
     points = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in text]
+    most = allowed(np.array([len(x) for x in points], np.int64), edits, per).tolist()
     todo: list[tuple[int, int]] = []
 
     def verify() -> None:
-        if todo:
-            for (_, j), ok in zip(todo, within([points[i] for i, _ in todo], [points[j] for _, j in todo], edits), strict=True):
+        for k in {min(most[i], most[j]) for i, j in todo}:
+            some = [(i, j) for i, j in todo if min(most[i], most[j]) == k]
+            for (_, j), ok in zip(some, within([points[i] for i, _ in some], [points[j] for _, j in some], k), strict=True):
                 if ok:
                     marked.add(j)
-            todo.clear()
+        todo.clear()
 
     groups = [g for g in groups if len(g) > 1]
     turn = 0
@@ -207,7 +260,7 @@ def later_of_pairs(key: np.ndarray, place: list[tuple[int, int]], indexed: np.nd
         for g in groups:
             i = g[turn]
             for j in g[turn + 1 :]:
-                if j not in marked and (indexed[i] or indexed[j]) and place[i] < place[j] and abs(len(points[i]) - len(points[j])) <= edits:
+                if j not in marked and (indexed[i] or indexed[j]) and place[i] < place[j] and abs(len(points[i]) - len(points[j])) <= min(most[i], most[j]):
                     todo.append((i, j))
             if len(todo) >= PAIRS:
                 verify()
@@ -217,12 +270,12 @@ def later_of_pairs(key: np.ndarray, place: list[tuple[int, int]], indexed: np.nd
     return marked
 
 
-def _verified(edits: int):
+def _verified(edits: int, per: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
             place = list(zip(t.column("doc_id").to_pylist(), t.column("line").to_pylist(), strict=True))
             digest = t.column("digest").to_numpy()
-            found = later_of_pairs(t.column("key").to_numpy(), place, t.column("indexed").to_numpy(), t.column("text").to_pylist(), edits)
+            found = later_of_pairs(t.column("key").to_numpy(), place, t.column("indexed").to_numpy(), t.column("text").to_pylist(), edits, per)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(digest[sorted(found)]) if found else [], pa.int64())], ["digest"])
 
     return lean(run)
@@ -241,41 +294,46 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([len(x) for x in gone], pa.int64()), pa.array(kept, pa.string()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "n_lines", "n_removed", "kept", "removed"])
 
 
-def _removed(base: DataFrame, texts: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def _removed(base: DataFrame, texts: DataFrame, edits: int, min_chars: int, per: int, every: bool) -> DataFrame:
     """(gone_id, gone): the numbers of the lines that each document loses."""
     spark = base.sparkSession
     if min_chars <= edits:
         raise ValueError("min_chars must exceed edits")
+    if WIDTH + edits > 63:
+        raise ValueError("edits must leave the length in a class below 64")
     named = base.filter("doc_id is not null")
-    places = named.mapInArrow(_occurrences(min_chars), "digest long, doc_id long, line int")
+    places = named.mapInArrow(_occurrences(min_chars, every), "digest long, doc_id long, line int")
     first = materialise(places.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "lines")
-    keys = named.mapInArrow(_keys(edits, min_chars), "key long, digest long")
-    shared = keys.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("key")
-    of_line = keys.join(shared, "key").groupBy("digest").agg(F.collect_set("key").alias("keys"))
+    keys = named.mapInArrow(_keys(edits, min_chars, per), "key long, digest long")
+    keys = keys.repartition(tasks(spark), F.shiftright("key", 7)).sortWithinPartitions("key")
+    shared = keys.select(F.expr("key & ~127L").alias("key"), F.expr("key & 127L").alias("told"), "digest").mapInArrow(_shared(edits), "key long, digest long")
+    of_line = shared.groupBy("digest").agg(F.collect_set("key").alias("keys"))
     told = of_line.join(first, "digest").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest", "keys")).alias("told"))
-    rows = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").select("doc_id", "text", "told").mapInArrow(_candidates(edits), "key long, digest long, doc_id long, line int, indexed boolean, text string")
-    near = rows.repartition(tasks(spark), "key").sortWithinPartitions("key").mapInArrow(_verified(edits), "digest long").distinct()
+    rows = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").select("doc_id", "text", "told").mapInArrow(_candidates(edits, per, min_chars), "key long, digest long, doc_id long, line int, indexed boolean, text string")
+    near = rows.repartition(tasks(spark), "key").sortWithinPartitions("key").mapInArrow(_verified(edits, per), "digest long").distinct()
     decided = first.join(near.withColumn("near", F.lit(True)), "digest", "left").filter("n > 1 or near").select("digest", F.when(F.col("near").isNull(), F.col("first")).alias("spared"))
     gone = places.join(decided, "digest").filter("spared is null or spared.doc_id <> doc_id or spared.line <> line")
     return gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0, every: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, kept (text of the remaining lines), removed (line numbers) for each row of docs.
 
+    per: one edit for each so many characters of the shorter line, at most edits (0: edits at any length).  every: lines
+    under min_chars lose their exact repeats too, but for blank ones.
     Null or empty texts have one empty line.  Rows with a null doc_id take no part and keep all lines.  Rows that share
     a doc_id count as one document: its first occurrence of a line is spared in each.  Extra columns are ignored.
     """
     base = id_text(docs)
     texts = by_id(base)
-    both = texts.join(_removed(base, texts, edits, min_chars), F.col("kid") == F.col("gone_id"), "left")
+    both = texts.join(_removed(base, texts, edits, min_chars, per, every), F.col("kid") == F.col("gone_id"), "left")
     return both.select("doc_id", "text", "gone").mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept string, removed array<int>")
 
 
-def replace_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def replace_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0, every: bool = False) -> DataFrame:
     """docs with `text` (and n_chars, where there is one) without near-duplicate lines; all rows and columns stay."""
     base = id_text(docs)
-    gone = _removed(base, by_id(base), edits, min_chars)
+    gone = _removed(base, by_id(base), edits, min_chars, per, every)
     # The whole row travels as one struct: no column of docs can clash with a working name.
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     both = rows.join(gone, rows["row"]["doc_id"].cast("long") == gone["gone_id"], "left")

@@ -6,7 +6,7 @@ bounded by the longest document.  All hashes are 64-bit and depend on content al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -109,6 +109,22 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+def hasher(buf: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """span_hashes for several sets of spans (in any order) of one buffer, whose running sums are taken once."""
+    if len(buf) > 2 * TILE:
+
+        def long_way(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            order, out = np.argsort(starts, kind="stable"), np.empty(len(starts), dtype=U)
+            out[order] = span_hashes(buf, starts[order], ends[order])
+            return out
+
+        return long_way
+    up, down = _powers(2 * TILE)
+    c = np.zeros(len(buf) + 1, dtype=U)
+    np.cumsum((buf.astype(U) + U(1)) * up[: len(buf)], out=c[1:])
+    return lambda starts, ends: mix((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(U) * _C3)
+
+
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive values, by doubling; position i covers i..i+n-1."""
     m = len(h) - n + 1
