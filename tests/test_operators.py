@@ -161,6 +161,35 @@ def test_pooled_and_agreement(spark):
     assert rows(evaluate.reuse_judgements(new, old).select("row_id", "relevance"), "row_id") == [(1, "y"), (2, None)]
 
 
+def test_reuse_against_brute_force(spark, sf_dir):
+    import random
+    from difflib import SequenceMatcher
+
+    from textloom.plans import more_queries
+
+    def want(new, old):
+        like = lambda a, b: None not in (a, b) and 100 * SequenceMatcher(None, a, b, autojunk=False).ratio() > 70
+        return {r: max(((o, x) for o, q2, t2, x in old if like(q, q2) and like(t, t2)), default=(0, None))[1] for r, q, t in new}
+
+    rng = random.Random(3)
+
+    def typo(t):
+        return " ".join(w[:i] + rng.choice("xyz") + w[i + 1 :] for w in t.split(" ") for i in [rng.randrange(len(w))])
+
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(30)).replace("  ", " ").strip() for _ in range(12)]
+    old = [(i, rng.choice(base), rng.choice(base), rng.choice("yn")) for i in range(60)] + [(90, "firedoors", "width", "y"), (91, "", "", "n"), (92, None, "a", "y")]
+    new = [(i, typo(q), typo(t)) for i, q, t, _ in old if q and t] + [(100, "firedoor", "width"), (101, "", ""), (102, None, "a"), (103, "a", None)]
+    a = spark.createDataFrame(new, "row_id long, query string, text string")
+    b = spark.createDataFrame(old, "ord long, query string, text string, relevance string")
+    expected = want(new, old)
+    assert expected[100] == "y"
+    for block in (200, 7):
+        assert {r.row_id: r.relevance for r in evaluate.reuse_judgements(a, b, block=block).collect()} == expected
+    c = [(r.conv_id * 1000 + r.turn, r.text, r.text, r.role) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()]
+    got = {r.row_id: r.relevance for r in more_queries.annotator_reuse(spark, sf_dir).collect()}
+    assert got == want([x[:3] for x in c], [x for x in c if x[3] == "user"])
+
+
 def test_span_scores(spark):
     g = spark.createDataFrame([(1, "obj", 0, 1), (1, "act", 2, 3), (2, "obj", 0, 0)], "s int, type string, start int, end int")
     p = spark.createDataFrame([(1, "obj", 0, 1), (1, "obj", 5, 6)], "s int, type string, start int, end int")

@@ -171,8 +171,8 @@ def first_per_host(spark, sf_dir):
 def annotator_reuse(spark, sf_dir):
     """Judgements of users' turns reused for like turns (sequence matching has no SQL)."""
     c = table(spark, sf_dir, "conversations")
-    new = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.substring_index("text", " ", 4).alias("query"), "text")
-    old = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.substring_index("text", " ", 4).alias("query"), "text", F.col("role").alias("relevance")).filter("relevance = 'user'")
+    new = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.col("text").alias("query"), "text")
+    old = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("query"), "text", F.col("role").alias("relevance")).filter("relevance = 'user'")
     return evaluate.reuse_judgements(new, old).select("row_id", "relevance")
 
 
