@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+CHECKPOINT = "spark.checkpoint.dir"
+
 #: Rows up to which a side may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -44,3 +49,46 @@ def global_offsets(df: DataFrame, key: str, size: str, block: int = 1024) -> Dat
     start = level.join(tops, "__top").select("__block", (F.col("__a") + F.col("__b")).alias("__start"))
     inner = F.coalesce(F.sum(size).over(run(Window.partitionBy("__block").orderBy(key))), F.lit(0))
     return parts.withColumn("__in", inner).join(start, "__block").withColumn("before", F.col("__start") + F.col("__in")).drop("__block", "__in", "__start")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """df with its row number (from 0) in the order of some columns, without a task that sees all rows.
+
+    Rows are dealt by ranges and sorted; the numbers of rows of the ranges alone are accumulated.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)))
+    parts = materialise(parts, "numbered")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))  # a row per range
+    return parts.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
+def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """df with `chunk`: rows in order, `size` of them in each."""
+    return numbered(df, order, "__n").withColumn("chunk", F.floor(F.col("__n") / size)).drop("__n")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a local session that names none gets a folder of this machine."""
+    found = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT} must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set(CHECKPOINT, found)
+    return found.rstrip("/")
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/textloom/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all that this library has written to the shared folder; results that still read from it must be written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

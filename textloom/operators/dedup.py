@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .common import materialise
 
 
 def first_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,19 +35,49 @@ def by_identifier(files: DataFrame, path: str = "path") -> DataFrame:
     return out.select("path", "identifier", (~F.col("tracked") & F.col("dated").isNull() & F.coalesce(F.col("path") == F.col("first"), F.lit(False))).alias("keep"))
 
 
+def shared_lengths(ref: np.ndarray, other: np.ndarray, least: int, most: int) -> np.ndarray:
+    """For each position of ref the words, at most `most`, for which it runs as it does somewhere in other (0: under least)."""
+    ids = np.concatenate([ref, other])
+    rank, out = ids, np.zeros(len(ref), np.int32)
+    for n in range(1, most + 1):
+        if n > 1:
+            rank = np.unique(rank[:-1] * (int(ids.max()) + 1) + ids[n - 1 :], return_inverse=True)[1]
+        own, there = len(ref) - n + 1, len(ref)
+        if own <= 0 or len(rank) <= there:
+            break
+        hit = np.isin(rank[:own], rank[there:])
+        if not hit.any():
+            break
+        if n >= least:
+            out[:own][hit] = n
+    return out
+
+
+def _lengths(least: int, most: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = []
+            for doc, ref, other in zip(f["doc"], f["ref"], f["w"], strict=True):
+                ids = np.unique(np.concatenate([ref, other]), return_inverse=True)[1].astype(np.int64)
+                found.append((doc, shared_lengths(ids[: len(ref)], ids[len(ref) :], least, most)))
+            yield pd.DataFrame(found, columns=["doc", "n"])
+
+    return run
+
+
 def common_ngrams(pages: DataFrame, doc: str, page: str, text: str, least: int = 3, most: int = 29) -> DataFrame:
     """doc, ngram, n: the longest n-gram of words that every page of a document holds (ties by text).
 
-    Documents of one page share nothing.  Counts are aggregated per document and gram before they are compared.
+    A gram of all pages is in the shortest one, so each page tells for each word of that one how far it runs alike; the
+    least over the pages is what all share.  One pass over the pages, and a row per word of the shortest page is all that
+    is counted.  Documents of one page share nothing; rows that share a page id must each hold the gram.
     """
-    x = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.split(F.coalesce(F.col(text), F.lit("")), " ").alias("w"))
-    count = x.groupBy("doc").agg(F.countDistinct("page").alias("pages")).filter("pages > 1")
-    x = x.join(count, "doc")
-    # Documents without a shared gram of the least length have none: all lengths are asked of the others alone.
-    short = F.explode(F.array_distinct(F.when(F.size("w") >= least, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - least + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, least), " ")))))
-    some = x.select("doc", "page", "pages", short.alias("g")).groupBy("doc", "g").agg(F.countDistinct("page").alias("on"), F.first("pages").alias("pages")).filter("`on` = pages").select("doc").distinct()
-    x = x.join(some, "doc", "left_semi")
-    grams = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(least), F.lit(most)), lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(n.alias("n"), F.array_join(F.slice("w", i, n), " ").alias("g")))).otherwise(F.array().cast("array<struct<n:int,g:string>>"))))))
-    held = x.select("doc", "page", "pages", grams.alias("x")).groupBy("doc", "x.g", "x.n").agg(F.countDistinct("page").alias("on"), F.first("pages").alias("pages"))
-    shared = held.filter("`on` = pages").groupBy("doc").agg(F.min(F.struct((-F.col("n")).alias("neg"), "g")).alias("best"))
-    return shared.select("doc", F.col("best.g").alias("ngram"), (-F.col("best.neg")).cast("long").alias("n"))
+    x = pages.select(F.col(doc).cast("string").alias("doc"), F.col(page).alias("page"), F.split(F.coalesce(F.col(text), F.lit("")), " ").alias("w"))
+    held = x.groupBy("doc").agg(F.countDistinct("page").alias("pages"), F.min(F.struct(F.size("w").alias("n"), "page", "w")).alias("short"))
+    # Written, so that a join can split the rows of a document with very many pages.
+    short = materialise(held.filter("pages > 1").select("doc", F.col("short.w").alias("ref")), "shortest")
+    told = x.select("doc", "w").join(short, "doc").mapInPandas(_lengths(least, most), "doc string, n array<int>")
+    run = told.select("doc", F.posexplode("n").alias("pos", "n")).groupBy("doc", "pos").agg(F.min("n").alias("n")).filter(F.col("n") >= least)
+    longest = run.groupBy("doc").agg(F.max("n").alias("n"))
+    grams = run.join(longest, ["doc", "n"]).join(short, "doc").select("doc", F.array_join(F.slice("ref", F.col("pos") + 1, F.col("n")), " ").alias("ngram"), F.col("n").cast("long").alias("n"))
+    return grams.groupBy("doc").agg(F.min("ngram").alias("ngram"), F.first("n").alias("n"))
