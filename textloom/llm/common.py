@@ -3,36 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHECKPOINT = "spark.checkpoint.dir"
+from ..operators.common import materialise, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
-
-    Only where the session names none (local tests) a folder of this machine is set.
-    """
-    found = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set(CHECKPOINT, found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["by_id", "copies_of", "id_text", "lean", "materialise", "only_named", "shared_dir", "table", "tasks"]
 
 
 def lean(run: Callable) -> Callable:
@@ -66,8 +46,21 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def by_id(base: DataFrame) -> DataFrame:
-    """base dealt by `kid`, the doc_id that is never null (null: the smallest long).
+    """base dealt by `kid`, the doc_id, or for rows without one a number of its text and partition (never null).
 
-    Joins on kid need no null filter, so every join of a plan reuses the one shuffle of the texts.
+    Joins on kid need no null filter, so every join of a plan reuses the one shuffle of the texts, and rows without an
+    id are spread.  Their kid can equal an id: what is joined to such rows must be left out where doc_id is null.
     """
-    return base.withColumn("kid", F.coalesce("doc_id", F.lit(-(2**63)))).repartition(tasks(base.sparkSession), "kid")
+    kid = F.coalesce("doc_id", F.xxhash64("text", F.spark_partition_id()))
+    return base.withColumn("kid", kid).repartition(tasks(base.sparkSession), "kid")
+
+
+def only_named(col: str) -> Column:
+    """The column where the row has a doc_id, null elsewhere."""
+    return F.when(F.col("doc_id").isNotNull(), F.col(col)).alias(col)
+
+
+def copies_of(named: DataFrame) -> DataFrame:
+    """digest, rep (smallest doc_id), last, rows of the texts that several rows hold."""
+    digest = named.select("doc_id", F.md5("text").alias("digest"))
+    return materialise(digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count("*").alias("rows")).filter("rows > 1"), "copies")

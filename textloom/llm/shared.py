@@ -2,19 +2,30 @@
 
 Of each window (`width` units: words or bytes) the leftmost smallest k-gram hash is its anchor.  Equal windows have
 equal anchors at equal offsets, so a window can only repeat if the hash of its anchor occurs again.
+
+The windows that an anchor serves, taken together, are its context.  Contexts meet by group, which is the anchor's gram
+as long as at most `most` contexts hold it.  A gram above that is crowded: its contexts carry a digest, equal ones are
+counted by partial aggregation, and one of them stands for all.  Where a group still holds more than `most` different
+contexts, it is split: the windows are divided by where their anchor lies, each half again is one context, and its group
+is what all its windows have in common, a longer string.  After a few halvings that string is a whole window, of which
+there is one context alone.  So no group grows with the data, and nothing is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textnum as tn
+from .common import materialise
 
 U = np.uint64
-
-
-def byte_grams(buf: np.ndarray, k: int) -> np.ndarray:
-    return tn.ngrams(tn.mix((buf.astype(U) + U(1)) * U(0x9E3779B97F4A7C15)), k)
+#: Crowded grams that travel to the tasks at most (8 bytes each).
+CROWDED = 2_000_000
 
 
 def anchors(grams: np.ndarray, unit_row: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -33,6 +44,94 @@ def anchors(grams: np.ndarray, unit_row: np.ndarray, k: int, width: int) -> tupl
     return at[new], new, ends
 
 
+def counted(*cols: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns, ordered by the first, and how often each occurs."""
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    heads = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])) if len(order) else order
+    return [c[heads] for c in cols], np.diff(np.append(heads, len(order)))
+
+
+def listed(own: np.ndarray, row: np.ndarray, lists: pa.Array, first: int) -> np.ndarray:
+    """Whether each value of `own` (its row ascending) is in the list of its row."""
+    flat, bounds = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
+    out = np.zeros(len(own), bool)
+    order = np.argsort(row, kind="stable")
+    rows, heads = np.unique(row[order], return_index=True)
+    for r, x in zip(rows.tolist(), np.split(order, heads[1:]), strict=True):
+        out[x] = np.isin(own[x], flat[bounds[first + r] : bounds[first + r + 1]])
+    return out
+
+
+class Contexts:
+    """Contexts of a batch: group, digest (0: not crowded), anchor position, first and last window start."""
+
+    def __init__(self, group: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        self.group, self.digest, self.at, self.lo, self.hi = group, np.zeros(len(at), U), at, lo, hi
+
+    def take(self, which: np.ndarray) -> Contexts:
+        out = Contexts(self.group[which], self.at[which], self.lo[which], self.hi[which])
+        out.digest = self.digest[which]
+        return out
+
+
+def joined(parts: list[Contexts]) -> Contexts:
+    out = Contexts(*(np.concatenate([getattr(p, x) for p in parts]) for x in ("group", "at", "lo", "hi")))
+    out.digest = np.concatenate([p.digest for p in parts])
+    return out
+
+
+def split(whole: Contexts, crowded: list[np.ndarray], span_hash: Callable[[np.ndarray, np.ndarray], np.ndarray], reach: int, width: int) -> Contexts:
+    """Contexts with crowded groups treated: crowded[0] holds grams, crowded[i] groups that i - 1 halvings left too large.
+
+    span_hash(starts, ends) names the units between; reach is the farthest that an anchor lies from its window's start.
+    """
+    if not crowded or not len(whole.at):
+        return whole
+    hot = np.isin(whole.group, crowded[0])
+    done, ranges = [whole.take(~hot)], [(whole.take(hot), 0, reach)]
+    for groups in crowded[1:]:
+        halves = []
+        for x, a, b in ranges:
+            deep = np.isin(x.group, groups) if a < b else np.zeros(len(x.at), bool)
+            halves.append((x.take(~deep), a, b))
+            x, mid = x.take(deep), (a + b) // 2
+            for p, q in ((a, mid), (mid + 1, b)):
+                lo, hi = np.maximum(x.lo, x.at - q), np.minimum(x.hi, x.at - p)
+                some = lo <= hi
+                at = x.at[some]
+                group = tn.mix(x.group[some] ^ span_hash(at - p, at - q + width)) if len(at) else at.astype(U)
+                halves.append((Contexts(group, at, lo[some], hi[some]), p, q))
+        ranges = halves
+    for x, _, _ in ranges:
+        if len(x.at):
+            x.digest = tn.mix(span_hash(x.lo, x.hi + width) + tn.mix((x.at - x.lo).astype(U))) | U(1)
+        done.append(x)
+    return joined(done)
+
+
+def crowded_groups(keys_of: Callable[[list[np.ndarray]], DataFrame], shared: DataFrame, most: int) -> tuple[list[np.ndarray], DataFrame | None]:
+    """(crowded groups by level, their different contexts: gram, digest, n, first); none where no gram is crowded.
+
+    keys_of(crowded) gives gram, digest, doc_id, n; shared has gram, m.  A gram is crowded above `most` occurrences, or
+    above as many as leave no more than CROWDED crowded grams: this bounds what travels to the tasks.
+    """
+    total = shared.agg(F.sum("m")).first()[0] or 0
+    above = max(most, total // CROWDED)
+    levels: list[np.ndarray] = []
+    found = _longs(shared.filter(F.col("m") > above), "gram")
+    classes = None
+    while len(found):
+        levels.append(found)
+        classes = materialise(keys_of(levels).filter("digest <> 0").groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first")), "contexts")
+        found = _longs(classes.groupBy("gram").agg(F.count("*").alias("m")).filter(F.col("m") > above), "gram")
+    return levels, classes
+
+
+def _longs(df: DataFrame, col: str) -> np.ndarray:
+    return np.sort(df.select(col).toPandas()[col].to_numpy(dtype=np.int64)).view(U)
+
+
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by the spans."""
     if not len(starts):

@@ -2,18 +2,18 @@
 
 Suffixes start at anchors (content-chosen byte positions, see shared.py: each window of `width` bytes has one, and equal
 windows have equal ones), so the array is sparse but loses no repeat of `width` bytes.  Suffixes whose anchor gram occurs
-once are left out.  Within a task, suffixes are sorted with their longest common prefixes, a stack scan yields the
-common-prefix intervals, and in each interval the left contexts are compared: members that agree on enough bytes to the
-left (prefix + left extension >= width) are occurrences of a repeat.  An interval whose members differ in the byte to
-the left is left-diverse: its prefix is a maximal repeat.
-
-Equal contexts collapse before the scan.  Grams with more than GROUP occurrences are not gathered at all: their windows
-are counted by partial aggregation.
+once are left out.  Within a task, the suffixes of whole groups are sorted with their longest common prefixes, and a
+stack scan yields the common-prefix intervals.  The members of an interval are sorted by what stands before them, and a
+second stack scan finds the sets that agree on as many bytes to the left as possible: the byte before differs, so a set
+is left-diverse; if its members lie in several children of the interval, they differ to the right, too.  Such a set is a
+maximal repeat with all its occurrences (as far as contexts reach), and what is removed is the union of those.
+
+Equal contexts collapse before the scan.  Crowded grams (shared.py) meet the scan with one context of each kind; a context
+of a crowded gram that occurs again is known to repeat as a whole from its count.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,72 +22,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import by_id, id_text, lean, tasks
-from .shared import anchors, byte_grams, union
+from .common import by_id, copies_of, id_text, lean, materialise, only_named, tasks
+from .shared import Contexts, anchors, counted, crowded_groups, listed, split, union
 from .substring_dedup import whole_groups
 
 WIDTH, K = 400, 32
-#: Occurrences up to which the suffixes of one anchor gram meet in one task.
+#: Bytes that are hashed at a time.
+PIECE = 1 << 17
+#: Contexts up to which those of one gram meet in one task.
 GROUP = 10_000
 
-CONTEXT = "gram long, doc_id long, th long, start int, off int, context binary"
-SPAN = "doc_id long, th long, start int, end int"
+KEY = "gram long, digest long, doc_id long, n long"
+CONTEXT = "gram long, doc_id long, th long, off int, starts array<int>, context binary"
+SPANS = "array<struct<start: int, end: int>>"
+SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _batch_anchors(buf: np.ndarray, offs: np.ndarray, width: int, k: int):
-    row = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
-    g = byte_grams(buf, k)
-    return row, g, anchors(g, row, k, width)
+def pieces(text: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, start in its text, byte offsets, bytes): slices of a batch; a long text comes in overlapping pieces.
 
+    Every window of `width` bytes lies in one piece.
+    """
+    for first, offs, buf in tn.slices(text, PIECE):
+        if len(buf) <= 2 * PIECE:
+            yield first, 0, offs, buf
+        else:
+            for at in range(0, len(buf) - width + 1, PIECE):
+                part = buf[at : at + PIECE + width - 1]
+                yield first, at, np.array([0, len(part)]), part
 
-def _grams(width: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, offs, buf in tn.slices(batch.column(1)):
-                row, g, (at, _, _) = _batch_anchors(buf, offs, width, k)
-                if len(at):
-                    pair = np.stack([row[at].astype(np.int64), g[at].view(np.int64)], axis=1)
-                    pair, n = np.unique(pair, axis=0, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([tn.long(pair[:, 1]), batch.column(0).take(pa.array(first + pair[:, 0])), tn.long(n)], ["gram", "doc_id", "n"])
 
-    return lean(run)
+def _contexts_of(buf: np.ndarray, offs: np.ndarray, width: int, k: int, crowded: list[np.ndarray]) -> tuple[np.ndarray, Contexts]:
+    row = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
+    g = tn.byte_grams(buf, k)
+    at, lo, hi = anchors(g, row, k, width)
+    named = tn.hasher(buf) if crowded and len(at) else None
+    return row, split(Contexts(g[at], at, lo, hi), crowded, named, width - k, width)
 
 
-def _contexts(width: int, k: int):
+def _keys(width: int, k: int, crowded: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
-            flat, bounds = np.asarray(lists.values).view(np.uint64), np.asarray(lists.offsets)
-            for first, offs, buf in tn.slices(batch.column(1)):
-                row, g, (at, lo, hi) = _batch_anchors(buf, offs, width, k)
-                if not len(at):
-                    continue
-                keep = np.zeros(len(at), bool)
-                edge = np.searchsorted(row[at], np.arange(len(offs)))
-                for r in np.unique(row[at]).tolist():
-                    x = slice(edge[r], edge[r + 1])
-                    keep[x] = np.isin(g[at[x]], flat[bounds[first + r] : bounds[first + r + 1]])
-                at, lo, hi = at[keep], lo[keep], hi[keep]
-                raw = buf.tobytes()
-                for i in range(0, len(at), 4096):  # keeps a batch of contexts small
-                    x = slice(i, i + 4096)
-                    rows = pa.array(first + row[at[x]].astype(np.int64))
-                    text = pa.array([raw[a : b + width] for a, b in zip(lo[x].tolist(), hi[x].tolist(), strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([tn.long(g[at[x]]), batch.column(0).take(rows), batch.column(2).take(rows), pa.array((lo[x] - offs[row[at[x]]]).astype(np.int32)), pa.array((at[x] - lo[x]).astype(np.int32)), text], ["gram", "doc_id", "th", "start", "off", "context"])
+            for first, _, offs, buf in pieces(batch.column(1), width):
+                row, x = _contexts_of(buf, offs, width, k, crowded)
+                if len(x.at):
+                    (of, gram, digest), n = counted(row[x.at].astype(np.int64), x.group, x.digest)
+                    yield pa.RecordBatch.from_arrays([tn.long(gram), tn.long(digest), batch.column(0).take(pa.array(first + of)), tn.long(n)], ["gram", "digest", "doc_id", "n"])
 
     return lean(run)
 
 
-def _windows(width: int):
-    """Hot contexts: one row per window."""
+def _contexts(width: int, k: int, crowded: list[np.ndarray]):
+    """Contexts for the scan, equal ones of a text in one row; those that repeat as a whole: their spans, no context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(1, 6)]
-            for doc, th, start, _, text in zip(*cols, strict=True):
-                n = len(text) - width + 1
-                node = [hashlib.md5(text[i : i + width]).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(range(start, start + n), pa.int32()), pa.array(node, pa.binary())], ["doc_id", "th", "start", "node"])
+            for first, shift, offs, buf in pieces(batch.column(1), width):
+                row, x = _contexts_of(buf, offs, width, k, crowded)
+                if not len(x.at):
+                    continue
+                of = row[x.at]
+                usual = x.digest == 0
+                wanted = usual & listed(x.group, of, batch.column(3), first)
+                whole = np.zeros(len(of), bool)
+                if crowded:
+                    wanted |= ~usual & listed(x.digest, of, batch.column(4), first)
+                    whole = ~usual & listed(x.digest, of, batch.column(5), first)
+                raw, seen = buf.tobytes(), {}
+                y = x.take(wanted)
+                for r, gram, at, lo, hi in zip(of[wanted].tolist(), y.group.view(np.int64).tolist(), y.at.tolist(), y.lo.tolist(), y.hi.tolist(), strict=True):
+                    seen.setdefault((r, gram, at - lo, raw[lo : hi + width]), []).append(lo + shift - int(offs[r]))
+                rows = [(r, gram, off, starts, text) for (r, gram, off, text), starts in seen.items()]
+                y = x.take(whole)
+                for r in np.unique(of[whole]).tolist():
+                    own = of[whole] == r
+                    a, b = union(y.lo[own] + shift - offs[r], y.hi[own] + width + shift - offs[r])
+                    rows.append((r, int(tn.mix(np.array([r + shift, first], np.uint64))[0].view(np.int64)), 0, np.stack([a, b], axis=1).ravel().tolist(), None))
+                for i in range(0, len(rows), 4096):  # keeps a batch of contexts small
+                    r, gram, off, starts, text = zip(*rows[i : i + 4096], strict=True)
+                    at = pa.array(np.array(r, np.int64) + first)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), batch.column(0).take(at), batch.column(2).take(at), pa.array(off, pa.int32()), pa.array(starts, pa.list_(pa.int32())), pa.array(text, pa.binary())], ["gram", "doc_id", "th", "off", "starts", "context"])
 
     return lean(run)
 
@@ -108,10 +122,10 @@ def common_lengths(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def prefix_intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+def prefix_intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
     """(first, last, depth) of the common-prefix intervals with depth >= least; lcp[i] is of suffixes i-1 and i, lcp[0] = 0."""
     stack: list[tuple[int, int]] = []
-    for i, d in enumerate([*lcp.tolist(), 0]):
+    for i, d in enumerate([*lcp, 0]):
         left = i - 1
         while stack and stack[-1][1] > d:
             left, depth = stack.pop()
@@ -121,64 +135,76 @@ def prefix_intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, in
             stack.append((left, d))
 
 
-def left_diverse(left: list[bytes]) -> bool:
-    """Whether the bytes before the members differ (left contexts are reversed; an empty one differs from all)."""
-    return len({x[:1] for x in left}) > 1 or any(not x for x in left)
+def left_diverse(back: list[bytes], least: int) -> Iterator[tuple[list[int], int]]:
+    """(members, extension): sets of two or more that agree on `extension` >= least bytes to the left and no more.
+
+    back[i] is what stands before member i, reversed.  The byte before such a set's common extension differs.
+    """
+    some = [i for i in range(len(back)) if len(back[i]) >= least]
+    if len(some) == 2:
+        e = int(common_lengths([back[some[0]]], [back[some[1]]])[0]) if back[some[0]][:least] == back[some[1]][:least] else -1
+        if e >= least:
+            yield some, e
+    elif len(some) > 2:
+        some.sort(key=back.__getitem__)
+        ext = [0, *common_lengths([back[i] for i in some[:-1]], [back[i] for i in some[1:]]).tolist()]
+        for first, last, e in prefix_intervals(ext, max(1, least)):
+            yield some[first : last + 1], e
+        if not least and not min(ext[1:]):
+            yield some, 0
+
+
+def maximal_repeats(right: list[bytes], back: list[bytes], width: int) -> Iterator[tuple[list[int], int, int]]:
+    """(members, extension, depth): the maximal repeats of `width` bytes or more around the anchors.
+
+    Member i reads right[i] from its anchor on and back[i] before it, reversed; a repeat spans extension + depth bytes.
+    """
+    order = sorted(range(len(right)), key=right.__getitem__)
+    if len(order) < 2:
+        return
+    lcp = [0, *common_lengths([right[i] for i in order[:-1]], [right[i] for i in order[1:]]).tolist()]
+    for first, last, depth in prefix_intervals(lcp, max(1, width - max(map(len, back)))):
+        members = order[first : last + 1]
+        for own, e in left_diverse([back[i] for i in members], max(0, width - depth)):
+            # Of several children of the interval: what follows differs as well.
+            if len(own) == len(members) or any(d == depth for d in lcp[first + min(own) + 1 : first + max(own) + 1]):
+                yield [members[i] for i in own], e, depth
 
 
-def repeats(context: list[bytes], off: list[int], width: int) -> Iterator[tuple[int, int, int]]:
-    """(member, begin, end) in contexts of one or more grams: bytes that occur again, in runs of width or more."""
+def repeats(context: list[bytes], off: list[int], times: list[int], width: int) -> dict[int, list[tuple[int, int]]]:
+    """Spans of contexts (of one or more grams) that occur again, by context; times: how often each row's text has it."""
     same: dict[tuple[bytes, int], list[int]] = {}
     for i, x in enumerate(zip(context, off, strict=True)):
         same.setdefault(x, []).append(i)
+    out: dict[int, list[tuple[int, int]]] = {}
     for (text, _), members in same.items():
-        if len(members) > 1:
-            yield from ((i, 0, len(text)) for i in members)
+        if sum(times[i] for i in members) > 1:
+            out.update((i, [(0, len(text))]) for i in members)
     own = [m[0] for m in same.values()]
-    right = {i: context[i][off[i] :] for i in own}
-    back = {i: context[i][: off[i]][::-1] for i in own}
-    order = sorted(own, key=right.__getitem__)
-    if len(order) < 2:
-        return
-    r = [right[i] for i in order]
-    lcp = np.concatenate([[0], common_lengths(r[:-1], r[1:])])
-    by_left = {i: n for n, i in enumerate(sorted(own, key=back.__getitem__))}
-    least = max(1, width - max(map(len, back.values())))
-    for first, last, depth in prefix_intervals(lcp, least):
-        if last == first + 1:
-            members = order[first : last + 1]
-        else:
-            members = sorted(order[first : last + 1], key=by_left.__getitem__)
-        left = [back[i] for i in members]
-        if depth < width and max(map(len, left)) < width - depth:
-            continue
-        ext = common_lengths(left[:-1], left[1:])
-        most = np.maximum(np.concatenate([[0], ext]), np.concatenate([ext, [0]]))
-        for i in np.flatnonzero(most + depth >= width).tolist():
-            m = members[i]
-            yield m, off[m] - int(most[i]), off[m] + depth
-
-
-def maximal_repeats(texts: list[bytes], least: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
-    """All maximal repeats of at least `least` bytes in memory, each with all (text, start): the dense form of the scan."""
-    at = sorted(((t, i) for t, x in enumerate(texts) for i in range(len(x))), key=lambda p: texts[p[0]][p[1] :])
-    suffix = [texts[t][i:] for t, i in at]
-    if len(at) < 2:
-        return []
-    lcp = np.concatenate([[0], common_lengths(suffix[:-1], suffix[1:])])
-    return sorted((suffix[a][:d], sorted(at[a : b + 1])) for a, b, d in prefix_intervals(lcp, least) if left_diverse([texts[t][:i][::-1] for t, i in at[a : b + 1]]))
+    for members, e, depth in maximal_repeats([context[i][off[i] :] for i in own], [context[i][: off[i]][::-1] for i in own], width):
+        for m in members:
+            out.setdefault(own[m], []).append((off[own[m]] - e, off[own[m]] + depth))
+    return out
 
 
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            doc, th, start, off = (t.column(c).to_numpy() for c in ("doc_id", "th", "start", "off"))
-            found = np.array(list(repeats(t.column("context").to_pylist(), off.tolist(), width)), np.int64).reshape(-1, 3)
-            o = np.lexsort((found[:, 1], found[:, 0]))
-            found = found[o]
-            m = found[:, 0]
-            shift = start[m].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([tn.long(doc[m]), tn.long(th[m]), pa.array((shift + found[:, 1]).astype(np.int32)), pa.array((shift + found[:, 2]).astype(np.int32))], ["doc_id", "th", "start", "end"])
+            t = t.combine_chunks()
+            starts, texts, off = t.column("starts").to_pylist(), t.column("context").to_pylist(), t.column("off").to_pylist()
+            at, spans = [], []
+            for i, x in enumerate(texts):
+                if x is None:  # known to repeat
+                    at.append(i)
+                    spans.append([{"start": a, "end": b} for a, b in zip(starts[i][::2], starts[i][1::2], strict=True)])
+            some = [i for i, x in enumerate(texts) if x is not None]
+            for i, own in repeats([texts[i] for i in some], [off[i] for i in some], [len(starts[i]) for i in some], width).items():
+                n = np.array(starts[some[i]], np.int64)[:, None]
+                a, b = union((n + [x for x, _ in own]).ravel(), (n + [x for _, x in own]).ravel())
+                at.append(some[i])
+                spans.append([{"start": p, "end": q} for p, q in zip(a.tolist(), b.tolist(), strict=True)])
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(rows), t.column("th").combine_chunks().take(rows), pa.array(spans, SPAN_TYPE)], ["doc_id", "th", "spans"])
 
     return lean(run)
 
@@ -191,7 +217,7 @@ def _cut(width: int):
             for i, raw in enumerate(batch.column(1).cast(pa.binary())):
                 text = raw.as_py()
                 n = len(text)
-                own = [(x["start"], x["end"]) for x in found[i].as_py() or [] if x["th"] == ths[i]]
+                own = [(x["start"], x["end"]) for f in found[i].as_py() or [] if f["th"] == ths[i] for x in f["spans"]]
                 if copies[i]:
                     own = [(0, n)] if n >= width else []
                 a, b = union(np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int64))
@@ -204,8 +230,7 @@ def _cut(width: int):
                 n_bytes.append(n)
                 n_removed.append(n - len(kept[-1]))
                 spans.append([{"start": p, "end": q} for p, q in zip(a.tolist(), b.tolist(), strict=True)])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, kind)], ["doc_id", "n_bytes", "n_removed", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, SPAN_TYPE)], ["doc_id", "n_bytes", "n_removed", "kept", "spans"])
 
     return lean(run)
 
@@ -215,27 +240,29 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, group: int =
 
     A byte goes where a string of `width` bytes over it also starts anywhere else, in the same document or another,
     judged on the input.  Null or empty texts have no bytes; repeated rows are occurrences of their own; rows with a
-    null doc_id take no part and keep all.  spans are the maximal removed runs in bytes.  Extra columns are ignored.
+    null doc_id take no part and keep all; an empty table gives no rows.  spans are the maximal removed runs in bytes.
+    Extra columns are ignored.
     """
     spark = docs.sparkSession
     base = id_text(docs)
     texts = by_id(base)
     named = base.filter("doc_id is not null")
-    own = named.mapInArrow(_grams(width, k), "gram long, doc_id long, n long")
-    shared = own.groupBy("gram").agg(F.sum("n").alias("m")).filter("m > 1")
-    usual_or_hot = [F.collect_set(F.when(cond, F.col("gram"))).alias(name) for name, cond in (("usual", F.col("m") <= group), ("hot", F.col("m") > group))]
-    per_doc = own.join(shared, "gram").groupBy("doc_id").agg(*usual_or_hot)
-    digest = named.select("doc_id", F.md5("text").alias("digest"))
-    first = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).filter("rows > 1").select("digest", "rep")
-    copies = digest.join(first, "digest").groupBy("doc_id").agg(F.collect_set("digest").alias("digests"), F.collect_set(F.when(F.col("doc_id") > F.col("rep"), F.col("digest"))).alias("later"))
+    keys = lambda crowded: named.mapInArrow(_keys(width, k, crowded), KEY)
+    shared = materialise(keys([]).groupBy("gram").agg(F.sum("n").alias("m")).filter("m > 1"), "grams")
+    crowded, classes = crowded_groups(keys, shared, group)
+    usual = shared.select("gram", F.lit(0).cast("long").alias("digest"), F.lit(False).alias("whole"), F.lit(None).cast("long").alias("first"))
+    known = usual if classes is None else usual.unionByName(classes.select("gram", "digest", (F.col("n") > 1).alias("whole"), "first"))
+    hits = keys(crowded).select("gram", "digest", "doc_id").join(known, ["gram", "digest"])
+    # A context of a crowded gram is scanned once, for the first document that has it.
+    lists = {"usual": (F.col("digest") == 0, "gram"), "scanned": ((F.col("digest") != 0) & (F.col("doc_id") == F.col("first")), "digest"), "whole": ((F.col("digest") != 0) & F.col("whole"), "digest")}
+    per_doc = hits.groupBy("doc_id").agg(*(F.collect_set(F.when(cond, F.col(c))).alias(name) for name, (cond, c) in lists.items()))
+    copies = named.select("doc_id", F.md5("text").alias("digest")).join(copies_of(named), "digest")
+    copies = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"), F.collect_set(F.when(F.col("doc_id") > F.col("rep"), F.col("digest"))).alias("later"))
     told = per_doc.join(copies, "doc_id", "full")
-    both = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").filter("later is null or not array_contains(later, md5(text))")
-    rows = lambda c: both.filter(f"size({c}) > 0").select("doc_id", "text", F.xxhash64("text").alias("th"), c).mapInArrow(_contexts(width, k), CONTEXT)
-    spans = rows("usual").repartition(tasks(spark), "gram").sortWithinPartitions("gram").mapInArrow(_scan(width), SPAN)
-    hot = rows("hot").mapInArrow(_windows(width), "doc_id long, th long, start int, node binary")
-    often = hot.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
-    deep = hot.join(often, "node").select("doc_id", "th", "start", (F.col("start") + width).alias("end"))
-    found = spans.unionByName(deep).groupBy("doc_id").agg(F.collect_list(F.struct("th", "start", "end")).alias("found"))
-    last = texts.join(found.join(copies, "doc_id", "full").withColumnRenamed("doc_id", "kid"), "kid", "left")
-    is_copy = F.coalesce(F.array_contains("digests", F.md5("text")), F.lit(False))
-    return last.select("doc_id", "text", F.xxhash64("text").alias("th"), is_copy.alias("copy"), "found").mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start: int, end: int>>")
+    both = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").filter("doc_id is not null and (later is null or not array_contains(later, md5(text)))")
+    rows = both.filter("usual is not null").select("doc_id", "text", F.xxhash64("text").alias("th"), *lists).mapInArrow(_contexts(width, k, crowded), CONTEXT)
+    spans = rows.repartition(tasks(spark), "gram").sortWithinPartitions("gram").mapInArrow(_scan(width), f"doc_id long, th long, spans {SPANS}")
+    found = spans.groupBy("doc_id").agg(F.collect_list(F.struct("th", "spans")).alias("found"))
+    last = texts.join(found.join(copies.select("doc_id", "digests"), "doc_id", "full").withColumnRenamed("doc_id", "kid"), "kid", "left")
+    is_copy = F.coalesce(F.array_contains(only_named("digests"), F.md5("text")), F.lit(False))
+    return last.select("doc_id", "text", F.xxhash64("text").alias("th"), is_copy.alias("copy"), only_named("found")).mapInArrow(_cut(width), f"doc_id long, n_bytes long, n_removed long, kept binary, spans {SPANS}")

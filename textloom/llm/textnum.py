@@ -125,6 +125,16 @@ def hasher(buf: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return lambda starts, ends: mix((c[ends] - c[starts]) * down[starts] + (ends - starts).astype(U) * _C3)
 
 
+def byte_grams(buf: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k bytes of up to 2 * TILE bytes, from running sums."""
+    if len(buf) < k:
+        return np.zeros(0, dtype=U)
+    up, down = _powers(2 * TILE)
+    c = np.zeros(len(buf) + 1, dtype=U)
+    np.cumsum((buf.astype(U) + U(1)) * up[: len(buf)], out=c[1:])
+    return mix((c[k:] - c[:-k]) * down[: len(buf) - k + 1])
+
+
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive values, by doubling; position i covers i..i+n-1."""
     m = len(h) - n + 1
