@@ -217,12 +217,15 @@ def find_identifier(title: Column) -> Column:
 
 def file_identifier(name: Column) -> Column:
     """The identifier in a file name: first known prefix, cut at `+A`, without trailing punctuation."""
-    found = F.lit("")
-    for starts, pattern in reversed(FILE_NAMES):
-        begins = reduce(lambda a, b: a | b, (name.startswith(s) for s in starts))
-        found = F.when(begins, F.regexp_extract(name, "^" + pattern, 0)).otherwise(found)
-    cut = F.regexp_replace(F.substring_index(found, "+A", 1), r"[- :+]+$", "")
-    return F.when(F.length(found) > 0, cut).otherwise(name)
+
+    def first_known(n: Column) -> Column:
+        found = F.lit("")
+        for starts, pattern in reversed(FILE_NAMES):
+            begins = reduce(lambda a, b: a | b, (n.startswith(s) for s in starts))
+            found = F.when(begins, F.regexp_extract(n, "^" + pattern, 0)).otherwise(found)
+        return let(found, lambda x: F.when(F.length(x) > 0, F.regexp_replace(F.substring_index(x, "+A", 1), r"[- :+]+$", "")).otherwise(n))
+
+    return let(name, first_known)
 
 
 def tracked_changes(name: Column) -> Column:

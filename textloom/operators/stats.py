@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def smoothed_idf(units: DataFrame, text_col: str = "text") -> DataFrame:
     return held.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("token", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def phrase_counts(docs: DataFrame, id_col: str, text_col: str, phrases: Callable[[Column], Column] = T.phrases) -> DataFrame:
+    """id, n_tokens, n_phrases of each text; `phrases` is the tagger, a column function."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(id_col, F.size(T.tokens(text)).cast("long").alias("n_tokens"), F.size(phrases(text)).cast("long").alias("n_phrases"))
+
+
 def idf_weights(terms: DataFrame, idf: DataFrame, default: float = 0.5) -> DataFrame:
     """term, weight: the mean IDF of a term's tokens; unknown tokens count with the default, no tokens give it."""
     parts = terms.select("term").distinct().select("term", F.explode_outer(T.tokens(F.col("term"))).alias("token"))

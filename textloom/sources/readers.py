@@ -87,7 +87,11 @@ def results_json(spark: SparkSession, path: str) -> DataFrame:
 
 def query_list(spark: SparkSession, path: str) -> DataFrame:
     """query: one per line, stripped; blank lines dropped."""
-    return spark.read.text(path).select(T.strip(F.col("value")).alias("query")).filter("query <> ''")
+    return query_lines(spark.read.text(path))
+
+
+def query_lines(lines: DataFrame) -> DataFrame:
+    return lines.select(T.strip(F.col("value")).alias("query")).filter("query <> ''")
 
 
 def graph_edges(spark: SparkSession, path: str) -> DataFrame:

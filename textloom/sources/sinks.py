@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.common import numbered
+
 from .readers import LABELS
 
 
@@ -55,8 +57,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str, duplicates: str = "overwrit
 
 def split_sets(docs: DataFrame, key: str, train: int = 120, val: int = 40, seed: int = 14) -> DataFrame:
     """docs with `part`: by a seeded hash order, the first rows train, the next ones val, the rest test."""
-    order = F.row_number().over(Window.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)))
-    return docs.withColumn("__n", order).withColumn("part", F.when(F.col("__n") <= train, "train").when(F.col("__n") <= train + val, "val").otherwise("test")).drop("__n")
+    x = numbered(docs.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), ["__h", key], "__n")
+    return x.withColumn("part", F.when(F.col("__n") < train, "train").when(F.col("__n") < train + val, "val").otherwise("test")).drop("__n", "__h")
 
 
 def write_results(ranked: DataFrame, path: str, k: int = 3) -> None:
@@ -71,10 +73,9 @@ def write_samples(rows: DataFrame, key: str, text: str, path: str) -> None:
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 14) -> DataFrame:
     """n rows drawn with replacement, reproducibly: draw i takes the row whose hashed rank is nearest (a sampling operator)."""
-    order = rows.withColumn("__r", F.xxhash64(F.col(key), F.lit(seed)))
     total = rows.count()
     if not total:
         return rows
     draws = rows.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("__n"))
-    numbered = order.withColumn("__n", F.row_number().over(Window.orderBy("__r", F.col(key))) - 1).drop("__r")
-    return draws.join(numbered, "__n").drop("__n")
+    x = numbered(rows.withColumn("__r", F.xxhash64(F.col(key), F.lit(seed))), ["__r", key], "__n")
+    return draws.join(x, "__n").drop("__n", "__r")
