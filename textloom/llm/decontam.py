@@ -5,8 +5,9 @@ span of 13 words always shares a fingerprint.  An item of fewer words is one win
 sequence among all grams of that length.  A hit is extended to whole windows of words, which are compared as text, so
 hash collisions never count.
 
-The fingerprints travel to the tasks with the function only if the benchmark is proven small (MAX_WORDS); beyond that
-documents and items meet in a shuffle join on fingerprints.
+The fingerprints travel to the tasks with the function only if the benchmark is proven small (MAX_WORDS).  Beyond that
+texts and items meet in joins: first on fingerprints, then the windows of texts around shared fingerprints on the windows
+themselves.  Either way each row is judged by its own text, with the same result.
 """
 
 from __future__ import annotations
@@ -91,19 +92,31 @@ def _report(item_words: Windows, text: bytes, s: np.ndarray, e: np.ndarray, near
             if found:
                 items |= found
                 spans.append((i, i + n))
-    merged: list[list[int]] = []
+    merged = _merged(spans)
+    return sum(b - a for a, b in merged), merged, sorted(items)
+
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
     for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
         else:
-            merged.append([a, b])
-    return sum(b - a for a, b in merged), merged, sorted(items)
+            out.append([a, b])
+    return out
 
 
 def _row(n: int, hit: int, spans: list, items: list) -> tuple:
     return (n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0 and 20 * hit >= n, [{"start": a, "end": b} for a, b in spans], items)
 
 
+def _batch(doc_id: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([doc_id, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", *names])
+
+
 def _scan(found: Windows):
     """Fingerprint, look up, extend: all within a batch."""
 
@@ -130,10 +143,7 @@ def _scan(found: Windows):
                         rows.append(_row(n, *_report(found, bytes(buf[offs[r] : offs[r + 1]]), s[x] - offs[r], e[x] - offs[r], hits[r])))
                     else:
                         rows.append((n, 0, 0, clean, False, [], []))
-            names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", *names])
+            yield _batch(batch.column(0), rows)
 
     return run
 
@@ -155,7 +165,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS)
     """
     base, items = id_text(docs), _items(benchmark)
     found = _windows(items, max_words)
-    return base.mapInArrow(lean(_scan(found)), OUT) if found is not None else _joined(base, items)
+    if found is not None:
+        return base.mapInArrow(lean(_scan(found)), OUT)
+    keyed = base.withColumn("key", F.md5("text"))
+    rows = keyed.join(_hits(keyed.select("key", "text"), items), "key", "left")
+    return rows.select("doc_id", "text", "hits", "items").mapInArrow(lean(_judge), OUT)
 
 
 def _windows(items: DataFrame, max_words: int) -> Windows | None:
@@ -170,53 +184,99 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(benchmark["item_id"].cast("string").alias("item"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("text")).filter("item is not null").distinct()
 
 
-def _print_rows(of_items: bool, sizes: list[int]):
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item, size and text of each window of the items."""
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = _words_of(text)
+            n = min(WINDOW, len(words))
+            found = sorted({b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}) if n else []
+            yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array([n] * len(found), pa.int32()), pa.array(found, pa.binary()).cast(pa.string())], ["item", "size", "window"])
+
+
+def _prints(text: pa.Array, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
+    """(first row, offsets, bytes, word starts, word ends, row of each word, [(size, positions, prints, gram length)])."""
+    for first, offs, buf in tn.slices(text):
+        buf = tn.LOWER[buf]
+        s, e, row = tn.words(buf, offs, tn.ALNUM_WORD)
+        h = tn.span_hashes(buf, s, e)
+        found = []
+        for n in sizes:
+            at, prints, k = fingerprints(h, row, n)
+            found.append((n, at, tn.mix(prints + np.uint64(n)), k))
+        yield first, offs, buf, s, e, row, found
+
+
+def _text_prints(sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, offs, buf in tn.slices(batch.column(1)):
-                buf = tn.LOWER[buf]
-                s, e, row = tn.words(buf, offs, tn.ALNUM_WORD)
-                h = tn.span_hashes(buf, s, e)
-                counts = np.bincount(row, minlength=len(offs) - 1)
-                for n in sizes:
-                    at, prints, _ = fingerprints(h, row, n)
-                    if of_items:
-                        own = np.minimum(counts, WINDOW)[row[at]] == n
-                        at, prints = at[own], prints[own]
+            for first, _, _, _, _, row, found in _prints(batch.column(1), sizes):
+                for _, at, prints, _ in found:
                     if len(at):
                         pair = np.unique(np.stack([first + row[at], prints.view(np.int64)], axis=1), axis=0)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[:, 0])), tn.long(tn.mix(pair[:, 1].view(np.uint64) + np.uint64(n)))], ["id", "print"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[:, 0])), tn.long(pair[:, 1])], ["key", "print"])
 
     return lean(run)
 
 
-def _joined(base: DataFrame, items: DataFrame) -> DataFrame:
-    """The way for benchmarks of any size: fingerprints join, then each document meets the items that it may hold."""
-    sizes = list(range(1, WINDOW + 1))
-    theirs = items.select("item", "text").mapInArrow(_print_rows(True, sizes), "id string, print long").distinct()
-    own = base.select("doc_id", "text").filter("doc_id is not null").mapInArrow(_print_rows(False, sizes), "id long, print long")
-    pairs = own.withColumnRenamed("id", "doc_id").join(theirs.withColumnRenamed("id", "item"), "print").select("doc_id", "item").distinct()
-    held = pairs.join(items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item", "text")).alias("held"))
-    both = base.join(materialise(held, "held"), "doc_id", "left")
+def _candidates(sizes: list[int]):
+    """Windows of a text around the fingerprints that it shares with items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                found = Windows((x["item"], _words_of(x["text"])) for x in one.column(2)[0].as_py() or [])
-                yield from _scan(found)(iter([one.select([0, 1])]))
+            shared = batch.column(2)
+            for first, _, buf, s, e, row, found in _prints(batch.column(1), sizes):
+                raw, count = buf.tobytes(), np.bincount(row)
+                ends = np.cumsum(count)
+                for n, at, prints, k in found:
+                    for r in np.unique(row[at]).tolist():
+                        own = row[at] == r
+                        hit = at[own][np.isin(prints[own].view(np.int64), np.asarray(shared[first + r].as_py(), np.int64))]
+                        lo, hi = int(ends[r] - count[r]), int(ends[r]) - n
+                        starts = sorted({i for p in hit.tolist() for i in range(max(lo, p - (n - k)), min(p, hi) + 1)})
+                        windows = [b" ".join(raw[a:b] for a, b in zip(s[i : i + n].tolist(), e[i : i + n].tolist(), strict=True)) for i in starts]
+                        if starts:
+                            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[first + r].as_py()] * len(starts), pa.string()), pa.array([n] * len(starts), pa.int32()), pa.array([i - lo for i in starts], pa.int32()), pa.array(windows, pa.binary()).cast(pa.string())], ["key", "size", "start", "window"])
+
+    return lean(run)
+
 
-    return both.select("doc_id", "text", "held").mapInArrow(lean(run), OUT)
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        counts: list[int] = []
+        for _, offs, buf in tn.slices(batch.column(1)):
+            _, _, row = tn.words(tn.LOWER[buf], offs, tn.ALNUM_WORD)
+            counts += np.bincount(row, minlength=len(offs) - 1).tolist()
+        for n, hits, items in zip(counts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            merged = _merged((x["start"], x["start"] + x["size"]) for x in hits or [])
+            rows.append(_row(n, sum(b - a for a, b in merged), merged, sorted(items or [])))
+        yield _batch(batch.column(0), rows)
+
+
+def _hits(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """key, hits, items of the texts (key, text) that hold windows: the way for benchmarks of any size."""
+    theirs = materialise(items.select("item", "text").mapInArrow(lean(_item_windows), "item string, size int, window string"), "windows")
+    sizes = sorted(r.size for r in theirs.select("size").distinct().collect())  # at most WINDOW numbers
+    prints = materialise(theirs.select(F.lit("").alias("key"), "window").mapInArrow(_text_prints(sizes), "key string, print long").select("print").distinct(), "prints")
+    # Texts that share a print, once each; a print that very many hold is split by the engine.
+    shared = texts.mapInArrow(_text_prints(sizes), "key string, print long").join(prints, "print").groupBy("key").agg(F.collect_set("print").alias("prints"))
+    held = texts.join(materialise(shared, "shared"), "key").dropDuplicates(["key"])
+    near = materialise(held.select("key", "text", "prints").mapInArrow(_candidates(sizes), "key string, size int, start int, window string"), "near")
+    hits = near.join(theirs.select("size", "window").distinct(), ["size", "window"], "left_semi").groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("hits"))
+    found = near.select("key", "size", "window").distinct().join(theirs, ["size", "window"]).groupBy("key").agg(F.collect_set("item").alias("items"))
+    return materialise(hits.join(found, "key"), "held")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """docs without contaminated rows; columns unchanged.
 
-    While the benchmark is small each row is judged by its own text and nothing is shuffled; beyond that, by doc_id:
-    rows that share one go together, rows with a null doc_id stay.
+    Each row is judged by its own text: rows with a null doc_id or with one that others have, too.  Null or empty texts
+    stay; an empty table stays empty.
     """
     items = _items(benchmark)
     found = _windows(items, max_words)
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     if found is not None:
         scan = _scan(found)
 
@@ -226,6 +286,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WO
             batch = pa.RecordBatch.from_arrays([pa.nulls(len(text), pa.int64()), text], ["doc_id", "text"])
             return next(scan(iter([batch]))).column("contaminated").to_pandas()
 
-        return docs.filter(~contaminated(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    bad = _joined(id_text(docs), items).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad_id"], "left_anti")
+        return docs.filter(~contaminated(text))
+    keyed = docs.select(F.md5(text).alias("key"), text.alias("text"))
+    held = keyed.join(_hits(keyed, items), "key").dropDuplicates(["key"])
+    judged = held.select(F.col("key").alias("doc_id"), "text", "hits", "items").mapInArrow(lean(_judge), OUT.replace("doc_id long", "doc_id string"))
+    bad = judged.filter("contaminated").select(F.col("doc_id").alias("bad_key"))
+    return docs.join(bad, F.md5(text) == bad["bad_key"], "left_anti")
