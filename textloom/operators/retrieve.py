@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .common import hint_if_small, top
 
 
+class StoredIndex(Protocol):
+    """What a search needs of an index that is written already (sources/index.py)."""
+
+    def held(self, fields: list[str], wanted: DataFrame) -> DataFrame: ...
+
+    def totals(self, fields: list[str]) -> DataFrame: ...
+
+
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """query_id, term: distinct terms of each query."""
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(T.tokens(T.sanitise_query(F.col(text_col))))).alias("term"))
@@ -28,38 +38,49 @@ def field_stats(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
     return docs.select(F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.size(T.tokens(F.coalesce(F.col(c), F.lit("")))).alias("len")) for name, c in fields.items()))).alias("p")).groupBy("p.field").agg(F.count("*").alias("n"), F.avg("p.len").alias("avg_len"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, id, score, rank: the best k documents for each query; ties by id."""
+def _source(docs: DataFrame | StoredIndex, id_col: str, fields: dict[str, str], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings of the wanted terms, field statistics): read from a stored index or made from the texts."""
+    if isinstance(docs, DataFrame):
+        return postings(docs, id_col, fields, wanted), field_stats(docs, fields)
+    return docs.held(list(fields), wanted), docs.totals(list(fields))
+
+
+def _weight(k1: float, b: float) -> Column:
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+
+
+def bm25_fields(docs: DataFrame | StoredIndex, queries: DataFrame, fields: dict[str, str], weights: dict[str, float] | None = None, id_col: str = "doc_id", query_id: str = "item_id", query_text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, id, score, rank: the best k documents; scores of all fields (each with its own statistics) add up.
+
+    docs: the texts, or a stored index of the fields.  weights: by field, 1 where not given.  Ties by id.
+    """
     terms = query_terms(queries, query_id, query_text)
     small = hint_if_small(terms)  # distinct terms and their df are bounded by the queries' terms
-    wanted = small(terms.select("term").distinct())
-    # Terms are matched before tf is counted, so the aggregation sees queried terms alone.
-    words = docs.select(F.col(id_col).alias("id"), T.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    hits = words.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
-    held = hits.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    totals = F.broadcast(words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len")))
-    df = small(held.groupBy("term").agg(F.count("*").alias("df")))
-    scored = held.join(df, "term").crossJoin(totals)
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    parts = scored.select("term", "id", weight.alias("w")).join(small(terms), "term")
-    scores = parts.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    # Terms are matched before anything is counted or shuffled, so the rest sees queried terms alone.
+    held, totals = _source(docs, id_col, fields, small(terms.select("term").distinct()))
+    df = small(held.groupBy("term", "field").agg(F.count("*").alias("df")))
+    boost = F.create_map(*(x for f in fields for x in (F.lit(f), F.lit(float((weights or {}).get(f, 1.0))))))
+    parts = held.join(df, ["term", "field"]).join(F.broadcast(totals), "field").select("term", "id", (boost[F.col("field")] * _weight(k1, b)).alias("w"))
+    scores = parts.join(small(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top(scores, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
-def bm25f(docs: DataFrame, queries: DataFrame, fields: dict[str, str], weights: dict[str, float], id_col: str = "doc_id", query_id: str = "item_id", query_text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame | StoredIndex, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, field: str = "content") -> DataFrame:
+    """query_id, id, score, rank: the best k documents by one column of the texts, or one field of a stored index."""
+    return bm25_fields(docs, queries, {field: text_col}, None, id_col, query_id, query_text, k, k1, b)
+
+
+def bm25f(docs: DataFrame | StoredIndex, queries: DataFrame, fields: dict[str, str], weights: dict[str, float], id_col: str = "doc_id", query_id: str = "item_id", query_text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Term-centric: per term the best weighted field, summed over terms; df is the largest over fields."""
     terms = query_terms(queries, query_id, query_text)
     used = {f: c for f, c in fields.items() if weights.get(f, 0) > 0}
     small = hint_if_small(terms)
-    held = postings(docs, id_col, used, small(terms.select("term").distinct()))
-    stats = F.broadcast(field_stats(docs, used))
+    held, totals = _source(docs, id_col, used, small(terms.select("term").distinct()))
     df = small(held.groupBy("term", "field").agg(F.count("*").alias("d")).groupBy("term").agg(F.max("d").alias("df")))
     boost = F.create_map(*(x for f in used for x in (F.lit(f), F.lit(float(weights[f])))))
-    scored = held.join(stats, "field").join(df, "term")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = boost[F.col("field")] * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    best = scored.withColumn("w", weight).groupBy("term", "id").agg(F.max("w").alias("w"))
+    scored = held.join(F.broadcast(totals), "field").join(df, "term")
+    best = scored.withColumn("w", boost[F.col("field")] * _weight(k1, b)).groupBy("term", "id").agg(F.max("w").alias("w"))
     scores = best.join(small(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top(scores, ["query_id"], [F.desc("score"), F.col("id")], k)
 

@@ -1,4 +1,7 @@
-"""Whole searches, composed of operators; queries are batches (query_id, query)."""
+"""Whole searches, composed of operators; queries are batches (query_id, query).
+
+`stored` is an index of the documents (sources/index.py); without one the texts are read instead.
+"""
 
 from __future__ import annotations
 
@@ -8,33 +11,68 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..operators import expand, fuse, retrieve, stats
+from ..operators.common import materialise
+from ..sources.index import Index
+
+#: Places of the sources of expansion terms: of equal scores the one met first counts.
+ORDER = {"nn": 0, "kg": 1, "prf": 2}
 
 
-def search(docs: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def search(docs: DataFrame | Index, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """query_id, id, score, rank: the best documents by BM25."""
     return retrieve.bm25(docs, queries, query_id="query_id", query_text="query", k=settings.top_k, k1=settings.bm25_k1, b=settings.bm25_b)
 
 
-def feedback(docs: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def feedback(docs: DataFrame, queries: DataFrame, settings: Settings = Settings(), stored: Index | None = None) -> DataFrame:
     """query_id, source, candidate, ord: terms of the documents that a first search finds."""
-    hits = search(docs, queries, settings).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    hits = search(stored or docs, queries, settings).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
     labels = hits.select("query_id", F.explode(T.phrases(F.col("text"))).alias("label")).groupBy("query_id", "label").agg(F.count("*").alias("n"))
     found = expand.feedback_candidates(labels, expand.query_spans(queries, "query_id", "query"), k=settings.expansions_per_source)
-    return found.select("query_id", F.lit("prf").alias("source"), "candidate", F.col("rank").alias("ord"))
+    return found.select("query_id", F.lit("prf").alias("source"), "candidate", (F.lit(ORDER["prf"] * 1_000_000) + F.col("rank")).alias("ord"))
 
 
-def expand_queries(docs: DataFrame, queries: DataFrame, candidates: DataFrame, weights: dict[str, float], settings: Settings = Settings()) -> DataFrame:
-    """query_id, query, expanded."""
-    idf = stats.smoothed_idf(docs.select(F.explode(T.sentences(F.coalesce("text", F.lit("")))).alias("text")))
+def _of_spans(found: DataFrame, spans: DataFrame, source: str) -> DataFrame:
+    first = spans.groupBy("query_id", "span").agg(F.min("ord").alias("at"))
+    return found.join(first, ["query_id", "span"]).select("query_id", F.lit(source).alias("source"), "candidate", (F.lit(ORDER[source] * 1_000_000) + F.col("at") * 100 + F.col("rank")).alias("ord"))
+
+
+def candidates(docs: DataFrame, queries: DataFrame, settings: Settings = Settings(), stored: Index | None = None, graph: DataFrame | None = None, neighbours: DataFrame | None = None) -> DataFrame:
+    """query_id, source, candidate, ord from feedback and, where given, a term graph and the nearest spans.
+
+    graph: symmetric edges (src, dst, weight); neighbours: (query_id, span, candidate, rank) of query spans.
+    """
     spans = expand.query_spans(queries, "query_id", "query")
-    chosen = expand.select_terms(candidates, spans, idf, weights, k=settings.max_expansions, default=settings.idf_default)
-    return expand.expanded_queries(queries, spans, chosen)
+    out = feedback(docs, queries, settings, stored)
+    if graph is not None:
+        found = expand.graph_candidates(spans, graph, settings.max_degree, settings.expansions_per_source, settings.mode)
+        out = out.unionByName(_of_spans(found, spans, "kg"))
+    if neighbours is not None:
+        found = expand.dissimilar_neighbours(neighbours, settings.expansions_per_source)
+        out = out.unionByName(_of_spans(found, spans, "nn"))
+    return out
+
+
+def chosen_terms(docs: DataFrame, queries: DataFrame, settings: Settings = Settings(), stored: Index | None = None, weights: dict[str, float] | None = None, **sources) -> DataFrame:
+    """query_id, candidate, score, rank: the best candidates of all sources."""
+    idf = stored.idf if stored else stats.smoothed_idf(docs.select(F.explode(T.sentences(F.coalesce("text", F.lit("")))).alias("text")))
+    spans = expand.query_spans(queries, "query_id", "query")
+    found = candidates(docs, queries, settings, stored, **sources)
+    return expand.select_terms(found, spans, idf, weights or {"prf": 1.0}, k=settings.max_expansions, default=settings.idf_default)
+
+
+def expand_queries(docs: DataFrame, queries: DataFrame, settings: Settings = Settings(), stored: Index | None = None, weights: dict[str, float] | None = None, **sources) -> DataFrame:
+    """query_id, query, expanded."""
+    chosen = chosen_terms(docs, queries, settings, stored, weights, **sources)
+    return expand.expanded_queries(queries, expand.query_spans(queries, "query_id", "query"), chosen)
+
 
+def search_expanded(docs: DataFrame, queries: DataFrame, settings: Settings = Settings(), stored: Index | None = None, weights: dict[str, float] | None = None, **sources) -> DataFrame:
+    """query_id, id, score, rank for queries expanded by feedback and the given sources.
 
-def search_expanded(docs: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """query_id, id, score, rank for queries expanded by pseudo-relevance feedback."""
-    longer = expand_queries(docs, queries, feedback(docs, queries, settings), {"prf": 1.0}, settings)
-    return search(docs, longer.select("query_id", F.col("expanded").alias("query")), settings.with_values(top_k=settings.top_k_expanded))
+    The expanded queries are written once: the second search counts their terms before it plans.
+    """
+    longer = materialise(expand_queries(docs, queries, settings, stored, weights, **sources).select("query_id", F.col("expanded").alias("query")), "expanded")
+    return search(stored or docs, longer, settings.with_values(top_k=settings.top_k_expanded))
 
 
 def rank(results: DataFrame, weights: dict[str, float], settings: Settings = Settings()) -> DataFrame:

@@ -13,7 +13,8 @@ from ..functions import text as T
 from ..operators import common, dedup, evaluate, expand, retrieve, stats, tagging, terms, vectors
 from ..sources import readers, sinks
 from . import sql as S
-from .search_queries import IDF, _nearest, _vectors, bm25_sql, _items
+from . import store
+from .search_queries import IDF, _items, _nearest, _vectors, bm25_sql
 from .text_queries import PHRASES, table
 
 QUERIES: dict = {}
@@ -165,8 +166,7 @@ def query_lines(spark, sf_dir):
 
 @query(f"WITH {IDF} SELECT token, CASE WHEN round(idf, 6) > 4 THEN round(round(idf, 6) * 0.8, 6) END AS weight FROM idf")
 def idf_gate(spark, sf_dir):
-    idf = stats.smoothed_idf(table(spark, sf_dir, "documents").select(F.explode(T.sentences(F.col("text"))).alias("text")))
-    return idf.select("token", F.round(stats.gate_tokens(F.round("idf", 6), 4.0, 0.8, 0.5), 6).alias("weight"))
+    return store.main(spark, sf_dir).idf.select("token", F.round(stats.gate_tokens(F.round("idf", 6), 4.0, 0.8, 0.5), 6).alias("weight"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0")
@@ -268,8 +268,8 @@ def title_field(spark, sf_dir):
 SELECT kind, field, count(*) AS n, round(sum(score), 4) AS total FROM r JOIN (VALUES ('hybrid'), ('sparse'), ('dense')) k(kind) ON kind = 'hybrid' OR (kind = 'sparse') = (field = 'bm25') GROUP BY kind, field""")
 def retriever_kinds(spark, sf_dir):
     """Which fields' results a kind of search unites."""
-    docs = table(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", "\n", 1))
-    runs = {"bm25": retrieve.bm25(docs, _items(spark, sf_dir)), "doc_title": retrieve.bm25(docs, _items(spark, sf_dir), text_col="title")}
+    stored = store.main(spark, sf_dir)
+    runs = {"bm25": retrieve.bm25(stored, _items(spark, sf_dir)), "doc_title": retrieve.bm25(stored, _items(spark, sf_dir), field="doc_title")}
     out = None
     for kind in ("hybrid", "sparse", "dense"):
         one = retrieve.fan_out(runs, kind).withColumn("kind", F.lit(kind))

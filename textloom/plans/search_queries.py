@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import evaluate, expand, fuse, retrieve, stats, vectors
 from ..operators.common import top
 from . import sql as S
+from . import store
 from .text_queries import table
 
 QUERIES: dict = {}
@@ -25,11 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a title: their first line."""
-    return table(spark, sf_dir, "documents").withColumn("title", F.substring_index("text", "\n", 1))
-
-
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark")
 
@@ -47,7 +43,7 @@ def bm25_sql(k: int = 10, name: str = "ranked", col: str = "text", q: str = "q")
 
 @query(f"WITH {bm25_sql()} SELECT query_id, id, score, rank FROM ranked")
 def bm25_topk(spark, sf_dir):
-    return retrieve.bm25(table(spark, sf_dir, "documents"), _items(spark, sf_dir))
+    return retrieve.bm25(store.main(spark, sf_dir), _items(spark, sf_dir))
 
 
 FIELDS, WEIGHTS = {"content": "text", "doc_title": "title"}, {"content": 1.0, "doc_title": 2.0}
@@ -61,13 +57,33 @@ b AS (SELECT term, id, max(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 /
 s AS (SELECT query_id, id, round(sum(s), 6) AS score FROM b JOIN q USING (term) GROUP BY query_id, id)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def bm25f_topk(spark, sf_dir):
-    return retrieve.bm25f(_docs(spark, sf_dir), _items(spark, sf_dir), FIELDS, WEIGHTS)
+    return retrieve.bm25f(store.main(spark, sf_dir), _items(spark, sf_dir), FIELDS, WEIGHTS)
+
+
+@query(f"WITH {bm25_sql()} SELECT query_id, id, score, rank FROM ranked")
+def bm25_unindexed(spark, sf_dir):
+    """The same search over texts that have no index."""
+    return retrieve.bm25(table(spark, sf_dir, "documents"), _items(spark, sf_dir))
+
+
+_P = f"SELECT doc_id, text, string_split(text, chr(10))[1] AS title, source, {S.phrases('text')} AS p FROM documents"
+_LONGER = "array_to_string(list_filter(p, lambda x: len(string_split(x, ' ')) >= {}), ', ')"
+_SIX = {"content": "text", "doc_title": "title", "NER_labels": _LONGER.format(1), "filtered_NER_labels": _LONGER.format(2), "filtered_NER_labels_domains": _LONGER.format(3), "neighbours": "source"}
+
+
+@query(f"""WITH {Q_TERMS}, d AS (SELECT doc_id AS id, unnest([{", ".join(f"{{'f': '{f}', 't': {S.tokens(x)}}}" for f, x in _SIX.items())}]) AS x FROM ({_P})), st AS (SELECT x.f AS f, count(*) AS n, avg(len(x.t)) AS a FROM d GROUP BY 1),
+w AS (SELECT id, x.f AS f, len(x.t) AS len, unnest(x.t) AS term FROM d), h AS (SELECT id, f, term, count(*) AS tf, any_value(len) AS len FROM w WHERE term IN (SELECT term FROM q) GROUP BY id, f, term), df AS (SELECT term, f, count(*) AS df FROM h GROUP BY term, f),
+s AS (SELECT query_id, id, round(sum(CASE f WHEN 'doc_title' THEN 2.0 ELSE 1.0 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / a))), 6) AS score FROM h JOIN df USING (term, f) JOIN st USING (f) JOIN q USING (term) GROUP BY query_id, id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def bm25_six_fields(spark, sf_dir):
+    """All six search fields of a stored index; their scores add up, titles twice."""
+    return retrieve.bm25_fields(store.six(spark, sf_dir), _items(spark, sf_dir), store.SIX, {"doc_title": 2.0})
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two fields' results with document, text and labels: content (weight 1) and title (weight 2)."""
-    docs = _docs(spark, sf_dir)
-    runs = {"bm25": retrieve.bm25(docs, _items(spark, sf_dir)), "doc_title": retrieve.bm25(docs, _items(spark, sf_dir), text_col="title")}
+    docs, stored = store.documents(spark, sf_dir), store.main(spark, sf_dir)
+    runs = {"bm25": retrieve.bm25(stored, _items(spark, sf_dir)), "doc_title": retrieve.bm25(stored, _items(spark, sf_dir), field="doc_title")}
     hits = retrieve.fan_out(runs)
     meta = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("doc_title"), F.md5("text").alias("text"), F.array("lang").alias("NER_labels"))
     return hits.join(meta, "id")
@@ -211,8 +227,7 @@ FEATURES = f"{IDF}, {COUNTS}, w AS (SELECT term, avg(coalesce(idf, 0.5)) AS weig
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     terms = docs.select(F.when(F.col("lang") == "en", "fg").otherwise("bg").alias("corpus"), F.explode(T.phrases(F.col("text"))).alias("p")).groupBy(F.lower("p").alias("term"), "corpus").agg(F.count("*").alias("n"))
-    idf = stats.smoothed_idf(docs.select(F.explode(T.sentences(F.col("text"))).alias("text")))
-    return stats.domain_features(terms, idf)
+    return stats.domain_features(terms, store.main(spark, sf_dir).idf)
 
 
 @query(f"WITH {FEATURES} SELECT term, fg, bg, round(score, 6) + 0 AS score FROM feat")
@@ -260,7 +275,7 @@ sp AS (SELECT query_id, t AS span, i AS ord FROM ({S.chain("SELECT * FROM sp0",
 
 def _feedback(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, items = table(spark, sf_dir, "documents"), _items(spark, sf_dir)
-    hits = retrieve.bm25(docs, items).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    hits = retrieve.bm25(store.main(spark, sf_dir), items).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
     labels = hits.select("query_id", F.explode(T.phrases(F.col("text"))).alias("label")).groupBy("query_id", "label").agg(F.count("*").alias("n"))
     return labels, expand.query_spans(items, "item_id", "text")
 
@@ -296,8 +311,7 @@ def prf_terms(spark, sf_dir):
 def qe_select(spark, sf_dir):
     labels, spans = _feedback(spark, sf_dir)
     prf = expand.feedback_candidates(labels, spans, k=10)
-    idf = stats.smoothed_idf(table(spark, sf_dir, "documents").select(F.explode(T.sentences(F.col("text"))).alias("text")))
-    return expand.select_terms(prf.select("query_id", F.lit("prf").alias("source"), "candidate", F.col("rank").alias("ord")), spans, idf, {"prf": 1.0})
+    return expand.select_terms(prf.select("query_id", F.lit("prf").alias("source"), "candidate", F.col("rank").alias("ord")), spans, store.main(spark, sf_dir).idf, {"prf": 1.0})
 
 
 @query(f"""WITH {PRF}, {PRF_TOP}, {_selected(2)}, sa AS (SELECT query_id, list(span ORDER BY ord, span) AS s FROM (SELECT DISTINCT * FROM sp) GROUP BY query_id),
@@ -309,7 +323,61 @@ def search_expanded(spark, sf_dir):
     """Expand, then retrieve again: the whole pipeline."""
     from . import pipelines
 
-    return pipelines.search_expanded(table(spark, sf_dir, "documents"), _items(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+    return pipelines.search_expanded(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), stored=store.main(spark, sf_dir))
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+# Three sources: near spans (vectors of the table stand for those of spans), a graph of phrases that follow each other,
+# and feedback.
+
+_SOURCES = f"""{PRF}, {PRF_TOP}, ph1 AS (SELECT doc_id, unnest(l) AS a, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, {S.phrases('text')} AS l FROM documents)),
+e0 AS (SELECT x.a AS src, y.a AS dst, count(*)::DOUBLE AS weight FROM ph1 x JOIN ph1 y ON x.doc_id = y.doc_id AND y.i = x.i + 1 GROUP BY 1, 2), e AS (SELECT src, dst, min(weight) AS weight FROM (SELECT * FROM e0 UNION ALL SELECT dst, src, weight FROM e0) WHERE src <> dst GROUP BY src, dst),
+deg AS (SELECT src AS node, count(*) AS degree FROM e GROUP BY src), av AS (SELECT e.src AS node, avg(degree) AS avg_degree FROM e JOIN deg ON e.dst = deg.node GROUP BY e.src), ds AS (SELECT DISTINCT query_id, span, ord FROM sp),
+gn AS (SELECT query_id, span, ord, e.dst AS label, round(weight + ln(d2.degree) + ln(avg_degree), 6) AS score FROM ds JOIN deg d1 ON d1.node = span AND d1.degree <= 75 JOIN e ON e.src = span JOIN deg d2 ON d2.node = e.dst JOIN av ON av.node = e.dst AND avg_degree <= 75),
+kg AS (SELECT * FROM (SELECT query_id, span, label AS candidate, row_number() OVER (PARTITION BY query_id, span ORDER BY score, label) AS rank, ord FROM gn WHERE contains(label, span) OR (NOT {ALIKE} AND NOT contains(lower(span), lower(label)))) WHERE rank <= 2),
+{_nearest(5, True).replace("q AS (SELECT * FROM v WHERE id % 50 = 0)", "vq AS (SELECT * FROM v WHERE id % 50 = 0)").replace("FROM q, v", "FROM vq q, v")}, np AS (SELECT ds.query_id, span, p_name AS label, near.rank AS near_rank, ord FROM ds JOIN near ON near.query_id = ds.query_id % 10 * 50 JOIN part ON p_partkey = near.id % 100),
+nn AS (SELECT * FROM (SELECT query_id, span, label AS candidate, row_number() OVER (PARTITION BY query_id, span ORDER BY near_rank, label) AS rank, ord FROM np WHERE NOT contains(lower(span), lower(label)) AND NOT {ALIKE}) WHERE rank <= 2),
+cand AS (SELECT query_id, 'nn' AS source, candidate, ord * 100 + rank AS ord FROM nn UNION ALL SELECT query_id, 'kg', candidate, 1000000 + ord * 100 + rank FROM kg UNION ALL SELECT query_id, 'prf', candidate, 2000000 + rank FROM prf WHERE rank <= 2),
+{IDF}, ca AS (SELECT DISTINCT candidate FROM cand),
+cw AS (SELECT candidate, avg(coalesce(idf, 0.5)) AS weight FROM (SELECT candidate, unnest(CASE WHEN len({S.tokens('candidate')}) = 0 THEN [NULL] ELSE {S.tokens('candidate')} END) AS token FROM ca) LEFT JOIN idf USING (token) GROUP BY candidate),
+cs AS (SELECT query_id, candidate, round(sum(weight * CASE source WHEN 'nn' THEN 0.5 WHEN 'kg' THEN 0.75 ELSE 1.0 END), 6) AS score, min(ord) AS ord FROM cand JOIN cw USING (candidate) WHERE NOT EXISTS (SELECT 1 FROM sp WHERE sp.query_id = cand.query_id AND sp.span = cand.candidate) GROUP BY query_id, candidate),
+chosen AS (SELECT * FROM (SELECT query_id, candidate, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, candidate) AS rank FROM cs) WHERE rank <= 5)"""
+
+
+def _three(spark: SparkSession, sf_dir: str) -> dict:
+    docs, spans = table(spark, sf_dir, "documents"), expand.query_spans(_items(spark, sf_dir), "item_id", "text")
+    p = docs.select("doc_id", T.phrases(F.col("text")).alias("p"))
+    pairs = p.select(F.explode(F.arrays_zip(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))).alias("a"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).alias("b"))).alias("x"))
+    edges = expand.undirected(pairs.groupBy(F.col("x.a").alias("src"), F.col("x.b").alias("dst")).agg(F.count("*").cast("double").alias("weight")))
+    v, q = _vectors(spark, sf_dir)
+    names = table(spark, sf_dir, "part").filter("p_partkey < 100").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("candidate"))
+    near = vectors.search(v, q, 5, "vec_id", "embedding").select(F.col("query_id").alias("at"), (F.col("id") % 100).alias("k"), "rank").join(names, "k")
+    neighbours = spans.distinct().withColumn("at", F.col("query_id") % 10 * 50).join(near, "at").select("query_id", "span", "ord", "candidate", "rank")
+    return {"graph": edges, "neighbours": neighbours}
+
+
+@query(f"WITH {_SOURCES} SELECT query_id, candidate, score, rank FROM chosen")
+def qe_three_sources(spark, sf_dir):
+    """Expansion terms from neighbours, the graph and feedback, weighted by source."""
+    from . import pipelines
+
+    stored = store.main(spark, sf_dir)
+    return pipelines.chosen_terms(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), stored=stored, weights={"nn": 0.5, "kg": 0.75, "prf": 1.0}, **_three(spark, sf_dir))
+
+
+@query(f"""WITH {_SOURCES}, sa AS (SELECT query_id, list(span ORDER BY ord, span) AS s FROM (SELECT DISTINCT * FROM sp) GROUP BY query_id),
+la AS (SELECT query_id, list(translate(candidate, {S.lit(T.CANDIDATE_DELETED)}, '') ORDER BY rank) AS t FROM chosen GROUP BY query_id),
+x AS (SELECT item_id AS query_id, text, list_concat(coalesce(s, []), coalesce(t, [])) AS more FROM benchmark LEFT JOIN sa ON sa.query_id = item_id LEFT JOIN la ON la.query_id = item_id),
+q2 AS (SELECT query_id, unnest(list_distinct({S.tokens(S.strip('translate(y, ' + S.lit(T.QUERY_DELETED) + ', ' + S.lit('') + ')'))})) AS term FROM (SELECT query_id, CASE WHEN len(more) > 0 THEN concat(text, ', ', array_to_string(more, ', ')) ELSE text END AS y FROM x)),
+{bm25_sql(15, "again", q="q2")} SELECT query_id, id, score, rank FROM again""")
+def search_three_sources(spark, sf_dir):
+    """Expand by all three sources, then retrieve again."""
+    from . import pipelines
+
+    return pipelines.search_expanded(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), stored=store.main(spark, sf_dir), weights={"nn": 0.5, "kg": 0.75, "prf": 1.0}, **_three(spark, sf_dir))
 
 
 # Evaluation: per source a ranked list of labelled documents by length; quality is the judgement.
