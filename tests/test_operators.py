@@ -219,6 +219,16 @@ def test_assembly_of_two_halves(spark):
     assert sorted(r.words for r in tagging.assemble_discontiguous(t, "obj").collect()) == [["a", "c"], ["f"]]
 
 
+@pytest.mark.parametrize(
+    ("heads", "want"),
+    [("BD . BD . BD", [[0, 2], [4]]), ("IH . BD", [[0, 2]]), ("BH . BD . IH . BD", [[0, 2], [4], [6]]), ("BH BH . BD . BD", [[0], [1, 3], [5]]), ("BH . BD . BH . BD ID", [[0, 2], [4, 6, 7]]), ("BD", [[0]]), (". .", [])],
+)
+def test_heads_that_halves_take(spark, heads, want):
+    tags = ["PD-pad" if h == "." else f"{h}-obj" for h in heads.split()]
+    t = spark.createDataFrame([("d", [str(i) for i in range(len(tags))], tags)], "doc string, words array<string>, tags array<string>")
+    assert sorted(r.positions for r in tagging.assemble_discontiguous(t, "obj").collect()) == want
+
+
 def test_viterbi(spark):
     import itertools
 

@@ -59,5 +59,8 @@ def register(spark: SparkSession) -> None:
     make("tl_id_part(id STRING, n INT)", "STRING", "get(split(id, '##'), n - 1)")
 
 
-def with_spans(df: DataFrame, text: str, tagger: SpanTagger, out: str = "spans") -> DataFrame:
+def with_spans(df: DataFrame, text: str, tagger: SpanTagger | None, out: str = "spans", weight: float = 1.0) -> DataFrame:
+    """df with the spans of a text; with a weight of 0 or less, or without a tagger, there are none and nothing runs."""
+    if tagger is None or weight <= 0:
+        return df.withColumn(out, F.array().cast("array<string>"))
     return df.withColumn(out, list_column(tagger)(F.col(text)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import global_offsets
+from .common import global_offsets, numbered
 
 
 def smoothed_idf(units: DataFrame, text_col: str = "text") -> DataFrame:
@@ -110,6 +110,17 @@ def inverted(pairs: DataFrame, key: str, value: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(value)).alias("values"))
 
 
+def inverted_blocks(pairs: DataFrame, key: str, value: str, size: int = 10_000) -> DataFrame:
+    """key, block, n, values in order: lists of at most `size` distinct values, for keys that may hold very many."""
+    rows = numbered(pairs.select(key, value).distinct(), [key, value], "__n").withColumn("block", F.floor(F.col("__n") / size))
+    return rows.groupBy(key, "block").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(value)).alias("values"))
+
+
+def passage_profile(passages: DataFrame, by: str, text: str = "content") -> DataFrame:
+    """Per group of passages(by, id, content, n_sentences): documents, passages, distinct ones, characters, sentences."""
+    return passages.groupBy(by).agg(F.countDistinct("id").alias("n_docs"), F.count("*").alias("n_passages"), F.countDistinct(F.md5(text)).alias("n_unique"), F.sum(F.length(text)).cast("long").alias("n_chars"), F.sum("n_sentences").cast("long").alias("n_sentences"))
+
+
 def most_common(rows: DataFrame, key: str, k: int = 20) -> DataFrame:
     """The k most frequent values, ties by value (a top-k report)."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k)

@@ -60,8 +60,8 @@ def tags_to_spans(tagged: DataFrame, key: str = "doc", ignore: tuple[str, ...] =
 def assemble_discontiguous(tagged: DataFrame, kind: str) -> DataFrame:
     """doc, words, positions of spans of one kind, second halves joined to the head that they continue.
 
-    Runs of the kind are read in order: a BH run is a head; a BD run takes the latest head that no half has taken yet
-    and replaces it, or stands alone.  A run that starts with IH or ID continues as a head of its own.
+    Runs of the kind are read in order, and each can be a head, one that starts with IH or ID or a BD run that stands alone
+    as well.  A BD run takes the run before it and replaces it; after that no run can be taken until a BH run begins anew.
     """
     x = tagged.select("doc", F.posexplode(F.arrays_zip("words", "tags")).alias("pos", "t")).select("doc", "pos", F.col("t.words").alias("word"), F.substring("t.tags", 1, 2).alias("head"), F.expr("substring(t.tags, 4)").alias("type"))
     w = Window.partitionBy("doc").orderBy("pos")
@@ -69,9 +69,10 @@ def assemble_discontiguous(tagged: DataFrame, kind: str) -> DataFrame:
     opens = F.col("head").isin("BH", "BD") | ~F.coalesce(F.lag("own").over(w), F.lit(False))
     runs = x.withColumn("n", F.sum(F.when(F.col("own") & opens, 1).otherwise(0)).over(w)).filter("own")
     runs = runs.groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("t"), F.min_by("head", "pos").alias("head"))
-    # A half that directly follows a head run takes it; a second half in a row has none left.
     v = Window.partitionBy("doc").orderBy("n")
-    runs = runs.withColumn("takes", (F.col("head") == "BD") & F.coalesce(F.lag("head").over(v) != "BD", F.lit(False)))
+    runs = runs.withColumn("anew", F.sum(F.when(F.col("head") == "BH", 1).otherwise(0)).over(v)).withColumn("half", (F.col("head") == "BD") & F.lag("n").over(v).isNotNull())
+    halves = F.sum(F.when(F.col("half"), 1).otherwise(0)).over(Window.partitionBy("doc", "anew").orderBy("n"))
+    runs = runs.withColumn("takes", F.col("half") & (halves == 1))
     runs = runs.withColumn("span", F.sum(F.when(F.col("takes"), 0).otherwise(1)).over(v))
     joined = runs.groupBy("doc", "span").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda r: r["t"])).alias("t"))
     return joined.select("doc", F.transform("t", lambda p: p["word"]).alias("words"), F.transform("t", lambda p: p["pos"]).alias("positions"))

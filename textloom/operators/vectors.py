@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -17,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import top
+from .common import materialise, top
 
-#: Queries of a block (at 1,000 dimensions 16 MB).
-BLOCK = 2_000
+#: Queries of a block (at 1,000 dimensions 16 MB), and blocks that the driver holds at a time.
+BLOCK, WAVE = 2_000, 8
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -87,28 +89,43 @@ def _best(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, exclude_sel
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str, metric: str = "euclidean", exclude_self: bool = False) -> DataFrame:
     """query_id, id, distance, rank: the k nearest rows of each query row; ties by id.  dot: distance is the negative.
 
-    queries has the columns of vectors and is read in blocks of BLOCK rows by ranges of its ids.
+    queries has the columns of vectors.  The driver reads WAVE blocks of BLOCK rows at a time; where there are more, the
+    best of each wave's tasks are written before the next wave is read, so neither the driver nor a plan grows with them.
     """
-    rows = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v")).filter("id is not null and v is not null")
-    data = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v")).filter("id is not null and v is not null")
-    out, block = None, []
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v")]
+    rows = queries.select(*columns).filter("id is not null and v is not null")
+    data = vectors.select(*columns).filter("id is not null and v is not null")
+    found = "query_id long, id long, distance double"
 
-    def add(block: list) -> DataFrame:
+    def near(block: list) -> DataFrame:
         ids, m = np.array([r[0] for r in block], np.int64), np.array([list(r[1]) for r in block], np.float64)
-        part = data.mapInArrow(_best(ids, m, k, metric, exclude_self, id_col, vec), "query_id long, id long, distance double")
-        return part if out is None else out.unionByName(part)
-
-    for r in rows.toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            out, block = add(block), []
-    if block:
-        out = add(block)
-    if out is None:
-        return data.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("rank"))
+        return data.mapInArrow(_best(ids, m, k, metric, exclude_self, id_col, vec), found)
+
+    def united(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
+    waves: list[DataFrame] = []
+    parts: list[DataFrame] = []
+    source = rows.toLocalIterator()
+    while block := list(islice(source, BLOCK)):
+        if len(parts) == WAVE:
+            waves.append(materialise(united(parts), "nearest"))
+            parts = []
+        parts.append(near(block))
+    if waves or parts:
+        out = united(waves + parts)
+    else:
+        out = data.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"))
     return top(out, ["query_id"], [F.col("distance"), F.col("id")], k)
 
 
+def search_fields(store: DataFrame, queries: DataFrame, fields: list[str], k: int) -> DataFrame:
+    """query_id, field, id, score, rank: dense retrieval by dot product from vectors(field, id, vec) of each field."""
+    parts = [search(store.filter(F.col("field") == f).select("id", "vec"), queries, k, "id", "vec", metric="dot").withColumn("field", F.lit(f)) for f in fields]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("query_id", "field", "id", (-F.col("distance")).alias("score"), "rank")
+
+
 def classify(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     """query_id, label: inverse-distance vote of neighbours(query_id, id, distance); at distance 0 only those vote."""
     x = neighbours.join(labels, "id")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import text as T
 from ..operators import evaluate, expand, fuse, retrieve, stats, vectors
-from ..operators.common import top
+from ..operators.common import numbered, top
+from ..sources import sinks
 from . import sql as S
 from . import store
 from .text_queries import table
@@ -149,6 +153,8 @@ def result_page(spark, sf_dir):
     return fuse.paginate(o, 2).select("query_id", "doc_title", "rank").join(fuse.page_count(o), "query_id")
 
 
+GRAPH_K = Settings().knn_graph_k
+
 # Vectors: the query set is every row whose id is divisible by 50, against all rows.
 
 V = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, label FROM embeddings), q AS (SELECT * FROM v WHERE id % 50 = 0)"
@@ -170,10 +176,10 @@ def nearest_spans(spark, sf_dir):
     return vectors.search(v, q, 5, "vec_id", "embedding")
 
 
-@query(f"WITH {_nearest(100, False)} SELECT query_id AS src, id AS dst, distance, rank FROM near")
+@query(f"WITH {_nearest(GRAPH_K, False)} SELECT query_id AS src, id AS dst, distance, rank FROM near")
 def knn_graph(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return vectors.search(v, q, 100, "vec_id", "embedding", exclude_self=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance", "rank")
+    return vectors.search(v, q, GRAPH_K, "vec_id", "embedding", exclude_self=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "distance", "rank")
 
 
 @query(f"""WITH {_nearest(50, True)}, l AS (SELECT near.*, label, min(distance) OVER (PARTITION BY query_id) = 0 AS z FROM near JOIN v USING (id)),
@@ -184,6 +190,22 @@ def knn_classify(spark, sf_dir):
     return vectors.classify(vectors.search(v, q, 50, "vec_id", "embedding"), v.select(F.col("vec_id").alias("id"), "label"))
 
 
+_DOT = "round(list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2])), 6)"
+
+
+@query(f"""WITH {V}, d AS (SELECT q.id AS query_id, f AS field, v.id, {_DOT} AS score FROM q, v, (VALUES ('content'), ('doc_title')) x(f) WHERE f = 'content' OR v.label < 5)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, field ORDER BY score DESC, id) AS rank FROM d) WHERE rank <= 10""")
+def dense_fields(spark, sf_dir):
+    """Dense retrieval from a vector store of two fields: all vectors, and those of the first labels."""
+    from ..operators.common import shared_dir
+
+    v, q = _vectors(spark, sf_dir)
+    path = f"{shared_dir(spark)}/textloom/vectors-{uuid.uuid4().hex}"
+    rows = lambda f, df: df.select(F.lit(f).alias("field"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    sinks.write_vectors(rows("content", v).union(rows("doc_title", v.filter("label < 5"))), path)
+    return vectors.search_fields(spark.read.parquet(path), q.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), ["content", "doc_title"], 10)
+
+
 @query(f"WITH {V}, d AS (SELECT q.id AS query_id, v.id, round(-list_sum(list_transform(list_zip(q.v, v.v), lambda p: p[1] * p[2])), 6) AS distance FROM q, v) SELECT * FROM (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
@@ -210,10 +232,13 @@ def mean_vectors(spark, sf_dir):
     return m.select("label", F.round(F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 5).alias("checksum"))
 
 
-@query(f"WITH {_nearest(100, False)} SELECT query_id AS src, count(*) FILTER (label < 5) AS bg_neighbours, count(*) FILTER (label >= 5) AS fg_neighbours FROM near JOIN v USING (id) GROUP BY query_id")
+_SIDES = f"{_nearest(GRAPH_K, False)}, sides AS (SELECT query_id AS src, count(*) FILTER (label < 5) AS bg_neighbours, count(*) FILTER (label >= 5) AS fg_neighbours FROM near JOIN v USING (id) GROUP BY query_id)"
+
+
+@query(f"WITH {_SIDES} SELECT src, bg_neighbours, fg_neighbours FROM sides")
 def neighbour_features(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    edges = vectors.search(v, q, 100, "vec_id", "embedding", exclude_self=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
+    edges = vectors.search(v, q, GRAPH_K, "vec_id", "embedding", exclude_self=True).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
     return stats.neighbour_features(edges, v.filter("label < 5").select(F.col("vec_id").alias("dst")))
 
 
@@ -240,6 +265,15 @@ def domain_terms(spark, sf_dir):
     return stats.domain_terms(_features(spark, sf_dir).withColumn("score", F.round("score", 6))).select("term", "in_domain")
 
 
+@query(f"""WITH {FEATURES}, {_SIDES}, o AS (SELECT term, score, (row_number() OVER (ORDER BY term) - 1) * 50 AS src FROM feat) SELECT term, round(score, 6) >= 0.2 AND coalesce(fg_neighbours, 0) >= 250 AS in_domain FROM o LEFT JOIN sides USING (src)""")
+def domain_terms_by_neighbours(spark, sf_dir):
+    """Both cutoffs: score, and neighbours in the foreground (the query vectors stand for the first terms)."""
+    features = numbered(_features(spark, sf_dir).withColumn("score", F.round("score", 6)), ["term"], "r")
+    sides = neighbour_features(spark, sf_dir).withColumn("r", F.floor(F.col("src") / 50))
+    held = features.select("term", "r").join(sides, "r").select("term", "fg_neighbours")
+    return stats.domain_terms(features.drop("r"), held, score=0.2, least_neighbours=250).select("term", "in_domain")
+
+
 # The term graph: suppliers and parts that meet in line items, weighted by how often.
 
 GRAPH = """e0 AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, count(*)::DOUBLE AS weight FROM lineitem GROUP BY 1, 2), e AS (SELECT src, dst, weight FROM e0 UNION ALL SELECT dst, src, weight FROM e0),

@@ -140,15 +140,33 @@ def term_min_count_compat(spark, sf_dir):
     return stats.frequent_terms(_phrases(spark, sf_dir).select("phrase"), mode="compat")
 
 
-@query(f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {S.sentences(S.space_collapse('text'))} AS x FROM documents),
+PASSAGES = f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {S.sentences(S.space_collapse('text'))} AS x FROM documents),
 e AS (SELECT id, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM d), m AS (SELECT id, s, i, len(string_split(s, ' ')) AS n FROM e),
-r AS (SELECT id, i, n AS cum, 0 AS g FROM m WHERE i = 1 UNION ALL SELECT m.id, m.i, CASE WHEN r.cum + m.n > 100 THEN m.n ELSE r.cum + m.n END, r.g + CASE WHEN r.cum + m.n > 100 THEN 1 ELSE 0 END FROM r JOIN m ON m.id = r.id AND m.i = r.i + 1)
+r AS (SELECT id, i, n AS cum, 0 AS g FROM m WHERE i = 1 UNION ALL SELECT m.id, m.i, CASE WHEN r.cum + m.n > 100 THEN m.n ELSE r.cum + m.n END, r.g + CASE WHEN r.cum + m.n > 100 THEN 1 ELSE 0 END FROM r JOIN m ON m.id = r.id AND m.i = r.i + 1)"""
+
+
+@query(f"""{PASSAGES}
 SELECT r.id, g::BIGINT AS split_id, md5(string_agg(CASE WHEN n > 100 THEN substr(s, 1, 300) ELSE s END, ' ' ORDER BY m.i)) AS digest, count(*) AS n_sentences FROM r JOIN m ON r.id = m.id AND r.i = m.i GROUP BY r.id, g""")
 def passages_greedy(spark, sf_dir):
     p = P.passages(_docs(spark, sf_dir), "doc_id", "text")
     return p.select("id", "split_id", F.md5("content").alias("digest"), "n_sentences")
 
 
+@query(f"""{PASSAGES}, p AS (SELECT r.id, g, string_agg(CASE WHEN n > 100 THEN substr(s, 1, 300) ELSE s END, ' ' ORDER BY m.i) AS content, count(*) AS n_sentences FROM r JOIN m ON r.id = m.id AND r.i = m.i GROUP BY r.id, g)
+SELECT source, count(DISTINCT id) AS n_docs, count(*) AS n_passages, count(DISTINCT md5(content)) AS n_unique, sum(length(content))::BIGINT AS n_chars, sum(n_sentences)::BIGINT AS n_sentences FROM p JOIN documents ON doc_id = id GROUP BY source""")
+def passage_profile(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    p = P.passages(docs, "doc_id", "text").join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
+    return stats.passage_profile(p, "source")
+
+
+@query("SELECT source, ((row_number() OVER (ORDER BY source, doc_id) - 1) // 16)::BIGINT AS block, doc_id FROM documents")
+def inverted_blocks(spark, sf_dir):
+    """Lists of a key in blocks of at most 16 values."""
+    x = stats.inverted_blocks(_docs(spark, sf_dir), "source", "doc_id", 16)
+    return x.select("source", "block", F.explode("values").alias("doc_id"))
+
+
 def _plain_sql(x: str) -> str:
     for a, b in readers.ENTITIES:
         x = f"replace({x}, {S.lit(a)}, {S.lit(b)})"

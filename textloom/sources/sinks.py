@@ -41,6 +41,16 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, overwrite
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def write_vectors(vectors: DataFrame, path: str, overwrite: bool = False) -> None:
+    """vectors(field, id, vec) in a folder of each field, so that a search reads its own field alone."""
+    write_table(vectors.select("field", "id", "vec"), path, ["field"], overwrite)
+
+
+def complete(chunks: int, done: DataFrame, part: str = "chunk") -> bool:
+    """Whether as many parts are written as there are chunks."""
+    return done.select(part).distinct().count() == chunks
+
+
 def missing(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that aren't done yet: how interrupted work is resumed."""
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
