@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.common import materialise, shared_dir
 
-__all__ = ["by_id", "copies_of", "id_text", "lean", "materialise", "only_named", "shared_dir", "table", "tasks"]
+__all__ = ["by_id", "copies_of", "id_text", "lean", "materialise", "only_named", "shared_dir", "some_named", "table", "tasks"]
 
 
 def lean(run: Callable) -> Callable:
@@ -60,6 +60,15 @@ def only_named(col: str) -> Column:
     return F.when(F.col("doc_id").isNotNull(), F.col(col)).alias(col)
 
 
+def some_named(col: str) -> Column:
+    """Whether the row has a doc_id and the array holds anything.
+
+    One condition over both sides of a join: a test of doc_id alone would move below the shuffle of the texts, which then
+    differs from that of other joins and is made twice.
+    """
+    return F.size(F.coalesce(only_named(col), F.array())) > 0
+
+
 def copies_of(named: DataFrame) -> DataFrame:
     """digest, rep (smallest doc_id), last, rows of the texts that several rows hold."""
     digest = named.select("doc_id", F.md5("text").alias("digest"))
