@@ -80,15 +80,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of intermediate tables that this process has written, in order.
+_MADE: list[str] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Delete all that this library has written to the shared folder; results that still read from it must be written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def made() -> int:
+    """How many intermediate tables there are: what forget takes to delete those of later steps alone."""
+    return len(_MADE)
+
+
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate tables written after `since`; results that still read from them must be written before."""
+    for path in _MADE[since:]:
+        remove(spark, path)
+    del _MADE[since:]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -16,8 +16,10 @@ from .common import materialise
 def first_by_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, first_id, keep: the smallest id with the same text is kept."""
     x = docs.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"))
-    first = x.groupBy("digest").agg(F.min("id").alias("first_id"))
-    return x.join(first, "digest").select("id", "first_id", (F.col("id") == F.col("first_id")).alias("keep"))
+    # Repeated texts alone, written, so that the join can split the rows of a text that very many documents have.
+    first = x.groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("digest", "first_id")
+    out = x.join(materialise(first, "first"), "digest", "left").select("id", F.coalesce("first_id", "id").alias("first_id"))
+    return out.select("id", "first_id", (F.col("id") == F.col("first_id")).alias("keep"))
 
 
 def by_identifier(files: DataFrame, path: str = "path") -> DataFrame:
