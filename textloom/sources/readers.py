@@ -81,8 +81,8 @@ def judgements_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JUDGEMENT).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def results_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULT).option("multiLine", True).json(path)
+def results_json(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    return spark.read.schema(RESULT).option("multiLine", not one_per_line).json(path)
 
 
 def query_list(spark: SparkSession, path: str) -> DataFrame:
@@ -132,23 +132,29 @@ def annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return docs, parse_annotations(lines)
 
 
+def entries(json: str | Column) -> Column:
+    """An object's entries, inner values as JSON text; null for anything but an object (such as an address)."""
+    text = F.col(json) if isinstance(json, str) else json
+    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, "map<string,string>"))
+
+
 def regulation_sentences(files: DataFrame, name: str = "name", json_col: str = "json") -> DataFrame:
     """name, section, sub, subsub, text of nested regulations: strings at any depth below a third-level key.
 
     Keys that start with `Appendix A.` and `url` are skipped.
     """
-    level = "map<string,map<string,map<string,string>>>"
-    x = files.select(F.col(name).alias("name"), F.explode(F.from_json(json_col, level)).alias("section", "s")).filter("not startswith(section, 'Appendix A.') and section <> 'url'")
-    x = x.select("name", "section", F.explode("s").alias("sub", "t")).filter("sub <> 'url'").select("name", "section", "sub", F.explode("t").alias("subsub", "v")).filter("subsub <> 'url' and v is not null")
+    x = files.select(F.col(name).alias("name"), F.explode(entries(json_col)).alias("section", "s")).filter("not startswith(section, 'Appendix A.') and section <> 'url'")
+    x = x.select("name", "section", F.explode(entries("s")).alias("sub", "t")).filter("sub <> 'url'").select("name", "section", "sub", F.explode(entries("t")).alias("subsub", "v")).filter("subsub <> 'url' and v is not null")
     strings = F.when(F.col("v").rlike(r"^\s*\["), F.transform(F.regexp_extract_all("v", F.lit(r'"((?:\\.|[^"\\])*)"'), F.lit(1)), lambda q: F.get_json_object(F.concat(F.lit('{"x":"'), q, F.lit('"}')), "$.x"))).otherwise(F.array("v"))
     return x.select("name", "section", "sub", "subsub", F.posexplode(strings).alias("pos", "text"))
 
 
 def definitions(files: DataFrame, json_col: str = "json") -> DataFrame:
     """term: distinct non-empty keys of the `definitions` below sections that start with `Appendix A.`."""
-    x = files.select(F.explode(F.from_json(json_col, "map<string,map<string,map<string,string>>>")).alias("section", "s")).filter("startswith(section, 'Appendix A.')")
-    inner = x.select(F.explode("s").alias("sub", "t")).filter("sub = 'definitions' or map_contains_key(t, 'definitions')")
-    keys = F.when(F.col("sub") == "definitions", F.map_keys("t")).otherwise(F.map_keys(F.from_json(F.col("t")["definitions"], "map<string,string>")))
+    x = files.select(F.explode(entries(json_col)).alias("section", "s")).filter("startswith(section, 'Appendix A.')")
+    inner = x.select(F.explode(entries("s")).alias("sub", "v")).filter("sub <> 'url'")
+    own = F.when(F.col("sub") == "definitions", F.col("v")).otherwise(entries("v")["definitions"])
+    keys = F.map_keys(entries(own))
     return inner.select(F.explode(keys).alias("term")).select(T.normalise_definition(F.col("term")).alias("term")).filter("term <> ''").distinct()
 
 

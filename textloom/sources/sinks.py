@@ -51,6 +51,15 @@ def complete(chunks: int, done: DataFrame, part: str = "chunk") -> bool:
     return done.select(part).distinct().count() == chunks
 
 
+def cached(df: DataFrame, path: str) -> DataFrame:
+    """df as it was written to path, written now if nothing is there yet."""
+    spark = df.sparkSession
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        write_table(df, path, overwrite=True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def missing(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that aren't done yet: how interrupted work is resumed."""
     return df.join(done.select(*keys).distinct(), keys, "left_anti")
