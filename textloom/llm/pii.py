@@ -5,9 +5,10 @@ between matches and the matches themselves alternate, so their lengths add up to
 written without nested backtracking (possessive, with a look-behind at runs), which matches the plain forms exactly and
 stays linear on very long texts.
 
-Kinds: email, ip, card (Luhn), phone, then the ones that need more proof: iban (mod 97) and secret (a quoted
-value behind a key word).  Each span has a score: a base by kind, more with a confirming word within CONTEXT characters
-before it.  Kinds with a checksum or an unmistakable shape stand by themselves; the others need score >= THRESHOLD.
+Kinds: email, ip, card (Luhn), phone, then the ones that need more proof: iban (mod 97), secret (a quoted value), local
+(a telephone number without a country) and ident (an identity number by its shape).  Each span has a score: a base by
+kind, more with a confirming word within CONTEXT characters before it.  Kinds with a checksum or an unmistakable shape
+stand by themselves; secret, local and ident reach THRESHOLD with such a word alone.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ CARD = r"[0-9](?:[ -]?[0-9]){12,}+"  # shorter runs can't pass; runs are maximal
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SECRET = r"(?<=[=:] ?[\"'])[A-Za-z0-9_+/=-]{16,200}+(?=[\"'])"
+LOCAL = r"(?<![0-9+.()-])(?<![0-9+)] )(?:\([0-9]{3}\) ?|[0-9]{3}[ -])[0-9]{3}-[0-9]{4}(?![0-9-])"
+IDENT = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 #: kind: (expression, a substring or class without which nothing can match, base score, context words)
 KINDS: dict[str, tuple[str, str, float, str]] = {
@@ -35,6 +38,8 @@ KINDS: dict[str, tuple[str, str, float, str]] = {
     "phone": (PHONE, r"\+[0-9]", 0.7, r"(?i)phone|tel|call|fax|mobile"),
     "iban": (IBAN, "[A-Z]{2}[0-9]{2}", 0.6, r"(?i)iban|account|konto|cuenta|compte|bank"),
     "secret": (SECRET, r"[=:] ?[\"']", 0.3, r"(?i)token|secret|password|passwd|api|key"),
+    "local": (LOCAL, "[0-9]{3}-[0-9]{4}", 0.3, r"(?i)phone|tel|call|fax|mobile"),
+    "ident": (IDENT, "-[0-9]{2}-", 0.3, r"(?i)ssn|social|identity|passport|\bid\b"),
 }
 
 
@@ -110,5 +115,11 @@ def find(docs: DataFrame) -> DataFrame:
     return base.select("doc_id", *(spans_of(k, F.col("text")).alias(k) for k in KINDS))
 
 
+def likeliest(found: list[str]) -> Column:
+    """The largest score of all kinds' spans, 0 where there are none."""
+    scores = F.transform(F.concat(*(F.col(k) for k in found)), lambda s: s["score"])
+    return F.coalesce(F.array_max(scores), F.lit(0.0))
+
+
 def told(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))

@@ -12,52 +12,64 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base kinds, their digest, all spans and the largest score (none: 0)."""
     found = pii.find(table(spark, sf_dir, "documents"))
     base = ("email", "ip", "card", "phone")
     joined = lambda kinds: F.array_join(F.flatten(F.array(*(pii.told(F.col(k)) for k in kinds))), ",")
+    size = lambda k: F.size(k).cast("long")
+    total = sum((size(k) for k in list(pii.KINDS)[1:]), size(next(iter(pii.KINDS))))
     return found.select(
-        "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in base), F.sha2(joined(base), 256).alias("base_sha256"), joined(pii.KINDS).alias("spans"), *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS if k not in base)
+        "doc_id", *(size(k).alias(f"n_{k}") for k in base), F.sha2(joined(base), 256).alias("base_sha256"), joined(pii.KINDS).alias("spans"), *(size(k).alias(f"n_{k}") for k in pii.KINDS if k not in base), total.alias("n_spans"), pii.likeliest(list(pii.KINDS)).alias("score")
     )
 
 
 def op2_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed sequences of 4096 ids; a null or empty text is its end mark alone."""
     return token_pack.sequences(table(spark, sf_dir, "documents"), tokens.public(TOKENIZER))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with a similarity of 0.8 or more over 4-word shingles; texts without words stand alone."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in windows of benchmark items; null and empty texts have none and are clean."""
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines near an earlier one (an edit for each 30 characters, at most 5) and exact repeats."""
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), edits=5, per=30, every=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.array_join("removed", ",").alias("removed"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document, learnt from labelled ones outside the held-out part; empty texts have one, too."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without words of 13-word windows that a smaller doc_id has; null texts have no words."""
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without bytes of 400-byte strings that start anywhere else; null texts have no bytes."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rule and learnt verdict of every document; null texts have no words and fail."""
     out = quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def op10_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 ids; a null or empty text is a piece of one id."""
     return bestfit.pack(table(spark, sf_dir, "documents"), tokens.public(TOKENIZER))
 
 
