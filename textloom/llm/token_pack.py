@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import textnum as tn
 from .common import id_text, lean
 from .tokens import END, encoder
 
 CAPACITY = 4096
 #: Tokens that a task gathers before it packs (4 bytes each).
 POOL = 8_000_000
+#: Bytes of text that are encoded at a time (a longer text by itself).
+PORTION = 2 << 20
 
 SCHEMA = "sequence_id long, n_tokens int, n_segments int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary"
 
@@ -101,8 +104,9 @@ def _sequences(path: str, capacity: int, pool_tokens: int, pad: int):
         size = 0
         for batch in batches:
             texts = batch.column(1)
-            for at in range(0, batch.num_rows, 1024):
-                for doc, raw in zip(batch.column(0).slice(at, 1024).to_pylist(), code.ids(texts.slice(at, 1024)), strict=True):
+            for at, offs, _ in tn.slices(texts, PORTION):
+                n = len(offs) - 1
+                for doc, raw in zip(batch.column(0).slice(at, n).to_pylist(), code.ids(texts.slice(at, n)), strict=True):
                     raw += END
                     pool += [(doc, i // 4, raw[i : i + 4 * capacity]) for i in range(0, len(raw), 4 * capacity)]
                     size += len(raw) // 4
@@ -131,3 +135,9 @@ def sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, po
 def write(sequences_df: DataFrame, path: str) -> None:
     """The packed matrices as Parquet: one fixed-width row per sequence."""
     sequences_df.write.option("compression", "zstd").parquet(path)
+
+
+def matrix(rows: pa.Table, column: str = "input_ids") -> np.ndarray:
+    """The ids (or positions) of written sequences as a matrix: a row per sequence."""
+    raw = rows.column(column).to_pylist()
+    return np.frombuffer(b"".join(raw), "<u4").reshape(len(raw), -1)
