@@ -1,0 +1,121 @@
+"""Text of PDF files without a library: pages in order, a form feed after each.
+
+What is read: objects and compressed object streams, content streams that are plain or deflated, strings in WinAnsi/Latin-1
+(or two-byte big-endian with a mark).  Fonts with encodings of their own are not decoded; callers with such files pass
+another extractor to `pages`.  A file that can't be read gives no text, and never stops a job.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .readers import pdf_pages
+
+OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+REF = re.compile(rb"(\d+)\s+\d+\s+R")
+TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[-+]?\d*\.?\d+|[A-Za-z'\"*]+", re.S)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b"", b"\n": b""}
+
+
+def _stream(body: bytes) -> bytes:
+    found = STREAM.search(body)
+    if not found:
+        return b""
+    if b"/FlateDecode" in body[: found.start()]:
+        return zlib.decompressobj().decompress(found[1])
+    return found[1] if b"/Filter" not in body[: found.start()] else b""
+
+
+def _objects(raw: bytes) -> dict[int, bytes]:
+    out = {int(n): body for n, body in OBJECT.findall(raw)}
+    for body in list(out.values()):
+        if b"/ObjStm" in body:
+            first = re.search(rb"/First\s+(\d+)", body)
+            text = _stream(body)
+            if first and text:
+                head = [int(x) for x in text[: int(first[1])].split()]
+                places = [*head[1::2], len(text) - int(first[1])]
+                for n, a, b in zip(head[::2], places, places[1:], strict=False):
+                    out.setdefault(n, text[int(first[1]) + a : int(first[1]) + b])
+    return out
+
+
+def _string(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        raw = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() and m[1] < b"8" else ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
+    return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
+
+
+def _page(content: bytes) -> str:
+    out: list[str] = []
+    held: list[bytes] = []
+    for t in TOKEN.findall(content):
+        if t[:1] in b"(<[]" or re.fullmatch(rb"[-+]?\d*\.?\d+", t):
+            held.append(t)
+            continue
+        if t in (b"Tj", b"TJ", b"'", b'"'):
+            if t in (b"'", b'"'):
+                out.append("\n")
+            for x in held:
+                if x[:1] in b"(<":
+                    out.append(_string(x))
+                elif t == b"TJ" and x not in (b"[", b"]") and float(x) < -200:
+                    out.append(" ")  # a wide gap within a line
+        elif t in (b"Td", b"TD") and len(held) > 1 and float(held[-1]) or t in (b"T*", b"Tm"):
+            out.append("\n")
+        held = []
+    return "".join(out).strip("\n")
+
+
+def extract(raw: bytes) -> str:
+    """The text of all pages, each with a form feed behind it."""
+    objects = _objects(raw)
+
+    def kids(n: int, seen: set[int]) -> Iterator[int]:
+        body = objects.get(n, b"")
+        if n in seen:
+            return
+        seen.add(n)
+        tree = re.search(rb"/Kids\s*\[(.*?)\]", body, re.S)
+        if tree:
+            for r in REF.findall(tree[1]):
+                yield from kids(int(r), seen)
+        elif re.search(rb"/Type\s*/Page\b", body):
+            yield n
+
+    roots = [n for n, b in objects.items() if re.search(rb"/Type\s*/Pages\b", b) and b"/Parent" not in b]
+    seen: set[int] = set()
+    pages = [p for r in roots for p in kids(r, seen)] or [n for n, b in sorted(objects.items()) if re.search(rb"/Type\s*/Page\b", b)]
+    out = []
+    for p in pages:
+        found = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", objects[p], re.S)
+        parts = [_stream(objects.get(int(r), b"")) for r in REF.findall(found[1])] if found else []
+        out.append(_page(b"\n".join(parts)) + "\f")
+    return "".join(out)
+
+
+def _safe(extractor: Callable[[bytes], str], raw: bytes) -> str:
+    try:
+        return extractor(bytes(raw))
+    except (ValueError, zlib.error, KeyError, IndexError):
+        return ""
+
+
+def pages(files: DataFrame, extractor: Callable[[bytes], str] = extract) -> DataFrame:
+    """id (the file's name), page_nr, text of files(path, content): cleaned pages as pdf_pages gives them."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"id": f["path"].str.rsplit("/", n=1).str[-1], "t": [_safe(extractor, x) for x in f["content"]]})
+
+    return pdf_pages(files.select("path", F.col("content")).mapInPandas(run, "id string, t string"), "id", "t")
