@@ -11,6 +11,27 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]
 
 
+def test_intermediate_tables_go(spark):
+    before = common.made()
+    one = common.materialise(spark.range(3), "kept")
+    start = common.made()
+    two = common.materialise(spark.range(4), "gone")
+    path = two.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    common.forget(spark, start)
+    assert one.count() == 3 and common.made() == before + 1 and not __import__("os").path.exists(path)
+
+
+def test_common_ngrams_of_skewed_pages(spark):
+    shared = "one two three four five six"
+    pages = [("a", i, f"x{i} {shared} y{i}") for i in range(30)] + [("a", 99, f"{shared} {shared}"), ("b", 1, shared), ("c", 1, "p q r s"), ("c", 2, "q r s p q r"), ("d", 1, None), ("d", 2, "")]
+    from textloom.operators import dedup
+
+    got = dedup.common_ngrams(spark.createDataFrame(pages, "h string, p int, t string"), "h", "p", "t")
+    assert rows(got, "doc") == [("a", shared, 6), ("c", "p q r", 3)]
+    short = dedup.common_ngrams(spark.createDataFrame(pages, "h string, p int, t string"), "h", "p", "t", most=4)
+    assert rows(short.filter("doc = 'a'"), "doc") == [("a", "one two three four", 4)]
+
+
 def test_global_offsets(spark):
     df = spark.createDataFrame([(i * 7, i % 5 + 1) for i in range(400)], "k long, n long")
     got = {r.k: r.before for r in common.global_offsets(df, "k", "n", block=16).collect()}
@@ -76,6 +97,8 @@ def test_knn_blocks(spark, monkeypatch):
     whole = rows(vectors.search(df, df, 2, "id", "v"), "query_id", "rank")
     monkeypatch.setattr(vectors, "BLOCK", 2)
     assert rows(vectors.search(df, df, 2, "id", "v"), "query_id", "rank") == whole
+    monkeypatch.setattr(vectors, "WAVE", 2)  # two written waves and a rest
+    assert rows(vectors.search(df, df, 2, "id", "v"), "query_id", "rank") == whole
 
 
 def test_classify(spark):

@@ -15,3 +15,13 @@ def test_sql_functions(spark):
     plugins.register(spark)
     r = spark.sql("SELECT tl_tokens('Ab, c1') AS a, tl_space_collapse('x  y') AS b, tl_similarity('roof', 'roofs') AS c, tl_id_part('d##2', 2) AS d").first()
     assert (r.a, r.b, r.c, r.d) == (["ab", "c1"], "x y", 80.0, "2")
+
+
+def test_tagger_off(spark):
+    from textloom.functions import plugins
+
+    df = spark.createDataFrame([("a b",), (None,)], "text string")
+    tagger = lambda texts: [t.split() for t in texts]
+    assert [r.spans for r in plugins.with_spans(df, "text", tagger).collect()] == [["a", "b"], []]
+    for off in (plugins.with_spans(df, "text", tagger, weight=0), plugins.with_spans(df, "text", None)):
+        assert [r.spans for r in off.collect()] == [[], []]

@@ -99,3 +99,12 @@ def test_settings():
     assert config.is_off("No") and config.is_off("") and not config.is_off("http://x")
     assert config.enabled_fields({"content": 1, "bm25": 2, "neighbours": 0}) == ["content"]
     assert not config.expands_documents({"neighbours": 1})
+
+
+def test_addresses_beside_sections(spark):
+    from textloom.sources import readers
+
+    text = '{"url":"u","Part 1":{"url":"u","A":{"url":["u"],"a":["one",["two"],null],"b":"three","c":null}},"Appendix A. Terms":{"url":"u","x":{"definitions":{"Fire-Door":{"url":"u"},"":1}}}}'
+    df = spark.createDataFrame([("f", text), ("g", "[1]"), ("h", None)], "name string, json string")
+    assert sorted(r.text for r in readers.regulation_sentences(df).collect()) == ["one", "three", "two"]
+    assert [r.term for r in readers.definitions(df).collect()] == ["fire - door"]
