@@ -10,7 +10,9 @@ others from the end.  Of two lines within `edits` edits, some segment i of the s
 at most i edits before and edits - i behind it; so a line indexes its segments and probes, in its own class and those
 of lines shorter by up to `edits`, the substrings that this allows.  Keys (hashes of class, segment and substring) held
 by one line alone go first, in one shuffle of the keys; only lines with a shared key ship their text, once per key, and
-are verified by banded bit-parallel edit distance, many pairs at a time.  Pairs never leave a task.
+are verified by banded bit-parallel edit distance, many pairs at a time.  Pairs never leave a task.  A key that more than
+CROWD lines share is dealt in blocks of half as many: each two blocks meet in a group of their own, so no group of texts
+grows with the data (though all lines of such a key are compared with each other).
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum as tn
-from .common import by_id, id_text, lean, materialise, tasks
+from .common import by_id, id_text, lean, materialise, only_named, some_named, tasks
 from .substring_dedup import whole_groups
 
 EDITS, MIN_CHARS = 1, 30
 #: Pairs that are verified at a time.
 PAIRS = 20_000
+#: Lines that meet in a group at most.
+CROWD = 4_000
 #: Lengths in a class.
 WIDTH = 30
 U = np.uint64
@@ -134,7 +138,21 @@ def _keys(edits: int, min_chars: int, per: int):
     return lean(run)
 
 
-def _shared(edits: int):
+def groups_of(key: np.ndarray, digest: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, group): the groups in which each row (of distinct lines, ordered by key) meets the others of its key."""
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(heads, len(key)))
+    n = np.repeat(size, size)
+    blocks = np.where(n > crowd, -(-n // max(1, crowd // 2)), 1)
+    row = np.repeat(np.arange(len(key)), blocks)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = (tn.mix(digest.view(U)) % blocks.astype(U)).astype(np.int64)[row]
+    pair = np.minimum(own, other) * (1 << 20) + np.maximum(own, other) + 1
+    whole = key.view(U)[row]
+    return row, np.where(blocks[row] > 1, tn.mix(whole ^ tn.mix(pair.astype(U))), whole).view(np.int64)
+
+
+def _shared(edits: int, crowd: int):
     """The rows (sorted by key) whose key another line holds, of a length within the edits; one of them must index it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,13 +166,15 @@ def _shared(edits: int):
             low, high = np.searchsorted(place, place - edits), np.searchsorted(place, place + edits, side="right")
             indexed = np.append(0, np.cumsum(own))
             held = np.where(own > 0, high - low > 1, indexed[high] > indexed[low])
-            yield pa.RecordBatch.from_arrays([pa.array(key[held]), pa.array(digest[held])], ["key", "digest"])
+            key, digest = key[held], digest[held]
+            row, group = groups_of(key, digest, crowd)
+            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(group), pa.array(digest[row])], ["key", "group", "digest"])
 
     return lean(run)
 
 
 def _candidates(edits: int, per: int, min_chars: int):
-    """Lines that first occur in the document and have shared keys: a row per shared key, with text."""
+    """Lines that first occur in the document and have shared keys: a row per group of each, with text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,19 +188,23 @@ def _candidates(edits: int, per: int, min_chars: int):
                 size = np.array([len(x) for x in chosen])
                 start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
                 good = tn.span_hashes(cp, start, start + size).view(np.int64) == np.array([d for _, d, _ in wanted])
-                shared = [set(k) for _, _, k in wanted]
+                shared: list[dict[int, list[int]]] = [{} for _ in wanted]
+                for own, (_, _, keys) in zip(shared, wanted, strict=True):
+                    for x in keys:
+                        own.setdefault(x["key"], []).append(x["group"])
                 rows: dict[tuple[int, int], bool] = {}
-                told_keys = np.array([k for _, _, x in wanted for k in x], np.int64)
+                told_keys = np.array([k for own in shared for k in own], np.int64)
                 for j, key, told in keys_of(cp, start, start + size, edits, per, min_chars):
                     hit = np.isin(key.view(np.int64), told_keys)
                     j, key, indexed = j[hit], key[hit], (told[hit] & U(1)).astype(bool)
                     for n, k, own in zip(j.tolist(), key.view(np.int64).tolist(), indexed.tolist(), strict=True):
-                        if good[n] and k in shared[n]:
-                            rows[(n, k)] = own or rows.get((n, k), False)
+                        if good[n]:
+                            for group in shared[n].get(k, ()):
+                                rows[(n, group)] = own or rows.get((n, group), False)
                 if rows:
                     at = [n for n, _ in rows]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([k for _, k in rows], pa.int64()), pa.array([wanted[n][1] for n in at], pa.int64()), pa.array([doc] * len(at), pa.int64()), pa.array([wanted[n][0] for n in at], pa.int32()), pa.array(list(rows.values()), pa.bool_()), pa.array([chosen[n] for n in at], pa.string())],
+                        [pa.array([g for _, g in rows], pa.int64()), pa.array([wanted[n][1] for n in at], pa.int64()), pa.array([doc] * len(at), pa.int64()), pa.array([wanted[n][0] for n in at], pa.int32()), pa.array(list(rows.values()), pa.bool_()), pa.array([chosen[n] for n in at], pa.string())],
                         ["key", "digest", "doc_id", "line", "indexed", "text"],
                     )
 
@@ -294,7 +318,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([len(x) for x in gone], pa.int64()), pa.array(kept, pa.string()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "n_lines", "n_removed", "kept", "removed"])
 
 
-def _removed(base: DataFrame, texts: DataFrame, edits: int, min_chars: int, per: int, every: bool) -> DataFrame:
+def _removed(base: DataFrame, texts: DataFrame, edits: int, min_chars: int, per: int, every: bool, crowd: int) -> DataFrame:
     """(gone_id, gone): the numbers of the lines that each document loses."""
     spark = base.sparkSession
     if min_chars <= edits:
@@ -306,34 +330,36 @@ def _removed(base: DataFrame, texts: DataFrame, edits: int, min_chars: int, per:
     first = materialise(places.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "lines")
     keys = named.mapInArrow(_keys(edits, min_chars, per), "key long, digest long")
     keys = keys.repartition(tasks(spark), F.shiftright("key", 7)).sortWithinPartitions("key")
-    shared = keys.select(F.expr("key & ~127L").alias("key"), F.expr("key & 127L").alias("told"), "digest").mapInArrow(_shared(edits), "key long, digest long")
-    of_line = shared.groupBy("digest").agg(F.collect_set("key").alias("keys"))
+    shared = keys.select(F.expr("key & ~127L").alias("key"), F.expr("key & 127L").alias("told"), "digest").mapInArrow(_shared(edits, crowd), "key long, group long, digest long")
+    of_line = shared.groupBy("digest").agg(F.collect_set(F.struct("key", "group")).alias("keys"))
     told = of_line.join(first, "digest").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest", "keys")).alias("told"))
-    rows = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").select("doc_id", "text", "told").mapInArrow(_candidates(edits, per, min_chars), "key long, digest long, doc_id long, line int, indexed boolean, text string")
+    rows = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").filter(some_named("told")).select("doc_id", "text", "told").mapInArrow(_candidates(edits, per, min_chars), "key long, digest long, doc_id long, line int, indexed boolean, text string")
     near = rows.repartition(tasks(spark), "key").sortWithinPartitions("key").mapInArrow(_verified(edits, per), "digest long").distinct()
     decided = first.join(near.withColumn("near", F.lit(True)), "digest", "left").filter("n > 1 or near").select("digest", F.when(F.col("near").isNull(), F.col("first")).alias("spared"))
-    gone = places.join(decided, "digest").filter("spared is null or spared.doc_id <> doc_id or spared.line <> line")
+    # Written, so that the join can split the places of a very common line.
+    gone = places.join(materialise(decided, "decided"), "digest").filter("spared is null or spared.doc_id <> doc_id or spared.line <> line")
     return gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0, every: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0, every: bool = False, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_lines, n_removed, kept (text of the remaining lines), removed (line numbers) for each row of docs.
 
     per: one edit for each so many characters of the shorter line, at most edits (0: edits at any length).  every: lines
     under min_chars lose their exact repeats too, but for blank ones.
     Null or empty texts have one empty line.  Rows with a null doc_id take no part and keep all lines.  Rows that share
-    a doc_id count as one document: its first occurrence of a line is spared in each.  Extra columns are ignored.
+    a doc_id count as one document: its first occurrence of a line is spared in each.  An empty table gives no rows.
+    Extra columns are ignored.
     """
     base = id_text(docs)
     texts = by_id(base)
-    both = texts.join(_removed(base, texts, edits, min_chars, per, every), F.col("kid") == F.col("gone_id"), "left")
-    return both.select("doc_id", "text", "gone").mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept string, removed array<int>")
+    both = texts.join(_removed(base, texts, edits, min_chars, per, every, crowd), F.col("kid") == F.col("gone_id"), "left")
+    return both.select("doc_id", "text", only_named("gone")).mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept string, removed array<int>")
 
 
 def replace_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, per: int = 0, every: bool = False) -> DataFrame:
     """docs with `text` (and n_chars, where there is one) without near-duplicate lines; all rows and columns stay."""
     base = id_text(docs)
-    gone = _removed(base, by_id(base), edits, min_chars, per, every)
+    gone = _removed(base, by_id(base), edits, min_chars, per, every, CROWD)
     # The whole row travels as one struct: no column of docs can clash with a working name.
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     both = rows.join(gone, rows["row"]["doc_id"].cast("long") == gone["gone_id"], "left")
