@@ -61,6 +61,32 @@ def test_op1(spark, sf_dir, real):
     compare(queries.op1_pii(spark, sf_dir), want, ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"])
 
 
+def test_context_words_decide(spark):
+    rows = [(1, "call me on (555) 123-4567 now"), (2, "part (555) 123-4567 now"), (3, "ssn 123-45-6789"), (4, "item 123-45-6789"), (5, 'token = "abcDEF0123456789xyz"'), (6, 'colour = "abcDEF0123456789xyz"'), (7, "+1 (555) 123-4567 tel"), (8, "tel 555-123-4567"), (9, "fax 1555-123-45678"), (10, None)]
+    found = {r.doc_id: r for r in pii.find(table(spark, rows)).collect()}
+    n = lambda i: tuple(len(found[i][k]) for k in ("phone", "secret", "local", "ident"))
+    assert [n(i) for i in range(1, 11)] == [(0, 0, 1, 0), (0, 0, 0, 0), (0, 0, 0, 1), (0, 0, 0, 0), (0, 1, 0, 0), (0, 0, 0, 0), (1, 0, 0, 0), (0, 0, 1, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+    assert found[1]["local"][0]["score"] == pytest.approx(0.6) and found[8]["local"][0][1:3] == (4, 16)
+    top = {r[0]: r[1] for r in pii.find(table(spark, rows)).select("doc_id", pii.likeliest(list(pii.KINDS))).collect()}
+    assert top[10] == 0 and top[1] == pytest.approx(0.6) and top[2] == 0
+
+
+def test_proofs_against_plain_versions(spark):
+    """Account numbers with every rest, against a plain mod 97; every span lies where its text says."""
+    rng = random.Random(8)
+
+    def account(rest):
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        code = int("".join(str(int(c, 36)) for c in body + "DE00"))
+        return f"DE{(98 - code % 97 + rest) % 97:02d}{body}"
+
+    rows = [(i, f"iban {account(i)} end") for i in range(97)]
+    right = {d for d, t in rows if int("".join(str(int(c, 36)) for c in t.split()[1][4:] + t.split()[1][:4])) % 97 == 1}
+    found = pii.find(table(spark, rows)).select("doc_id", "iban").collect()
+    assert {r.doc_id for r in found if r.iban} == right and 0 in right
+    assert all((s.start, s.end) == (5, 27) for r in found for s in r.iban)
+
+
 def test_op3(spark, sf_dir, real):
     compare(queries.op3_minhash(spark, sf_dir), brute.near(real), ["n_shingles", "component_id", "kept"])
 
@@ -154,6 +180,23 @@ def test_edits_grow_with_length(spark):
     assert out == [i for i, x in enumerate(lines) if x in near or first[x] != i and x.strip()]
 
 
+@pytest.mark.parametrize("crowd", [2, 7])
+def test_crowded_lines_are_dealt_in_blocks(spark, crowd):
+    """Very many different lines share a segment; a few of them are near copies."""
+    rng = random.Random(crowd)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    start = word(24)
+    lines = [start + word(20) for _ in range(40)]
+    for x in lines[:15]:
+        at = rng.randrange(len(x))
+        lines.append(x[:at] + "X" + x[at + rng.randint(0, 1) :])
+    rng.shuffle(lines)
+    docs = [(i, "\n".join(lines[i * 5 : i * 5 + 5])) for i in range(11)]
+    want = {k: (v[3],) for k, v in brute.lines(docs).items()}
+    assert sum(len(v[0]) > 0 for v in want.values()) > 3
+    compare(line_dedup.dedup_lines(table(spark, docs), crowd=crowd).withColumn("gone", F.array_join("removed", ",")), want, ["gone"])
+
+
 def test_banded_distance():
     rng = random.Random(4)
     pairs = []
@@ -165,9 +208,8 @@ def test_banded_distance():
             b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
         if len(b) > 4:
             pairs.append((a, "".join(b)))
-    points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
     for k in (0, 1, 2, 3, 4):
-        got = line_dedup.within([points(a) for a, _ in pairs], [points(b) for _, b in pairs], k)
+        got = line_dedup.within([a for a, _ in pairs], [b for _, b in pairs], k)
         assert got.tolist() == [brute.edits(a, b) <= k for a, b in pairs]
 
 
@@ -195,6 +237,61 @@ def test_contamination_both_ways(spark, most):
     compare(decontam.overlaps(table(spark, DOCS), items, most), brute.contamination(DOCS, ITEMS), ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
+def test_repeated_ids_are_one_document(spark):
+    rng = random.Random(9)
+    a, b = ([f"{c}{rng.randrange(10**6)}" for _ in range(200)] for c in "ab")
+    near = lambda x: " ".join([*x[:100], "changed", *x[101:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (0, "alone " + " ".join(b[:30])), (None, " ".join(a))]
+    want = None
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        got = sorted(map(str, minhash.near_duplicates(table(spark, order), k=4).collect()))
+        assert want in (None, got)
+        want = got
+    assert sum("component_id=1" in x for x in want) == 4
+
+
+@pytest.mark.parametrize("crowd", [2, 8])
+def test_crowded_buckets_lose_no_link(spark, crowd, monkeypatch):
+    """Every document shares one band; pairs and a chain beside a large component have no other way to meet."""
+    rng = random.Random(crowd)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    base = [word() for _ in range(120)]
+    texts = [" ".join([*base[:i], word(), *base[i + 1 :]]) for i in range(20)]
+    for _ in range(12):
+        x = [word() for _ in range(120)]
+        texts += [" ".join(x), " ".join([*x[:60], word(), *x[61:]])]
+    docs = list(enumerate(rng.sample(texts, len(texts))))
+    plain = minhash._signatures
+
+    def one_band(k):
+        run = plain(k)
+
+        def go(batches):
+            import pyarrow as pa
+
+            for out in run(batches):
+                own = [[] if x is None or not len(x) else [7, *x[1:]] for x in out.column("bands").to_pylist()]
+                shared = [[x[0], *(hash((j, i, out.column("doc_id")[r].as_py())) for i, j in enumerate(x[1:]))] if x else [] for r, x in enumerate(own)]
+                yield out.set_column(4, "bands", pa.array(shared, pa.list_(pa.int64())))
+
+        return go
+
+    monkeypatch.setattr(minhash, "_signatures", one_band)
+    compare(minhash.near_duplicates(table(spark, docs), k=4, crowd=crowd), brute.near(docs), ["n_shingles", "component_id", "kept"])
+
+
+def test_contamination_is_the_same_at_any_size(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    items = spark.createDataFrame([(1, long), (2, "three words here"), (3, " ".join(f"w{i}" for i in range(5, 25))), (None, "x")], "item_id long, text string")
+    rows = [(None, f"before {long} after"), (None, None), (5, "clean text of its own"), (5, f"a three words here b {long}"), (6, "Three, WORDS... here!"), (7, ""), (7, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17")]
+    t = table(spark, rows + rows[:2])
+    cols = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items"]
+    told = [sorted(map(str, decontam.overlaps(t, items, most).select("doc_id", *cols).collect())) for most in (decontam.MAX_WORDS, 0)]
+    assert told[0] == told[1] and sum("contaminated=True" in x for x in told[0]) == 5
+    left = [sorted(str(tuple(r)) for r in decontam.decontaminate(t, items, most).select("doc_id", "text").collect()) for most in (decontam.MAX_WORDS, 0)]
+    assert left[0] == left[1] and len(left[0]) == 4
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark):
     rows = [(None, "a " * 30), (None, None), (5, "b " * 300), (5, "b " * 300), (5, "c d " * 200), (2, "b " * 300)]
     t = table(spark, rows)
@@ -219,7 +316,7 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
         for most in (decontam.MAX_WORDS, 0):
             assert decontam.decontaminate(docs, items, most).columns == docs.columns
     left = [decontam.decontaminate(t, items, most).count() for most in (decontam.MAX_WORDS, 0)]
-    assert left == [5, 3]  # the text of "c d" alone holds a benchmark window; the join judges by doc_id
+    assert left == [5, 5]  # the text of "c d" alone holds a benchmark window
     kept = {(r.doc_id, r.n_removed) for r in substring_dedup.remove_repeats(t).collect()}
     assert kept == {(None, 0), (5, 300), (5, 0), (2, 0)}
 
@@ -251,6 +348,23 @@ def test_tokens_and_packing(spark, sf_dir, real):
         assert joined == [*encode(t or ""), 1]
 
 
+def test_written_matrices(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path, out = tokens.public(queries.TOKENIZER), str(tmp_path / "packed")
+    docs = [(i, f"text number {i} " * (i * 40)) for i in range(30)] + [(None, None)]
+    packed = token_pack.sequences(table(spark, docs), path, capacity=256, pool_tokens=3000)
+    token_pack.write(packed, out)
+    rows = pq.read_table(out)
+    ids, positions = token_pack.matrix(rows), token_pack.matrix(rows, "position_ids")
+    assert ids.shape == positions.shape == (packed.count(), 256)
+    used = np.array(rows.column("n_tokens").to_pylist())
+    assert used.sum() == sum(len(x) for x in (ids[i, : used[i]] for i in range(len(ids))))
+    for row, ends in zip(positions, rows.column("cu_seqlens").to_pylist(), strict=True):
+        assert all(row[a] == 0 and (np.diff(row[a:b].astype(int)) == 1).all() for a, b in zip(ends, ends[1:]))
+    assert sum(len(x) for x in rows.column("doc_ids").to_pylist()) >= len(docs)
+
+
 def test_packers():
     rng = random.Random(2)
     for n in (0, 1, 50, 400):
@@ -279,8 +393,74 @@ def test_toxicity_holds_out(spark, sf_dir):
 
 def test_maximal_repeats():
     texts = [b"abcdeXabcdeY", b"Zabcde"]
-    got = dict(suffix_dedup.maximal_repeats(texts, 3))
-    assert got == {b"abcde": [(0, 0), (0, 6), (1, 1)]}
+    at = [(t, i) for t, x in enumerate(texts) for i in range(len(x))]  # the dense form: every suffix
+    got = {}
+    for members, e, depth in suffix_dedup.maximal_repeats([texts[t][i:] for t, i in at], [texts[t][:i][::-1] for t, i in at], 3):
+        t, i = at[members[0]]
+        got.setdefault(texts[t][i - e : i + depth], set()).add(tuple(sorted((at[m][0], at[m][1] - e) for m in members)))
+    assert got == {b"abcde": {((0, 0), (0, 6), (1, 1))}}
+
+
+def test_maximal_repeats_differ_on_both_sides():
+    rng = random.Random(11)
+    for _ in range(30):
+        text = bytes(rng.choice(b"ab") for _ in range(rng.randint(2, 40)))
+        want = set()
+        for n in range(2, len(text)):
+            where = {}
+            for i in range(len(text) - n + 1):
+                where.setdefault(text[i : i + n], []).append(i)
+            for x, at in where.items():
+                before, after = {text[i - 1 : i] if i else i for i in at}, {text[i + n : i + n + 1] or -1 for i in at}
+                if len(at) > 1 and len(before) > 1 and len(after) > 1:
+                    want.add((x, tuple(at)))
+        got = set()
+        for members, e, depth in suffix_dedup.maximal_repeats([text[i:] for i in range(len(text))], [text[:i][::-1] for i in range(len(text))], 2):
+            got.add((text[members[0] - e : members[0] + depth], tuple(sorted(m - e for m in members))))
+        assert got == want
+
+
+def test_nodes_of_a_subtree():
+    words = "x a b c d y a b c d e z a b c d e q a b c".split()
+    ids = np.unique(words, return_inverse=True)[1]
+    row = np.array([0] * 5 + [1] * 6 + [2] * 11)[: len(words)]
+    tree = substring_dedup.DeepTree(ids, row, 3)
+    nodes = {(" ".join(words[tree.at[f] : tree.at[f] + d]), n - f + 1, bool(m)) for d, f, n, m in zip(tree.depth, tree.first, tree.last, tree.maximal, strict=True)}
+    assert nodes == {("a b c", 4, True), ("a b c d", 3, True), ("b c d", 3, False), ("a b c d e", 2, True), ("b c d e", 2, False), ("c d e", 2, False)}
+
+
+@pytest.mark.parametrize("group", [30, 5])
+def test_crowded_contexts(spark, group):
+    """One long passage in more documents than a group holds, with differing words in it, and periodic texts."""
+    rng = random.Random(group)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8)))
+    base = [word() for _ in range(160)]
+    docs = [(1, "ab" * 700), (2, "abc" * 500), (3, "abc" * 300)]
+    for i in range(10, 60):
+        x = list(base)
+        for _ in range(rng.randint(0, 3)):
+            x[rng.randrange(len(x))] = word()
+        docs.append((i, " ".join([word(), *x, word()])))
+    docs += [(i, " ".join([word() for _ in range(20)] + base[40:130])) for i in range(60, 100)]
+    t = table(spark, docs + [(None, docs[5][1]), (None, docs[5][1])])
+    named = lambda df: df.filter("doc_id is not null")
+    compare(named(substring_dedup.remove_repeats(t, group=group).withColumn("sha", F.sha2("kept", 256))), brute.substrings(docs), ["n_words", "n_removed", "sha"])
+    compare(named(suffix_dedup.remove_repeats(t, group=group).select("*", F.size("spans").alias("n"), F.sha2("kept", 256).alias("sha"))), brute.byte_runs(docs), ["n_bytes", "n_removed", "n", "sha"])
+    assert substring_dedup.remove_repeats(t, group=group).filter("doc_id is null").agg(F.sum("n_removed")).first()[0] == 0
+
+
+def test_long_texts_come_in_pieces():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    raw = rng.integers(97, 123, 5_000_000).astype(np.uint8)
+    seen = []
+    for first, at, offs, buf in suffix_dedup.pieces(pa.array([raw.tobytes().decode(), "short"]), 400):
+        assert len(buf) <= 2 * suffix_dedup.PIECE and (at > 0 or first in (0, 1))
+        if first == 0:
+            seen.append((at, at + len(buf)))
+            assert (buf == raw[at : at + len(buf)]).all()
+    assert seen[0][0] == 0 and seen[-1][1] == len(raw) and all(b - 399 == a for (_, b), (a, _) in zip(seen, seen[1:]))
 
 
 def test_sketch_estimates_similarity():
