@@ -29,8 +29,10 @@ from .common import by_id, id_text, lean, materialise, only_named, some_named, t
 from .substring_dedup import whole_groups
 
 EDITS, MIN_CHARS = 1, 30
-#: Pairs that are verified at a time.
-PAIRS = 20_000
+#: Pairs that are verified at a time, and code points of one side.
+PAIRS, CELLS = 20_000, 2_000_000
+#: Counters of pairs of neighbouring code points by which lines are told apart first.
+BINS = 64
 #: Lines that meet in a group at most.
 CROWD = 4_000
 #: Lengths in a class.
@@ -178,57 +180,154 @@ def _candidates(edits: int, per: int, min_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, told in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                lines = text.split("\n")
-                wanted = [(x["line"], x["digest"], x["keys"]) for x in told if x["line"] < len(lines)]
-                chosen = [lines[n] for n, _, _ in wanted]
-                if not chosen:
-                    continue
-                cp = np.frombuffer("\n".join(chosen).encode("utf-32-le"), dtype=np.uint32)
-                size = np.array([len(x) for x in chosen])
-                start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-                good = tn.span_hashes(cp, start, start + size).view(np.int64) == np.array([d for _, d, _ in wanted])
-                shared: list[dict[int, list[int]]] = [{} for _ in wanted]
-                for own, (_, _, keys) in zip(shared, wanted, strict=True):
-                    for x in keys:
-                        own.setdefault(x["key"], []).append(x["group"])
-                rows: dict[tuple[int, int], bool] = {}
-                told_keys = np.array([k for own in shared for k in own], np.int64)
-                for j, key, told in keys_of(cp, start, start + size, edits, per, min_chars):
-                    hit = np.isin(key.view(np.int64), told_keys)
-                    j, key, indexed = j[hit], key[hit], (told[hit] & U(1)).astype(bool)
-                    for n, k, own in zip(j.tolist(), key.view(np.int64).tolist(), indexed.tolist(), strict=True):
-                        if good[n]:
-                            for group in shared[n].get(k, ()):
-                                rows[(n, group)] = own or rows.get((n, group), False)
-                if rows:
-                    at = [n for n, _ in rows]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([g for _, g in rows], pa.int64()), pa.array([wanted[n][1] for n in at], pa.int64()), pa.array([doc] * len(at), pa.int64()), pa.array([wanted[n][0] for n in at], pa.int32()), pa.array(list(rows.values()), pa.bool_()), pa.array([chosen[n] for n in at], pa.string())],
-                        ["key", "digest", "doc_id", "line", "indexed", "text"],
-                    )
+            docs, texts, told = (batch.column(i).to_pylist() for i in range(3))
+            at = 0
+            while at < len(texts):  # lines of many documents at a time
+                own, line, digest, chosen, size = [], [], [], [], 0
+                keys: list[tuple[int, int, int]] = []
+                while at < len(texts) and (not size or size + len(texts[at]) < tn.SLICE // 2):
+                    lines = texts[at].split("\n")
+                    for x in told[at]:
+                        if x["line"] < len(lines):
+                            keys += [(len(chosen), k["key"], k["group"]) for k in x["keys"]]
+                            own.append(docs[at])
+                            line.append(x["line"])
+                            digest.append(x["digest"])
+                            chosen.append(lines[x["line"]])
+                    size += len(texts[at])
+                    at += 1
+                if keys:
+                    yield from _rows_of(own, line, np.array(digest, np.int64), chosen, np.array(keys, np.int64), edits, per, min_chars)
 
     return lean(run)
 
 
-def within(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
-    """Whether the edit distance of each pair is <= edits: bit-parallel over the 2 * edits + 1 diagonals of the band.
+def _code(line: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return tn.mix(key.view(U) + tn.mix(line.astype(U)))
+
+
+def _rows_of(own: list, line: list, digest: np.ndarray, chosen: list[str], keys: np.ndarray, edits: int, per: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+    """A row per (line, group) of keys(line, key, group), marked where the line indexes the key."""
+    cp = np.frombuffer("\n".join(chosen).encode("utf-32-le"), dtype=np.uint32)
+    size = np.array([len(x) for x in chosen])
+    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
+    good = tn.span_hashes(cp, start, start + size).view(np.int64) == digest
+    code = _code(keys[:, 0], keys[:, 1])
+    order = np.argsort(code)
+    code = code[order]
+    found, indexed = [], []
+    for j, key, told in keys_of(cp, start, start + size, edits, per, min_chars):
+        c = _code(j, key)
+        lo, hi = np.searchsorted(code, c), np.searchsorted(code, c, side="right")
+        n = np.where(good[j], hi - lo, 0)
+        found.append(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        indexed.append(np.repeat((told & U(1)).astype(bool), n))
+    if not found or not sum(map(len, found)):
+        return
+    row, mark = order[np.concatenate(found)], np.concatenate(indexed)
+    by = np.lexsort((~mark, row))  # of several places of a key in a line an indexing one counts
+    row, mark = row[by], mark[by]
+    first = np.append(True, row[1:] != row[:-1])
+    row, mark = row[first], mark[first]
+    n = keys[row, 0].tolist()
+    for i in range(0, len(n), 4096):
+        x = n[i : i + 4096]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[row[i : i + 4096], 2]), pa.array(digest[x]), pa.array([own[k] for k in x], pa.int64()), pa.array([line[k] for k in x], pa.int32()), pa.array(mark[i : i + 4096]), pa.array([chosen[k] for k in x], pa.string())],
+            ["key", "digest", "doc_id", "line", "indexed", "text"],
+        )
+
+
+class Lines:
+    """Code points of some lines, one after another."""
+
+    def __init__(self, texts: list[str]):
+        self.size = np.array([len(x) for x in texts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+
+    def pairs_of_points(self) -> np.ndarray:
+        """For each line how often each of BINS hashed pairs of neighbouring code points occurs.
+
+        An edit takes away at most two such pairs and brings at most two, so lines k edits apart differ by at most 4 k.
+        """
+        p, last = self.points.astype(U), np.cumsum(self.size) - 1
+        if len(p) < 2:
+            return np.zeros((len(self.size), BINS), np.int32)
+        line = np.repeat(np.arange(len(self.size)), self.size)
+        inside = np.ones(len(p) - 1, bool)
+        inside[last[(self.size > 0) & (last < len(p) - 1)]] = False
+        bins = (tn.mix(p[:-1] * U(1 << 21) + p[1:]) % U(BINS)).astype(np.int64)
+        return np.bincount(line[:-1][inside] * BINS + bins[inside], minlength=len(self.size) * BINS).reshape(-1, BINS).astype(np.int32)
+
+    def matrix(self, start: np.ndarray, size: np.ndarray, blank: int, back: bool = False) -> np.ndarray:
+        """A column per stretch of code points, filled with `blank`; from its end if `back`."""
+        at = np.arange(int(size.max(initial=0)))[:, None]
+        place = start + (size - 1 - at if back else at)
+        return np.where(at < size, self.points[np.clip(place, 0, max(0, len(self.points) - 1))], np.uint32(blank)) if len(self.points) else np.full((len(at), len(size)), blank, np.uint32)
+
+    def _common(self, a: np.ndarray, b: np.ndarray, size: np.ndarray, back: bool) -> np.ndarray:
+        """How many of the first (or last) `size` code points of each pair are alike, up to where they first differ."""
+        starts = [self.start[x] + (self.size[x] - size if back else 0) for x in (a, b)]
+        differ = self.matrix(starts[0], size, 0xFFFFFFFF, back) != self.matrix(starts[1], size, 0xFFFFFFFF, back)
+        return np.where(differ.any(axis=0), differ.argmax(axis=0), size) if len(differ) else size
+
+    def alike(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Whether the edit distance of each pair of lines is <= its limit; every length must exceed the largest one.
+
+        A common beginning and a common end leave the distance as it is: what is between them decides.
+        """
+        out, edits = np.zeros(len(a), bool), int(limit.max(initial=0))
+        least, most = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        head, tail = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        for some in _portions(least):
+            x, y, n = a[some], b[some], least[some]
+            head[some] = self._common(x, y, n, False)
+            tail[some] = np.minimum(self._common(x, y, n, True), n - head[some])
+        near = most - least <= limit
+        out[near & (most - head - tail <= limit)] = True
+        rest = np.flatnonzero(near & ~out)
+        head = np.minimum(head, least - edits - 1)  # as long as the band needs it
+        tail = np.minimum(tail, least - head - edits - 1)
+        m, n = self.size[a] - head - tail, self.size[b] - head - tail
+        for some in _portions(np.maximum(m, n)[rest]):
+            x = rest[some]
+            size = np.maximum(m[x], n[x])
+            left, right = (self.matrix(self.start[y[x]] + head[x], z[x], blank) for y, z, blank in ((a, m, 0xFFFFFFFF), (b, n, 0xFFFFFFFE)))
+            width = int(size.max())
+            left, right = (np.pad(z, ((0, width - len(z)), (0, 0)), constant_values=blank) for z, blank in ((left, 0xFFFFFFFF), (right, 0xFFFFFFFE)))
+            out[x] = banded(left, right, m[x], n[x], edits) <= limit[x]
+        return out
+
+
+def _portions(size: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of about one size at a time: at most PAIRS, or CELLS units of size together."""
+    order, at = np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        n = max(1, min(PAIRS, CELLS // max(1, int(size[order[min(at + PAIRS, len(order)) - 1]]))))
+        yield order[at : at + n]
+        at += n
+
+
+def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
+    """Whether the edit distance of each pair of texts is <= edits; every length must exceed edits."""
+    return Lines([*a, *b]).alike(np.arange(len(a)), np.arange(len(a), 2 * len(a)), np.full(len(a), edits))
+
+
+def banded(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, edits: int) -> np.ndarray:
+    """Edit distances of columns of code points, of m and n rows, where they are <= edits; larger numbers elsewhere.
+
+    Bit-parallel over the 2 * edits + 1 diagonals of the band.
 
     Bit d of a column j stands for row j - edits + d.  The distance is followed along the lowest diagonal, then along
-    the last row.  Every length must exceed edits.
+    the last row.
     """
-    total = len(a)
-    out = np.zeros(total, bool)
-    m, n = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    live = np.flatnonzero(np.abs(m - n) <= edits)
-    if not len(live):
-        return out
-    width, band = int(max(m.max(), n.max())), 2 * edits + 1
+    width, total = a.shape
+    out = np.full(total, 1 << 30, np.int64)
+    live, band = np.arange(total), 2 * edits + 1
     left = np.full((width + 2 * band, total), 0xFFFFFFFF, np.uint32)
-    right = np.full((width, total), 0xFFFFFFFE, np.uint32)
-    for i in range(total):
-        left[edits : edits + m[i], i] = a[i]
-        right[: n[i], i] = b[i]
+    left[edits : edits + width] = a
+    right = b
     ones = U((1 << band) - 1)
     bit = U(1) << np.arange(band, dtype=U)
     vp = np.full(total, ((1 << (edits + 1)) - 1) << edits, U)
@@ -248,7 +347,7 @@ def within(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
         vn[live] = (d0 >> U(1)) & hp
         done = n[live] == j
         if done.any():
-            out[live[done]] = dist[live[done]] <= edits
+            out[live[done]] = dist[live[done]]
         if done.any() or j % 8 == 0:
             live = live[~done & (dist[live] <= 2 * edits + n[live] - m[live])]
             if not len(live):
@@ -256,51 +355,64 @@ def within(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
     return out
 
 
-def later_of_pairs(key: np.ndarray, place: list[tuple[int, int]], indexed: np.ndarray, text: list[str], edits: int, per: int = 0) -> set[int]:
-    """Rows (sorted by key) that have an earlier row of their key within `edits` edits; one of a pair must be indexed."""
-    marked: set[int] = set()
-    order = sorted(range(len(key)), key=lambda i: (key[i], place[i]))
-    groups: list[list[int]] = []
-    for i in order:
-        if groups and key[groups[-1][0]] == key[i]:
-            groups[-1].append(i)
-        else:
-            groups.append([i])
-    points = [np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in text]
-    most = allowed(np.array([len(x) for x in points], np.int64), edits, per).tolist()
-    todo: list[tuple[int, int]] = []
-
-    def verify() -> None:
-        for k in {min(most[i], most[j]) for i, j in todo}:
-            some = [(i, j) for i, j in todo if min(most[i], most[j]) == k]
-            for (_, j), ok in zip(some, within([points[i] for i, _ in some], [points[j] for _, j in some], k), strict=True):
-                if ok:
-                    marked.add(j)
-        todo.clear()
-
-    groups = [g for g in groups if len(g) > 1]
-    turn = 0
-    while groups:
-        for g in groups:
-            i = g[turn]
-            for j in g[turn + 1 :]:
-                if j not in marked and (indexed[i] or indexed[j]) and place[i] < place[j] and abs(len(points[i]) - len(points[j])) <= min(most[i], most[j]):
-                    todo.append((i, j))
-            if len(todo) >= PAIRS:
-                verify()
-        verify()
-        turn += 1
-        groups = [g for g in groups if len(g) > turn + 1]
-    return marked
+def later_of_pairs(key: np.ndarray, place: np.ndarray, line: np.ndarray, indexed: np.ndarray, texts: list[str], edits: int, per: int = 0) -> np.ndarray:
+    """Numbers of lines that have an earlier line of one of their keys within `edits` edits; one of a pair must be indexed.
+
+    A row per key and line: place orders the lines (equal ones are one line), line numbers them from 0.  Each turn takes
+    the next lines of every group against those after them that are not found yet, so a group whose lines are near its
+    first one is done after a turn.
+    """
+    order = np.lexsort((place, key))
+    key, place, line, indexed = key[order], place[order], line[order], indexed[order]
+    of_line = np.zeros(int(line.max(initial=-1)) + 1, np.int64)
+    of_line[line] = order
+    lines = Lines([texts[i] for i in of_line.tolist()])
+    most, bins = allowed(lines.size, edits, per), lines.pairs_of_points()
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    head = np.repeat(heads, np.diff(np.append(heads, len(key))))
+    found = np.zeros(len(of_line), bool)
+    target, turn, step, told = np.arange(len(key)), 0, 1, np.zeros(0, np.int64)
+    while len(target):
+        target = target[(target > head[target] + turn) & ~found[line[target]]]
+        # Lines turn .. turn + step - 1 of each group against its targets, PAIRS at a time.
+        n = np.minimum(step, target - head[target] - turn)
+        each = np.repeat(np.arange(len(target)), n)
+        i = head[target[each]] + turn + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+        j = target[each]
+        pairs = []
+        for x in range(0, len(i), PAIRS):
+            p, q = i[x : x + PAIRS], j[x : x + PAIRS]
+            a, b = line[p], line[q]
+            limit = np.minimum(most[a], most[b])
+            ok = np.flatnonzero((indexed[p] | indexed[q]) & (place[p] < place[q]) & (np.abs(lines.size[a] - lines.size[b]) <= limit))
+            ok = ok[np.abs(bins[a[ok]] - bins[b[ok]]).sum(axis=1) <= 4 * limit[ok]]
+            pairs.append(a[ok] * len(of_line) + b[ok])
+        pair = np.unique(np.concatenate(pairs)) if pairs else told[:0]
+        pair = pair[~np.isin(pair, told)]  # a pair often shares several keys
+        before = int(found.sum())
+        if len(pair):
+            a, b = pair // len(of_line), pair % len(of_line)
+            found[b[lines.alike(a, b, np.minimum(most[a], most[b]))]] = True
+            if turn < 8:
+                told = np.concatenate([told, pair])
+        turn += step
+        # While turns find much, later ones wait for it; then several go together.
+        step = 1 if int(found.sum()) - before > len(target) // 20 else min(2 * step, 256)
+    return np.flatnonzero(found)
 
 
 def _verified(edits: int, per: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            place = list(zip(t.column("doc_id").to_pylist(), t.column("line").to_pylist(), strict=True))
-            digest = t.column("digest").to_numpy()
-            found = later_of_pairs(t.column("key").to_numpy(), place, t.column("indexed").to_numpy(), t.column("text").to_pylist(), edits, per)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(digest[sorted(found)]) if found else [], pa.int64())], ["digest"])
+            doc, number, digest = (t.column(c).to_numpy() for c in ("doc_id", "line", "digest"))
+            # Digests number the lines, first occurrences order them.
+            lines, line = np.unique(digest, return_inverse=True)
+            order = np.lexsort((number, doc))
+            new = np.append(False, (doc[order][1:] != doc[order][:-1]) | (number[order][1:] != number[order][:-1]))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.cumsum(new)
+            found = later_of_pairs(t.column("key").to_numpy(), place, line, t.column("indexed").to_numpy(zero_copy_only=False), t.column("text").to_pylist(), edits, per)
+            yield pa.RecordBatch.from_arrays([pa.array(lines[found], pa.int64())], ["digest"])
 
     return lean(run)
 
@@ -331,6 +443,7 @@ def _removed(base: DataFrame, texts: DataFrame, edits: int, min_chars: int, per:
     keys = named.mapInArrow(_keys(edits, min_chars, per), "key long, digest long")
     keys = keys.repartition(tasks(spark), F.shiftright("key", 7)).sortWithinPartitions("key")
     shared = keys.select(F.expr("key & ~127L").alias("key"), F.expr("key & 127L").alias("told"), "digest").mapInArrow(_shared(edits, crowd), "key long, group long, digest long")
+    shared = materialise(shared, "shared")  # the shuffle of all keys can go before the texts are dealt
     of_line = shared.groupBy("digest").agg(F.collect_set(F.struct("key", "group")).alias("keys"))
     told = of_line.join(first, "digest").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest", "keys")).alias("told"))
     rows = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").filter(some_named("told")).select("doc_id", "text", "told").mapInArrow(_candidates(edits, per, min_chars), "key long, digest long, doc_id long, line int, indexed boolean, text string")
