@@ -72,13 +72,13 @@ def common_ngrams(pages: DataFrame, doc: str, page: str, text: str, least: int =
 
     A gram of all pages is in the shortest one, so each page tells for each word of that one how far it runs alike; the
     least over the pages is what all share.  One pass over the pages, and a row per word of the shortest page is all that
-    is counted.  Documents of one page share nothing; rows that share a page id must each hold the gram.
+    is counted.  Documents of one page share nothing, nor do rows without a document; rows that share a page id must each hold the gram.
     """
-    x = pages.select(F.col(doc).cast("string").alias("doc"), F.col(page).alias("page"), F.split(F.coalesce(F.col(text), F.lit("")), " ").alias("w"))
+    x = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.split(F.coalesce(F.col(text), F.lit("")), " ").alias("w"))
     held = x.groupBy("doc").agg(F.countDistinct("page").alias("pages"), F.min(F.struct(F.size("w").alias("n"), "page", "w")).alias("short"))
     # Written, so that a join can split the rows of a document with very many pages.
     short = materialise(held.filter("pages > 1").select("doc", F.col("short.w").alias("ref")), "shortest")
-    told = x.select("doc", "w").join(short, "doc").mapInPandas(_lengths(least, most), "doc string, n array<int>")
+    told = x.select("doc", "w").join(short, "doc").mapInPandas(_lengths(least, most), f"doc {pages.schema[doc].dataType.simpleString()}, n array<int>")
     run = told.select("doc", F.posexplode("n").alias("pos", "n")).groupBy("doc", "pos").agg(F.min("n").alias("n")).filter(F.col("n") >= least)
     longest = run.groupBy("doc").agg(F.max("n").alias("n"))
     grams = run.join(longest, ["doc", "n"]).join(short, "doc").select("doc", F.array_join(F.slice("ref", F.col("pos") + 1, F.col("n")), " ").alias("ngram"), F.col("n").cast("long").alias("n"))
