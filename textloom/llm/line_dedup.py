@@ -10,7 +10,8 @@ others from the end.  Of two lines within `edits` edits, some segment i of the s
 at most i edits before and edits - i behind it; so a line indexes its segments and probes, in its own class and those
 of lines shorter by up to `edits`, the substrings that this allows.  Keys (hashes of class, segment and substring) held
 by one line alone go first, in one shuffle of the keys; only lines with a shared key ship their text, once per key, and
-are verified by banded bit-parallel edit distance, many pairs at a time.  Pairs never leave a task.  A key that more than
+are verified by banded bit-parallel edit distance, many pairs at a time, after bounds that no near pair escapes (lengths,
+counts of neighbouring code points, common ends).  Pairs never leave a task.  A key that more than
 CROWD lines share is dealt in blocks of half as many: each two blocks meet in a group of their own, so no group of texts
 grows with the data (though all lines of such a key are compared with each other).
 """
