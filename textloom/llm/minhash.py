@@ -262,7 +262,7 @@ def _dealt(open_: DataFrame, crowd: int) -> DataFrame:
     parts = [
         inside.withColumn("key", group("block", "other")).withColumn("side", F.lit(1)),
         outside.withColumn("key", group("other", "block")).withColumn("side", F.lit(2)),
-        rest.withColumn("key", group(F.lit(-2), F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", F.lit(0)),
+        rest.withColumn("key", group(F.lit(-2), F.least("block", "other"), F.greatest("block", "other"))).withColumn("side", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)),
     ]
     out = small
     for p in parts:
