@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, decontam, line_dedup, minhash, pii, quality_rules, substring_dedup, suffix_dedup, token_pack, tokens, toxicity
+from . import bestfit, decontam, fim, license_scan, line_dedup, minhash, pii, quality_rules, substring_dedup, suffix_dedup, token_pack, tokens, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,7 +73,21 @@ def op10_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"), tokens.public(TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_token_pack, op3_minhash, op4_decontaminate, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_suffix_dedup, op9_quality_rules, op10_bestfit)}
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fill-in-middle form and digests of it and of the text rebuilt from it; null texts are empty and plain."""
+    out = fim.transform(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document; null texts have no words."""
+    out = license_scan.scan(table(spark, sf_dir, "documents"))
+    told = F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["start"], m["overlap"]))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", F.array_join(F.sort_array(told), ",").alias("blocks"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_token_pack, op3_minhash, op4_decontaminate, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_suffix_dedup, op9_quality_rules, op10_bestfit, op12_fim, op13_licenses)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -82,6 +96,13 @@ _ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 #: DuckDB SQL for whole results, where SQL can express them: a trained model, a tokenizer, edit distances over code
 #: points and look-behind expressions are beyond it; those queries are tested against brute force.
 ORACLES: dict[str, str] = {
+    "op12_fim": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+n AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, list_transform(range(0, 4), lambda i: ('0x' || substr(h, 1 + 8 * i, 8))::BIGINT) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM n),
+f AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(t) AS restored_sha256 FROM f""",
     "op3_minhash": f"""WITH RECURSIVE d AS (SELECT doc_id, {_SPACED.format(_LOWER.format("text"))} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS x FROM d),
 u AS (SELECT doc_id, unnest(x) AS h FROM s), n AS (SELECT doc_id, len(x)::BIGINT AS n FROM s),
@@ -108,3 +129,25 @@ t AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a)
 k AS (SELECT doc_id, count(*) AS n, sum(z - a) AS gone, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(z) AS tail FROM t JOIN b USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN n IS NULL THEN x ELSE concat(kept, substr(x, 2 * tail + 1)) END)) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)""",
 }
+
+
+def _licenses() -> str:
+    """All blocks of all texts against all templates, and the phrases' places word by word."""
+    words = _ALNUM.format(_LOWER.format("text"))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({i}, {quoted(label)}, {quoted(text)})" for i, (label, text) in enumerate(license_scan.TEMPLATES))
+    phrases = ", ".join(f"({quoted(p)}, {quoted(label)})" for p, label in license_scan.PHRASES.items())
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {words} AS w FROM documents), t0 AS (SELECT template, label, {words} AS w FROM (VALUES {templates}) v(template, label, text)),
+s AS (SELECT 1 AS s UNION ALL SELECT 2 * s FROM s WHERE s < 1024), t AS (SELECT template, label, list_distinct(w) AS tokens, (SELECT min(s) FROM s WHERE s >= len(w)) AS s FROM t0),
+b AS (SELECT doc_id, s, i * s AS start, list_distinct(w[i * s + 1:i * s + 2 * s]) AS held FROM (SELECT doc_id, w, s, unnest(range(0, (len(w) - 1) // s + 1)) AS i FROM d, (SELECT DISTINCT s FROM t) WHERE len(w) > 0)),
+m AS (SELECT doc_id, template, label, start, len(list_intersect(held, tokens)) AS n, len(tokens) AS size FROM b JOIN t USING (s)),
+h AS (SELECT doc_id, max(n / size) AS share, list(DISTINCT label) AS labels, string_agg(concat(template, ':', start, ':', n), ',' ORDER BY concat(template, ':', start, ':', n)) AS blocks FROM m WHERE n >= greatest(1, ceil({license_scan.THRESHOLD} * size - 1e-9)) GROUP BY doc_id),
+p AS (SELECT string_split(phrase, ' ') AS x, label FROM (VALUES {phrases}) v(phrase, label)),
+a AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(x)] = x)) AS pos FROM d, p),
+f AS (SELECT doc_id, count(*) AS n, min(pos) AS lo, max(pos) AS hi, list(DISTINCT label) AS labels FROM a GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(f.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(array_to_string(list_sort(f.labels), ','), '') AS base_labels,
+coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(f.labels, []), coalesce(h.labels, [])))), ','), '') AS labels,
+greatest(coalesce(share, 0.0::DOUBLE), CASE WHEN f.n > 0 THEN {license_scan.BASE_SCORE}::DOUBLE ELSE 0.0::DOUBLE END) AS score, coalesce(blocks, '') AS blocks FROM d LEFT JOIN f USING (doc_id) LEFT JOIN h USING (doc_id)"""
+
+
+ORACLES["op13_licenses"] = _licenses()
