@@ -75,6 +75,8 @@ def scanned(text, templates, threshold):
     base = sorted(labels)
     for number, (label, t) in enumerate(templates):
         tokens = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        if not tokens:
+            continue
         s = 1
         while s < len(tokens):
             s *= 2
@@ -101,14 +103,14 @@ def test_licenses_against_all_blocks(spark):
     weights = [1 / (i + 1) for i in range(len(vocabulary))]
     templates = [(f"t{i}", " ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 5, 9, 17, 40])))) for i in range(12)]
     rows = [(0, None), (1, ""), (2, "CC BY-cc by. CC\nBY cc by"), (3, "General Public License general public license"), (None, "all rights reserved"), (None, "all rights reserved"), (4, "cc by"), (5, "x cc by"), (6, "cc byx"), (7, "É cc by é")]
-    for i in range(10, 150):
+    for i in range(10, 90):
         w = rng.choices(vocabulary, weights, k=rng.randint(0, 120))
         if rng.random() < 0.5:
             t = rng.choice(templates)[1].split()
             at = rng.randint(0, len(w))
             w[at:at] = [x for x in t if rng.random() < 0.93]
         rows.append((i, " ".join(w)))
-    rows.append((200, " ".join(rng.choices(vocabulary, weights, k=20_000))))
+    rows.append((200, " ".join(rng.choices(vocabulary, weights, k=2_000))))
     for threshold in (0.6, 0.85, 1.0):
         assert any(g[-1] for g in compare(spark, rows, templates, threshold))
     compare(spark, rows, [], 0.8)

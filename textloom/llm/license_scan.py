@@ -124,7 +124,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     # Within rows: base phrases, and the places that propose blocks behind a first piece without one, which counts the row.
     piece = "array<struct<token:string,at:int,begin:int,around:array<string>>>"
     hits = _hits(F.col("words"), prefix, reach) if prefix else F.array().cast(piece)
-    rows = words.select("kid", F.size("words").cast("long").alias("n_words"), F.array(*_phrases(F.col("words"))).alias("base"), F.posexplode(F.concat(F.array(F.lit(None)).cast(piece), hits.cast(piece))).alias("piece", "hit"))
+    rows = words.select("kid", F.size("words").cast("long").alias("n_words"), F.array(*_phrases(F.col("words"))).alias("base"), F.concat(F.array(F.lit(None)).cast(piece), hits.cast(piece)).alias("pieces"))
+    rows = rows.select("kid", "n_words", "base", F.posexplode("pieces").alias("piece", "hit"))
     # The index has at most a row per template and token.
     near = rows.join(F.broadcast(index), F.col("hit.token") == F.col("token"), "left")
     own = F.floor(F.col("hit.at") / F.col("stride")).cast("int")
