@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, decontam, fim, license_scan, line_dedup, minhash, pii, quality_rules, substring_dedup, suffix_dedup, token_pack, tokens, toxicity
+from . import bestfit, conversation, decontam, fim, license_scan, line_dedup, minhash, pii, quality_rules, substring_dedup, suffix_dedup, token_pack, tokens, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,6 +73,11 @@ def op10_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(table(spark, sf_dir, "documents"), tokens.public(TOKENIZER))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged conversations' faults and cheapest repair; null roles and texts are one space."""
+    return conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations")), live="live")[0]
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fill-in-middle form and digests of it and of the text rebuilt from it; null texts are empty and plain."""
     out = fim.transform(table(spark, sf_dir, "documents"))
@@ -87,7 +92,7 @@ def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", F.array_join(F.sort_array(told), ",").alias("blocks"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_token_pack, op3_minhash, op4_decontaminate, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_suffix_dedup, op9_quality_rules, op10_bestfit, op12_fim, op13_licenses)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_token_pack, op3_minhash, op4_decontaminate, op5_line_dedup, op6_toxicity, op7_substring_dedup, op8_suffix_dedup, op9_quality_rules, op10_bestfit, op11_conversations, op12_fim, op13_licenses)}
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
