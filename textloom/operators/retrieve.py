@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import hint_if_small, top
+from .common import hint_if_small, materialise, top
+
+
+#: Of an index of so many blocks for each wanted document all are opened: the first pass would open most of them anyway.
+FEW = 8
 
 
 class StoredIndex(Protocol):
     """What a search needs of an index that is written already (sources/index.py)."""
 
+    def n_blocks(self) -> int: ...
+
     def held(self, fields: list[str], wanted: DataFrame) -> DataFrame: ...
 
+    def blocks(self, fields: list[str], wanted: DataFrame) -> DataFrame: ...
+
+    def opened(self, blocks: DataFrame) -> DataFrame: ...
+
+    def df(self, fields: list[str], wanted: DataFrame) -> DataFrame: ...
+
     def totals(self, fields: list[str]) -> DataFrame: ...
 
 
@@ -38,32 +51,103 @@ def field_stats(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
     return docs.select(F.explode(F.array(*(F.struct(F.lit(name).alias("field"), F.size(T.tokens(F.coalesce(F.col(c), F.lit("")))).alias("len")) for name, c in fields.items()))).alias("p")).groupBy("p.field").agg(F.count("*").alias("n"), F.avg("p.len").alias("avg_len"))
 
 
-def _source(docs: DataFrame | StoredIndex, id_col: str, fields: dict[str, str], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings of the wanted terms, field statistics): read from a stored index or made from the texts."""
-    if isinstance(docs, DataFrame):
-        return postings(docs, id_col, fields, wanted), field_stats(docs, fields)
-    return docs.held(list(fields), wanted), docs.totals(list(fields))
+def _weight(k1: float, b: float, tf: str = "tf", length: str = "len") -> Column:
+    """A term's part of a score; it rises with tf and falls with length."""
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(length) / F.col("avg_len")))
 
 
-def _weight(k1: float, b: float) -> Column:
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+def _boost(fields: dict[str, str], weights: dict[str, float]) -> Column:
+    return F.create_map(*(x for f in fields for x in (F.lit(f), F.lit(float(weights.get(f, 1.0))))))[F.col("field")]
 
 
-def bm25_fields(docs: DataFrame | StoredIndex, queries: DataFrame, fields: dict[str, str], weights: dict[str, float] | None = None, id_col: str = "doc_id", query_id: str = "item_id", query_text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, id, score, rank: the best k documents; scores of all fields (each with its own statistics) add up.
+class Scorer:
+    """How the fields' parts of a term become one (their sum, or the best one), with the statistics of a batch's terms."""
+
+    def __init__(self, df: DataFrame, totals: DataFrame, fields: dict[str, str], weights: dict[str, float], best: bool, k1: float, b: float):
+        if best:  # a term's df is the largest over fields
+            df = df.groupBy("term").agg(F.max("df").alias("df"))
+        self.df, self.best, self.k1, self.b = df, best, k1, b
+        self.totals, self.boost = F.broadcast(totals.select("field", F.col("n").alias("n_docs"), "avg_len")), _boost(fields, weights)
+
+    def parts(self, rows: DataFrame, by: list[str], tf: str = "tf", length: str = "len") -> DataFrame:
+        """by, term, w: rows(field, term, ...) weighed, and the fields of each term put together."""
+        rows = rows.join(self.df, ["term"] if self.best else ["term", "field"]).join(self.totals, "field")
+        rows = rows.withColumn("w", self.boost * _weight(self.k1, self.b, tf, length))
+        return rows.groupBy(*by, "term").agg(F.max("w").alias("w")) if self.best else rows.select(*by, "term", "w")
+
+
+def _scored(weighed: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
+    return weighed.join(terms, by).groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+
 
-    docs: the texts, or a stored index of the fields.  weights: by field, 1 where not given.  Ties by id.
+@dataclass(frozen=True)
+class Skipping:
+    """A search of a stored index in two passes, and what they read.
+
+    blocks: query_id, seq, block, bound for every block with a term of the query; first: the k blocks of the largest
+    bounds of each query; later: the other blocks whose bound reaches the query's k-th best score of the first ones.
     """
+
+    blocks: DataFrame
+    first: DataFrame
+    later: DataFrame
+    best: DataFrame
+
+
+def skipping(stored: StoredIndex, terms: DataFrame, scorer: Scorer, fields: list[str], k: int) -> Skipping:
+    """The best k documents of each query by a threshold on the blocks' bounds; no block that could matter is left out."""
+    small = hint_if_small(terms)
+    wanted = small(terms.select("term").distinct())
+    held = stored.blocks(fields, wanted)
+    bounds = scorer.parts(held.select("seq", "block", "field", "term", "most", "least"), ["seq", "block"], "most", "least")
+    bounds = bounds.join(small(terms), "term").groupBy("query_id", "seq", "block").agg(F.sum("w").alias("bound"))
+    bounds = materialise(bounds, "bounds")
+    order = [F.desc("bound"), F.col("seq"), F.col("block")]
+
+    def scores(chosen: DataFrame) -> DataFrame:
+        asked = chosen.join(small(terms), "query_id").select("query_id", "term", "seq", "block")
+        places = asked.select("term", "seq", "block").distinct()
+        rows = stored.opened(held.join(places, ["term", "seq", "block"], "left_semi"))
+        return _scored(scorer.parts(rows, ["seq", "block", "id"]), asked, ["term", "seq", "block"])
+
+    first = top(bounds, ["query_id"], order, k).drop("rank")
+    begun = materialise(scores(first), "first")
+    kth = top(begun, ["query_id"], [F.desc("score"), F.col("id")], k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least_score"))
+    later = bounds.join(kth, "query_id", "left")
+    # Scores are rounded to six places: a bound that is less by more than one of the last place can't reach them.
+    reach = F.coalesce(F.col("n"), F.lit(0)) < k
+    later = later.filter(reach | (F.col("bound") >= F.col("least_score") - 1e-6)).select("query_id", "seq", "block", "bound").join(first.select("query_id", "seq", "block"), ["query_id", "seq", "block"], "left_anti")
+    best = top(begun.unionByName(scores(later)), ["query_id"], [F.desc("score"), F.col("id")], k)
+    return Skipping(bounds, first, later, best)
+
+
+def _ranked(docs: DataFrame | StoredIndex, queries: DataFrame, fields: dict[str, str], weights: dict[str, float], best: bool, id_col: str, query_id: str, query_text: str, k: int, k1: float, b: float) -> DataFrame:
     terms = query_terms(queries, query_id, query_text)
     small = hint_if_small(terms)  # distinct terms and their df are bounded by the queries' terms
     # Terms are matched before anything is counted or shuffled, so the rest sees queried terms alone.
-    held, totals = _source(docs, id_col, fields, small(terms.select("term").distinct()))
-    df = small(held.groupBy("term", "field").agg(F.count("*").alias("df")))
-    boost = F.create_map(*(x for f in fields for x in (F.lit(f), F.lit(float((weights or {}).get(f, 1.0))))))
-    parts = held.join(df, ["term", "field"]).join(F.broadcast(totals), "field").select("term", "id", (boost[F.col("field")] * _weight(k1, b)).alias("w"))
-    scores = parts.join(small(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top(scores, ["query_id"], [F.desc("score"), F.col("id")], k)
+    wanted = small(terms.select("term").distinct())
+    stored = not isinstance(docs, DataFrame)
+    if stored:
+        df, totals = docs.df(list(fields), wanted), docs.totals(list(fields))
+        held = docs.held(list(fields), wanted)
+    else:
+        held, totals = postings(docs, id_col, fields, wanted), field_stats(docs, fields)
+        df = held.groupBy("term", "field").agg(F.count("*").alias("df"))
+    scorer = Scorer(small(df), totals, fields, weights, best, k1, b)
+    if stored and docs.n_blocks() > FEW * k:
+        return skipping(docs, terms, scorer, list(fields), k).best
+    return top(_scored(scorer.parts(held, ["id"]), small(terms), ["term"]), ["query_id"], [F.desc("score"), F.col("id")], k)
+
+
+def bm25_fields(docs: DataFrame | StoredIndex, queries: DataFrame, fields: dict[str, str], weights: dict[str, float] | None = None, id_col: str = "doc_id", query_id: str = "item_id", query_text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, id, score, rank: the best k documents; scores of all fields (each with its own statistics) add up.
+
+    docs: the texts, or a stored index of the fields, of which only blocks that can reach the best k are opened (where it
+    has more than FEW * k; the results are the same either way).
+    weights: by field, not negative, 1 where not given.  Ties by id.
+    """
+    return _ranked(docs, queries, fields, weights or {}, False, id_col, query_id, query_text, k, k1, b)
 
 
 def bm25(docs: DataFrame | StoredIndex, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, field: str = "content") -> DataFrame:
@@ -73,16 +157,8 @@ def bm25(docs: DataFrame | StoredIndex, queries: DataFrame, id_col: str = "doc_i
 
 def bm25f(docs: DataFrame | StoredIndex, queries: DataFrame, fields: dict[str, str], weights: dict[str, float], id_col: str = "doc_id", query_id: str = "item_id", query_text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Term-centric: per term the best weighted field, summed over terms; df is the largest over fields."""
-    terms = query_terms(queries, query_id, query_text)
     used = {f: c for f, c in fields.items() if weights.get(f, 0) > 0}
-    small = hint_if_small(terms)
-    held, totals = _source(docs, id_col, used, small(terms.select("term").distinct()))
-    df = small(held.groupBy("term", "field").agg(F.count("*").alias("d")).groupBy("term").agg(F.max("d").alias("df")))
-    boost = F.create_map(*(x for f in used for x in (F.lit(f), F.lit(float(weights[f])))))
-    scored = held.join(F.broadcast(totals), "field").join(df, "term")
-    best = scored.withColumn("w", boost[F.col("field")] * _weight(k1, b)).groupBy("term", "id").agg(F.max("w").alias("w"))
-    scores = best.join(small(terms), "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top(scores, ["query_id"], [F.desc("score"), F.col("id")], k)
+    return _ranked(docs, queries, used, weights, True, id_col, query_id, query_text, k, k1, b)
 
 
 def substitute_field(passages: DataFrame, field: str, doc_col: str, order_col: str) -> DataFrame:

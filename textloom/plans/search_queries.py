@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..operators import evaluate, expand, fuse, retrieve, stats, vectors
-from ..operators.common import numbered, top
-from ..sources import sinks
+from ..operators.common import numbered, shared_dir, top
+from ..sources import index, sinks
 from . import sql as S
 from . import store
 from .text_queries import table
@@ -50,6 +50,17 @@ def bm25_topk(spark, sf_dir):
     return retrieve.bm25(store.main(spark, sf_dir), _items(spark, sf_dir))
 
 
+@query(f"WITH {bm25_sql().replace('SELECT doc_id, text, string_split(text, chr(10))[1] AS title FROM documents', 'SELECT doc_id, CASE WHEN lang = ' + S.lit('en') + ' THEN string_split(text, chr(10))[1] ELSE text END AS text FROM documents')} SELECT query_id, id, score, rank FROM ranked")
+def index_versions(spark, sf_dir):
+    """A search after an index of first lines got whole texts of some languages, skipped those of others and was merged."""
+    path = f"{shared_dir(spark)}/textloom/index-{uuid.uuid4().hex}"
+    docs = store.documents(spark, sf_dir)
+    index.add(docs.withColumn("text", F.col("title")), path, {"content": "text"})
+    index.add(docs.filter("lang <> 'en'"), path, {"content": "text"})
+    index.add(docs, path, {"content": "text"}, duplicates="skip")
+    return retrieve.bm25(index.merge(spark, path), _items(spark, sf_dir))
+
+
 FIELDS, WEIGHTS = {"content": "text", "doc_title": "title"}, {"content": 1.0, "doc_title": 2.0}
 
 

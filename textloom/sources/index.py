@@ -1,69 +1,340 @@
-"""A stored index: postings, field statistics and IDF, written once and read by every search.
+"""A stored index that grows: segments of postings in blocks, published version by version.
 
-Postings are rows (field, term, id, tf, len), dealt into folders by a hash of the term and sorted by it, so a search reads
-the columns and row groups of its terms.  New documents are added under a number of their own; of repeated ones the
-latest counts (overwrite) or the earliest (skip).
+    path/segments/<name>/postings/bucket=<n>   field, term, block, n, most, least, tfs, held   (a row per term and block)
+    path/segments/<name>/{ids, sizes}          live ids with their lengths, totals by field
+    path/segments/<name>/{replaced, lost}      ids of older segments that this one replaces, and what their terms lose
+    path/versions/<number>/{stats, idf, segments}
+
+Documents are dealt into blocks by a hash of their id, so a row holds the postings of a term in some BLOCK_DOCS documents,
+with bounds (largest frequency, smallest length) from which a search tells what the block can score at most.  Rows lie in
+folders by a hash of the term and are sorted by it: a search reads the folders of its terms alone.  The number of folders,
+and of tasks that write one, follows the counted tokens.
+
+A change writes a new segment under a name of its own and then a version that lists the segments; the list is written
+last, so a version counts once its marker is there.  What a broken run leaves behind is never listed, and the next run
+starts again beside it.  Replaced ids stay in their old segment, marked dead, until a merge rewrites all.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import retrieve, stats
+from ..operators.common import hint_if_small, remove
+
+#: Documents of a block, tokens of a folder and of a task that writes one, and most folders.
+BLOCK_DOCS, FOLDER_TOKENS, TASK_TOKENS, FOLDERS = 128, 1 << 24, 1 << 25, 1024
+#: The field of sentence counts, from which the IDF comes.
+UNITS = "__units"
+
+
+@dataclass(frozen=True)
+class Segment:
+    name: str
+    seq: int
+    buckets: int
+    blocks: int
+    docs: int
+    replaces: bool
+    id_type: str
+
+    def schema(self, part: str) -> str:
+        id_ = self.id_type
+        return {
+            "postings": f"field string, term string, block int, n bigint, most bigint, least bigint, tfs bigint, held array<struct<id:{id_},tf:bigint,len:bigint>>, bucket int",
+            "ids": f"id {id_}, lens map<string,bigint>",
+            "sizes": "field string, n bigint, total bigint",
+            "replaced": f"id {id_}, seq int",
+            "lost": "term string, field string, n bigint, tfs bigint",
+        }[part]
+
+
+STATS, IDF, SEGMENTS = "field string, n bigint, avg_len double, total bigint", "token string, df bigint, idf double", "name string, seq int, buckets int, blocks int, docs bigint, replaces boolean, id_type string"
+
+
+def folder(term: Column, buckets: int | Column) -> Column:
+    return F.pmod(F.pmod(F.xxhash64(term), F.lit(FOLDERS)), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")
+
 
-BUCKETS = 32
+def block_of(id_: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int")
 
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame
-    stats: DataFrame
-    idf: DataFrame
+    """A version of the index; versions do not change."""
+
+    spark: SparkSession
+    path: str
+    version: int
+    segments: tuple[Segment, ...]
+
+    def _read(self, segment: Segment, part: str) -> DataFrame:
+        return self.spark.read.schema(segment.schema(part)).parquet(f"{self.path}/segments/{segment.name}/{part}")
+
+    def _published(self, part: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/versions/{self.version}/{part}")
+
+    def _all(self, part: str, only=lambda s: True) -> DataFrame | None:
+        parts = [self._read(s, part).withColumn("seq", F.lit(s.seq)) for s in self.segments if only(s)]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    @property
+    def idf(self) -> DataFrame:
+        return self._published("idf", IDF)
+
+    def totals(self, fields: list[str]) -> DataFrame:
+        """field, n, avg_len over the live documents."""
+        return self._published("stats", STATS).filter(F.col("field").isin(*fields))
+
+    def n_blocks(self) -> int:
+        return sum(s.blocks for s in self.segments)
+
+    def dead(self) -> DataFrame | None:
+        """(id, dead_seq): documents that a later segment has replaced, and the segment of their dead copy."""
+        parts = [self._read(s, "replaced") for s in self.segments if s.replaces]
+        return reduce(DataFrame.unionByName, parts).withColumnRenamed("seq", "dead_seq") if parts else None
+
+    def live_ids(self) -> DataFrame:
+        """id, lens (by field), seq."""
+        return self._living(self._all("ids"))
+
+    def _living(self, rows: DataFrame) -> DataFrame:
+        dead = self.dead()
+        if dead is None:
+            return rows
+        gone = hint_if_small(dead)(dead.withColumnRenamed("id", "dead_id"))
+        return rows.join(gone, (rows["id"] == F.col("dead_id")) & (rows["seq"] == F.col("dead_seq")), "left_anti")
+
+    def blocks(self, fields: list[str], wanted: DataFrame | None = None) -> DataFrame:
+        """seq, field, term, block, n, most, least, tfs, held of the wanted terms: of their folders alone."""
+        parts = []
+        chosen = {} if wanted is None else {b: [r.b for r in wanted.select(folder(F.col("term"), b).alias("b")).distinct().collect()] for b in {s.buckets for s in self.segments}}
+        for s in self.segments:
+            rows = self._read(s, "postings").withColumn("seq", F.lit(s.seq))
+            if wanted is not None:
+                rows = rows.filter(F.col("bucket").isin(chosen[s.buckets]))  # at most FOLDERS numbers
+            parts.append(rows.filter(F.col("field").isin(*fields)).drop("bucket"))
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows if wanted is None else rows.join(wanted, "term", "left_semi")
+
+    def opened(self, blocks: DataFrame) -> DataFrame:
+        """The live postings of blocks: all columns but their bounds, and id, tf, len."""
+        kept = [c for c in blocks.columns if c not in ("n", "most", "least", "tfs", "held")]
+        return self._living(blocks.select(*kept, F.explode("held").alias("p")).select(*kept, "p.id", "p.tf", "p.len"))
 
     def held(self, fields: list[str], wanted: DataFrame) -> DataFrame:
         """term, field, id, tf, len of the wanted terms."""
-        return self.postings.filter(F.col("field").isin(*fields)).join(wanted, "term", "left_semi")
+        return self.opened(self.blocks(fields, wanted)).select("term", "field", "id", "tf", "len")
 
-    def totals(self, fields: list[str]) -> DataFrame:
-        return self.stats.filter(F.col("field").isin(*fields))
+    def df(self, fields: list[str], wanted: DataFrame | None = None, value: str = "n") -> DataFrame:
+        """term, field, df: how many live documents have a term (value tfs: how often all have it), from bounds alone."""
+        rows = self.blocks(fields, wanted).select("term", "field", F.col(value).alias("df"))
+        lost = self._all("lost", lambda s: s.replaces)
+        if lost is not None:
+            lost = lost.filter(F.col("field").isin(*fields)).select("term", "field", (-F.col(value)).alias("df"))
+            rows = rows.unionByName(lost if wanted is None else lost.join(wanted, "term", "left_semi"))
+        return rows.groupBy("term", "field").agg(F.sum("df").alias("df")).filter("df > 0")
+
+    @property
+    def postings(self) -> DataFrame:
+        """field, term, id, tf, len of all live documents."""
+        fields = [r.field for r in self._published("stats", STATS).select("field").collect()]
+        return self.opened(self.blocks([f for f in fields if f != UNITS])).select("field", "term", "id", "tf", "len")
 
 
-def build(docs: DataFrame, path: str, fields: dict[str, str], id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> None:
-    """Write the index of some text columns below path; an index that is there already raises."""
-    rows = retrieve.postings(docs, id_col, fields).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    # A folder's rows come from several tasks, by id: a term of most documents is no single task's work.
-    dealt = rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("bucket", "field", "term", "id")
-    dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
-    retrieve.field_stats(docs, fields).coalesce(1).write.parquet(f"{path}/stats")
-    units = docs.select(F.explode(T.sentences(F.coalesce(F.col(text_col), F.lit("")))).alias("text"))
-    stats.smoothed_idf(units).write.option("compression", "zstd").parquet(f"{path}/idf")
+def _fs(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def load(spark: SparkSession, path: str) -> Index:
-    read = spark.read.parquet
-    return Index(read(f"{path}/postings").drop("bucket"), read(f"{path}/stats"), read(f"{path}/idf"))
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of published versions."""
+    fs, where = _fs(spark, f"{path}/versions")
+    if not fs.exists(where):
+        return []
+    found = [int(s.getPath().getName()) for s in fs.listStatus(where)]
+    return sorted(n for n in found if _fs(spark, f"{path}/versions/{n}/segments/_SUCCESS")[0].exists(_fs(spark, f"{path}/versions/{n}/segments/_SUCCESS")[1]))
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> Index:
+    """The last version, or one by its number."""
+    known = versions(spark, path)
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"no version of an index at {path}")
+    number = version if version is not None else known[-1]
+    rows = spark.read.schema(SEGMENTS).parquet(f"{path}/versions/{number}/segments").collect()
+    return Index(spark, path, number, tuple(sorted((Segment(**r.asDict()) for r in rows), key=lambda s: s.seq)))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether an index has been written whole: its last part ends with a marker of the writer."""
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/idf/_SUCCESS")
-    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+    return bool(versions(spark, path))
+
+
+def _words(docs: DataFrame, id_col: str, fields: dict[str, str], text_col: str) -> DataFrame:
+    """id, field, len, words: the tokens of each field, and as UNITS the distinct tokens of each sentence of the text."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    cut = T.sentences(text(text_col))
+    parts = [F.struct(F.lit(f).alias("field"), T.tokens(text(c)).alias("words")) for f, c in fields.items()]
+    units = F.struct(F.lit(UNITS).alias("field"), F.flatten(F.transform(cut, lambda s: F.array_distinct(T.tokens(s)))).alias("words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.size(cut).cast("long").alias("sentences"), F.explode(F.array(*parts, units)).alias("p"))
+    return rows.select("id", "p.field", F.when(F.col("p.field") == UNITS, F.col("sentences")).otherwise(F.size("p.words")).cast("long").alias("len"), "p.words")
+
+
+def _write(rows: DataFrame, tokens: list[int], docs: int, where: str) -> tuple[int, int]:
+    """Write postings(id, field, term, tf, len) as blocks; tokens: how many each of FOLDERS has; (folders, blocks)."""
+    total = sum(tokens)
+    buckets = min(FOLDERS, max(4, 1 << max(0, math.ceil(total / FOLDER_TOKENS) - 1).bit_length()))
+    sizes = [sum(tokens[b::buckets]) for b in range(buckets)]
+    splits = [max(1, math.ceil(x / TASK_TOKENS)) for x in sizes]
+    blocks = max(1, math.ceil(docs / BLOCK_DOCS))
+    split = F.pmod(F.col("block"), F.element_at(F.array(*map(F.lit, splits)), F.col("bucket") + 1))
+    rows = rows.withColumn("bucket", folder(F.col("term"), buckets)).withColumn("block", block_of(F.col("id"), blocks)).withColumn("split", split)
+    # A folder's blocks are dealt over its tasks, so a term of most documents is no single task's work.
+    dealt = rows.repartition(sum(splits), "bucket", "split")
+    rows = dealt.groupBy("bucket", "split", "field", "term", "block").agg(
+        F.count("*").alias("n"), F.max("tf").alias("most"), F.min("len").alias("least"), F.sum("tf").alias("tfs"), F.sort_array(F.collect_list(F.struct("id", "tf", "len"))).alias("held")
+    )
+    rows.sortWithinPartitions("bucket", "field", "term", "block").drop("split").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{where}/postings")
+    return buckets, blocks
+
+
+def _publish(spark: SparkSession, path: str, segments: list[Segment]) -> Index:
+    """Write statistics and IDF of the segments together, then the list that makes them a version."""
+    known = versions(spark, path)
+    number = known[-1] + 1 if known else 1
+    new, where = Index(spark, path, number, tuple(segments)), f"{path}/versions/{number}"
+    sizes = new._all("sizes").select("field", "n", "total")
+    sums = sizes.groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    sums.select("field", "n", (F.col("total") / F.col("n")).alias("avg_len"), "total").coalesce(1).write.mode("overwrite").parquet(f"{where}/stats")
+    units = new._published("stats", STATS).filter(F.col("field") == UNITS).select(F.col("total").alias("units"))
+    idf = new.df([UNITS], None, "tfs").crossJoin(F.broadcast(units))  # one row
+    idf = idf.select(F.col("term").alias("token"), "df", (F.log((1 + F.col("units")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf.write.mode("overwrite").option("compression", "zstd").parquet(f"{where}/idf")
+    rows = [(s.name, s.seq, s.buckets, s.blocks, s.docs, s.replaces, s.id_type) for s in segments]
+    spark.createDataFrame(rows, SEGMENTS).coalesce(1).write.mode("overwrite").parquet(f"{where}/segments")
+    return new
+
+
+def add(docs: DataFrame, path: str, fields: dict[str, str], id_col: str = "doc_id", text_col: str = "text", duplicates: str = "overwrite") -> Index:
+    """A new version with these documents as a segment: ids that are there already are replaced, skipped, or an error (fail).
+
+    Of rows that share an id in docs one is taken (see latest).  Rows without an id are left out.  Fields must be those
+    that the index has; null texts have no terms but count.
+    """
+    if duplicates not in ("overwrite", "skip", "fail"):
+        raise ValueError(duplicates)
+    spark = docs.sparkSession
+    old = load(spark, path) if exists(spark, path) else None
+    docs = latest(docs.filter(F.col(id_col).isNotNull()), id_col)
+    seq, where = (max(s.seq for s in old.segments) + 1 if old else 0), f"{path}/segments/{uuid.uuid4().hex}"
+    met = None
+    if old:
+        ids = docs.select(F.col(id_col).alias("id"))
+        if duplicates == "skip":
+            docs = docs.join(old.live_ids().select(F.col("id").alias(id_col)), id_col, "left_anti")
+        elif duplicates == "fail" and (found := old.live_ids().join(ids, "id", "left_semi").first()):
+            raise ValueError(f"{found.id} is in the index already")
+        else:
+            met = ids
+    words = _words(docs, id_col, fields, text_col)
+    names = [*fields, UNITS]
+    lens = words.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "len"))).alias("lens"))
+    lens.write.option("compression", "zstd").parquet(f"{where}/ids")
+    known = spark.read.schema(lens.schema).parquet(f"{where}/ids")
+    n = known.count()
+    counted = words.select(F.explode("words").alias("term")).groupBy(folder(F.col("term"), FOLDERS).alias("b")).count().collect()
+    tokens = [0] * FOLDERS
+    for r in counted:
+        tokens[r.b] = r["count"]
+    rows = words.select("id", "field", "len", F.explode("words").alias("term")).groupBy("id", "field", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    buckets, blocks = _write(rows, tokens, n, where)
+    sizes = _sizes(known, names, 1)
+    replaces = False
+    if met is not None:
+        replaced = old.live_ids().join(met, "id", "left_semi")
+        replaces, sizes = _kill(old, replaced, where, sizes, names)
+    sizes.coalesce(1).write.parquet(f"{where}/sizes")
+    return _publish(spark, path, [*(old.segments if old else ()), Segment(where.rsplit("/", 1)[1], seq, buckets, blocks, n, replaces, lens.schema["id"].dataType.simpleString())])
+
+
+def _sizes(ids: DataFrame, names: list[str], sign: int) -> DataFrame:
+    """field, n, total of documents(lens), counted or (sign -1) taken off."""
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), F.col("lens")[f].alias("len")) for f in names))
+    return ids.select(F.explode(parts).alias("p")).groupBy("p.field").agg((sign * F.count("*")).alias("n"), (sign * F.sum("p.len")).alias("total"))
+
+
+def _kill(old: Index, replaced: DataFrame, where: str, sizes: DataFrame, names: list[str]) -> tuple[bool, DataFrame]:
+    """Write which live documents die and what their terms lose; (whether any, sizes less theirs)."""
+    replaced.write.option("compression", "zstd").parquet(f"{where}/dying")
+    dying = old.spark.read.schema(replaced.schema).parquet(f"{where}/dying")
+    if dying.isEmpty():
+        return False, sizes
+    dying.select("id", "seq").write.parquet(f"{where}/replaced")
+    # Blocks without a dying document are left closed.
+    blocks = F.element_at(F.create_map(*(x for s in old.segments for x in (F.lit(s.seq), F.lit(s.blocks)))), F.col("seq"))
+    places = dying.select("seq", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")).distinct()
+    opened = old.blocks(names).join(hint_if_small(places)(places), ["seq", "block"], "left_semi")
+    gone = hint_if_small(dying)(dying.select("id", "seq"))
+    dead = opened.select("seq", "term", "field", F.explode("held").alias("p")).select("seq", "term", "field", "p.id", "p.tf").join(gone, ["id", "seq"], "left_semi")
+    dead.groupBy("term", "field").agg(F.count("*").alias("n"), F.sum("tf").alias("tfs")).write.option("compression", "zstd").parquet(f"{where}/lost")
+    less = sizes.unionByName(_sizes(dying, names, -1)).groupBy("field").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return True, less
+
+
+def merge(spark: SparkSession, path: str) -> Index:
+    """A new version of one segment with all live documents; the same results from fewer rows."""
+    old = load(spark, path)
+    where = f"{path}/segments/{uuid.uuid4().hex}"
+    ids = old.live_ids().select("id", "lens")
+    ids.write.option("compression", "zstd").parquet(f"{where}/ids")
+    n = spark.read.schema(ids.schema).parquet(f"{where}/ids").count()
+    names = [r.field for r in old._published("stats", STATS).select("field").collect()]
+    counted = old.blocks(names).groupBy(folder(F.col("term"), FOLDERS).alias("b")).agg(F.sum("n").alias("n")).collect()
+    tokens = [0] * FOLDERS
+    for r in counted:
+        tokens[r.b] = r.n
+    buckets, blocks = _write(old.opened(old.blocks(names)).select("id", "field", "term", "tf", "len"), tokens, n, where)
+    _sizes(spark.read.schema(ids.schema).parquet(f"{where}/ids"), names, 1).coalesce(1).write.parquet(f"{where}/sizes")
+    seq = max(s.seq for s in old.segments) + 1
+    return _publish(spark, path, [Segment(where.rsplit("/", 1)[1], seq, buckets, blocks, n, False, ids.schema["id"].dataType.simpleString())])
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Delete all but the last `keep` versions and the segments that none of them lists; the names of those deleted.
+
+    Nothing may be written to the index at the same time.
+    """
+    last = versions(spark, path)[-keep:]
+    used = {s.name for n in last for s in load(spark, path, n).segments}
+    gone = []
+    for part, kept in (("versions", {str(n) for n in last}), ("segments", used)):
+        fs, where = _fs(spark, f"{path}/{part}")
+        for status in fs.listStatus(where) if fs.exists(where) else []:
+            name = status.getPath().getName()
+            if name not in kept:
+                remove(spark, f"{path}/{part}/{name}")
+                gone.append(name)
+    return gone
 
 
 def ensure(docs: DataFrame, path: str, fields: dict[str, str], **more) -> Index:
-    """The index at path, built if it isn't there."""
-    if not exists(docs.sparkSession, path):
-        build(docs, path, fields, **more)
-    return load(docs.sparkSession, path)
+    """The index at path, built if no version of it is there."""
+    return load(docs.sparkSession, path) if exists(docs.sparkSession, path) else add(docs, path, fields, **more)
 
 
-def latest(docs: DataFrame, id_col: str, version: str, duplicates: str = "overwrite") -> DataFrame:
-    """One row of each id before it is indexed: the one of the last version, or with skip of the first."""
+def latest(docs: DataFrame, id_col: str, version: str | None = None, duplicates: str = "overwrite") -> DataFrame:
+    """One row of each id: the one of the last version, or with skip of the first; of equal ones that of the larger hash."""
     if duplicates not in ("overwrite", "skip"):
         raise ValueError(duplicates)
-    chosen = (F.max if duplicates == "overwrite" else F.min)(version).alias(version)
-    return docs.join(docs.groupBy(id_col).agg(chosen), [id_col, version])
+    row = F.struct(*(docs[c] for c in docs.columns))
+    told = F.xxhash64(*(docs[c] for c in docs.columns))
+    order = F.struct(docs[version], told) if version else F.struct(told)
+    chosen = (F.max_by if duplicates == "overwrite" or not version else F.min_by)(row, order)
+    return docs.groupBy(docs[id_col].alias("__id")).agg(chosen.alias("__row")).select("__row.*")
