@@ -97,10 +97,32 @@ def test_knn_blocks(spark, monkeypatch):
     whole = rows(vectors.search(df, df, 2, "id", "v"), "query_id", "rank")
     monkeypatch.setattr(vectors, "BLOCK", 2)
     assert rows(vectors.search(df, df, 2, "id", "v"), "query_id", "rank") == whole
-    monkeypatch.setattr(vectors, "WAVE", 2)  # two written waves and a rest
+    monkeypatch.setattr(vectors, "PIVOTS", 1)
     assert rows(vectors.search(df, df, 2, "id", "v"), "query_id", "rank") == whole
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "dot"])
+def test_knn_prunes_without_loss(spark, monkeypatch, metric):
+    """Clusters, copies, a hot cell and rows without a vector: equal to brute force, from a part of all pairs."""
+    rng = np.random.default_rng(9)
+    m = np.round(np.concatenate([rng.normal(size=(40, 6)) * 0.3 + c for c in rng.normal(size=(12, 6)) * 9] + [np.ones((150, 6))]), 3)
+    n = len(m)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(None, [0.0] * 6), (n, None)], "id long, v array<double>")
+    asked = []
+    met = vectors._met
+    monkeypatch.setattr(vectors, "_met", lambda a, r, c, f: (asked.append((a, c)), met(a, r, c, f))[1])
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    got = rows(vectors.search(df, df.filter("id % 7 = 0 or id is null"), 9, "id", "v", metric, True).select("query_id", "rank", "id", "distance"), "query_id", "rank")
+    want = []
+    for q in range(0, n, 7):
+        d = np.round(-(m @ m[q]) if metric == "dot" else np.sqrt(((m - m[q]) ** 2).sum(1)), 6)
+        best = [j for j in sorted(range(n), key=lambda j: (d[j], j)) if j != q][:9]
+        want += [(q, r + 1, j, pytest.approx(d[j])) for r, j in enumerate(best)]
+    assert got == want
+    read = sum(c.n[r.cell] for a, c in asked for r in a.select("cell").collect())
+    assert read < (0.5 if metric == "euclidean" else 0.9) * n * len(range(0, n, 7))
+
+
 def test_classify(spark):
     n = spark.createDataFrame([(1, 10, 0.0), (1, 11, 0.1), (2, 11, 0.5), (2, 12, 1.0), (2, 13, 1.0)], "query_id long, id long, distance double")
     labels = spark.createDataFrame([(10, "x"), (11, "y"), (12, "x"), (13, "x")], "id long, label string")

@@ -1,17 +1,18 @@
-"""Vector operators: standardisation, exact top-k search in blocks, kNN graph and classifier, hashed embeddings.
+"""Vector operators: standardisation, exact top-k search by pivots, kNN graph and classifier, hashed embeddings.
 
-Search streams all rows past a block of queries held as a matrix.  A block is bounded (BLOCK queries), so what travels
-to the tasks never grows with the data; more queries mean more blocks.  Each task keeps the best k per query, so only
-partial results are shuffled.
+Search deals rows to pivots and sends each query to the cells that triangle inequalities cannot rule out.  Queries and
+rows meet in blocks of bounded size, both dealt by key; a task gives the best k per query, so only partial results are
+shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, top
 
-#: Queries of a block (at 1,000 dimensions 16 MB), and blocks that the driver holds at a time.
-BLOCK, WAVE = 2_000, 8
+#: Queries and rows of a block (at 1,000 dimensions 16 MB each), most pivots, and what bounds allow for rounding.
+BLOCK, PIVOTS, SLACK = 2_000, 256, 1e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,67 +57,143 @@ def combine_layers(layers: list[Column], how: str = "avg") -> Column:
     return F.transform(out, lambda a: a / len(layers)) if how == "avg" else out
 
 
-def _best(ids: np.ndarray, queries: np.ndarray, k: int, metric: str, exclude_self: bool, id_col: str, vec: str):
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A row per vector of a list column."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    parts = [np.asarray(c.flatten()).astype(np.float64).reshape(len(c), -1) for c in parts if len(c)]
+    return np.concatenate(parts) if parts else np.zeros((0, 0))
+
+
+def _far(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Euclidean distances, rows of x by points; from differences, without cancellation, so ties stay ties."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points], axis=1) if len(points) else np.zeros((len(x), 0))
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Pivots with the number, the least and the largest distance of the rows that are nearest to them: what travels."""
+
+    pivots: np.ndarray
+    n: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def bounds(self, x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the largest distance that a row of each cell can have from each row of x."""
+        far = _far(x, self.pivots)
+        if metric == "dot":  # a row is its pivot and a step of at most `high`
+            middle, reach = -(x @ self.pivots.T), np.sqrt((x**2).sum(axis=1))[:, None] * self.high
+            return middle - reach - SLACK * (1 + np.abs(middle)), middle + reach + SLACK * (1 + np.abs(middle))
+        # Triangle inequality from the pivot; and no row of a cell is nearer to another cell's pivot than to its own.
+        near = np.maximum.reduce([far - self.high, self.low - far, (far - far.min(axis=1, keepdims=True)) / 2, np.zeros_like(far)])
+        return near - SLACK * (1 + far), far + self.high + SLACK * (1 + far)
+
+    def chosen(self, x: np.ndarray, metric: str, need: int, known: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+        """(row, cell): the cells of the least bounds that hold `need` rows; with known distances, all others in reach."""
+        least, most = self.bounds(x, metric)
+        for i in range(len(x)):
+            order = np.argsort(most[i], kind="stable")
+            enough = int(np.searchsorted(np.cumsum(self.n[order]), need)) + 1
+            first = order[:enough]
+            if known is None:
+                yield from ((i, int(c)) for c in first)
+            else:
+                limit = min(known[i] + SLACK * (1 + abs(known[i])), most[i][first[-1]] if enough <= len(order) else np.inf) + 1e-6
+                yield from ((i, int(c)) for c in np.flatnonzero(least[i] <= limit) if c not in first)
+
+
+def _dealt(pivots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_d = np.full((len(ids), 0), np.inf)
-        held_i = np.zeros((len(ids), 0), np.int64)
         for batch in batches:
-            col = batch.column(1)
             for at in range(0, batch.num_rows, 2048):
-                part = col.slice(at, 2048)
-                x = np.asarray(part.flatten()).astype(np.float64).reshape(len(part), -1)
-                own = batch.column(0).slice(at, 2048).to_numpy()
-                if metric == "dot":
-                    d = -(queries @ x.T)
-                else:
-                    # exact distances, a few queries at a time: no cancellation, so ties stay ties
-                    d = np.stack([np.sqrt(((x - q) ** 2).sum(axis=1)) for q in queries]) if len(x) else np.zeros((len(ids), 0))
-                if exclude_self:
-                    d[ids[:, None] == own[None, :]] = np.inf
-                d = np.round(d, 6)
-                held_d = np.concatenate([held_d, d], axis=1)
-                held_i = np.concatenate([held_i, np.broadcast_to(own, d.shape)], axis=1)
-                if held_d.shape[1] > k:
-                    o = np.lexsort((held_i, held_d), axis=1)[:, :k]
-                    held_d, held_i = np.take_along_axis(held_d, o, 1), np.take_along_axis(held_i, o, 1)
-        n = held_d.shape[1]
-        ok = np.isfinite(held_d).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[ok]), pa.array(held_i.ravel()[ok]), pa.array(held_d.ravel()[ok])], ["query_id", "id", "distance"])
+                part = batch.slice(at, 2048)
+                far = _far(_matrix(part.column(1)), pivots)
+                cell = far.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(far[np.arange(len(cell)), cell])], ["id", "v", "cell", "far"])
 
     return run
 
 
+def _asked(cells: Cells, metric: str, need: int, later: bool):
+    """Rows (query_id, v, cell) for the cells that a query meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                known = np.nan_to_num(part.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False), nan=np.inf) if later else None
+                pairs = np.array(list(cells.chosen(_matrix(part.column(1)), metric, need, known)), np.int64).reshape(-1, 2)
+                for i in range(0, len(pairs), 2048):
+                    some = pairs[i : i + 2048]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some[:, 0])), part.column(1).take(pa.array(some[:, 0])), pa.array(some[:, 1].astype(np.int32))], ["query_id", "v", "cell"])
+
+    return run
+
+
+def _nearest(k: int, metric: str, exclude_self: bool):
+    """The k nearest rows of a block to each query of a block."""
+
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        ids, own = queries.column("query_id").to_numpy(), rows.column("id").to_numpy()
+        if len(ids) and len(own):
+            q, x = _matrix(queries.column("v")), _matrix(rows.column("v"))
+            for i, one in enumerate(q):
+                d = np.round(-(x @ one) if metric == "dot" else np.sqrt(((x - one) ** 2).sum(axis=1)), 6)
+                at = np.flatnonzero(own != ids[i]) if exclude_self else np.arange(len(own))
+                if len(at) > k:
+                    at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+                    at = at[np.lexsort((own[at], d[at]))[:k]]
+                found.append((np.full(len(at), ids[i]), own[at], d[at]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "distance"])
+
+    return run
+
+
+def _met(asked: DataFrame, rows: DataFrame, cells: Cells, run) -> DataFrame:
+    """The nearest rows for asked(query_id, v, cell) among rows(id, v, cell): blocks of queries meet blocks of rows."""
+    counted = {r.cell: r["count"] for r in asked.groupBy("cell").count().collect()}  # a number per pivot
+    sides = [F.array(*(F.lit(max(1, -(-int(n) // BLOCK))) for n in sizes)) for sizes in ([counted.get(c, 0) for c in range(len(cells.n))], cells.n)]
+    of_queries, of_rows = (F.element_at(side, F.col("cell") + 1) for side in sides)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), of_queries).cast("int")).withColumn("r", every(of_rows))
+    right = rows.filter(F.col("cell").isin(list(counted))).select("id", "v", "cell").withColumn("r", F.pmod(F.xxhash64("id"), of_rows).cast("int")).withColumn("q", every(of_queries))
+    keys = ["cell", "q", "r"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: run(a, b), "query_id long, id long, distance double")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec: str, metric: str = "euclidean", exclude_self: bool = False) -> DataFrame:
     """query_id, id, distance, rank: the k nearest rows of each query row; ties by id.  dot: distance is the negative.
 
-    queries has the columns of vectors.  The driver reads WAVE blocks of BLOCK rows at a time; where there are more, the
-    best of each wave's tasks are written before the next wave is read, so neither the driver nor a plan grows with them.
+    queries has the columns of vectors.  Exact: rows are dealt to their nearest pivot (PIVOTS rows of the least id hashes);
+    each query meets the cells that hold k rows for certain, then those that its k-th distance can reach.  Blocks of at
+    most about BLOCK queries and BLOCK rows of a cell meet in a task; the driver reads pivots and a few numbers of each.
     """
-    columns = [F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v")]
-    rows = queries.select(*columns).filter("id is not null and v is not null")
+    columns = [F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")]
+    asked = queries.select(*columns).filter("id is not null and v is not null").withColumnRenamed("id", "query_id")
     data = vectors.select(*columns).filter("id is not null and v is not null")
-    found = "query_id long, id long, distance double"
-
-    def near(block: list) -> DataFrame:
-        ids, m = np.array([r[0] for r in block], np.int64), np.array([list(r[1]) for r in block], np.float64)
-        return data.mapInArrow(_best(ids, m, k, metric, exclude_self, id_col, vec), found)
-
-    def united(parts: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, parts)
-
-    waves: list[DataFrame] = []
-    parts: list[DataFrame] = []
-    source = rows.toLocalIterator()
-    while block := list(islice(source, BLOCK)):
-        if len(parts) == WAVE:
-            waves.append(materialise(united(parts), "nearest"))
-            parts = []
-        parts.append(near(block))
-    if waves or parts:
-        out = united(waves + parts)
-    else:
-        out = data.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"))
-    return top(out, ["query_id"], [F.col("distance"), F.col("id")], k)
+    total = data.count()
+    none = data.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("rank"))
+    if not total:
+        return none
+    n = max(1, min(PIVOTS, math.isqrt(total)))
+    pivots = data.orderBy(F.xxhash64("id"), "id").limit(n).toArrow()
+    rows = materialise(data.mapInArrow(_dealt(_matrix(pivots.column("v"))), "id long, v array<double>, cell int, far double"), "cells")
+    held = {r.cell: r for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()}
+    order = sorted(held)
+    again = {c: i for i, c in enumerate(order)}  # pivots that are copies of others hold no row
+    cells = Cells(_matrix(pivots.column("v"))[order], *(np.array([held[c][f] for c in order], float) for f in ("n", "low", "high")))
+    if len(order) < n:
+        rows = rows.withColumn("cell", F.element_at(F.create_map(*(F.lit(x) for p in again.items() for x in p)), F.col("cell")))
+    need, out = k + int(exclude_self), "query_id long, v array<double>, cell int"
+    run = _nearest(k, metric, exclude_self)
+    first = materialise(_met(asked.mapInArrow(_asked(cells, metric, need, False), out), rows, cells, run), "nearest")
+    kth = top(first, ["query_id"], [F.col("distance"), F.col("id")], k).groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("most"))
+    reach = kth.select(F.col("query_id").alias("of"), F.when(F.col("n") >= k, F.col("most")).alias("most"))
+    more = asked.join(reach, F.col("query_id") == F.col("of"), "left").select("query_id", "v", "most").mapInArrow(_asked(cells, metric, need, True), out)
+    later = _met(materialise(more, "reached"), rows, cells, run)
+    return top(first.unionByName(later), ["query_id"], [F.col("distance"), F.col("id")], k)
 
 
 def search_fields(store: DataFrame, queries: DataFrame, fields: list[str], k: int) -> DataFrame:
