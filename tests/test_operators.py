@@ -274,6 +274,72 @@ def test_heads_that_halves_take(spark, heads, want):
     assert sorted(r.positions for r in tagging.assemble_discontiguous(t, "obj").collect()) == want
 
 
+def _machine(words, tags, kind):
+    """The surveyed system's way of reading spans, by its states: (words, [ss, se, es, ee]) in order."""
+    spans, head, current, taken = [], None, None, None
+    for i, (word, tag) in enumerate(zip(words, tags)):
+        mark, type_ = tag[:2], tag[3:]
+        if type_ != kind:
+            if current and current["w"]:
+                spans.append(current)
+                if not taken:
+                    head = current
+            current = None
+        elif mark == "BH":
+            taken = None
+            if current and current["w"]:
+                spans.append(current)
+                head = current
+            current = {"w": [word], "i": [i, -1, -1, -1]}
+        elif mark in ("IH", "ID"):
+            current = current or {"w": [], "i": [-1] * 4}
+            current["w"] = current["w"] + [word]
+            current["i"][1 if mark == "IH" and current["i"][2] == -1 else 3] = i
+        elif head and (taken or []) != head["w"] and any(s["w"] == head["w"] for s in spans):
+            at = max(j for j, s in enumerate(spans) if s["w"] == head["w"])
+            places = [s["i"] for s in spans]
+            own = [j for j, s in enumerate(spans) if s is head or s["i"] is head["i"]][-1]
+            del places[own]
+            left = [s["w"] for j, s in enumerate(spans) if j != at]
+            taken = head["w"]
+            current = {"w": head["w"] + [word], "i": head["i"]}
+            current["i"][2] = i
+            spans = [{"w": w, "i": p} for w, p in zip(left, places)]
+            head = None
+        else:
+            if current and current["w"]:
+                spans.append(current)
+                head = current
+            current = {"w": [word], "i": [i, -1, -1, -1]}
+    return [(s["w"], s["i"]) for s in spans]
+
+
+@pytest.mark.parametrize(("heads", "want"), [("BH BD .", [(["0"], [0, -1, -1, -1]), (["1"], [1, -1, -1, -1])]), ("BH . BH BD .", [(["0", "3"], [0, -1, 3, -1])]), ("BH IH . BD ID .", [(["0", "1", "3", "4"], [0, 1, 3, 4])]), ("BH", []), (". .", [])])
+def test_assembly_compat(spark, heads, want):
+    tags = ["PD-pad" if h == "." else f"{h}-obj" for h in heads.split()]
+    t = spark.createDataFrame([("d", [str(i) for i in range(len(tags))], tags)], "doc string, words array<string>, tags array<string>")
+    got = [(r.words, [r.ss, r.se, r.es, r.ee]) for r in tagging.assemble_discontiguous(t, "obj", "compat").collect()]
+    assert got == want == _machine(*t.first()[1:], "obj")
+    with pytest.raises(ValueError):
+        tagging.assemble_discontiguous(t, "obj", "other")
+
+
+def test_assembly_compat_on_many(spark):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(11)
+    data = []
+    for i in range(600):
+        tags = [rng.choice(["PD-pad", "PD-pad", "BH-obj", "IH-obj", "BD-obj", "ID-obj", "BH-act"]) for _ in range(rng.randint(0, 12))]
+        data.append((f"d{i}", [rng.choice("abc") for _ in tags], tags))
+    t = spark.createDataFrame([*data, ("null", None, None)], "doc string, words array<string>, tags array<string>")
+    got = defaultdict(list)
+    for r in tagging.assemble_discontiguous(t, "obj", "compat").collect():
+        got[r.doc].append((r.words, [r.ss, r.se, r.es, r.ee]))
+    assert dict(got) == {d: m for d, w, g in data if (m := _machine(w, g, "obj"))}
+
+
 def test_viterbi(spark):
     import itertools
 
@@ -286,9 +352,69 @@ def test_viterbi(spark):
             v = sum(scores[i, t] for i, t in enumerate(path))
             if v > best:
                 best, want = v, [tagging.TAGS[t] for t in path]
-    assert tagging.viterbi(scores) == want
-    df = spark.createDataFrame([("d", scores.tolist())], "doc string, scores array<array<double>>")
-    assert tagging.decode(df).first().tags == want
+    df = spark.createDataFrame([("d", scores.tolist()), ("none", scores[:2].tolist()), ("one", scores[:1].tolist()), ("null", None), ("empty", [])], "doc string, scores array<array<double>>")
+    out = tagging.decode(df)
+    assert {r.doc: r.tags for r in out.collect()} == {"d": want, "none": ["PD-pad"] * 2, "one": ["PD-pad"], "null": [], "empty": []}
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_path_against_all_paths(spark):
+    """Weights and scores of few values: many ties, which go to the smaller state from the end on."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    rows_, wants, n = [], {}, 3
+    weights = rng.integers(-2, 2, size=(n + 1, n + 1)).astype(float)
+    weights[0, 1] = weights[2, n] = tagging.NEVER
+    for at in range(40):
+        scores = rng.integers(-1, 2, size=(int(rng.integers(1, 6)), n)).astype(float)
+        options = []
+        for path in itertools.product(range(n), repeat=len(scores)):
+            steps = [n, *path, n]
+            v = sum(scores[i, t] for i, t in enumerate(path)) + sum(weights[a, b] for a, b in itertools.pairwise(steps))
+            options.append((-v, path[::-1]))
+        rows_.append((at, scores.tolist()))
+        wants[at] = list(min(options)[1][::-1])
+    df = spark.createDataFrame(rows_, "doc long, scores array<array<double>>")
+    assert {r.doc: r.p for r in df.select("doc", tagging.best_path(F.col("scores"), weights).alias("p")).collect()} == wants
+
+
+def test_learnt_tagger(spark):
+    """A planted grammar: the tag of a word depends on the one before, new words follow their ends; held-out span F1."""
+    import random
+
+    from textloom.operators import evaluate
+
+    rng = random.Random(4)
+    nouns = [f"{rng.choice('bdfgk')}{rng.choice('aeiou')}{i}ion" for i in range(60)]
+    verbs = [f"{rng.choice('bdfgk')}{rng.choice('aeiou')}{i}ing" for i in range(60)]
+    small = ["the", "of", "a", "may", "light"]
+
+    def sentence(new):
+        words, tags = [], []
+        for _ in range(rng.randint(1, 4)):
+            words += rng.choices(small[:4], k=rng.randint(1, 2))
+            tags += ["PD-pad"] * (len(words) - len(tags))
+            if rng.random() < 0.6:
+                two = rng.random() < 0.5
+                words += (["light"] if two else []) + [rng.choice(nouns[new:])]
+                tags += ["BH-obj", "IH-obj"] if two else ["BH-obj"]
+            else:
+                words += [rng.choice(verbs[new:]), "light"]
+                tags += ["BH-act", "PD-pad"]
+        return words + ["."], tags + ["PD-pad"]
+
+    train = spark.createDataFrame([(f"t{i}", *sentence(20)) for i in range(300)] + [("none", [], []), ("null", None, None)], "doc string, words array<string>, tags array<string>")
+    held = spark.createDataFrame([(f"h{i}", *sentence(0)) for i in range(100)], "doc string, words array<string>, tags array<string>")
+    tagger = tagging.learn(train)
+    assert tagger.tags == ["PD-pad", "BH-act", "BH-obj", "IH-obj"]
+    found = tagger.tag(held.select("doc", "words"))
+    score = {r.type: r.f1 for r in evaluate.span_scores(tagging.tags_to_spans(held), tagging.tags_to_spans(found), ["doc"]).collect()}
+    assert score["overall"] > 0.97
+    plain = tagging.rule_tags(held.select("doc", F.array_join("words", " ").alias("sentence")))
+    rule = {r.type: r.f1 for r in evaluate.span_scores(tagging.tags_to_spans(held), tagging.tags_to_spans(plain), ["doc"]).collect()}
+    assert rule["overall"] < 0.6
+    assert tagging.learn(train.limit(0)).tag(held.limit(1).select("doc", "words")).first().tags[0] == "PD-pad"
 
 
 def test_rule_tags(spark):

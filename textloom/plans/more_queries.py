@@ -76,6 +76,65 @@ def span_scores(spark, sf_dir):
     return found.select("type", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
+# A tagger learnt from the documents' rule tags, and its tags of conversations.
+
+_DT = _T.replace("SELECT item_id AS doc", "SELECT doc_id AS doc").replace("FROM benchmark", "FROM documents").replace("replace(text", "replace(coalesce(text, '')")
+_HMM = f"""{_DT}, h AS (SELECT kind, value, tag, count(*) AS n FROM (SELECT 'word' AS kind, lower(word) AS value, tag FROM t UNION ALL SELECT 'end', right(lower(word), 3), tag FROM t) GROUP BY ALL),
+st AS (SELECT a, b, count(*) AS n FROM (SELECT coalesce(lag(tag) OVER w, '^') AS a, tag AS b FROM t WINDOW w AS (PARTITION BY doc ORDER BY pos) UNION ALL SELECT tag, '$' FROM (SELECT tag, row_number() OVER (PARTITION BY doc ORDER BY pos DESC) AS r FROM t) WHERE r = 1) GROUP BY ALL)"""
+
+
+def _document_tags(spark: SparkSession, sf_dir: str):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("sentence"))
+    return tagging.rule_tags(docs)
+
+
+@query(f"WITH RECURSIVE {_HMM} SELECT kind, value, tag, n FROM h UNION ALL SELECT 'step', a, b, n FROM st")
+def hmm_counts(spark, sf_dir):
+    held, steps = tagging.hmm_counts(_document_tags(spark, sf_dir))
+    return held.unionByName(steps.select(F.lit("step").alias("kind"), F.col("a").alias("value"), F.col("b").alias("tag"), "n"))
+
+
+@query(f"""WITH RECURSIVE {_HMM}, tg AS (SELECT unnest(['PD-pad', 'BH-obj', 'IH-obj']) AS tag, unnest([1, 2, 3]) AS i), q AS (SELECT i, tag, count(t.tag) AS n, (SELECT count(*) FROM t) AS total FROM tg LEFT JOIN t USING (tag) GROUP BY i, tag),
+v AS (SELECT kind, value, i, coalesce(n, 0)::DOUBLE AS n FROM (SELECT * FROM (SELECT DISTINCT kind, value FROM h), tg) LEFT JOIN h USING (kind, value, tag)), al AS (SELECT kind, value, sum(n) AS a FROM h GROUP BY ALL),
+en AS (SELECT value, i, (v.n + q.n / q.total) / (a + 1) AS p FROM v JOIN al USING (kind, value) JOIN q USING (i) WHERE kind = 'end'),
+wo AS (SELECT v.value, v.i, (v.n + en.p) / (a + 1) AS p FROM v JOIN al USING (kind, value) JOIN en ON en.value = right(v.value, 3) AND en.i = v.i WHERE kind = 'word'),
+em AS (SELECT 'word' AS kind, value, list(round(ln(p) * 1000) - round(ln(q.n / q.total) * 1000) ORDER BY i) AS s FROM wo JOIN q USING (i) GROUP BY value UNION ALL SELECT 'end', value, list(round(ln(p) * 1000) - round(ln(q.n / q.total) * 1000) ORDER BY i) FROM en JOIN q USING (i) GROUP BY value),
+tr AS (SELECT list(r ORDER BY x) AS m FROM (SELECT x, list(coalesce(round(1000 * ln(n / total)), -1e12) ORDER BY y) AS r FROM (SELECT * FROM (VALUES (1, 'PD-pad'), (2, 'BH-obj'), (3, 'IH-obj'), (4, '^')) u(x, a), (VALUES (1, 'PD-pad'), (2, 'BH-obj'), (3, 'IH-obj'), (4, '$')) w(y, b)) LEFT JOIN st USING (a, b) LEFT JOIN (SELECT a, sum(n) AS total FROM st GROUP BY a) USING (a) GROUP BY x)),
+c AS (SELECT conv_id * 1000 + turn AS doc, string_split(replace(coalesce(text, ''), chr(10), ' '), ' ') AS words FROM conversations), cw AS (SELECT doc, lower(unnest(words)) AS value, generate_subscripts(words, 1) AS pos FROM c),
+e AS (SELECT doc, pos, coalesce(a.s, b.s, [0.0, 0.0, 0.0]) AS s FROM cw LEFT JOIN em a ON a.kind = 'word' AND a.value = cw.value LEFT JOIN em b ON b.kind = 'end' AND b.value = right(cw.value, 3)),
+r AS (SELECT doc, pos, list_transform([1, 2, 3], lambda j: m[4][j] + s[j]) AS best, ['0', '1', '2'] AS path FROM e, tr WHERE pos = 1
+UNION ALL SELECT r.doc, e.pos, list_transform([1, 2, 3], lambda j: list_max(list_transform([1, 2, 3], lambda i: best[i] + m[i][j])) + s[j]),
+list_transform([1, 2, 3], lambda j: concat(path[list_position(list_transform([1, 2, 3], lambda i: best[i] + m[i][j]), list_max(list_transform([1, 2, 3], lambda i: best[i] + m[i][j])))], (j - 1)::VARCHAR)) FROM r JOIN e ON e.doc = r.doc AND e.pos = r.pos + 1, tr),
+z AS (SELECT doc, path, list_transform([1, 2, 3], lambda i: best[i] + m[i][4]) AS done, row_number() OVER (PARTITION BY doc ORDER BY pos DESC) AS last FROM r, tr)
+SELECT doc, path[list_position(done, list_max(done))] AS path FROM z WHERE last = 1""")
+def hmm_tags(spark, sf_dir):
+    """Tags (0 outside, 1 begins, 2 goes on) of every turn by the tagger that the documents teach."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), " ").alias("words"))
+    tagger = tagging.learn(_document_tags(spark, sf_dir))
+    number = lambda t: F.array_position(F.array(*map(F.lit, tagger.tags)), t) - 1
+    return tagger.tag(turns).select("doc", F.array_join(F.transform("tags", lambda t: number(t).cast("string")), "").alias("path"))
+
+
+_HALVES = """w AS (SELECT conv_id * 1000 + turn AS doc, unnest(x) AS word, generate_subscripts(x, 1) - 1 AS pos FROM (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') AS x FROM conversations)),
+g AS (SELECT *, CASE WHEN length(word) >= 8 THEN 'B' WHEN length(word) = 7 THEN 'D' WHEN length(word) = 6 THEN 'I' END AS h FROM w),
+o AS (SELECT *, CASE WHEN h IN ('B', 'D') OR lag(h) OVER (PARTITION BY doc ORDER BY pos) IS NULL THEN 1 ELSE 0 END AS opens FROM g),
+n AS (SELECT *, sum(CASE WHEN h IS NOT NULL THEN opens ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos) AS n FROM o),
+r AS (SELECT doc, n, min(pos) AS a, max(pos) AS z, arg_min(h, pos) AS h, string_agg(word, ' ' ORDER BY pos) AS words FROM n WHERE h IS NOT NULL GROUP BY doc, n),
+b AS (SELECT *, sum(CASE WHEN h = 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY n) AS anew, h = 'D' AND lag(n) OVER (PARTITION BY doc ORDER BY n) IS NOT NULL AS half FROM r),
+k AS (SELECT *, half AND sum(CASE WHEN half THEN 1 ELSE 0 END) OVER (PARTITION BY doc, anew ORDER BY n) = 1 AS takes FROM b),
+s AS (SELECT *, sum(CASE WHEN takes THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY n) AS span FROM k)"""
+
+
+@query(f"WITH {_HALVES} SELECT doc, string_agg(words, ' ' ORDER BY n) AS words, arg_min(a, n)::BIGINT AS ss, arg_min(z, n)::BIGINT AS se, CASE WHEN count(*) > 1 THEN arg_max(a, n)::BIGINT END AS es, CASE WHEN count(*) > 1 THEN arg_max(z, n)::BIGINT END AS ee FROM s GROUP BY doc, span")
+def discontiguous_spans(spark, sf_dir):
+    """Spans with second halves in every turn: words of eight letters begin one, of seven a half, of six go on."""
+    x = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ").alias("words"))
+    n = lambda w: F.length(w)
+    x = x.withColumn("tags", F.transform("words", lambda w: F.when(n(w) >= 8, "BH-obj").when(n(w) == 7, "BD-obj").when(n(w) == 6, "IH-obj").otherwise(tagging.OUTSIDE)))
+    out = tagging.assemble_discontiguous(x, "obj")
+    return out.select("doc", F.array_join("words", " ").alias("words"), *(F.col(c).cast("long").alias(c) for c in ("ss", "se", "es", "ee")))
+
+
 @query(f"WITH {_W} SELECT doc, pos, word AS token, start::BIGINT AS start, (start + length(word))::BIGINT AS \"end\" FROM (SELECT doc, word, (row_number() OVER (PARTITION BY doc ORDER BY pos) - 1)::BIGINT AS pos, s AS start FROM (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w) WHERE word <> '')")
 def token_offsets(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("sentence"))
