@@ -61,6 +61,38 @@ def test_op1(spark, sf_dir, real):
     compare(queries.op1_pii(spark, sf_dir), want, ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"])
 
 
+def test_op1_base_against_sql(spark, sf_dir):
+    """Counts, places and digest of the base kinds by an engine with other expressions (its card's and phone's proofs aside)."""
+    duckdb = pytest.importorskip("duckdb")
+    found = duckdb.sql(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM read_parquet('{sf_dir}/documents.parquet')),
+m AS (SELECT doc_id, unnest(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) AS x, 'email' AS kind FROM d UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)')), 'ip' FROM d)
+SELECT doc_id, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip' AND list_max(list_transform(string_split(x, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 999))) <= 255) AS i FROM d LEFT JOIN m USING (doc_id) GROUP BY doc_id""").fetchall()
+    got = {r.doc_id: (r.n_email, r.n_ip) for r in queries.op1_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip").collect()}
+    assert got == {d: (e, i) for d, e, i in found} and sum(e + i for _, e, i in found) > 0
+
+
+def test_running_sums(spark):
+    rng = random.Random(3)
+    rows = [(n, [rng.randint(0, 9) for _ in range(n)]) for n in (0, 1, 2, 3, 4, 5, 15, 16, 17, 99, 100, 101, 5000)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "n int, x array<int>")
+    got = {r.n: r.s for r in df.select("n", pii.running(F.col("x")).alias("s")).collect()}
+    assert got == {n: [sum(x[: i + 1]) for i in range(n)] if x else [] for n, x in rows}
+
+
+def test_many_spans_in_one_text(spark):
+    """Time follows the spans of a text: four times as many take far less than sixteen times as long."""
+    import time
+
+    took = []
+    for n in (10_000, 10_000, 40_000):
+        text = " ".join(f"u{i}@h{i % 97}.org" for i in range(n))
+        at = time.perf_counter()
+        r = pii.find(table(spark, [(1, text)])).select(F.size("email").alias("n"), F.element_at("email", -1).alias("last")).first()
+        took.append(time.perf_counter() - at)
+        assert (r.n, r.last.end, r.last.start) == (n, len(text), len(text) - len(text.split()[-1]))
+    assert took[2] < 8 * took[1]
+
+
 def test_context_words_decide(spark):
     rows = [(1, "call me on (555) 123-4567 now"), (2, "part (555) 123-4567 now"), (3, "ssn 123-45-6789"), (4, "item 123-45-6789"), (5, 'token = "abcDEF0123456789xyz"'), (6, 'colour = "abcDEF0123456789xyz"'), (7, "+1 (555) 123-4567 tel"), (8, "tel 555-123-4567"), (9, "fax 1555-123-45678"), (10, None)]
     found = {r.doc_id: r for r in pii.find(table(spark, rows)).collect()}

@@ -13,6 +13,8 @@ stand by themselves; secret, local and ident reach THRESHOLD with such a word al
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,26 +84,53 @@ def _confirmed(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: what a function of elements names otherwise runs for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(sizes: Column) -> Column:
+    """The running sums of an array of ints, in blocks of about as many as there are blocks.
+
+    An array that grows by one element is copied each time, so only short ones grow here.
+    """
+    none = F.array().cast("array<int>")
+
+    def sums(part: Column, start: Column) -> Column:
+        add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out"))
+        return F.aggregate(part, F.struct(start.cast("int").alias("at"), none.alias("out")), add, lambda s: s["out"])
+
+    def cut(x: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(x))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / size).cast("int")), lambda i: F.slice(x, i * size + 1, size))
+        return _let(blocks, joined)
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+        before = F.slice(F.concat(F.array(F.lit(0)), sums(totals, F.lit(0))), 1, F.size(blocks))
+        return F.flatten(F.zip_with(blocks, before, sums))
+
+    return F.when(F.size(sizes) > 0, _let(sizes, cut)).otherwise(none)
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """array<struct<kind, start, end, score>> of one kind: code points, end exclusive."""
     pattern, needs, base, words = KINDS[kind]
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
-    kind_of = "array<struct<kind:string,start:int,end:int,score:double>>"
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+
+    def placed(found: Column) -> Column:
+        between = F.split(text, pattern, -1)  # one piece more than matches
+        pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+        return _let(pairs, lambda p: F.zip_with(p, running(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["match"]))), told_of))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
+    def told_of(pair: Column, end: Column) -> Column:
         near = F.substring(pair["gap"], -CONTEXT, CONTEXT).rlike(words)
         score = F.least(F.lit(1.0), F.lit(base) + F.when(near, F.lit(BONUS)).otherwise(F.lit(0.0)))
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        good = _confirmed(kind, pair["match"]) & (score >= THRESHOLD)
-        return F.struct(end.alias("at"), F.when(good, F.concat(state["out"], F.array(one).cast(kind_of))).otherwise(state["out"]).alias("out"))
+        one = F.struct(F.lit(kind).alias("kind"), (end - F.length(pair["match"])).alias("start"), end.alias("end"), score.alias("score"))
+        return F.when(_confirmed(kind, pair["match"]) & (score >= THRESHOLD), one)
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("out"))
-    kept = F.aggregate(pairs, first, step, lambda s: s["out"])
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    kept = F.filter(_let(found, placed), lambda x: x.isNotNull())
     return F.when(text.rlike(needs), kept).otherwise(none)
 
 
