@@ -47,7 +47,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "one.pdf").write_bytes(make(PAGES))
     (tmp_path / "bad.pdf").write_bytes(b"%PDF-1.4\n10 0 obj << /Type /Page /Contents 11 0 R >> endobj 11 0 obj << /Filter /FlateDecode >>\nstream\nnot deflated\nendstream endobj")
-    (tmp_path / "empty.pdf").write_bytes(b"")
+    (tmp_path / "junk.pdf").write_bytes(b"<p>")
     files = readers.file_scan(spark, str(tmp_path), "*.pdf")
-    got = {(r.id, r.page_nr): r.text for r in pdf.pages(files).collect()}
-    assert got == {("one.pdf", 1): "Fire doors (wide) café – x", ("one.pdf", 2): "second page"}
+    pattern, pages = readers.reader_for("pdf")
+    out = pages(readers.file_scan(spark, str(tmp_path), pattern)).collect()
+    assert {(r.id, r.page_nr): r.text for r in out if r.error is None} == {("one.pdf", 1): "Fire doors (wide) café – x", ("one.pdf", 2): "second page"}
+    assert {(r.id, r.page_nr, r.text) for r in out if r.error} == {("bad.pdf", None, None), ("junk.pdf", None, None)}
+    assert pdf.pages(files.limit(0)).count() == 0
+    (tmp_path / "page.html").write_text("<body><p>One</p><p>two</p></body>")
+    pattern, pages = readers.reader_for("html")
+    assert [(r.id, r.page_nr, r.text, r.error) for r in pages(readers.file_scan(spark, str(tmp_path), pattern)).orderBy("page_nr").collect()] == [("page.html", 1, "One", None), ("page.html", 2, "two", None)]

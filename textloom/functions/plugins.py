@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stem as suffixes
+
 
 class Embedder(Protocol):
     def __call__(self, texts: list[str], dims: int) -> np.ndarray: ...
@@ -36,20 +38,15 @@ def list_column(fn: SpanTagger | SentenceSplitter) -> Callable[[Column], Column]
 
 
 def normalise_words(words: Column, how: str = "lower", stem: Callable[[Column], Column] | None = None) -> Column:
-    """Words lower-cased; `stem` takes a column function, or else a plain plural rule."""
+    """Words lower-cased; stemmed by the suffix rules of functions/stem.py, or a column function of one's own."""
     low = F.transform(words, F.lower)
     if how == "lower":
         return low
     if how == "stem":
-        return F.transform(low, stem or plural)
+        return F.transform(low, stem or suffixes.stem)
     raise ValueError(how)
 
 
-def plural(w: Column) -> Column:
-    """English plural endings off: -sses -> -ss, -ies -> -y, -s (not -ss, -us, -is) -> nothing."""
-    return F.when(w.endswith("sses"), F.regexp_replace(w, "es$", "")).when(w.rlike("[^ae]ies$"), F.regexp_replace(w, "ies$", "y")).when(w.rlike("[^sui]s$") & (F.length(w) > 3), F.regexp_replace(w, "s$", "")).otherwise(w)
-
-
 def register(spark: SparkSession) -> None:
     """SQL functions of the text operators, as expressions (no Python runs)."""
     make = lambda sig, returns, body: spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {sig} RETURNS {returns} RETURN {body}")

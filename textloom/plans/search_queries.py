@@ -383,7 +383,7 @@ e0 AS (SELECT x.a AS src, y.a AS dst, count(*)::DOUBLE AS weight FROM ph1 x JOIN
 deg AS (SELECT src AS node, count(*) AS degree FROM e GROUP BY src), av AS (SELECT e.src AS node, avg(degree) AS avg_degree FROM e JOIN deg ON e.dst = deg.node GROUP BY e.src), ds AS (SELECT DISTINCT query_id, span, ord FROM sp),
 gn AS (SELECT query_id, span, ord, e.dst AS label, round(weight + ln(d2.degree) + ln(avg_degree), 6) AS score FROM ds JOIN deg d1 ON d1.node = span AND d1.degree <= 75 JOIN e ON e.src = span JOIN deg d2 ON d2.node = e.dst JOIN av ON av.node = e.dst AND avg_degree <= 75),
 kg AS (SELECT * FROM (SELECT query_id, span, label AS candidate, row_number() OVER (PARTITION BY query_id, span ORDER BY score, label) AS rank, ord FROM gn WHERE contains(label, span) OR (NOT {ALIKE} AND NOT contains(lower(span), lower(label)))) WHERE rank <= 2),
-{_nearest(5, True).replace("q AS (SELECT * FROM v WHERE id % 50 = 0)", "vq AS (SELECT * FROM v WHERE id % 50 = 0)").replace("FROM q, v", "FROM vq q, v")}, np AS (SELECT ds.query_id, span, p_name AS label, near.rank AS near_rank, ord FROM ds JOIN near ON near.query_id = ds.query_id % 10 * 50 JOIN part ON p_partkey = near.id % 100),
+{_nearest(5, True).replace("q AS (SELECT * FROM v WHERE id % 50 = 0)", "vq AS (SELECT * FROM v WHERE id % 50 = 0)").replace("FROM q, v", "FROM vq q, v")}, np AS (SELECT ds.query_id, span, p_name AS label, near.rank AS near_rank, ord FROM ds JOIN near ON near.query_id = ds.query_id % 10 * 50 JOIN part ON p_partkey = near.id),
 nn AS (SELECT * FROM (SELECT query_id, span, label AS candidate, row_number() OVER (PARTITION BY query_id, span ORDER BY near_rank, label) AS rank, ord FROM np WHERE NOT contains(lower(span), lower(label)) AND NOT {ALIKE}) WHERE rank <= 2),
 cand AS (SELECT query_id, 'nn' AS source, candidate, ord * 100 + rank AS ord FROM nn UNION ALL SELECT query_id, 'kg', candidate, 1000000 + ord * 100 + rank FROM kg UNION ALL SELECT query_id, 'prf', candidate, 2000000 + rank FROM prf WHERE rank <= 2),
 {IDF}, ca AS (SELECT DISTINCT candidate FROM cand),
@@ -398,8 +398,8 @@ def _three(spark: SparkSession, sf_dir: str) -> dict:
     pairs = p.select(F.explode(F.arrays_zip(F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))).alias("a"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).alias("b"))).alias("x"))
     edges = expand.undirected(pairs.groupBy(F.col("x.a").alias("src"), F.col("x.b").alias("dst")).agg(F.count("*").cast("double").alias("weight")))
     v, q = _vectors(spark, sf_dir)
-    names = table(spark, sf_dir, "part").filter("p_partkey < 100").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("candidate"))
-    near = vectors.search(v, q, 5, "vec_id", "embedding").select(F.col("query_id").alias("at"), (F.col("id") % 100).alias("k"), "rank").join(names, "k")
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("candidate"))
+    near = vectors.search(v, q, 5, "vec_id", "embedding").select(F.col("query_id").alias("at"), F.col("id").alias("k"), "rank").join(names, "k")
     neighbours = spans.distinct().withColumn("at", F.col("query_id") % 10 * 50).join(near, "at").select("query_id", "span", "ord", "candidate", "rank")
     return {"graph": edges, "neighbours": neighbours}
 

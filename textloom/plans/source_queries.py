@@ -167,14 +167,15 @@ def agreement(spark, sf_dir):
 @query("SELECT p_partkey AS k, array_to_string(list_filter([CASE WHEN p_size % 2 = 0 THEN 'content' END, CASE WHEN p_size % 3 = 0 THEN 'neighbours' END], lambda x: x IS NOT NULL), ',') AS fields, p_size % 3 = 0 AND p_size % 5 = 0 AS expands, p_size % 4 = 0 AS off FROM part")
 def plan_switches(spark, sf_dir):
     """Switches that plans are made by: fields of weight, document expansion, services that are off."""
-    keys = [(r.p_partkey, r.p_size) for r in table(spark, sf_dir, "part").select("p_partkey", "p_size").toLocalIterator()]
-
-    def told(k: int, size: int) -> tuple:
+    def told(size: int) -> tuple:
         weights = {"content": float(size % 2 == 0), "neighbours": float(size % 3 == 0), "bm25": 1.0}
         both = {"filtered_NER_labels_domains": float(size % 5 == 0), "neighbours": weights["neighbours"]}
-        return k, ",".join(enabled_fields(weights)), expands_documents(both), is_off("None" if size % 4 == 0 else "http://x")
+        return size, ",".join(enabled_fields(weights)), expands_documents(both), is_off("None" if size % 4 == 0 else "http://x")
 
-    return spark.createDataFrame([told(*r) for r in keys], "k long, fields string, expands boolean, off boolean")
+    # All settings that there are, 60 rows; the table's rows stay where they are.
+    plans = spark.createDataFrame([told(size) for size in range(60)], "size int, fields string, expands boolean, off boolean")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.pmod("p_size", F.lit(60)).cast("int").alias("size"))
+    return parts.join(F.broadcast(plans), "size").drop("size")
 
 
 @query(f"SELECT md5(word) AS word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(text, ' '))) AS word FROM benchmark) GROUP BY word)")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import boundaries, stem
 from ..functions import passages as P
 from ..functions import text as T
 from ..operators import dedup, stats
-from ..sources import readers
+from ..sources import readers, sinks
 from . import sql as S
 
 QUERIES: dict = {}
@@ -231,9 +234,57 @@ def language_names(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", "lang", T.language_name(F.col("lang")).alias("language"), T.origin(F.col("source")).alias("origin"))
 
 
-@query("SELECT source, count(*) AS n, array_to_string(list_sort(list_distinct(list(doc_id))), ',') AS ids FROM documents GROUP BY source")
+@query("""SELECT source, block, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS ids FROM (SELECT source, doc_id, ((row_number() OVER (ORDER BY source, doc_id) - 1) // 10000)::BIGINT AS block FROM (SELECT DISTINCT source, doc_id FROM documents)) GROUP BY source, block""")
 def inverted_list(spark, sf_dir):
-    return stats.inverted(_docs(spark, sf_dir), "source", "doc_id").select("source", "n", F.array_join("values", ",").alias("ids"))
+    """Documents by source, in lists of bounded length."""
+    x = stats.inverted_blocks(_docs(spark, sf_dir), "source", "doc_id")
+    return x.select("source", F.col("block").cast("long").alias("block"), "n", F.array_join("values", ",").alias("ids"))
+
+
+@query(r"""SELECT lower(rtrim(w, '.')) AS word, count_if(ends_with(w, '.')) AS stopped, count_if(NOT ends_with(w, '.')) AS plain FROM (SELECT unnest(list_filter(list_slice(p, 1, len(p) - 1), lambda x: regexp_full_match(x, '\p{L}(?:\.?\p{L})*\.?'))) AS w
+FROM (SELECT string_split(unnest(string_split(coalesce(text, ''), chr(10))), ' ') AS p FROM documents)) GROUP BY 1""")
+def stop_counts(spark, sf_dir):
+    """How often each word stands with a full stop behind it and without: what abbreviations are learnt from."""
+    return boundaries.type_counts(_docs(spark, sf_dir))
+
+
+@query()
+def word_stems(spark, sf_dir):
+    """Stems of all distinct words, with the number of words that share one (a chain of suffix rules has no short SQL)."""
+    words = _docs(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    return words.select(stem.stem(F.col("word")).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, md5(concat('14:', doc_id)) < 'x' AS known, CASE WHEN r <= 120 THEN 'train' WHEN r <= 160 THEN 'val' ELSE 'test' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('14:', doc_id)), doc_id) AS r FROM documents)")
+def split_sets(spark, sf_dir):
+    """Training, validation and test sets by a seeded hash order."""
+    return sinks.split_sets(_docs(spark, sf_dir).select("doc_id"), "doc_id").select("doc_id", F.lit(True).alias("known"), "part")
+
+
+@query("""SELECT doc_id, count(*) AS n FROM (SELECT ('0x' || substr(md5(concat('14:', i)), 1, 15))::BIGINT % (SELECT count(*) FROM documents) + 1 AS r FROM range(500) t(i)) JOIN (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('14:', doc_id)), doc_id) AS r FROM documents) USING (r) GROUP BY doc_id""")
+def seeded_sample(spark, sf_dir):
+    """500 draws with replacement (a sampling operator), and how often each document was drawn."""
+    return sinks.sample(_docs(spark, sf_dir).select("doc_id"), "doc_id", 500).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+_LINES = "string_split(text, chr(10))"
+
+
+@query(f"SELECT doc_id, md5(array_to_string(list_concat({_LINES}, ['end', 'elder'], {_LINES}, ['younger']), '|')) AS whole, md5(array_to_string(list_concat({_LINES}, ['end'], {_LINES}, ['younger']), '|')) AS compat FROM documents")
+def nested_items(spark, sf_dir):
+    """Items of lists in lists of every document: all of them, and as the surveyed system gives them."""
+    lines = F.to_json(F.split("text", "\n"))
+    told = F.concat(F.lit('["#Table 1",'), lines, F.lit(', "#Li1_2#end", 7, ["elder", '), lines, F.lit(', "#Li3#younger"]]'))
+    x = _docs(spark, sf_dir).select("doc_id", F.parse_json(told).alias("v"))
+    view = f"nested_{uuid.uuid4().hex}"
+    x.createOrReplaceTempView(view)
+    out = None
+    for mode, name in (("intended", "whole"), ("compat", "compat")):
+        function = readers.list_items(spark, mode, f"list_items_{mode}")
+        rows = spark.sql(f"SELECT doc_id, t.pos, t.text FROM {view}, LATERAL {function}(v) t")
+        one = rows.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), "|")).alias(name))
+        out = one if out is None else out.join(one, "doc_id")
+    return out
 
 
 @query(f"SELECT phrase, count(*) AS n FROM ({PHRASES}) GROUP BY phrase ORDER BY n DESC, phrase LIMIT 20")

@@ -2,7 +2,7 @@
 
 What is read: objects and compressed object streams, content streams that are plain or deflated, strings in WinAnsi/Latin-1
 (or two-byte big-endian with a mark).  Fonts with encodings of their own are not decoded; callers with such files pass
-another extractor to `pages`.  A file that can't be read gives no text, and never stops a job.
+another extractor to `pages`.  A file that can't be read gives a row with its error, and never stops a job.
 """
 
 from __future__ import annotations
@@ -104,18 +104,27 @@ def extract(raw: bytes) -> str:
     return "".join(out)
 
 
-def _safe(extractor: Callable[[bytes], str], raw: bytes) -> str:
+def _safe(extractor: Callable[[bytes], str], raw: bytes) -> tuple[str | None, str | None]:
+    """(text, nothing), or (nothing, why a file can't be read)."""
     try:
-        return extractor(bytes(raw))
-    except (ValueError, zlib.error, KeyError, IndexError):
-        return ""
+        if not bytes(raw or b"").lstrip().startswith(b"%PDF"):
+            return None, "no PDF file"
+        return extractor(bytes(raw)), None
+    except (ValueError, zlib.error, KeyError, IndexError) as e:
+        return None, f"{type(e).__name__}: {e}"[:200]
 
 
 def pages(files: DataFrame, extractor: Callable[[bytes], str] = extract) -> DataFrame:
-    """id (the file's name), page_nr, text of files(path, content): cleaned pages as pdf_pages gives them."""
+    """id (the file's name), page_nr, text, error of files(path, content): cleaned pages as pdf_pages gives them.
+
+    A file that can't be read is one row with an error, and without a page.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"id": f["path"].str.rsplit("/", n=1).str[-1], "t": [_safe(extractor, x) for x in f["content"]]})
+            yield pd.DataFrame({"id": f["path"].str.rsplit("/", n=1).str[-1], **dict(zip(("t", "error"), zip(*(_safe(extractor, x) for x in f["content"]), strict=True), strict=True))} if len(f) else {"id": [], "t": [], "error": []})
 
-    return pdf_pages(files.select("path", F.col("content")).mapInPandas(run, "id string, t string"), "id", "t")
+    read = files.select("path", "content").mapInPandas(run, "id string, t string, error string")
+    rows = read.select(F.struct("id", "error").alias("id"), F.coalesce("t", F.lit("\f")).alias("t"))
+    page = lambda c: F.when(F.col("id.error").isNull(), F.col(c)).alias(c)
+    return pdf_pages(rows, "id", "t").select(F.col("id.id").alias("id"), page("page_nr"), page("text"), F.col("id.error").alias("error"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,6 +151,51 @@ def regulation_sentences(files: DataFrame, name: str = "name", json_col: str = "
     return x.select("name", "section", "sub", "subsub", F.posexplode(strings).alias("pos", "text"))
 
 
+def _items(values: list, compat: bool, top: bool = True) -> list[str]:
+    out: list[str] = []
+    for v in values:
+        if isinstance(v, list):
+            inner = _items(v, compat, False)
+            # compat: a list within a list takes the place of what stands before it; only at the top is it added.
+            out = inner if compat and not top else out + inner
+        elif isinstance(v, str):
+            plain = re.sub("#Li[0-9_]*#", "", v)
+            if top and v.startswith(("#EndTable", "#Table")):
+                continue
+            if not top and len(plain) > 4 and plain.startswith("['"):
+                try:
+                    told = ast.literal_eval(plain)  # a list that was written as text
+                except (ValueError, SyntaxError):
+                    told = None
+                if isinstance(told, list):
+                    inner = _items(told, compat, False)
+                    out = inner if compat else out + inner
+                    continue
+            out.append(plain)
+    return out
+
+
+def list_items(spark: SparkSession, mode: str = "intended", name: str = "list_items") -> str:
+    """Register a table function of a VARIANT: pos, text of the strings in a list of lists of any depth, in order.
+
+    Item marks go, so do the marks of tables at the top; anything but lists and strings is left out, and a value that is no
+    list gives no rows.  intended: all items.  compat: within a nested list a further list replaces its elder siblings.
+    """
+    if mode not in ("intended", "compat"):
+        raise ValueError(mode)
+    compat = mode == "compat"
+
+    @F.udtf(returnType="pos int, text string")
+    class Items:
+        def eval(self, value):
+            value = value.toPython() if value is not None else None
+            if isinstance(value, list):
+                yield from enumerate(_items(value, compat))
+
+    spark.udtf.register(name, Items)
+    return name
+
+
 def definitions(files: DataFrame, json_col: str = "json") -> DataFrame:
     """term: distinct non-empty keys of the `definitions` below sections that start with `Appendix A.`."""
     x = files.select(F.explode(entries(json_col)).alias("section", "s")).filter("startswith(section, 'Appendix A.')")
@@ -158,11 +205,24 @@ def definitions(files: DataFrame, json_col: str = "json") -> DataFrame:
     return inner.select(F.explode(keys).alias("term")).select(T.normalise_definition(F.col("term")).alias("term")).filter("term <> ''").distinct()
 
 
-READERS = {"html": ("*.html", html_pages), "pdf": ("*.pdf", pdf_pages)}
+def html_files(files: DataFrame) -> DataFrame:
+    """id (the file's name), page_nr, text, error (null) of files(path, content) in UTF-8."""
+    x = files.select(F.element_at(F.split("path", "/"), -1).alias("id"), F.col("content").cast("string").alias("html"))
+    return html_pages(x, "id", "html").withColumn("error", F.lit(None).cast("string"))
+
+
+def pdf_files(files: DataFrame) -> DataFrame:
+    """id, page_nr, text, error of files(path, content): see sources/pdf.py."""
+    from . import pdf
+
+    return pdf.pages(files)
+
+
+READERS = {"html": ("*.html", html_files), "pdf": ("*.pdf", pdf_files)}
 
 
 def reader_for(kind: str):
-    """The file pattern and page function of a format; others raise."""
+    """The file pattern of a format and its function from files(path, content) to pages; others raise."""
     if kind not in READERS:
         raise ValueError(f"no reader for {kind!r}; known: {sorted(READERS)}")
     return READERS[kind]

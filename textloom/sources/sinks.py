@@ -74,9 +74,17 @@ def upsert(old: DataFrame, new: DataFrame, key: str, duplicates: str = "overwrit
     raise ValueError(duplicates)
 
 
+def _told(key: Column, seed: int) -> Column:
+    """A hash of seed and key that other engines have, too."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+
+
 def split_sets(docs: DataFrame, key: str, train: int = 120, val: int = 40, seed: int = 14) -> DataFrame:
-    """docs with `part`: by a seeded hash order, the first rows train, the next ones val, the rest test."""
-    x = numbered(docs.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), ["__h", key], "__n")
+    """docs with `part`: by a seeded hash order, the first rows train, the next ones val, the rest test.
+
+    Null keys are told alike and stand together, by nothing but the row numbers.
+    """
+    x = numbered(docs.withColumn("__h", _told(F.col(key), seed)), ["__h", key], "__n")
     return x.withColumn("part", F.when(F.col("__n") < train, "train").when(F.col("__n") < train + val, "val").otherwise("test")).drop("__n", "__h")
 
 
@@ -91,10 +99,13 @@ def write_samples(rows: DataFrame, key: str, text: str, path: str) -> None:
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 14) -> DataFrame:
-    """n rows drawn with replacement, reproducibly: draw i takes the row whose hashed rank is nearest (a sampling operator)."""
+    """n rows drawn with replacement, reproducibly: draw i takes the row whose number in hash order is a hash of i.
+
+    A sampling operator.  Null keys are told alike; an empty table gives no rows.
+    """
     total = rows.count()
     if not total:
         return rows
-    draws = rows.sparkSession.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("__n"))
-    x = numbered(rows.withColumn("__r", F.xxhash64(F.col(key), F.lit(seed))), ["__r", key], "__n")
+    draws = rows.sparkSession.range(n).select(F.pmod(F.conv(F.substring(_told(F.col("id"), seed), 1, 15), 16, 10).cast("long"), F.lit(total)).alias("__n"))
+    x = numbered(rows.withColumn("__r", _told(F.col(key), seed)), ["__r", key], "__n")
     return draws.join(x, "__n").drop("__n", "__r")
