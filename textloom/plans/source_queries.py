@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import enabled_fields, expands_documents, is_off
 from ..functions import text as T
-from ..operators import evaluate, terms, vectors
+from ..operators import embed, evaluate, terms, vectors
 from ..operators.common import shared_dir
 from ..sources import readers, sinks
 from . import sql as S
@@ -234,6 +234,13 @@ def embedding_parts(spark, sf_dir):
     return done.select("vec_id", F.col("chunk").cast("long").alias("chunk"), F.lit(whole).alias("complete"))
 
 
+@query()
+def learnt_vectors(spark, sf_dir):
+    """Vectors of words, learnt from the company that they keep in all documents: their length (trained, so without SQL)."""
+    words = embed.word_vectors(embed.ppmi(embed.cooccurrences(table(spark, sf_dir, "documents"))))
+    return words.select("word", F.size("vec").alias("dims"), F.round(F.sqrt(vectors.dot(F.col("vec"), F.col("vec"))), 4).alias("length"))
+
+
 @query()
 def hashed_vectors(spark, sf_dir):
     """Vectors of distinct phrases by the default embedder (hashed trigrams have no SQL; tests hold it)."""
