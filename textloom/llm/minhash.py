@@ -178,10 +178,11 @@ def components(links: DataFrame) -> DataFrame:
         if state[0] == 0 or state == before:
             break
         before = state
-        lows = both(edges).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Smallest neighbours are written: a join whose sides come straight from their shuffles can split a node of many links.
+        lows = materialise(both(edges).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "lows")
         large = both(edges).filter("b > a").join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.filter("a > b")
-        lows = down.groupBy("a").agg(F.min("b").alias("m"))
+        down = materialise(large.filter("a > b"), "stars")
+        lows = materialise(down.groupBy("a").agg(F.min("b").alias("m")), "lows")
         edges = materialise(down.join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lows.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "links")
     own = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return own.union(edges.select(F.col("b"), F.col("b"))).groupBy("node").agg(F.min("component").alias("component"))
@@ -206,6 +207,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, crowd: int =
     # A class is named by its smallest doc_id; where ids are repeated, d1 tells classes of one name apart.
     member = classes.select("rep", "n", "d1", F.explode("bands").alias("band"))
     hubs = member.groupBy("band").agg(F.min(F.struct("rep", "n", "d1")).alias("hub"), F.count("*").alias("size")).filter("size > 1").select("band", F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.d1").alias("d_a"))
+    hubs = materialise(hubs, "hubs")  # so that the join can split a band of many members
     bucket = materialise(member.join(hubs, "band").select("band", "a", "n_a", "d_a", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("d1").alias("d_b")), "buckets")
 
     near_in_size = F.lit(100) * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -216,7 +218,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, crowd: int =
 
     # What stars leave apart inside a bucket.
     near = bucket.join(comp.select(F.col("node").alias("b"), "component"), "b", "left").select("band", F.col("b").alias("x"), F.col("d_b").alias("d1"), F.col("n_b").alias("n_x"), F.coalesce("component", F.col("b")).alias("c"))
-    open_ = materialise(near.join(_open_buckets(near), "band").join(classes.select(F.col("rep").alias("x"), "d1", "bands", "sketch"), ["x", "d1"]), "open")
+    open_ = materialise(near.join(materialise(_open_buckets(near), "parted"), "band").join(classes.select(F.col("rep").alias("x"), "d1", "bands", "sketch"), ["x", "d1"]), "open")
     rows = _dealt(open_, crowd).join(sets.withColumnRenamed("rep", "x"), ["x", "d1"]).select("key", "band", "side", "x", "n_x", "c", "sketch", "bands", "shingles")
     more = rows.repartition(tasks(docs.sparkSession), "key").sortWithinPartitions("key", "band").mapInArrow(_crossing(percent), "a long, b long")
     more = materialise(more.distinct(), "crossing")
