@@ -125,14 +125,14 @@ k AS (SELECT *, half AND sum(CASE WHEN half THEN 1 ELSE 0 END) OVER (PARTITION B
 s AS (SELECT *, sum(CASE WHEN takes THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY n) AS span FROM k)"""
 
 
-@query(f"WITH {_HALVES} SELECT doc, string_agg(words, ' ' ORDER BY n) AS words, arg_min(a, n)::BIGINT AS ss, arg_min(z, n)::BIGINT AS se, CASE WHEN count(*) > 1 THEN arg_max(a, n)::BIGINT END AS es, CASE WHEN count(*) > 1 THEN arg_max(z, n)::BIGINT END AS ee FROM s GROUP BY doc, span")
+@query(f"WITH {_HALVES} SELECT doc, string_agg(words, ' ' ORDER BY n) AS words, arg_min(a, n)::BIGINT AS ss, arg_min(z, n)::BIGINT AS se, CASE WHEN count(*) > 1 THEN arg_max(a, n)::BIGINT ELSE -1 END AS es, CASE WHEN count(*) > 1 THEN arg_max(z, n)::BIGINT ELSE -1 END AS ee FROM s GROUP BY doc, span")
 def discontiguous_spans(spark, sf_dir):
     """Spans with second halves in every turn: words of eight letters begin one, of seven a half, of six go on."""
     x = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ").alias("words"))
     n = lambda w: F.length(w)
     x = x.withColumn("tags", F.transform("words", lambda w: F.when(n(w) >= 8, "BH-obj").when(n(w) == 7, "BD-obj").when(n(w) == 6, "IH-obj").otherwise(tagging.OUTSIDE)))
     out = tagging.assemble_discontiguous(x, "obj")
-    return out.select("doc", F.array_join("words", " ").alias("words"), *(F.col(c).cast("long").alias(c) for c in ("ss", "se", "es", "ee")))
+    return out.select("doc", F.array_join("words", " ").alias("words"), *(F.coalesce(F.col(c), F.lit(-1)).cast("long").alias(c) for c in ("ss", "se", "es", "ee")))
 
 
 @query(f"WITH {_W} SELECT doc, pos, word AS token, start::BIGINT AS start, (start + length(word))::BIGINT AS \"end\" FROM (SELECT doc, word, (row_number() OVER (PARTITION BY doc ORDER BY pos) - 1)::BIGINT AS pos, s AS start FROM (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w) WHERE word <> '')")
