@@ -11,9 +11,13 @@ at most i edits before and edits - i behind it; so a line indexes its segments a
 of lines shorter by up to `edits`, the substrings that this allows.  Keys (hashes of class, segment and substring) held
 by one line alone go first, in one shuffle of the keys; only lines with a shared key ship their text, once per key, and
 are verified by banded bit-parallel edit distance, many pairs at a time, after bounds that no near pair escapes (lengths,
-counts of neighbouring code points, common ends).  Pairs never leave a task.  A key that more than
-CROWD lines share is dealt in blocks of half as many: each two blocks meet in a group of their own, so no group of texts
-grows with the data (though all lines of such a key are compared with each other).
+counts of neighbouring code points, common ends).  Pairs never leave a task.
+
+A key that more than CROWD lines share is split by a further segment: before and behind the shared one i and k - i edits
+are left, so of i + 1 (or k - i + 1) segments of what lies there, one is intact again.  Lines whose further keys nobody
+shares are done.  What is crowded after DEPTH splits (lines of a template, say, where nearly all segments are common) is
+dealt in blocks: each two blocks meet in a group of their own, up to COPIES for each line while blocks hold at most WIDE
+lines.  All lines of such a key are compared with each other.
 """
 
 from __future__ import annotations
@@ -34,8 +38,10 @@ EDITS, MIN_CHARS = 1, 30
 PAIRS, CELLS = 20_000, 2_000_000
 #: Counters of pairs of neighbouring code points by which lines are told apart first.
 BINS = 64
-#: Lines that meet in a group at most.
-CROWD = 4_000
+#: Lines of a key beyond which it is split, how often that is done, and the least length of a further segment.
+CROWD, DEPTH, SEGMENT = 4_000, 3, 4
+#: Blocks of a key that stays crowded: this many while they hold at most WIDE lines.
+COPIES, WIDE = 8, 32_000
 #: Lengths in a class.
 WIDTH = 30
 U = np.uint64
@@ -77,8 +83,8 @@ def lowest(length: np.ndarray, per: int) -> np.ndarray:
     return block + (length - block) // WIDTH * WIDTH
 
 
-def keys_of(cp: np.ndarray, start: np.ndarray, stop: np.ndarray, edits: int, per: int, min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(line, key, told) triples: the segments that each line indexes and the substrings that it probes.
+def keys_of(cp: np.ndarray, start: np.ndarray, stop: np.ndarray, edits: int, per: int, min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, tuple[int, int, int]]]:
+    """(line, key, told, (edits, segment, shift)): the segments that each line indexes and the substrings that it probes.
 
     The low TOLD bits of keys are 0; told has the line's length over that of its class there, then whether it indexes.
     """
@@ -108,7 +114,49 @@ def keys_of(cp: np.ndarray, start: np.ndarray, stop: np.ndarray, edits: int, per
                 b = start[j[ok]] + begin[ok]
                 key = tn.mix(hashes(b, b + size[ok]) + tn.mix(low[at[ok]].astype(U) * U(64) + U(i)))
                 told = (own[j[ok]] - low[at[ok]]) * 2 + (index[at[ok]] & (shift == 0))
-                yield j[ok], key >> TOLD << TOLD, told.astype(U)
+                yield j[ok], key >> TOLD << TOLD, told.astype(U), (k, i, shift)
+
+
+def halves(begin: np.ndarray, size: np.ndarray, start: np.ndarray, stop: np.ndarray, low: np.ndarray, k: int, i: int) -> np.ndarray:
+    """Columns (start, stop, least length in lines that index, edits) of what is before and behind segment i at `begin`."""
+    far = i > k - i  # counted from the end
+    left = low - (k + 1 - i) * size if far else i * size
+    right = (k - i) * size if far else low - (i + 1) * size
+    full = np.full(len(begin), i)
+    return np.stack([start, begin, left, full, begin + size, stop, right, k - full], axis=1)
+
+
+def further_keys(cp: np.ndarray, at: np.ndarray, key: np.ndarray, indexed: np.ndarray, state: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, key, indexed, state) of the keys that rows of crowded keys have with one more segment.
+
+    A row's line starts at `at` in cp; its state has four columns (see halves) for each stretch that is still open.  The
+    stretch with the longest segments is cut, the same one in all rows of a key; where those are shorter than SEGMENT
+    the row keeps its key and its state is filled up.
+    """
+    least, most = state[:, 2::4], state[:, 3::4]
+    size = least // (most + 1)
+    chosen = size.argmax(axis=1)
+    rows = np.arange(len(key))
+    size, low, most = (x[rows, chosen] for x in (size, least, most))
+    hashes = tn.hasher(cp)
+    done = size < SEGMENT
+    if done.any():
+        x = np.flatnonzero(done)
+        yield x, tn.mix(key[x]) >> TOLD << TOLD, indexed[x], np.pad(state[x], ((0, 0), (0, 4)))
+    what = np.unique(np.stack([chosen, most], axis=1)[~done], axis=0)
+    for c, k in what.tolist():
+        x = np.flatnonzero(~done & (chosen == c) & (most == k))
+        a, b = state[x, 4 * c], state[x, 4 * c + 1]
+        for i in range(k + 1):
+            place = a + i * size[x] if i <= k - i else b - (k + 1 - i) * size[x]
+            reach = min(i, k - i)
+            for shift in range(-reach, reach + 1):
+                begin = place + shift
+                ok = np.flatnonzero((begin >= a) & (begin + size[x] <= b))
+                r, begin = x[ok], begin[ok]
+                part = tn.mix(hashes(at[r] + begin, at[r] + begin + size[r]) + U(i + 1))
+                new = halves(begin, size[r], a[ok], b[ok], low[r], k, i)
+                yield r, tn.mix(key[r] ^ part) >> TOLD << TOLD, indexed[r] & (shift == 0), np.concatenate([np.delete(state[r], np.s_[4 * c : 4 * c + 4], axis=1), new], axis=1)
 
 
 def _occurrences(min_chars: int, every: bool):
@@ -135,7 +183,7 @@ def _keys(edits: int, min_chars: int, per: int):
                     digest = tn.span_hashes(cp, start, stop)
                     once = np.sort(np.unique(digest, return_index=True)[1])
                     start, stop, digest = start[once], stop[once], digest[once]
-                    for j, key, told in keys_of(cp, start, stop, edits, per, min_chars):
+                    for j, key, told, _ in keys_of(cp, start, stop, edits, per, min_chars):
                         yield pa.RecordBatch.from_arrays([tn.long(key | told), tn.long(digest[j])], ["key", "digest"])
 
     return lean(run)
@@ -146,7 +194,8 @@ def groups_of(key: np.ndarray, digest: np.ndarray, crowd: int) -> tuple[np.ndarr
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(heads, len(key)))
     n = np.repeat(size, size)
-    blocks = np.where(n > crowd, -(-n // max(1, crowd // 2)), 1)
+    half = max(1, crowd // 2)
+    blocks = np.where(n > crowd, np.maximum(np.minimum(-(-n // half), COPIES), -(-n // max(half, WIDE))), 1)
     row = np.repeat(np.arange(len(key)), blocks)
     other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     own = (tn.mix(digest.view(U)) % blocks.astype(U)).astype(np.int64)[row]
@@ -155,8 +204,11 @@ def groups_of(key: np.ndarray, digest: np.ndarray, crowd: int) -> tuple[np.ndarr
     return row, np.where(blocks[row] > 1, tn.mix(whole ^ tn.mix(pair.astype(U))), whole).view(np.int64)
 
 
-def _shared(edits: int, crowd: int):
-    """The rows (sorted by key) whose key another line holds, of a length within the edits; one of them must index it."""
+def _shared(edits: int, crowd: int, final: bool):
+    """The rows (sorted by key) whose key another line holds, of a length within the edits; one of them must index it.
+
+    Rows of a key that more than `crowd` lines hold are marked, or after the final split dealt in groups.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
@@ -170,14 +222,19 @@ def _shared(edits: int, crowd: int):
             indexed = np.append(0, np.cumsum(own))
             held = np.where(own > 0, high - low > 1, indexed[high] > indexed[low])
             key, digest = key[held], digest[held]
-            row, group = groups_of(key, digest, crowd)
-            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(group), pa.array(digest[row])], ["key", "group", "digest"])
+            if final:
+                row, group = groups_of(key, digest, crowd)
+                crowded = np.zeros(len(row), bool)
+            else:
+                size = np.diff(np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))) if len(key) else key
+                row, group, crowded = np.arange(len(key)), key, np.repeat(size, size) > crowd
+            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array(group), pa.array(digest[row]), pa.array(crowded)], ["key", "group", "digest", "crowded"])
 
     return lean(run)
 
 
 def _candidates(edits: int, per: int, min_chars: int):
-    """Lines that first occur in the document and have shared keys: a row per group of each, with text."""
+    """Lines that first occur in the document and have shared keys: a row per key of each (per place of it, if crowded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,12 +242,12 @@ def _candidates(edits: int, per: int, min_chars: int):
             at = 0
             while at < len(texts):  # lines of many documents at a time
                 own, line, digest, chosen, size = [], [], [], [], 0
-                keys: list[tuple[int, int, int]] = []
+                keys: list[tuple[int, int, int, bool]] = []
                 while at < len(texts) and (not size or size + len(texts[at]) < tn.SLICE // 2):
                     lines = texts[at].split("\n")
                     for x in told[at]:
                         if x["line"] < len(lines):
-                            keys += [(len(chosen), k["key"], k["group"]) for k in x["keys"]]
+                            keys += [(len(chosen), k["key"], k["group"], k["crowded"]) for k in x["keys"]]
                             own.append(docs[at])
                             line.append(x["line"])
                             digest.append(x["digest"])
@@ -203,42 +260,116 @@ def _candidates(edits: int, per: int, min_chars: int):
     return lean(run)
 
 
-def _code(line: np.ndarray, key: np.ndarray) -> np.ndarray:
-    return tn.mix(key.view(U) + tn.mix(line.astype(U)))
+#: Rows of lines: without the last three once their key is not crowded.
+ROW = "key long, digest long, doc_id long, line int, indexed boolean, text string"
+OPEN = f"{ROW}, crowded boolean, off int, state array<int>"
+
+
+class Asked:
+    """Finds the rows of keys(line, key, group, crowded) that some lines and keys match."""
+
+    def __init__(self, keys: np.ndarray):
+        code = self._code(keys[:, 0], keys[:, 1])
+        self.order = np.argsort(code)
+        self.code = code[self.order]
+
+    @staticmethod
+    def _code(line: np.ndarray, key: np.ndarray) -> np.ndarray:
+        return tn.mix(key.view(U) + tn.mix(line.astype(U)))
+
+    def find(self, line: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which of the pairs, row of keys)."""
+        c = self._code(line, key)
+        lo, hi = np.searchsorted(self.code, c), np.searchsorted(self.code, c, side="right")
+        n = hi - lo
+        return np.repeat(np.arange(len(n)), n), self.order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+
+def _once(row: np.ndarray, mark: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    """Positions that stay: one for each row (an indexing one, if any), all for those of crowded keys."""
+    by = np.lexsort((~mark, row))
+    return by[np.append(True, row[by][1:] != row[by][:-1]) | crowded[by]]
+
+
+def _states(state: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(state) + 1, dtype=np.int32) * (state.shape[1] if state.ndim == 2 else 0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(state.ravel().astype(np.int32)))
 
 
 def _rows_of(own: list, line: list, digest: np.ndarray, chosen: list[str], keys: np.ndarray, edits: int, per: int, min_chars: int) -> Iterator[pa.RecordBatch]:
-    """A row per (line, group) of keys(line, key, group), marked where the line indexes the key."""
+    """Rows of lines and keys, marked where the line indexes the key; those of crowded keys say what is left of the line."""
     cp = np.frombuffer("\n".join(chosen).encode("utf-32-le"), dtype=np.uint32)
     size = np.array([len(x) for x in chosen])
     start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     good = tn.span_hashes(cp, start, start + size).view(np.int64) == digest
-    code = _code(keys[:, 0], keys[:, 1])
-    order = np.argsort(code)
-    code = code[order]
-    found, indexed = [], []
-    for j, key, told in keys_of(cp, start, start + size, edits, per, min_chars):
-        c = _code(j, key)
-        lo, hi = np.searchsorted(code, c), np.searchsorted(code, c, side="right")
-        n = np.where(good[j], hi - lo, 0)
-        found.append(np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        indexed.append(np.repeat((told & U(1)).astype(bool), n))
-    if not found or not sum(map(len, found)):
+    asked = Asked(keys)
+    found = []
+    for j, key, told, (k, i, shift) in keys_of(cp, start, start + size, edits, per, min_chars):
+        which, row = asked.find(j, key)
+        which, row = which[good[j[which]]], row[good[j[which]]]
+        j, told = j[which], told[which].astype(np.int64)
+        low = size[j] - (told >> 1)
+        part = low // (k + 1)
+        begin = (i * part if i <= k - i else size[j] - (k + 1 - i) * part) + shift
+        found.append((row, (told & 1).astype(bool), told >> 1, halves(begin, part, np.zeros_like(begin), size[j], low, k, i)))
+    if not found:
         return
-    row, mark = order[np.concatenate(found)], np.concatenate(indexed)
-    by = np.lexsort((~mark, row))  # of several places of a key in a line an indexing one counts
-    row, mark = row[by], mark[by]
-    first = np.append(True, row[1:] != row[:-1])
-    row, mark = row[first], mark[first]
-    n = keys[row, 0].tolist()
-    for i in range(0, len(n), 4096):
-        x = n[i : i + 4096]
+    row, mark, off, state = (np.concatenate(x) for x in zip(*found, strict=True))
+    once = _once(row, mark, keys[row, 3] > 0)
+    for i in range(0, len(once), 4096):
+        at = once[i : i + 4096]
+        n = keys[row[at], 0].tolist()
+        crowded = keys[row[at], 3] > 0
+        held = _states(state[at]) if crowded.any() else pa.nulls(len(at), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[row[i : i + 4096], 2]), pa.array(digest[x]), pa.array([own[k] for k in x], pa.int64()), pa.array([line[k] for k in x], pa.int32()), pa.array(mark[i : i + 4096]), pa.array([chosen[k] for k in x], pa.string())],
-            ["key", "digest", "doc_id", "line", "indexed", "text"],
+            [pa.array(keys[row[at], 2]), pa.array(digest[n]), pa.array([own[x] for x in n], pa.int64()), pa.array([line[x] for x in n], pa.int32()), pa.array(mark[at]), pa.array([chosen[x] for x in n], pa.string()), pa.array(crowded), pa.array(off[at].astype(np.int32)), held],
+            ["key", "digest", "doc_id", "line", "indexed", "text", "crowded", "off", "state"],
         )
 
 
+def _opened(batch: pa.RecordBatch) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """(digests, further keys) of rows of crowded keys."""
+    num = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+    texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+    cp = np.frombuffer("\n".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    size = np.array([len(x) for x in texts])
+    state = np.array(batch.column(batch.schema.get_field_index("state")).to_pylist(), np.int64)
+    return num("digest"), further_keys(cp, np.cumsum(size + 1) - size - 1, num("key").view(U), num("indexed"), state)
+
+
+def _further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key with told, digest) of rows of crowded keys, as _keys."""
+    for batch in batches:
+        if batch.num_rows:
+            digest, keys = _opened(batch)
+            off = batch.column(batch.schema.get_field_index("off")).to_numpy().astype(np.int64)
+            for row, key, indexed, _ in keys:
+                yield pa.RecordBatch.from_arrays([tn.long(key | (off[row] * 2 + indexed).astype(U)), pa.array(digest[row])], ["key", "digest"])
+
+
+def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of crowded keys, with `keys` (those of the line's further keys that are shared): a row per further key."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        wanted = batch.column(batch.schema.get_field_index("keys")).to_pylist()
+        keys = np.array([(r, k["key"], k["group"], k["crowded"]) for r, x in enumerate(wanted) for k in x], np.int64).reshape(-1, 4)
+        asked, found = Asked(keys), []
+        for r, key, indexed, state in _opened(batch)[1]:
+            which, row = asked.find(r, key)
+            found.append((row, indexed[which], state[which]))
+        if not sum(len(x[0]) for x in found):
+            continue
+        row, mark, state = (np.concatenate(x) for x in zip(*found, strict=True))
+        for at in np.array_split(once := _once(row, mark, keys[row, 3] > 0), 1 + len(once) // 4096):
+            taken = batch.take(pa.array(keys[row[at], 0]))
+            col = lambda c: taken.column(taken.schema.get_field_index(c))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[row[at], 2]), col("digest"), col("doc_id"), col("line"), pa.array(mark[at]), col("text"), pa.array(keys[row[at], 3] > 0), col("off"), _states(state[at])],
+                ["key", "digest", "doc_id", "line", "indexed", "text", "crowded", "off", "state"],
+            )
+
+
 class Lines:
     """Code points of some lines, one after another."""
 
@@ -398,7 +529,7 @@ def later_of_pairs(key: np.ndarray, place: np.ndarray, line: np.ndarray, indexed
                 told = np.concatenate([told, pair])
         turn += step
         # While turns find much, later ones wait for it; then several go together.
-        step = 1 if int(found.sum()) - before > len(target) // 20 else min(2 * step, 256)
+        step = 1 if int(found.sum()) - before > len(target) // 20 else min(2 * step, 256, max(1, 1_000_000 // max(1, len(target))))
     return np.flatnonzero(found)
 
 
@@ -431,6 +562,31 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([len(x) for x in gone], pa.int64()), pa.array(kept, pa.string()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "n_lines", "n_removed", "kept", "removed"])
 
 
+def _shared_keys(keys: DataFrame, edits: int, crowd: int, last: bool) -> DataFrame:
+    """keys(key with told, digest) that lines share, written."""
+    keys = keys.repartition(tasks(keys.sparkSession), F.shiftright("key", 7)).sortWithinPartitions("key")
+    parted = keys.select(F.expr("key & ~127L").alias("key"), F.expr("key & 127L").alias("told"), "digest")
+    return materialise(parted.mapInArrow(_shared(edits, crowd, last), "key long, group long, digest long, crowded boolean"), "shared")
+
+
+def _keys_of_line(shared: DataFrame) -> DataFrame:
+    """digest, keys: a bounded number for each line, as it has segments (and blocks of those that stay crowded)."""
+    return shared.groupBy("digest").agg(F.collect_set(F.struct("key", "group", "crowded")).alias("keys"))
+
+
+def _split(rows: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """Rows of lines whose crowded keys are replaced by keys of further segments that are not."""
+    done = rows.filter("not crowded")
+    for level in range(1, DEPTH + 1):
+        rows = rows.filter("crowded")
+        shared = _shared_keys(rows.mapInArrow(_further, "key long, digest long"), edits, crowd, level == DEPTH)
+        rows = materialise(rows.join(_keys_of_line(shared), "digest").mapInArrow(_split_rows, OPEN), "rows")
+        done = done.unionByName(rows.filter("not crowded"))
+        if level < DEPTH and shared.filter("crowded").isEmpty():
+            break
+    return done
+
+
 def _removed(base: DataFrame, texts: DataFrame, edits: int, min_chars: int, per: int, every: bool, crowd: int) -> DataFrame:
     """(gone_id, gone): the numbers of the lines that each document loses."""
     spark = base.sparkSession
@@ -442,13 +598,12 @@ def _removed(base: DataFrame, texts: DataFrame, edits: int, min_chars: int, per:
     places = named.mapInArrow(_occurrences(min_chars, every), "digest long, doc_id long, line int")
     first = materialise(places.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "lines")
     keys = named.mapInArrow(_keys(edits, min_chars, per), "key long, digest long")
-    keys = keys.repartition(tasks(spark), F.shiftright("key", 7)).sortWithinPartitions("key")
-    shared = keys.select(F.expr("key & ~127L").alias("key"), F.expr("key & 127L").alias("told"), "digest").mapInArrow(_shared(edits, crowd), "key long, group long, digest long")
-    shared = materialise(shared, "shared")  # the shuffle of all keys can go before the texts are dealt
-    of_line = shared.groupBy("digest").agg(F.collect_set(F.struct("key", "group")).alias("keys"))
-    told = of_line.join(first, "digest").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest", "keys")).alias("told"))
-    rows = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").filter(some_named("told")).select("doc_id", "text", "told").mapInArrow(_candidates(edits, per, min_chars), "key long, digest long, doc_id long, line int, indexed boolean, text string")
-    near = rows.repartition(tasks(spark), "key").sortWithinPartitions("key").mapInArrow(_verified(edits, per), "digest long").distinct()
+    shared = _shared_keys(keys, edits, crowd, False)  # the shuffle of all keys can go before the texts are dealt
+    told = _keys_of_line(shared).join(first, "digest").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest", "keys")).alias("told"))
+    rows = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").filter(some_named("told")).select("doc_id", "text", "told").mapInArrow(_candidates(edits, per, min_chars), OPEN)
+    if not shared.filter("crowded").isEmpty():
+        rows = _split(materialise(rows, "rows"), edits, crowd)
+    near = rows.drop("crowded", "off", "state").repartition(tasks(spark), "key").sortWithinPartitions("key").mapInArrow(_verified(edits, per), "digest long").distinct()
     decided = first.join(near.withColumn("near", F.lit(True)), "digest", "left").filter("n > 1 or near").select("digest", F.when(F.col("near").isNull(), F.col("first")).alias("spared"))
     # Written, so that the join can split the places of a very common line.
     gone = places.join(materialise(decided, "decided"), "digest").filter("spared is null or spared.doc_id <> doc_id or spared.line <> line")
