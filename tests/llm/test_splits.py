@@ -1,6 +1,5 @@
-"""Crowded keys of the line join, step by step without a session; scores of many texts at a time."""
+"""Crowded keys of the line join, step by step without a session."""
 
-import math
 import random
 
 import numpy as np
@@ -8,7 +7,6 @@ import pyarrow as pa
 import pytest
 
 from textloom.llm import line_dedup as ld
-from textloom.llm import toxicity
 
 from . import brute
 
@@ -107,23 +105,3 @@ def test_blocks_of_what_stays_crowded_are_few():
     for n in (4_000, 8_000, 40_000, 80_000):
         row, _ = ld.groups_of(np.zeros(n, np.int64), np.random.default_rng(1).integers(0, 1 << 62, n), ld.CROWD)
         assert len(row) <= ld.COPIES * n
-
-
-def test_scores_are_those_of_each_text_alone(monkeypatch):
-    rng = random.Random(3)
-    words = ["".join(rng.choices("abcdé", k=rng.randint(1, 9))) for _ in range(300)]
-    rows = [(" ".join(rng.choices(words, k=30)) + (" vile insult" if y else ""), y) for y in (0, 1) for _ in range(60)]
-    model = toxicity.fit(rows)
-    assert model.weights
-
-    def plain(text):
-        held = {g for w in toxicity.words_of(text) for g in toxicity.grams_of(w) if g in model.weights}
-        return 1 / (1 + math.exp(-(model.bias + sum(model.weights[g] for g in sorted(held)))))
-
-    texts = [t for t, _ in rows] + ["", " \n", "insult " * 5_000, "nothing", "VILE"]
-    want = [plain(t) for t in texts]
-    assert np.allclose(toxicity.Scorer(model).scores(texts), want, rtol=0, atol=1e-12)
-    monkeypatch.setattr(toxicity, "PORTION", 500)
-    monkeypatch.setattr(toxicity, "WORDS", 40)
-    assert np.allclose(toxicity.Scorer(model).scores(texts), want, rtol=0, atol=1e-12)
-    assert toxicity.Scorer(model).scores([]).tolist() == []

@@ -12,8 +12,9 @@ every document is scored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,6 @@ N_MIN, N_MAX = 3, 6
 #: Labelled documents that are fitted at most, and characters of them that the driver takes at most.
 MAX_ROWS, MAX_CHARS = 8_000, 30_000_000
 FEATURES = 20_000
-#: Characters of the texts that are scored together, and words that a task remembers before it starts anew.
-PORTION, WORDS = 2_000_000, 150_000
 
 
 def held_out(doc_id):
@@ -49,61 +48,21 @@ def grams_of(word: str) -> set[str]:
 class Model:
     bias: float
     weights: dict[str, float]
-
-
-class Scorer(dict):
-    """Scores texts by a model; as a dict, the number of each word met: of its list of features (0: it has none)."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        grams = sorted(model.weights)
-        self.number = {g: i for i, g in enumerate(grams)}
-        self.weight = np.array([model.weights[g] for g in grams], float)
-        self.bias = model.bias
-        self.lists: list[np.ndarray] = [np.zeros(0, np.int64)]
-
-    def __missing__(self, word: str) -> int:
-        number = self.number
-        found = [number[g] for g in grams_of(word) if g in number]
-        self[word] = n = len(self.lists) if found else 0
-        if found:
-            self.lists.append(np.array(found, np.int64))
-        return n
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """A score per text; words are looked up once in all texts, features summed per portion of texts."""
-        out, at = [np.zeros(0)], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= PORTION):
-                size += len(texts[end])
-                end += 1
-            out.append(self._portion(texts[at:end]))
-            at = end
-        return np.concatenate(out)
-
-    def _portion(self, texts: list[str]) -> np.ndarray:
-        if len(self) > WORDS:
-            self.clear()
-            del self.lists[1:]
-        words, count = [], []
-        for text in texts:
-            held = words_of(text)
-            words += held
-            count.append(len(held))
-        number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        some = np.flatnonzero(number)
-        doc = np.repeat(np.arange(len(texts)), count)[some]
-        met, which = np.unique(number[some], return_inverse=True)
-        lists = [self.lists[n] for n in met.tolist()]
-        size = np.array([len(x) for x in lists], np.int64)
-        feature = np.concatenate([self.lists[0], *lists])
-        n = size[which]
-        at = np.repeat((np.cumsum(size) - size)[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pair = np.unique(np.repeat(doc, n) * max(1, len(self.weight)) + feature[at])  # each feature counts once in a text
-        doc, feature = np.divmod(pair, max(1, len(self.weight)))
-        z = self.bias + np.bincount(doc, weights=self.weight[feature], minlength=len(texts))
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    seen: dict[str, frozenset] = field(default_factory=dict, repr=False)
+
+    def score(self, text: str) -> float:
+        seen, weights = self.seen, self.weights
+        held: set[str] = set()
+        for w in words_of(text):
+            g = seen.get(w)
+            if g is None:
+                if len(seen) > 150_000:
+                    seen.clear()
+                g = seen[w] = frozenset(x for x in grams_of(w) if x in weights)
+            if g:
+                held |= g
+        z = self.bias + sum(weights[g] for g in sorted(held))
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
 def fit(rows: Iterable[tuple[str, int]], alpha: float = 1.0, least: int = 3, z_least: float = 3.5, penalty: float = 0.02, rounds: int = 300) -> Model:
@@ -188,9 +147,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
 
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            score = [model.score(t.as_py()) for t in batch.column(1)]
+            ids = batch.column(0)
+            out = [d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for d in ids.to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.bool_()), pa.array(score, pa.float64())], ["doc_id", "held_out", "score"])
 
     return lean(run)
 
@@ -201,8 +162,8 @@ def scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     Null and empty texts get the score of a text without features.  Repeated rows are scored each; null doc_ids are
     not held out.  Extra columns are ignored.
     """
-    found = id_text(docs).mapInArrow(_scored(model), "doc_id long, score double")
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+    found = id_text(docs).mapInArrow(_scored(Model(model.bias, model.weights)), "doc_id long, held_out boolean, score double")
+    return found.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -210,11 +171,10 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
 
     Each row is judged by its own text: repeated rows and null doc_ids alike.
     """
+    plain = Model(model.bias, model.weights)
 
     @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(model)
-        for texts in batches:
-            yield pd.Series(scorer.scores(texts.tolist()))
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([plain.score(t) for t in texts])
 
     return docs.filter(score(F.coalesce(docs["text"].cast("string"), F.lit(""))) < threshold)
