@@ -234,6 +234,32 @@ def embedding_parts(spark, sf_dir):
     return done.select("vec_id", F.col("chunk").cast("long").alias("chunk"), F.lit(whole).alias("complete"))
 
 
+#: Codes of a made subset font: 256 above the code point, named by a range for each 256 codes.
+_RANGES = "\n".join(f"<{n:02X}00> <{n:02X}FF> <{n - 1:02X}00>" for n in range(1, 256))
+_FONT = f"""3 0 obj << /Type /Font /Subtype /Type0 /BaseFont /SUBSET+One /Encoding /Identity-H /ToUnicode 4 0 R >> endobj
+4 0 obj << /Length 0 >>
+stream
+1 begincodespacerange <0000> <FFFF> endcodespacerange
+255 beginbfrange
+{_RANGES}
+endbfrange
+endstream
+endobj
+"""
+
+
+@query(f"""SELECT id, 1 AS page_nr, regexp_replace(array_to_string(list_transform(l[2:len(l) - 2], lambda p: {S.strip('p')}), ' '), '{S.SP}+', ' ', 'g') AS text, NULL::VARCHAR AS error
+FROM (SELECT concat(conv_id, '-', turn, '.pdf') AS id, string_split(trim(coalesce(text, ''), chr(10)), chr(10)) AS l FROM conversations)""")
+def pdf_fonts(spark, sf_dir):
+    """PDF files, one for each turn, in a font whose codes its ToUnicode map alone explains: pages as pdf_pages cleans them."""
+    coded = lambda line: F.concat(F.lit("<"), F.array_join(F.transform(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)), lambda c: F.lpad(F.hex(F.ascii(c) + 256), 4, "0")), ""), F.lit("> Tj"))
+    shown = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), coded), " T* ")
+    head = f"%PDF-1.7\n1 0 obj << /Type /Pages /Kids [2 0 R] /Count 1 /Resources << /Font << /F1 3 0 R >> >> >> endobj\n2 0 obj << /Type /Page /Parent 1 0 R /Contents 5 0 R >> endobj\n{_FONT}5 0 obj << /Length 0 >>\nstream\nBT /F1 12 Tf "
+    made = F.concat(F.lit(head), shown, F.lit(" ET\nendstream\nendobj\n%%EOF"))
+    files = _turns(spark, sf_dir).select(F.concat(F.lit("/"), "conv_id", F.lit("-"), "turn", F.lit(".pdf")).alias("path"), F.encode(made, "US-ASCII").alias("content"))
+    return readers.reader_for("pdf")[1](files)
+
+
 @query()
 def learnt_vectors(spark, sf_dir):
     """Vectors of words, learnt from the company that they keep in all documents: their length (trained, so without SQL)."""
