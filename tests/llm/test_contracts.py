@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
 
-from textloom.llm import bestfit, decontam, line_dedup, minhash, pii, quality_rules, queries, substring_dedup, suffix_dedup, token_pack, tokens, toxicity  # noqa: E402
+from textloom.llm import bestfit, decontam, line_dedup, minhash, pii, quality_rules, queries, shared, substring_dedup, suffix_dedup, token_pack, tokens, toxicity  # noqa: E402
 
 from . import brute  # noqa: E402
 
@@ -461,9 +461,16 @@ def test_nodes_of_a_subtree():
     assert nodes == {("a b c", 4, True), ("a b c d", 3, True), ("b c d", 3, False), ("a b c d e", 2, True), ("b c d e", 2, False), ("c d e", 2, False)}
 
 
-@pytest.mark.parametrize("group", [30, 5])
-def test_crowded_contexts(spark, group):
-    """One long passage in more documents than a group holds, with differing words in it, and periodic texts."""
+@pytest.mark.parametrize(("group", "travel"), [(30, None), (5, None), (5, 0), (5, 60)])
+def test_crowded_contexts(spark, group, travel, monkeypatch):
+    """One long passage in more documents than a group holds, with differing words in it, and periodic texts.
+
+    travel: crowded groups that go to the tasks as lists; those beyond come by a join.
+    """
+    crowds, mark = [], shared._marked
+    monkeypatch.setattr(shared, "_marked", lambda *x: crowds.append(mark(*x)) or crowds[-1])
+    if travel is not None:
+        monkeypatch.setattr(shared, "CROWDED", travel)
     rng = random.Random(group)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8)))
     base = [word() for _ in range(160)]
@@ -478,6 +485,8 @@ def test_crowded_contexts(spark, group):
     named = lambda df: df.filter("doc_id is not null")
     compare(named(substring_dedup.remove_repeats(t, group=group).withColumn("sha", F.sha2("kept", 256))), brute.substrings(docs), ["n_words", "n_removed", "sha"])
     compare(named(suffix_dedup.remove_repeats(t, group=group).select("*", F.size("spans").alias("n"), F.sha2("kept", 256).alias("sha"))), brute.byte_runs(docs), ["n_bytes", "n_removed", "n", "sha"])
+    assert max((c.marked for c in crowds), default=0) == 0 if travel is None else max(c.marked for c in crowds) > (1 if travel == 0 else 0)
+    assert any(c.lists for c in crowds) == bool(travel)
     assert substring_dedup.remove_repeats(t, group=group).filter("doc_id is null").agg(F.sum("n_removed")).first()[0] == 0
 
 

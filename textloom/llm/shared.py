@@ -9,11 +9,15 @@ counted by partial aggregation, and one of them stands for all.  Where a group s
 contexts, it is split: the windows are divided by where their anchor lies, each half again is one context, and its group
 is what all its windows have in common, a longer string.  After a few halvings that string is a whole window, of which
 there is one context alone.  So no group grows with the data, and nothing is left out.
+
+Crowded groups travel to the tasks while they are few (CROWDED); what is found beyond that is written as a table of the
+crowded groups that each document holds, and comes to the texts by a join.  Contexts are the same either way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +28,40 @@ from . import textnum as tn
 from .common import materialise
 
 U = np.uint64
-#: Crowded grams that travel to the tasks at most (8 bytes each).
+#: Crowded groups of all levels that travel to the tasks at most (8 bytes each).
 CROWDED = 2_000_000
 
 
+@dataclass
+class Crowd:
+    """Crowded groups by level: the first levels as lists; `marked` further ones as marks (doc_id, hot), where hot holds a list
+    for each level of the groups in that document."""
+
+    lists: list[np.ndarray] = field(default_factory=list)
+    marked: int = 0
+    marks: DataFrame | None = None
+
+    def on(self, texts: DataFrame) -> DataFrame:
+        """texts with the marks of their doc_id."""
+        return texts if self.marks is None else texts.join(self.marks, "doc_id", "left")
+
+    def columns(self) -> list[str]:
+        return [] if self.marks is None else ["hot"]
+
+    def levels(self) -> Callable[[pa.RecordBatch], list[np.ndarray]]:
+        """The crowded groups that matter to a batch, by level: a function that tasks can hold."""
+        lists, marked = self.lists, self.marked
+
+        def of(batch: pa.RecordBatch) -> list[np.ndarray]:
+            if not marked:
+                return lists
+            flat = batch.column(batch.schema.get_field_index("hot")).flatten()
+            own = [np.unique(flat.take(pa.array(np.arange(i, len(flat), marked))).flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(U) for i in range(marked)]
+            return lists + own if lists or len(own[0]) else []
+
+        return of
+
+
 def anchors(grams: np.ndarray, unit_row: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor positions, first and last window start that each serves).
 
@@ -110,26 +144,43 @@ def split(whole: Contexts, crowded: list[np.ndarray], span_hash: Callable[[np.nd
     return joined(done)
 
 
-def crowded_groups(keys_of: Callable[[list[np.ndarray]], DataFrame], shared: DataFrame, most: int) -> tuple[list[np.ndarray], DataFrame | None]:
-    """(crowded groups by level, their different contexts: gram, digest, n, first); none where no gram is crowded.
+def crowded_groups(keys_of: Callable[[Crowd], DataFrame], shared: DataFrame, most: int) -> tuple[Crowd, DataFrame | None]:
+    """(crowded groups, their different contexts: gram, digest, n, first); none where no gram is crowded.
 
-    keys_of(crowded) gives gram, digest, doc_id, n; shared has gram, m.  A gram is crowded above `most` occurrences, or
-    above as many as leave no more than CROWDED crowded grams: this bounds what travels to the tasks.
+    keys_of(crowd) gives gram, digest, doc_id, n; shared has gram, m.  A gram is crowded above `most` occurrences, a group
+    above `most` different contexts, at any size of the corpus.
     """
-    total = shared.agg(F.sum("m")).first()[0] or 0
-    above = max(most, total // CROWDED)
-    levels: list[np.ndarray] = []
-    found = _longs(shared.filter(F.col("m") > above), "gram")
-    classes = None
-    while len(found):
-        levels.append(found)
-        classes = materialise(keys_of(levels).filter("digest <> 0").groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first")), "contexts")
-        found = _longs(classes.groupBy("gram").agg(F.count("*").alias("m")).filter(F.col("m") > above), "gram")
-    return levels, classes
-
-
-def _longs(df: DataFrame, col: str) -> np.ndarray:
-    return np.sort(df.select(col).toPandas()[col].to_numpy(dtype=np.int64)).view(U)
+    crowd, classes = Crowd(), None
+    found = shared.filter(F.col("m") > most).select("gram")
+    while True:
+        room = CROWDED - sum(map(len, crowd.lists))
+        some = _longs(found.limit(room + 1)) if not crowd.marked else None
+        if some is not None and len(some) <= room:
+            if not len(some):
+                return crowd, classes
+            crowd = Crowd([*crowd.lists, some])
+        else:
+            found = materialise(found, "crowded")
+            if found.isEmpty():
+                return crowd, classes
+            crowd = _marked(crowd, keys_of(crowd).filter("digest = 0" if classes is None else "digest <> 0"), found)
+        classes = materialise(keys_of(crowd).filter("digest <> 0").groupBy("gram", "digest").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first")), "contexts")
+        found = classes.groupBy("gram").agg(F.count("*").alias("m")).filter(F.col("m") > most).select("gram")
+
+
+def _marked(crowd: Crowd, keys: DataFrame, found: DataFrame) -> Crowd:
+    """The crowd with one more level of marks: the found groups that each document holds."""
+    new = keys.select("gram", "doc_id").join(found, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("level"))
+    if crowd.marks is None:
+        marks = new.select("doc_id", F.array("level").alias("hot"))
+    else:  # documents of a further level are among those of the levels before it
+        level = F.coalesce("level", F.array().cast("array<long>"))
+        marks = crowd.marks.join(new, "doc_id", "left").select("doc_id", F.concat("hot", F.array(level)).alias("hot"))
+    return Crowd(crowd.lists, crowd.marked + 1, materialise(marks, "marks"))
+
+
+def _longs(df: DataFrame) -> np.ndarray:
+    return np.sort(df.toPandas().iloc[:, 0].to_numpy(dtype=np.int64)).view(U)
 
 
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ A context of a crowded gram is in one document's subtree alone; documents that h
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .common import by_id, copies_of, id_text, lean, materialise, only_named, some_named, tasks
-from .shared import Contexts, anchors, counted, crowded_groups, listed, split, union
+from .shared import Contexts, Crowd, anchors, counted, crowded_groups, listed, split, union
 
 WIDTH, K = 13, 5
 #: Contexts up to which the suffixes of one gram are a single group.
@@ -50,9 +50,10 @@ def _contexts_of(buf: np.ndarray, offs: np.ndarray, width: int, k: int, crowded:
     return s, e, row, split(whole, crowded, tn.hasher(h) if crowded and len(at) else None, width - k, width)
 
 
-def _keys(width: int, k: int, crowded: list[np.ndarray]):
+def _keys(width: int, k: int, levels: Callable[[pa.RecordBatch], list[np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            crowded = levels(batch)
             for first, offs, buf in tn.slices(batch.column(1)):
                 _, _, row, x = _contexts_of(buf, offs, width, k, crowded)
                 if len(x.at):
@@ -62,11 +63,12 @@ def _keys(width: int, k: int, crowded: list[np.ndarray]):
     return lean(run)
 
 
-def _contexts(width: int, k: int, crowded: list[np.ndarray]):
+def _contexts(width: int, k: int, levels: Callable[[pa.RecordBatch], list[np.ndarray]]):
     """Contexts for the subtrees: the words of all windows that an anchor serves; those that go whole: their spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            crowded = levels(batch)
             for first, offs, buf in tn.slices(batch.column(1)):
                 s, e, row, x = _contexts_of(buf, offs, width, k, crowded)
                 if not len(x.at):
@@ -250,21 +252,21 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, group: int =
     base = id_text(docs)
     texts = by_id(base)
     named = base.filter("doc_id is not null")
-    keys = lambda crowded: named.mapInArrow(_keys(width, k, crowded), KEY)
-    shared = materialise(keys([]).groupBy("gram").agg(F.count("*").alias("docs"), F.sum("n").alias("m")).filter("docs > 1").select("gram", "m"), "grams")
-    crowded, classes = crowded_groups(keys, shared, group)
+    keys = lambda crowd: crowd.on(named).select("doc_id", "text", *crowd.columns()).mapInArrow(_keys(width, k, crowd.levels()), KEY)
+    shared = materialise(keys(Crowd()).groupBy("gram").agg(F.count("*").alias("docs"), F.sum("n").alias("m")).filter("docs > 1").select("gram", "m"), "grams")
+    crowd, classes = crowded_groups(keys, shared, group)
     usual = shared.select("gram", F.lit(0).cast("long").alias("digest"), F.lit(None).cast("long").alias("first"))
     known = usual if classes is None else usual.unionByName(classes.select("gram", "digest", "first"))
-    hits = keys(crowded).select("gram", "digest", "doc_id").join(known, ["gram", "digest"])
+    hits = keys(crowd).select("gram", "digest", "doc_id").join(known, ["gram", "digest"])
     hot = F.col("digest") != 0
     lists = {"usual": (~hot, "gram"), "scanned": (hot & (F.col("doc_id") == F.col("first")), "digest"), "whole": (hot & (F.col("doc_id") > F.col("first")), "digest")}
     per_doc = hits.groupBy("doc_id").agg(*(F.collect_list(F.when(cond, F.col(c))).alias(name) for name, (cond, c) in lists.items()))
     copies = named.select("doc_id", F.md5("text").alias("digest")).join(copies_of(named).filter("rep < last"), "digest").filter("doc_id > rep")
     copies = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"))
-    told = per_doc.join(copies, "doc_id", "full")
+    told = crowd.on(per_doc).join(copies, "doc_id", "full")
     both = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").filter("digests is null or not array_contains(digests, md5(text))")
     wanted = some_named("usual") | some_named("scanned") | some_named("whole")
-    rows = both.filter(wanted).select("doc_id", "text", F.xxhash64("text").alias("th"), *lists).mapInArrow(_contexts(width, k, crowded), CONTEXT)
+    rows = both.filter(wanted).select("doc_id", "text", F.xxhash64("text").alias("th"), *lists, *crowd.columns()).mapInArrow(_contexts(width, k, crowd.levels()), CONTEXT)
     spans = rows.repartition(tasks(spark), "gram").sortWithinPartitions("gram").mapInArrow(_subtrees(width), SPAN)
     found = spans.groupBy("doc_id").agg(F.collect_list(F.struct("th", "start", "end")).alias("found"))
     last = texts.join(found.join(copies, "doc_id", "full").withColumnRenamed("doc_id", "kid"), "kid", "left")

@@ -14,7 +14,7 @@ of a crowded gram that occurs again is known to repeat as a whole from its count
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textnum as tn
 from .common import by_id, copies_of, id_text, lean, materialise, only_named, some_named, tasks
-from .shared import Contexts, anchors, counted, crowded_groups, listed, split, union
+from .shared import Contexts, Crowd, anchors, counted, crowded_groups, listed, split, union
 from .substring_dedup import whole_groups
 
 WIDTH, K = 400, 32
@@ -60,9 +60,10 @@ def _contexts_of(buf: np.ndarray, offs: np.ndarray, width: int, k: int, crowded:
     return row, split(Contexts(g[at], at, lo, hi), crowded, named, width - k, width)
 
 
-def _keys(width: int, k: int, crowded: list[np.ndarray]):
+def _keys(width: int, k: int, levels: Callable[[pa.RecordBatch], list[np.ndarray]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            crowded = levels(batch)
             for first, _, offs, buf in pieces(batch.column(1), width):
                 row, x = _contexts_of(buf, offs, width, k, crowded)
                 if len(x.at):
@@ -72,11 +73,12 @@ def _keys(width: int, k: int, crowded: list[np.ndarray]):
     return lean(run)
 
 
-def _contexts(width: int, k: int, crowded: list[np.ndarray]):
+def _contexts(width: int, k: int, levels: Callable[[pa.RecordBatch], list[np.ndarray]]):
     """Contexts for the scan, equal ones of a text in one row; those that repeat as a whole: their spans, no context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            crowded = levels(batch)
             for first, shift, offs, buf in pieces(batch.column(1), width):
                 row, x = _contexts_of(buf, offs, width, k, crowded)
                 if not len(x.at):
@@ -247,21 +249,21 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, group: int =
     base = id_text(docs)
     texts = by_id(base)
     named = base.filter("doc_id is not null")
-    keys = lambda crowded: named.mapInArrow(_keys(width, k, crowded), KEY)
-    shared = materialise(keys([]).groupBy("gram").agg(F.sum("n").alias("m")).filter("m > 1"), "grams")
-    crowded, classes = crowded_groups(keys, shared, group)
+    keys = lambda crowd: crowd.on(named).select("doc_id", "text", *crowd.columns()).mapInArrow(_keys(width, k, crowd.levels()), KEY)
+    shared = materialise(keys(Crowd()).groupBy("gram").agg(F.sum("n").alias("m")).filter("m > 1"), "grams")
+    crowd, classes = crowded_groups(keys, shared, group)
     usual = shared.select("gram", F.lit(0).cast("long").alias("digest"), F.lit(False).alias("whole"), F.lit(None).cast("long").alias("first"))
     known = usual if classes is None else usual.unionByName(classes.select("gram", "digest", (F.col("n") > 1).alias("whole"), "first"))
-    hits = keys(crowded).select("gram", "digest", "doc_id").join(known, ["gram", "digest"])
+    hits = keys(crowd).select("gram", "digest", "doc_id").join(known, ["gram", "digest"])
     # A context of a crowded gram is scanned once, for the first document that has it.
     lists = {"usual": (F.col("digest") == 0, "gram"), "scanned": ((F.col("digest") != 0) & (F.col("doc_id") == F.col("first")), "digest"), "whole": ((F.col("digest") != 0) & F.col("whole"), "digest")}
     per_doc = hits.groupBy("doc_id").agg(*(F.collect_set(F.when(cond, F.col(c))).alias(name) for name, (cond, c) in lists.items()))
     copies = named.select("doc_id", F.md5("text").alias("digest")).join(copies_of(named), "digest")
     copies = copies.groupBy("doc_id").agg(F.collect_set("digest").alias("digests"), F.collect_set(F.when(F.col("doc_id") > F.col("rep"), F.col("digest"))).alias("later"))
-    told = per_doc.join(copies, "doc_id", "full")
+    told = crowd.on(per_doc).join(copies, "doc_id", "full")
     both = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").filter("later is null or not array_contains(later, md5(text))")
     wanted = some_named("usual") | some_named("scanned") | some_named("whole")
-    rows = both.filter(wanted).select("doc_id", "text", F.xxhash64("text").alias("th"), *lists).mapInArrow(_contexts(width, k, crowded), CONTEXT)
+    rows = both.filter(wanted).select("doc_id", "text", F.xxhash64("text").alias("th"), *lists, *crowd.columns()).mapInArrow(_contexts(width, k, crowd.levels()), CONTEXT)
     spans = rows.repartition(tasks(spark), "gram").sortWithinPartitions("gram").mapInArrow(_scan(width), f"doc_id long, th long, spans {SPANS}")
     found = spans.groupBy("doc_id").agg(F.collect_list(F.struct("th", "spans")).alias("found"))
     last = texts.join(found.join(copies.select("doc_id", "digests"), "doc_id", "full").withColumnRenamed("doc_id", "kid"), "kid", "left")
