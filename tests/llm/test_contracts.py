@@ -461,7 +461,7 @@ def test_nodes_of_a_subtree():
     assert nodes == {("a b c", 4, True), ("a b c d", 3, True), ("b c d", 3, False), ("a b c d e", 2, True), ("b c d e", 2, False), ("c d e", 2, False)}
 
 
-@pytest.mark.parametrize(("group", "travel"), [(30, None), (5, None), (5, 0), (5, 60)])
+@pytest.mark.parametrize(("group", "travel"), [(30, None), (5, None), (5, 0), (5, 30)])
 def test_crowded_contexts(spark, group, travel, monkeypatch):
     """One long passage in more documents than a group holds, with differing words in it, and periodic texts.
 
