@@ -25,3 +25,14 @@ def test_tagger_off(spark):
     assert [r.spans for r in plugins.with_spans(df, "text", tagger).collect()] == [["a", "b"], []]
     for off in (plugins.with_spans(df, "text", tagger, weight=0), plugins.with_spans(df, "text", None)):
         assert [r.spans for r in off.collect()] == [[], []]
+
+
+def test_label_field_follows_its_weight(spark):
+    from textloom.config import Settings
+    from textloom.plans.pipelines import labelled
+
+    df = spark.createDataFrame([(1, "Fire doors. Smoke", ["old"]), (2, None, None), (3, "", ["x"])], "doc_id long, text string, NER_labels array<string>")
+    on, off = (labelled(df, Settings().with_values(field_weights=w)) for w in ({"NER_labels": 0.5}, {"content": 1.0}))
+    assert [r.NER_labels for r in on.orderBy("doc_id").collect()] == [["Fire doors", "Smoke"], [], []]
+    assert [r.NER_labels for r in off.collect()] == [[], [], []]
+    assert labelled(df.limit(0)).count() == 0

@@ -5,7 +5,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -18,6 +20,16 @@ from ..sources.index import Index
 ORDER = {"nn": 0, "kg": 1, "prf": 2}
 
 
+def labelled(docs: DataFrame, settings: Settings = Settings(), tagger: Callable[[Column], Column] = T.phrases, field: str = "NER_labels", text: str = "text") -> DataFrame:
+    """docs with a label field: the tagger's spans of a text where the field's weight is above 0, else none and no tagger in the plan.
+
+    tagger: an expression, or plugins.list_column of a model.  Null texts have no spans; a field that is there is replaced.
+    """
+    on = settings.field_weights.get(field, 0) > 0
+    none = F.array().cast("array<string>")
+    return docs.withColumn(field, F.coalesce(tagger(F.coalesce(F.col(text), F.lit(""))), none) if on else none)
+
+
 def search(docs: DataFrame | Index, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """query_id, id, score, rank: the best documents by BM25."""
     return retrieve.bm25(docs, queries, query_id="query_id", query_text="query", k=settings.top_k, k1=settings.bm25_k1, b=settings.bm25_b)

@@ -194,6 +194,18 @@ def pdf_pages(spark, sf_dir):
     return readers.pdf_pages(turns.select("id", F.concat(F.array_join("t", "\f"), F.lit("\f")).alias("t")), "id", "t")
 
 
+@query(f"""WITH d AS (SELECT doc_id, {S.phrases('text')} AS l FROM documents)
+SELECT doc_id, 'on' AS tagger, len(l)::BIGINT AS n_labels, md5(array_to_string(l, '|')) AS digest FROM d UNION ALL SELECT doc_id, 'off', 0, md5('') FROM d""")
+def tagger_switch(spark, sf_dir):
+    """Label fields of all documents with the tagger on (a weight above 0) and off (none: nothing is tagged)."""
+    from ..config import Settings
+    from .pipelines import labelled
+
+    docs = _docs(spark, sf_dir)
+    runs = [labelled(docs, Settings().with_values(field_weights={"NER_labels": w})).withColumn("tagger", F.lit(name)) for name, w in (("on", 1.0), ("off", 0.0))]
+    return runs[0].unionByName(runs[1]).select("doc_id", "tagger", F.size("NER_labels").cast("long").alias("n_labels"), F.md5(F.array_join("NER_labels", "|")).alias("digest"))
+
+
 @query("""SELECT source, count(*) AS n_docs, count(DISTINCT md5(text)) AS n_texts, sum(length(text))::BIGINT AS n_chars, sum(s)::BIGINT AS n_sentences, sum(w)::BIGINT AS n_words, max(length(text))::BIGINT AS longest
 FROM (SELECT source, text, len(%s) AS s, len(%s) AS w FROM documents) GROUP BY source""" % (S.sentences("text"), S.tokens("text")))
 def corpus_profile(spark, sf_dir):
