@@ -202,7 +202,7 @@ def keep_cleaned_labels(spark, sf_dir):
 
 @query(f"WITH {IDF}, t AS (SELECT text AS term, unnest({S.tokens('text')}) AS token FROM (SELECT DISTINCT text FROM benchmark)) SELECT md5(term) AS term, round(avg(coalesce(idf, 0.5)), 6) AS weight FROM t LEFT JOIN idf USING (token) GROUP BY term")
 def idf_weights(spark, sf_dir):
-    idf = store.main(spark, sf_dir).idf
+    idf = store.idf(spark, sf_dir)
     w = stats.idf_weights(table(spark, sf_dir, "benchmark").select(F.col("text").alias("term")), idf)
     return w.select(F.md5("term").alias("term"), F.round("weight", 6).alias("weight"))
 
