@@ -166,7 +166,7 @@ def query_lines(spark, sf_dir):
 
 @query(f"WITH {IDF} SELECT token, CASE WHEN round(idf, 6) > 4 THEN round(round(idf, 6) * 0.8, 6) END AS weight FROM idf")
 def idf_gate(spark, sf_dir):
-    return store.main(spark, sf_dir).idf.select("token", F.round(stats.gate_tokens(F.round("idf", 6), 4.0, 0.8, 0.5), 6).alias("weight"))
+    return store.idf(spark, sf_dir).select("token", F.round(stats.gate_tokens(F.round("idf", 6), 4.0, 0.8, 0.5), 6).alias("weight"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 <> 0")
