@@ -460,3 +460,35 @@ def test_terms(spark):
     assert rows(terms.skip_sentences(p, "doc_id", "n").select("doc_id"), "doc_id") == [("d1",)]
     c = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("a", "z", 1)], "g string, label string, n long")
     assert rows(terms.top_labels(c, ["g"], 2).select("label"), "rank") == [("y",), ("x",)]
+
+
+def test_knn_gives_k_rows_a_group(spark, monkeypatch):
+    """A query gets k rows of each group of cells; it used to get k of each cell, so what was shuffled grew with the square."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(900, 8)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id long, v array<float>")
+    given = []
+    met = vectors._met
+    monkeypatch.setattr(vectors, "_met", lambda a, r, c, f: given.append(met(a, r, c, f)) or given[-1])
+    for _ in range(2):
+        got = rows(vectors.search(df, df.filter("id % 30 = 0"), 5, "id", "v", exclude_self=True), "query_id", "rank")
+        d = {q: np.round(np.sqrt(((m - m[q]) ** 2).sum(1)), 6) for q in range(0, 900, 30)}
+        assert [(r[0], r[1]) for r in got] == [(q, j) for q in d for j in [j for j in sorted(range(900), key=lambda j: (d[q][j], j)) if j != q][:5]]
+        for name, value in (("LEAST", 100), ("MOST", 130), ("ROWS", 16), ("PAIRS", 40)):  # groups that share cells, small steps
+            monkeypatch.setattr(vectors, name, value)
+    assert given[1].count() <= 5 * 30 and given[3].count() <= 7 * 5 * 30
+
+
+def test_only_rare_tokens_are_sent_to_the_idf(spark, monkeypatch):
+    """Where the IDF is large its frequent tokens travel to the terms; a row per term and token used to be shuffled to it."""
+    idf = spark.createDataFrame([("a", 9, 1.0), ("b", 9, 2.0), ("c", 3, 4.0), ("d", 1, 8.0)], "token string, df long, idf double")
+    terms = spark.createDataFrame([("a b a", 1), ("a c", 2), ("d c x", 3), ("!", 4), ("x", 5)], "term string, n long")
+    want = [("!", 4, 0.5), ("a b a", 1, 4 / 3), ("a c", 2, 2.5), ("d c x", 3, 12.5 / 3), ("x", 5, 0.5)]
+    known = lambda df: [(t, n, pytest.approx(w)) for t, n, w in rows(df, "term")]
+    assert known(stats.weighed(terms, idf)) == want
+    monkeypatch.setattr(stats, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(stats, "hint_if_small", lambda df: lambda x: x)
+    written, kept = {}, stats.materialise
+    monkeypatch.setattr(stats, "materialise", lambda df, tag: written.setdefault(tag, kept(df, tag)))
+    assert known(stats.weighed(terms, idf)) == want
+    assert {r.term: sorted(r["__rare"]) for r in written["weights"].collect() if r["__rare"]} == {"a c": ["c"], "d c x": ["c", "d", "x"], "x": ["x"]}
