@@ -268,7 +268,7 @@ def title_field(spark, sf_dir):
 SELECT kind, field, count(*) AS n, round(sum(score), 4) AS total FROM r JOIN (VALUES ('hybrid'), ('sparse'), ('dense')) k(kind) ON kind = 'hybrid' OR (kind = 'sparse') = (field = 'bm25') GROUP BY kind, field""")
 def retriever_kinds(spark, sf_dir):
     """Which fields' results a kind of search unites."""
-    stored = store.main(spark, sf_dir)
+    stored = store.searched(spark, sf_dir, _items(spark, sf_dir))
     runs = {"bm25": retrieve.bm25(stored, _items(spark, sf_dir)), "doc_title": retrieve.bm25(stored, _items(spark, sf_dir), field="doc_title")}
     out = None
     for kind in ("hybrid", "sparse", "dense"):
