@@ -1,6 +1,7 @@
 """Crowded keys of the line join, step by step without a session."""
 
 import random
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -105,3 +106,70 @@ def test_blocks_of_what_stays_crowded_are_few():
     for n in (4_000, 8_000, 40_000, 80_000):
         row, _ = ld.groups_of(np.zeros(n, np.int64), np.random.default_rng(1).integers(0, 1 << 62, n), ld.CROWD)
         assert len(row) <= ld.COPIES * n
+
+
+def calls(run):
+    n = 0
+
+    def count(*_):
+        nonlocal n
+        n += 1
+
+    sys.setprofile(count)
+    try:
+        run()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_verification_passes_over_runs():
+    """The steps of the banded distance follow the edits of lines, not their lengths."""
+    rng = random.Random(3)
+    work = []
+    for size in (300, 6_000):
+        x = "".join(rng.choice("abcdefgh ") for _ in range(size))
+        y = list(x)
+        for k in range(1, 5):
+            y[size * k // 5] = "X"
+        a, b = [x] * 20, ["".join(y)] * 20
+        assert ld.within(a, b, 4).all() and not ld.within(a, b, 3).any()
+        work.append(calls(lambda: ld.within(a, b, 4)))  # noqa: B023
+    assert work[1] < 2 * work[0], work
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3, 5, 8])
+def test_distances_of_lines_with_runs(edits):
+    """Long common stretches, periodic lines and edits side by side or at the ends, against the plain distance."""
+    rng = random.Random(edits)
+    a, b = [], []
+    for i in range(300):
+        base = rng.choice(["ab", "a", "abc" * 7 + "d", "abcdefgh klmnop"])
+        x = [rng.choice(base) for _ in range(rng.randint(20, 90))] if i % 3 else list((base * 90)[: rng.randint(20, 90)])
+        y = list(x)
+        for _ in range(rng.randint(0, edits + 2)):
+            at = rng.randrange(len(y)) if i % 2 else rng.choice([0, len(y) // 2, len(y) - 1])
+            y[at : at + rng.choice([0, 1])] = rng.choice(["", "a", "é"])
+            y = y or ["a"]
+        if min(len(x), len(y)) > edits:
+            a.append("".join(x))
+            b.append("".join(y))
+    want = [brute.edits(x, y) <= edits for x, y in zip(a, b, strict=True)]
+    assert ld.within(a, b, edits).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_keys_are_shuffled_in_packs():
+    """Packs hold every key once, come back by whole keys, and there are far fewer of them than keys."""
+    rng = random.Random(6)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(30, 200))) for _ in range(3_000)]
+    text = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["\n".join(lines + [x + "X" for x in lines[:50]])])], ["doc_id", "text"])
+    keys = joined(ld._keys(5, 30, 30)(iter([text])))
+    packs = joined(ld._packed(ld._keys(5, 30, 30), 64)(iter([text, text])))
+    assert 20 * packs.num_rows < keys.num_rows
+    packs = packs.sort_by("bucket")
+    got = joined(ld._unpacked(ld._shared(5, 4_000, False))(iter(packs.to_batches(max_chunksize=7)))).to_pylist()
+    want = shared_of(keys, 5, 4_000, False).to_pylist()
+    order = lambda rows: sorted((r["key"], r["group"], r["digest"], r["crowded"]) for r in rows)
+    assert order(got) == order(want) and want
+    alone = pa.table({"key": [128, 256], "told": [1, 1], "digest": [5, 6]})
+    assert joined(ld._shared(5, 4_000, False)(iter(alone.to_batches()))) is None

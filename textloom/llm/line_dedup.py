@@ -9,7 +9,7 @@ Lines of a class of lengths have edits + 1 segments at the same places, the firs
 others from the end.  Of two lines within `edits` edits, some segment i of the shorter one is intact in the other, with
 at most i edits before and edits - i behind it; so a line indexes its segments and probes, in its own class and those
 of lines shorter by up to `edits`, the substrings that this allows.  Keys (hashes of class, segment and substring) held
-by one line alone go first, in one shuffle of the keys; only lines with a shared key ship their text, once per key, and
+by one line alone go first, in one shuffle of the keys (in packs by their leading bits); only lines with a shared key ship their text, once per key, and
 are verified by banded bit-parallel edit distance, many pairs at a time, after bounds that no near pair escapes (lengths,
 counts of neighbouring code points, common ends).  Pairs never leave a task.
 
@@ -22,7 +22,7 @@ lines.  All lines of such a key are compared with each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ CROWD, DEPTH, SEGMENT = 4_000, 3, 4
 COPIES, WIDE = 8, 32_000
 #: Lengths in a class.
 WIDTH = 30
+#: Buckets of keys for each task, and keys that a task packs at a time (more where there are many buckets, up to MOST).
+BUCKETS, PACK, MOST = 16, 1 << 18, 1 << 21
 U = np.uint64
 TOLD = U(7)
 #: By code point, the last for all above: whether it is white space.
@@ -57,8 +59,15 @@ def allowed(length: np.ndarray, edits: int, per: int) -> np.ndarray:
 
 def filled(cp: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Whether each line holds more than white space."""
-    n = np.concatenate([[0], np.cumsum(~BLANK[np.minimum(cp, len(BLANK) - 1)])])
-    return n[stop] > n[start]
+    solid = lambda x: ~BLANK[np.minimum(x, len(BLANK) - 1)]
+    out = np.zeros(len(start), bool)
+    some = np.flatnonzero(stop > start)
+    out[some] = solid(cp[start[some]])
+    some = some[~out[some]]  # begin with white space
+    if len(some):
+        n = np.concatenate([[0], np.cumsum(solid(cp))])
+        out[some] = n[stop[some]] > n[start[some]]
+    return out
 
 
 def lines_of(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -189,6 +198,54 @@ def _keys(edits: int, min_chars: int, per: int):
     return lean(run)
 
 
+def _packed(keys: Callable, buckets: int):
+    """(bucket, pack): the rows of keys(batches) by the leading bits of their keys, those of a bucket in one binary value."""
+    bits = buckets.bit_length() - 1
+    size = min(max(PACK, 128 * buckets), MOST)
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        both = np.stack([np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1)], axis=1)
+        bucket = (both[:, 0].view(U) >> U(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(both), np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        bucket, both = bucket[order], both[order]
+        heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        ends = np.append(heads, len(both)).astype(np.int32) * 16
+        packs = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(both.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[heads].astype(np.int64)), packs], ["bucket", "pack"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in keys(batches):
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= size:
+                yield pack(held)
+                held, n = [], 0
+        if held:
+            yield pack(held)
+
+    return lean(run)
+
+
+def _unpacked(shared: Callable):
+    """shared over the rows of packs, which come sorted by bucket: rows of whole buckets, sorted by key."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            both = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2) for x in t.column("pack")])
+            key = both[:, 0]
+            order = np.argsort(key)
+            key = key[order]
+            yield pa.RecordBatch.from_arrays([pa.array(key & ~np.int64(127)), pa.array(key & np.int64(127)), pa.array(both[order, 1])], ["key", "told", "digest"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches):
+            yield from shared(iter([batch]))
+
+    return lean(run)
+
+
 def groups_of(key: np.ndarray, digest: np.ndarray, crowd: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, group): the groups in which each row (of distinct lines, ordered by key) meets the others of its key."""
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -213,6 +270,11 @@ def _shared(edits: int, crowd: int, final: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
             key, told, digest = (t.column(c).to_numpy() for c in ("key", "told", "digest"))
+            alike = key[1:] == key[:-1]
+            some = np.append(alike, False) | np.append(False, alike)  # most keys have one row
+            if not some.any():
+                continue
+            key, told, digest = key[some], told[some], digest[some]
             order = np.lexsort((told & 1, digest, told >> 1, key))
             key, told, digest = key[order], told[order], digest[order]
             last = np.append((key[1:] != key[:-1]) | (told[1:] >> 1 != told[:-1] >> 1) | (digest[1:] != digest[:-1]), True)
@@ -392,17 +454,20 @@ class Lines:
         bins = (tn.mix(p[:-1] * U(1 << 21) + p[1:]) % U(BINS)).astype(np.int64)
         return np.bincount(line[:-1][inside] * BINS + bins[inside], minlength=len(self.size) * BINS).reshape(-1, BINS).astype(np.int32)
 
-    def matrix(self, start: np.ndarray, size: np.ndarray, blank: int, back: bool = False) -> np.ndarray:
-        """A column per stretch of code points, filled with `blank`; from its end if `back`."""
-        at = np.arange(int(size.max(initial=0)))[:, None]
-        place = start + (size - 1 - at if back else at)
-        return np.where(at < size, self.points[np.clip(place, 0, max(0, len(self.points) - 1))], np.uint32(blank)) if len(self.points) else np.full((len(at), len(size)), blank, np.uint32)
-
-    def _common(self, a: np.ndarray, b: np.ndarray, size: np.ndarray, back: bool) -> np.ndarray:
-        """How many of the first (or last) `size` code points of each pair are alike, up to where they first differ."""
-        starts = [self.start[x] + (self.size[x] - size if back else 0) for x in (a, b)]
-        differ = self.matrix(starts[0], size, 0xFFFFFFFF, back) != self.matrix(starts[1], size, 0xFFFFFFFF, back)
-        return np.where(differ.any(axis=0), differ.argmax(axis=0), size) if len(differ) else size
+    def common(self, p: np.ndarray, q: np.ndarray, size: np.ndarray, back: bool = False) -> np.ndarray:
+        """How many code points from places p and q on (before them if back) are alike, of `size` at most."""
+        out, live, width = np.zeros(len(p), np.int64), np.flatnonzero(size > 0), 16
+        while len(live):
+            more = []
+            for x in np.array_split(live, 1 + len(live) * width // CELLS):
+                at = out[x][:, None] + np.arange(width)
+                left, right = ((z[x][:, None] - 1 - at if back else z[x][:, None] + at) for z in (p, q))
+                differ = (self.points.take(left, mode="clip") != self.points.take(right, mode="clip")) | (at >= size[x][:, None])
+                whole = ~differ.any(axis=1)
+                out[x] += np.where(whole, width, differ.argmax(axis=1))
+                more.append(x[whole])
+            live, width = np.concatenate(more), min(2 * width, 256)
+        return out
 
     def alike(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Whether the edit distance of each pair of lines is <= its limit; every length must exceed the largest one.
@@ -410,80 +475,67 @@ class Lines:
         A common beginning and a common end leave the distance as it is: what is between them decides.
         """
         out, edits = np.zeros(len(a), bool), int(limit.max(initial=0))
-        least, most = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
-        head, tail = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-        for some in _portions(least):
-            x, y, n = a[some], b[some], least[some]
-            head[some] = self._common(x, y, n, False)
-            tail[some] = np.minimum(self._common(x, y, n, True), n - head[some])
-        near = most - least <= limit
-        out[near & (most - head - tail <= limit)] = True
-        rest = np.flatnonzero(near & ~out)
-        head = np.minimum(head, least - edits - 1)  # as long as the band needs it
-        tail = np.minimum(tail, least - head - edits - 1)
-        m, n = self.size[a] - head - tail, self.size[b] - head - tail
-        for some in _portions(np.maximum(m, n)[rest]):
-            x = rest[some]
-            size = np.maximum(m[x], n[x])
-            left, right = (self.matrix(self.start[y[x]] + head[x], z[x], blank) for y, z, blank in ((a, m, 0xFFFFFFFF), (b, n, 0xFFFFFFFE)))
-            width = int(size.max())
-            left, right = (np.pad(z, ((0, width - len(z)), (0, 0)), constant_values=blank) for z, blank in ((left, 0xFFFFFFFF), (right, 0xFFFFFFFE)))
-            out[x] = banded(left, right, m[x], n[x], edits) <= limit[x]
+        some = np.flatnonzero(np.abs(self.size[a] - self.size[b]) <= limit)
+        for x in np.array_split(some, 1 + len(some) // PAIRS):
+            left, right, most = a[x], b[x], limit[x]
+            least = np.minimum(self.size[left], self.size[right])
+            head = self.common(self.start[left], self.start[right], least)
+            tail = self.common(self.start[left] + self.size[left], self.start[right] + self.size[right], least - head, back=True)
+            near = np.maximum(self.size[left], self.size[right]) - head - tail <= most
+            head = np.minimum(head, least - edits - 1)  # as long as the band needs it
+            tail = np.minimum(tail, least - head - edits - 1)
+            p, m, q, n = (z[~near] for z in (self.start[left] + head, self.size[left] - head - tail, self.start[right] + head, self.size[right] - head - tail))
+            near[~near] = banded(self, p, m, q, n, edits) <= most[~near]
+            out[x] = near
         return out
 
 
-def _portions(size: np.ndarray) -> Iterator[np.ndarray]:
-    """Positions of about one size at a time: at most PAIRS, or CELLS units of size together."""
-    order, at = np.argsort(size, kind="stable"), 0
-    while at < len(order):
-        n = max(1, min(PAIRS, CELLS // max(1, int(size[order[min(at + PAIRS, len(order)) - 1]]))))
-        yield order[at : at + n]
-        at += n
-
-
 def within(a: list[str], b: list[str], edits: int) -> np.ndarray:
     """Whether the edit distance of each pair of texts is <= edits; every length must exceed edits."""
     return Lines([*a, *b]).alike(np.arange(len(a)), np.arange(len(a), 2 * len(a)), np.full(len(a), edits))
 
 
-def banded(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, edits: int) -> np.ndarray:
-    """Edit distances of columns of code points, of m and n rows, where they are <= edits; larger numbers elsewhere.
+def banded(lines: Lines, p: np.ndarray, m: np.ndarray, q: np.ndarray, n: np.ndarray, edits: int) -> np.ndarray:
+    """Edit distances of pairs of stretches (m code points from place p on, n from q) where they are <= edits; else larger numbers.
 
-    Bit-parallel over the 2 * edits + 1 diagonals of the band.
+    Bit-parallel over the 2 * edits + 1 diagonals of the band.  Bit d of a column j (of the second stretch) stands for row
+    j - edits + d.  The distance is followed along the lowest diagonal, then along the last row.
 
-    Bit d of a column j stands for row j - edits + d.  The distance is followed along the lowest diagonal, then along
-    the last row.
+    Where the distances of a column rise by one with each diagonal from one on, to both sides, the next column has the same
+    ones if code points on that diagonal match, whatever the others do: such runs are measured and passed over.
     """
-    width, total = a.shape
-    out = np.full(total, 1 << 30, np.int64)
-    live, band = np.arange(total), 2 * edits + 1
-    left = np.full((width + 2 * band, total), 0xFFFFFFFF, np.uint32)
-    left[edits : edits + width] = a
-    right = b
+    out = np.full(len(p), 1 << 30, np.int64)
+    band = 2 * edits + 1
     ones = U((1 << band) - 1)
-    bit = U(1) << np.arange(band, dtype=U)
-    vp = np.full(total, ((1 << (edits + 1)) - 1) << edits, U)
-    vn, dist = np.zeros(total, U), np.full(total, edits, np.int64)
-    for j in range(1, width + 1):
-        pm = ((left[j - 1 : j - 1 + band][:, live] == right[j - 1, live]) * bit[:, None]).sum(axis=0, dtype=U)
-        p, q = vp[live], vn[live]
-        d0 = ((((pm & p) + p) ^ p) | pm | q) & ones
-        hp = (q | ~(d0 | p)) & ones
-        hn = d0 & p
-        at = m[live] - j
-        diagonal = at >= edits
-        row = np.clip(at + edits, 0, band - 1).astype(U)
-        step = np.where(diagonal, 1 - ((d0 >> U(band - 1)) & U(1)).astype(np.int64), ((hp >> row) & U(1)).astype(np.int64) - ((hn >> row) & U(1)).astype(np.int64))
-        dist[live] += step
-        vp[live] = (hn | ~((d0 >> U(1)) | hp)) & ones
-        vn[live] = (d0 >> U(1)) & hp
-        done = n[live] == j
-        if done.any():
-            out[live[done]] = dist[live[done]]
-        if done.any() or j % 8 == 0:
-            live = live[~done & (dist[live] <= 2 * edits + n[live] - m[live])]
-            if not len(live):
-                break
+    bit = (U(1) << np.arange(band, dtype=U))[:, None]
+    offset = np.arange(-edits, edits + 1)[:, None]
+    live, j, turn = np.flatnonzero(n > 0), np.zeros(int((n > 0).sum()), np.int64), 0  # j: columns done
+    p, m, q, n = (z[live] for z in (p, m, q, n))
+    vp, vn, dist = np.full(len(live), ((1 << (edits + 1)) - 1) << edits, U), np.zeros(len(live), U), np.full(len(live), edits, np.int64)
+    while len(live):
+        row = j + offset
+        same = (lines.points.take(p + row, mode="clip") == lines.points[q + j]) & (row >= 0) & (row < m)
+        pm = (same * bit).sum(axis=0, dtype=U)
+        j += 1
+        d0 = ((((pm & vp) + vp) ^ vp) | pm | vn) & ones
+        hp = (vn | ~(d0 | vp)) & ones
+        hn = d0 & vp
+        at = m - j
+        last = np.minimum(np.maximum(at + edits, 0), band - 1).astype(U)
+        dist += np.where(at >= edits, 1 - ((d0 >> U(band - 1)) & U(1)).astype(np.int64), ((hp >> last) & U(1)).astype(np.int64) - ((hn >> last) & U(1)).astype(np.int64))
+        vp, vn = (hn | ~((d0 >> U(1)) | hp)) & ones, (d0 >> U(1)) & hp
+        done = n == j
+        turn += 1
+        if turn % 4 == 0 or done.any():
+            out[live[done]] = dist[done]
+            stay = ~done & (dist <= 2 * edits + n - m)
+            live, p, m, q, n, j, vp, vn, dist = (z[stay] for z in (live, p, m, q, n, j, vp, vn, dist))
+        if turn % 4 == 0:
+            most = np.bitwise_count(vn).astype(np.int64) - edits  # the diagonal of the least distance
+            room = np.minimum(m - edits, n - 1) - j
+            run = np.flatnonzero((vp == ones ^ vn) & (vn & (vn + U(1)) == 0) & (vn < ones) & (j + most >= 0) & (room > 0))
+            if len(run):
+                j[run] += lines.common(p[run] + j[run] + most[run], q[run] + j[run], room[run])
     return out
 
 
@@ -562,11 +614,11 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([len(x) for x in gone], pa.int64()), pa.array(kept, pa.string()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "n_lines", "n_removed", "kept", "removed"])
 
 
-def _shared_keys(keys: DataFrame, edits: int, crowd: int, last: bool) -> DataFrame:
-    """keys(key with told, digest) that lines share, written."""
-    keys = keys.repartition(tasks(keys.sparkSession), F.shiftright("key", 7)).sortWithinPartitions("key")
-    parted = keys.select(F.expr("key & ~127L").alias("key"), F.expr("key & 127L").alias("told"), "digest")
-    return materialise(parted.mapInArrow(_shared(edits, crowd, last), "key long, group long, digest long, crowded boolean"), "shared")
+def _shared_keys(rows: DataFrame, keys: Callable, edits: int, crowd: int, last: bool) -> DataFrame:
+    """Those of keys(rows), with told and digest, that lines share, written.  They are shuffled in packs, not row by row."""
+    n = tasks(rows.sparkSession)
+    packs = rows.mapInArrow(_packed(keys, 1 << (BUCKETS * n - 1).bit_length()), "bucket long, pack binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    return materialise(packs.mapInArrow(_unpacked(_shared(edits, crowd, last)), "key long, group long, digest long, crowded boolean"), "shared")
 
 
 def _keys_of_line(shared: DataFrame) -> DataFrame:
@@ -579,7 +631,7 @@ def _split(rows: DataFrame, edits: int, crowd: int) -> DataFrame:
     done = rows.filter("not crowded")
     for level in range(1, DEPTH + 1):
         rows = rows.filter("crowded")
-        shared = _shared_keys(rows.mapInArrow(_further, "key long, digest long"), edits, crowd, level == DEPTH)
+        shared = _shared_keys(rows, _further, edits, crowd, level == DEPTH)
         rows = materialise(rows.join(_keys_of_line(shared), "digest").mapInArrow(_split_rows, OPEN), "rows")
         done = done.unionByName(rows.filter("not crowded"))
         if level < DEPTH and shared.filter("crowded").isEmpty():
@@ -597,8 +649,7 @@ def _removed(base: DataFrame, texts: DataFrame, edits: int, min_chars: int, per:
     named = base.filter("doc_id is not null")
     places = named.mapInArrow(_occurrences(min_chars, every), "digest long, doc_id long, line int")
     first = materialise(places.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "lines")
-    keys = named.mapInArrow(_keys(edits, min_chars, per), "key long, digest long")
-    shared = _shared_keys(keys, edits, crowd, False)  # the shuffle of all keys can go before the texts are dealt
+    shared = _shared_keys(named, _keys(edits, min_chars, per), edits, crowd, False)  # the shuffle of all keys can go before the texts are dealt
     told = _keys_of_line(shared).join(first, "digest").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "digest", "keys")).alias("told"))
     rows = texts.join(told.withColumnRenamed("doc_id", "kid"), "kid").filter(some_named("told")).select("doc_id", "text", "told").mapInArrow(_candidates(edits, per, min_chars), OPEN)
     if not shared.filter("crowded").isEmpty():
