@@ -211,7 +211,7 @@ def _packed(keys: Callable, buckets: int):
         heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         ends = np.append(heads, len(both)).astype(np.int32) * 16
         packs = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(both.tobytes())])
-        return pa.RecordBatch.from_arrays([pa.array(bucket[heads].astype(np.int64)), packs], ["bucket", "pack"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[heads].astype(np.int32)), packs], ["bucket", "pack"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -617,7 +617,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared_keys(rows: DataFrame, keys: Callable, edits: int, crowd: int, last: bool) -> DataFrame:
     """Those of keys(rows), with told and digest, that lines share, written.  They are shuffled in packs, not row by row."""
     n = tasks(rows.sparkSession)
-    packs = rows.mapInArrow(_packed(keys, 1 << (BUCKETS * n - 1).bit_length()), "bucket long, pack binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    packs = rows.mapInArrow(_packed(keys, 1 << (BUCKETS * n - 1).bit_length()), "bucket int, pack binary").repartitionById(n, "bucket").sortWithinPartitions("bucket")  # evenly
     return materialise(packs.mapInArrow(_unpacked(_shared(edits, crowd, last)), "key long, group long, digest long, crowded boolean"), "shared")
 
 
