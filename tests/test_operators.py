@@ -235,6 +235,38 @@ def test_reuse_against_brute_force(spark, sf_dir):
     assert got == want([x[:3] for x in c], [x for x in c if x[3] == "user"])
 
 
+def test_subsequences_of_many_texts_at_once(monkeypatch):
+    """Texts are compared with an old one together, and those that are old themselves with later ones alone."""
+    import random
+
+    import pandas as pd
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdé 🏠", k=rng.choice([0, 1, 7, 8, 31, 64, 90]))) for _ in range(150)]
+    run = evaluate._lanes(texts)
+    for y in [*texts[:6], "", "zz", "a" * 200]:
+        assert run(y).tolist() == [longest(x, y) for x in texts]
+    old = pd.DataFrame([(t, t, i, str(i)) for i, t in enumerate(texts[:50])], columns=["query", "text", "ord", "relevance"]).drop_duplicates("text")
+    new = pd.DataFrame([(t, t, i if i < 50 else -1) for i, t in enumerate(texts)], columns=["query", "text", "known"]).drop_duplicates("text")
+    want = evaluate._like(70)(new, old)
+    assert len(want) and not (set(zip(want["text"], want["ord"])) & set(zip(old["text"], old["ord"])))
+    for lanes, together, kept in ((3, 10**6, 10**9), (64, 300, 2000), (200, 10**6, 10**9)):
+        monkeypatch.setattr(evaluate, "LANES", lanes)
+        monkeypatch.setattr(evaluate, "TOGETHER", together)
+        monkeypatch.setattr(evaluate, "KEPT", kept)
+        got = evaluate._like(70)(new, old)
+        assert set(got.itertuples(index=False, name=None)) == set(want.itertuples(index=False, name=None))
+
+
 def test_span_scores(spark):
     g = spark.createDataFrame([(1, "obj", 0, 1), (1, "act", 2, 3), (2, "obj", 0, 0)], "s int, type string, start int, end int")
     p = spark.createDataFrame([(1, "obj", 0, 1), (1, "obj", 5, 6)], "s int, type string, start int, end int")
